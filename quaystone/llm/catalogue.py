@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op03_mixing, op05_chat, op07_line_rules, op10_warc
+from . import op03_mixing, op05_chat, op06_substrings, op07_line_rules, op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mixing": op03_mixing.op3_mixing,
         "op5_chat_format": op05_chat.op5_chat_format,
+        "op6_substring_dedup": op06_substrings.op6_substring_dedup,
         "op7_line_rules": op07_line_rules.op7_line_rules,
         "op10_warc": op10_warc.op10_warc,
     }
