@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op03_mixing, op05_chat, op06_substrings, op07_line_rules, op10_warc
+from . import op01_decontaminate, op03_mixing, op05_chat, op06_substrings, op07_line_rules, op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": op01_decontaminate.op1_decontaminate,
         "op3_mixing": op03_mixing.op3_mixing,
         "op5_chat_format": op05_chat.op5_chat_format,
         "op6_substring_dedup": op06_substrings.op6_substring_dedup,
@@ -20,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": op05_chat.ORACLE, "op7_line_rules": op07_line_rules.ORACLE, "op10_warc": op10_warc.ORACLE}
+    return {"op1_decontaminate": op01_decontaminate.ORACLE, "op5_chat_format": op05_chat.ORACLE, "op7_line_rules": op07_line_rules.ORACLE, "op10_warc": op10_warc.ORACLE}
