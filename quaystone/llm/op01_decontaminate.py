@@ -278,6 +278,33 @@ def contaminated(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", F.expr(N_HIT)).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def cut_spans(found: DataFrame) -> DataFrame:
+    """The texts of found without their removal spans; n_chars, if there, counted again; n_words, spans and items go."""
+    names = found.columns
+    column, spans, n_chars = names.index("text"), names.index("spans"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [i for i in range(batch.num_columns) if batch.schema.names[i] not in _OUT.names]
+            for part in W.chunks(batch, names[column]):
+                cols, texts = list(part.columns), part.column(column).to_pylist()
+                counts = part.column(n_chars).to_pylist() if n_chars is not None else None
+                for i, held in enumerate(part.column(spans).to_pylist()):
+                    if held:
+                        raw = texts[i].encode()
+                        w = W.split_words(pa.array([raw], pa.binary()), W.ALNUM, lower=True)
+                        cuts = [0, *(int(x) for a, b in held for x in (w.start[a], w.end[b - 1])), len(raw)]
+                        texts[i] = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)).decode()
+                        if counts is not None:
+                            counts[i] = len(texts[i])
+                cols[column] = pa.array(texts, part.schema.field(column).type)
+                if counts is not None:
+                    cols[n_chars] = pa.array(counts, part.schema.field(n_chars).type)
+                yield pa.RecordBatch.from_arrays([cols[i] for i in keep], [part.schema.names[i] for i in keep])
+
+    return found.mapInArrow(run, T.StructType([f for f in found.schema.fields if f.name not in _OUT.names]))
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
     ids = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda x: x.cast("string")))

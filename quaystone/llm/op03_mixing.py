@@ -35,8 +35,11 @@ SEED = 17
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """doc_id, source, tokens: words between white space."""
-    words = F.array_size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")), " "))
-    return docs.select("doc_id", "source", words.cast("long").alias("tokens"))
+    return docs.select("doc_id", "source", _tokens().alias("tokens"))
+
+
+def _tokens() -> F.Column:
+    return F.array_size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")).cast("long")
 
 
 def _facts(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
@@ -88,25 +91,31 @@ def weights(counts: DataFrame, entropy: float = ENTROPY, repeats: float = REPEAT
     return weighed.select("source", "total", "weight", (F.col("weight") * F.lit(float(size))).alias("quota"))
 
 
-def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, carry: bool = False) -> DataFrame:
     """doc_id, source, tokens, epoch, block, block_rank: a row for each time that a document is in the mix.
 
     The mix reads epoch by epoch, within it by block_rank, within a block by a hash of doc_id.
+    carry: all columns of docs come along (in place of doc_id and source alone).
     """
     counts = cut(token_counts(docs).withColumn("tokens", F.greatest("tokens", F.lit(1))), "tokens")
-    quotas = cut(weights(counts, entropy, repeats, budget), "quotas")
+    quotas = cut(weights(counts, entropy, repeats, budget), "quotas").withColumnRenamed("source", "s")
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(float(block_tokens)))).cast("long")
-    dealt = counts.join(quotas, counts.source.eqNullSafe(quotas.source)).select("doc_id", counts.source, "tokens", F.pmod(F.xxhash64("doc_id", F.lit(seed)), n_blocks).alias("block"))
+    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), n_blocks)
+    deal = lambda rows: rows.join(quotas, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block)
     # Whole passes take every block; the last pass takes blocks, permuted by a hash, until the rest of the quota is spent.
     exact = F.round(F.col("quota") / F.col("total"), 9)
-    blocks = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("size"))
-    planned = blocks.join(quotas, blocks.source.eqNullSafe(quotas.source)).select(blocks.source, "block", "size", F.floor(exact).cast("long").alias("whole"), ((exact - F.floor(exact)) * F.col("total")).alias("rest"))
+    blocks = deal(counts).groupBy("source", "block", "total", "quota").agg(F.sum("tokens").alias("size"))
+    planned = blocks.select("source", "block", "size", F.floor(exact).cast("long").alias("whole"), ((exact - F.floor(exact)) * F.col("total")).alias("rest"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.col("whole"), F.lit(seed)), "block")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    passes = planned.withColumn("taken", before < F.col("rest")).select("source", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") + F.col("taken").cast("long"))).alias("epoch"), "whole", "taken")
-    kept = passes.filter((F.col("epoch") < F.col("whole")) | ((F.col("epoch") == F.col("whole")) & F.col("taken")))
-    ranked = kept.withColumn("block_rank", F.row_number().over(Window.partitionBy("source", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(seed)), "block"))).select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", "block_rank")
-    return dealt.join(ranked, dealt.source.eqNullSafe(F.col("s")) & (dealt.block == F.col("b"))).select("doc_id", "source", "tokens", "epoch", "block", "block_rank")
+    passes = planned.withColumn("taken", before < F.col("rest")).select("source", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))).alias("epoch"), "whole", "taken")
+    kept = passes.filter((F.col("epoch") < F.col("whole")) | F.col("taken"))
+    ranked = kept.select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", F.row_number().over(Window.partitionBy("source", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(seed)), "block")).alias("block_rank"))
+    ranked = cut(ranked, "blocks")
+    rows = docs.withColumn("tokens", F.greatest(_tokens(), F.lit(1))) if carry else counts
+    names = [c for c in rows.columns if c not in ("tokens", "epoch", "block", "block_rank")]
+    dealt = deal(rows.select(*names, "tokens")).drop("s", "total", "weight", "quota")
+    return dealt.join(ranked, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select(*names, "tokens", "epoch", "block", "block_rank")
 
 
 def brute_exponent(totals: list[int], entropy: float = ENTROPY, repeats: float = REPEATS) -> float:

@@ -208,5 +208,20 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each group: the one with the smallest id, one row of it.
+
+    Rows with a null doc_id cannot be told apart and stay.
+    """
+    found = cut(near_dedup(docs, **options), "groups")
+    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = cut(found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return out
+    once = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
