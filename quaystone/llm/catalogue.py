@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_decontaminate, op02_quality, op03_mixing, op05_chat, op06_substrings, op07_line_rules, op08_secrets, op09_near_dedup, op10_warc
+from . import op01_decontaminate, op02_quality, op03_mixing, op04_html, op05_chat, op06_substrings, op07_line_rules, op08_secrets, op09_near_dedup, op10_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op01_decontaminate.op1_decontaminate,
         "op2_quality": op02_quality.op2_quality,
         "op3_mixing": op03_mixing.op3_mixing,
+        "op4_html": op04_html.op4_html,
         "op5_chat_format": op05_chat.op5_chat_format,
         "op6_substring_dedup": op06_substrings.op6_substring_dedup,
         "op7_line_rules": op07_line_rules.op7_line_rules,
