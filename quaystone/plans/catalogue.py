@@ -1,10 +1,254 @@
-"""The catalogue of named queries and their SQL counterparts."""
+"""The catalogue of named queries and their SQL counterparts.
+
+Capped queries carry their rank as a column, so that comparing rows without order checks the order too.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaystone.functions import amounts, ids, names
+from quaystone.functions import columns as C
+from quaystone.operators import feed, rules, stats
+from quaystone.sources import testdata
+from quaystone.sources.testdata import CTE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, cte: bool = True):
+    """Register a function (spark, sf_dir) -> DataFrame under a name, with its SQL."""
+
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            text = sql.strip()
+            if cte:
+                text = f"WITH {CTE.strip()}, {text[5:]}" if text.upper().startswith("WITH ") else f"WITH {CTE.strip()} {text}"
+            ORACLES[name] = text
+        return f
+
+    return register
+
+
+def on_trades(name: str, sql: str | None = None):
+    """Register a function of the trades alone."""
+    return lambda f: query(name, sql)(lambda spark, d: f(testdata.trades(spark, d))) and f
+
+
+def on_both(name: str, sql: str | None = None):
+    """Register a function of trades and members."""
+    return lambda f: query(name, sql)(lambda spark, d: f(testdata.trades(spark, d), testdata.members(spark, d))) and f
+
+
+# Statistics -------------------------------------------------------------------------------------
+
+on_trades("widely_held_tickers", "SELECT symbol AS ticker, count(DISTINCT member_id) AS member_count, count(*) AS trade_count FROM feed WHERE symbol IS NOT NULL GROUP BY symbol HAVING count(DISTINCT member_id) >= 3")(stats.widely_held)
+on_trades("composition_tx_type", "SELECT tx_type, count(*) AS n FROM feed GROUP BY tx_type")(stats.by_tx_type)
+on_trades("composition_asset_type", "SELECT asset_type, count(*) AS n FROM feed WHERE asset_type IS NOT NULL GROUP BY asset_type")(lambda t: stats.by_asset_type(t).drop("name"))
+on_trades(
+    "lag_stats",
+    """WITH lags AS (SELECT lag FROM feed WHERE NOT impossible)
+    SELECT count(*) AS n, CAST(coalesce(round(median(lag)), 0) AS BIGINT) AS median_days, CAST(coalesce(round(avg(lag)), 0) AS BIGINT) AS mean_days, count(*) FILTER (WHERE lag > 45) AS over_45,
+      CAST(CASE WHEN count(*) > 0 THEN round(100.0 * count(*) FILTER (WHERE lag > 45) / count(*)) ELSE 0 END AS BIGINT) AS percent_over_45 FROM lags""",
+)(stats.lag_stats)
+on_trades(
+    "lag_buckets",
+    """WITH b(position, bucket, lo, hi) AS (VALUES (0, '0-7', -1000000, 7), (1, '8-30', 8, 30), (2, '31-45', 31, 45), (3, '46-90', 46, 90), (4, 'over 90', 91, 1000000))
+    SELECT CAST(position AS BIGINT) AS position, bucket, count(lag) AS n FROM b LEFT JOIN (SELECT lag FROM feed WHERE NOT impossible) ON lag BETWEEN lo AND hi GROUP BY ALL""",
+)(stats.lag_buckets)
+on_trades("known_tickers", "SELECT symbol AS ticker, count(*) AS n FROM feed WHERE symbol IS NOT NULL GROUP BY symbol")(stats.known_tickers)
+on_trades("ticker_suggestions", "SELECT symbol AS ticker, count(*) AS n FROM feed WHERE symbol LIKE 'BR1%' GROUP BY symbol ORDER BY n DESC, symbol LIMIT 8")(lambda t: stats.ticker_suggestions(t, "br1"))
+query("members_by_activity", "SELECT id, any_value(name) AS name, count(member_id) AS n FROM member LEFT JOIN feed ON member_id = id GROUP BY id".replace("SELECT id", "SELECT member.id").replace("= id GROUP BY id", "= member.id GROUP BY member.id"))(
+    lambda spark, d: stats.members_by_activity(testdata.members(spark, d), testdata.trades(spark, d))
+)
+on_trades("member_profile", "SELECT member_id, count(*) AS trades, count(*) FILTER (WHERE tx_type = 'buy') AS buys, count(*) FILTER (WHERE tx_type <> 'buy') AS sells FROM feed GROUP BY member_id")(stats.member_profile)
+on_trades(
+    "member_top_tickers",
+    """WITH c AS (SELECT member_id, ticker, count(*) AS n FROM feed WHERE ticker IS NOT NULL GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY n DESC, ticker) AS rank FROM c) SELECT member_id, ticker, n, rank FROM r WHERE rank <= 8""",
+)(stats.member_top_tickers)
+on_trades("ticker_profile", "SELECT symbol AS ticker, count(*) AS trades, count(*) FILTER (WHERE tx_type = 'buy') AS buys, count(*) FILTER (WHERE tx_type <> 'buy') AS others, count(DISTINCT member_id) AS members FROM feed WHERE symbol IS NOT NULL GROUP BY symbol")(stats.ticker_profile)
+on_trades("counts_by_year", "SELECT CAST(year(tx_date) AS BIGINT) AS year, count(*) AS n FROM feed GROUP BY ALL")(stats.counts_by_year)
+on_both(
+    "data_quality",
+    """SELECT count(*) AS rows, count(warning) AS recovered, count(*) FILTER (WHERE impossible) AS impossible, count(*) FILTER (WHERE is_amendment) AS amended, count(DISTINCT filing_id) AS filings,
+      count(DISTINCT member_id) AS trading_members, min(tx_date) AS first_tx, max(tx_date) AS last_tx, (SELECT count(DISTINCT member_id) FROM committee) AS with_committees, (SELECT count(DISTINCT state) FROM member) AS states FROM feed""",
+)(stats.data_quality)
+on_both(
+    "coverage_report",
+    """SELECT 'rows' AS metric, count(*) AS value FROM feed UNION ALL SELECT 'filings', count(DISTINCT filing_id) FROM feed UNION ALL SELECT 'recovered', count(warning) FROM feed UNION ALL SELECT 'impossible', count(*) FROM feed WHERE impossible
+    UNION ALL SELECT 'amended', count(*) FROM feed WHERE is_amendment UNION ALL SELECT 'trading_members', count(DISTINCT member_id) FROM feed UNION ALL SELECT 'with_committees', count(DISTINCT member_id) FROM committee UNION ALL SELECT 'states', count(DISTINCT state) FROM member""",
+)(stats.coverage_report)
+on_trades("warning_histogram", "SELECT warning, count(*) AS n FROM feed WHERE warning IS NOT NULL GROUP BY warning")(stats.warning_histogram)
+query("party_tally", "SELECT party, count(*) AS n FROM member GROUP BY party")(lambda spark, d: stats.party_tally(testdata.members(spark, d)))
+on_both("chamber_rows", "SELECT m.chamber AS branch, count(*) AS n FROM feed f JOIN member m ON m.id = f.member_id GROUP BY m.chamber")(stats.chamber_rows)
+query("roster_counts", "SELECT count(DISTINCT member_id) AS members_mapped, count(*) AS assignments, count(DISTINCT committee) AS committees FROM committee")(lambda spark, d: stats.roster_counts(testdata.members(spark, d)))
+on_trades("filing_counts", "SELECT filing_id, count(*) AS n FROM feed GROUP BY filing_id")(stats.filing_counts)
+
+# Feed -------------------------------------------------------------------------------------------
+
+on_trades("feed_recent", "SELECT id, sort_date, row_number() OVER (ORDER BY sort_date DESC, id DESC) AS rank FROM feed QUALIFY rank <= 400")(lambda t: feed.recent(t).select("id", "sort_date", "rank"))
+on_trades("feed_just_disclosed", "SELECT id, disclosed_date, row_number() OVER (ORDER BY disclosed_date DESC, id DESC) AS rank FROM feed QUALIFY rank <= 60")(lambda t: feed.just_disclosed(t).select("id", "disclosed_date", "rank"))
+on_trades("filter_types_owners", "SELECT id FROM feed WHERE tx_type IN ('buy', 'exchange') AND owner IN ('spouse', 'joint')")(lambda t: feed.select(t, types={"buy", "exchange"}, owners={"spouse", "joint"}).select("id"))
+on_both("filter_state_chamber", "SELECT f.id FROM feed f JOIN member m ON m.id = f.member_id WHERE m.state IN ('FRANCE', 'CHINA', 'PERU') AND m.chamber IN ('senate', 'executive')")(lambda t, m: feed.select(t, m, states={"FRANCE", "CHINA", "PERU"}, chambers={"senate", "executive"}).select("id"))
+on_trades("filter_options", "SELECT id FROM feed WHERE asset_type = 'OP'")(lambda t: feed.select(t, options_only=True).select("id"))
+on_trades("filter_late", "SELECT id, lag AS lag_days FROM feed WHERE NOT impossible AND lag > 45")(lambda t: feed.with_dates(feed.select(t, late_only=True)).select("id", F.col("lag_days").cast("long")))
+on_trades("filter_min_bracket", "SELECT id FROM feed WHERE amount_kind = 'atLeast' OR low_cents >= 500000100")(lambda t: feed.select(t, min_bracket="5M").select("id"))
+on_trades("filter_search", "SELECT id FROM feed WHERE contains(lower(member_name || ' ' || coalesce(ticker, '') || ' ' || asset), 'br1')")(lambda t: feed.select(t, search="  BR1 ").select("id"))
+on_trades("by_member", "SELECT id FROM feed WHERE member_id = 'C1'")(lambda t: t.filter("member_id = 'C1'").select("id"))
+on_trades("by_filing", "SELECT id FROM feed WHERE filing_id = '32'")(lambda t: t.filter("filing_id = '32'").select("id"))
+on_trades("by_ticker", "SELECT id FROM feed WHERE symbol = 'BR11ST'")(lambda t: t.filter(F.upper("ticker") == "BR11ST").select("id"))
+
+_WATCH = "tickers(ticker) AS (VALUES ('br11ST'), ('BR23PR')), follows(member_id) AS (VALUES ('C1'), ('C5'))"
+
+
+def _watched(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([("br11ST",), ("BR23PR",)], "ticker string"), spark.createDataFrame([("C1",), ("C5",)], "member_id string")
+
+
+@query("watchlist_matches", f"WITH {_WATCH} SELECT id FROM feed WHERE symbol IN (SELECT upper(ticker) FROM tickers) OR member_id IN (SELECT member_id FROM follows)")
+def _watchlist(spark, d):
+    return feed.relevant(testdata.trades(spark, d), *_watched(spark)).select("id")
+
+
+@query("unseen_matches", f"WITH {_WATCH} SELECT id FROM feed WHERE (symbol IN (SELECT upper(ticker) FROM tickers) OR member_id IN (SELECT member_id FROM follows)) AND NOT is_amendment")
+def _unseen(spark, d):
+    t = testdata.trades(spark, d)
+    seen = t.filter("is_amendment").select(F.col("id").alias("row_id"))
+    return feed.unseen(t, *_watched(spark), seen).select("id")
+
+
+@query(
+    "new_filings",
+    """WITH f AS (SELECT filing_id, max(disclosed_date) AS filed_on FROM feed GROUP BY filing_id), known AS (SELECT DISTINCT filing_id FROM feed WHERE is_amendment),
+    fresh AS (SELECT * FROM f WHERE filing_id NOT IN (SELECT filing_id FROM known))
+    SELECT filing_id, filed_on, row_number() OVER (ORDER BY filed_on DESC NULLS LAST, filing_id DESC) AS rank, (SELECT count(*) FROM fresh) > 60 AS more_remaining FROM fresh QUALIFY rank <= 60""",
+)
+def _new_filings(spark, d):
+    t = testdata.trades(spark, d)
+    return feed.new_filings(t.groupBy("filing_id").agg(F.max("disclosed_date").alias("filed_on")), t.filter("is_amendment").select("filing_id").distinct())
+
+
+query("member_name_match", "SELECT 'C7' AS id, name, 1 AS tier FROM member WHERE id = 'C7'")(lambda spark, d: feed.name_match(testdata.members(spark, d), " customer#000000007 "))
+on_both("member_search", "SELECT id, name FROM member WHERE contains(lower(name), '00001') OR lower(state) = '00001'")(lambda t, m: m.filter(F.lower("name").contains("00001") | (F.lower("state") == "00001")).select("id", "name"))
+
+_FP = "coalesce(ticker, asset) || '|' || coalesce(asset_type, '') || '|' || tx_type || '|' || CAST(tx_date AS VARCHAR) || '|' || low_cents || '|' || high_cents || '|' || owner"
+on_trades("dedupe", f"SELECT id FROM feed QUALIFY row_number() OVER (PARTITION BY member_id, {_FP} ORDER BY id) = 1")(lambda t: feed.deduplicate(t, [F.col("id")]).select("id"))
+on_trades("fingerprints", f"SELECT id, {_FP} AS fingerprint FROM feed")(lambda t: t.select("id", ids.fingerprint().alias("fingerprint")))
+on_trades(
+    "merge_feed",
+    f"WITH o AS (SELECT *, CASE WHEN hash_part = 0 THEN 'new' ELSE 'seed' END AS origin FROM (SELECT *, CAST(filing_id AS BIGINT) % 4 AS hash_part FROM feed)) SELECT id, origin FROM o QUALIFY row_number() OVER (PARTITION BY member_id, {_FP} ORDER BY origin DESC, id) = 1",
+)(lambda t: feed.merge(t.filter("cast(filing_id as bigint) % 4 <> 0"), t.filter("cast(filing_id as bigint) % 4 = 0")).select("id", "origin"))
+query("members_upsert", "SELECT id, CASE WHEN c_custkey % 3 = 0 THEN name ELSE name || ' (new)' END AS name FROM member")(
+    lambda spark, d: feed.upsert_members(
+        (m := testdata.members(spark, d).select("id", "name")).filter("cast(substring(id, 2) as bigint) % 3 = 0"), m.withColumn("name", F.concat("name", F.lit(" (new)")))
+    )
+)
+on_trades(
+    "possible_duplicate_amendments",
+    """SELECT id FROM feed QUALIFY count(*) OVER w > 1 AND bool_or(is_amendment) OVER w WINDOW w AS (PARTITION BY member_id, upper(coalesce(ticker, asset)), coalesce(asset_type, ''), tx_type, owner, tx_date)""".replace(
+        "SELECT id FROM feed QUALIFY count(*) OVER w > 1 AND bool_or(is_amendment) OVER w WINDOW w AS (", "SELECT id FROM (SELECT id, count(*) OVER w AS n, max(CAST(is_amendment AS INTEGER)) OVER w AS a FROM feed WINDOW w AS ("
+    )
+    + ") WHERE n > 1 AND a = 1",
+)(lambda t: feed.possible_duplicate_amendments(t).select("id"))
+
+_DOLLARS = "'$' || format('{{:,}}', CAST({0} / 100 AS BIGINT))"
+_LABEL = f"CASE amount_kind WHEN 'range' THEN {_DOLLARS.format('low_cents')} || ' – ' || {_DOLLARS.format('high_cents')} WHEN 'atLeast' THEN {_DOLLARS.format('low_cents')} || '+' ELSE 'Amount not readable' END"
+on_both(
+    "csv_projection",
+    f"""SELECT f.member_name, coalesce(m.chamber, '') AS chamber, coalesce(m.party, '') AS party, f.owner, f.tx_type AS transaction_type, f.asset, coalesce(f.ticker, '') AS ticker, coalesce(f.asset_type, '') AS asset_type,
+      CAST(f.tx_date AS VARCHAR) AS transaction_date, CAST(f.disclosed_date AS VARCHAR) AS disclosed_date, f.lag AS disclosure_lag_days, f.impossible AS has_impossible_date, {_LABEL} AS amount_label, f.low_cents AS amount_low_cents, f.high_cents AS amount_high_cents,
+      f.is_amendment, coalesce(f.warning, '') AS warnings, f.filing_id, 'https://filings.example/' || f.filing_id || '.pdf' AS source_url FROM feed f LEFT JOIN member m ON m.id = f.member_id""",
+)(feed.csv_projection)
+on_trades(
+    "derived_columns",
+    """SELECT id, lag AS lag_days, impossible, NOT impossible AND lag > 45 AS late, coalesce(asset_type = 'OP', false) AS is_option, sort_date,
+      trim(regexp_replace(regexp_replace(asset, '\\s*\\([A-Za-z0-9.\\-/]+\\)\\s*\\[[A-Za-z]{2,4}\\]\\s*$', ''), '\\s*\\[[A-Za-z]{2,4}\\]\\s*$', '')) AS clean_asset,
+      coalesce(ticker, substr(trim(regexp_replace(asset, '\\s*\\[[A-Za-z]{2,4}\\]\\s*$', '')), 1, 18)) AS symbol,
+      CASE WHEN impossible THEN 'dates inconsistent' WHEN lag = 0 THEN 'disclosed the same day' WHEN lag = 1 THEN 'disclosed 1 day later' ELSE 'disclosed ' || lag || ' days later' END AS gap FROM feed""",
+)(lambda t: t.select("id", C.lag_days().cast("long").alias("lag_days"), C.impossible().alias("impossible"), C.late().alias("late"), C.is_option().alias("is_option"), C.sort_date().alias("sort_date"), C.clean_asset().alias("clean_asset"), C.symbol().alias("symbol"), C.gap_phrase().alias("gap")))
+on_trades("stable_ids")(lambda t: ids.stable_ids(t.withColumnRenamed("id", "row_id"), "row_id").select("row_id", "id"))
+
+# Rules ------------------------------------------------------------------------------------------
+
+on_trades("top_bracket", "SELECT id, low_cents FROM feed WHERE low_cents >= 500000000")(lambda t: rules.top_bracket(t).select("id", "low_cents"))
+on_trades("filed_late", "SELECT id, lag AS lag_days FROM feed WHERE NOT impossible AND lag > 45 AND lag <= 1200 QUALIFY row_number() OVER (PARTITION BY member_id ORDER BY lag DESC, disclosed_date DESC, id) = 1")(lambda t: rules.filed_late(t).select("id", F.col("lag_days").cast("long")))
+on_trades(
+    "new_position",
+    """WITH a AS (SELECT max(disclosed_date) AS anchor FROM feed), c AS (SELECT *, count(*) OVER (PARTITION BY member_id) AS n FROM feed),
+    f AS (SELECT * FROM c WHERE symbol IS NOT NULL QUALIFY row_number() OVER (PARTITION BY member_id, symbol ORDER BY tx_date, disclosed_date, id) = 1)
+    SELECT id FROM f, a WHERE date_diff('day', disclosed_date, anchor) BETWEEN 0 AND 30 AND n >= 2 QUALIFY row_number() OVER (PARTITION BY member_id ORDER BY disclosed_date DESC, id) = 1""",
+)(lambda t: rules.new_position(t).select("id"))
+_OFF = """WITH c AS (SELECT *, count(*) OVER w AS n, avg(CASE WHEN asset_type IN ('MF', 'EF') OR ticker IS NULL THEN 1.0 ELSE 0.0 END) OVER w AS funds FROM feed WINDOW w AS (PARTITION BY member_id))
+    SELECT id FROM c WHERE n >= 5 AND funds >= 0.8 AND ticker IS NOT NULL AND asset_type IN ('ST', 'OP') QUALIFY row_number() OVER (PARTITION BY member_id ORDER BY disclosed_date DESC, id) = 1"""
+on_trades("off_pattern", _OFF)(lambda t: rules.off_pattern(t).select("id"))
+on_trades("filter_off_pattern", _OFF)(lambda t: feed.select(t, ids_in=rules.off_pattern(t)).select("id"))
+on_trades("rare_trader", "SELECT id, count(*) OVER (PARTITION BY member_id) AS member_rows FROM feed QUALIFY member_rows <= 3")(lambda t: rules.rare_trader(t).select("id", "member_rows"))
+on_trades("member_largest", "WITH b AS (SELECT * FROM feed QUALIFY row_number() OVER (PARTITION BY member_id ORDER BY low_cents DESC, amount_kind = 'atLeast' DESC, disclosed_date DESC, id) = 1) SELECT id, low_cents FROM b WHERE low_cents >= 25000000")(lambda t: rules.member_largest(t).select("id", "low_cents"))
+on_trades(
+    "member_volume_trend",
+    """WITH a AS (SELECT max(disclosed_date) AS anchor FROM feed), t AS (SELECT *, date_diff('day', disclosed_date, anchor) <= 30 AS recent_row FROM feed, a),
+    g AS (SELECT member_id, count(*) FILTER (WHERE recent_row) AS recent, count(*) FILTER (WHERE NOT recent_row) AS baseline, date_diff('day', min(disclosed_date) FILTER (WHERE NOT recent_row), max(anchor)) - 30 AS days FROM t GROUP BY member_id),
+    m AS (SELECT *, recent / (baseline / greatest(days, 30) * 30) AS multiple FROM g WHERE recent >= 4 AND baseline > 0),
+    l AS (SELECT * FROM t WHERE recent_row QUALIFY row_number() OVER (PARTITION BY member_id ORDER BY disclosed_date DESC, sort_date DESC, id DESC) = 1)
+    SELECT l.id, m.recent, round(m.multiple, 1) AS multiple FROM m JOIN l USING (member_id) WHERE multiple >= 3.0""",
+)(lambda t: rules.member_volume_trend(t).select("id", "recent", "multiple"))
+
+_CLUSTER = """l AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY {keys}, member_id ORDER BY disclosed_date DESC, sort_date DESC, id DESC) = 1),
+    w AS (SELECT *, count(*) OVER f AS members, date_diff('day', min(disclosed_date) OVER f, disclosed_date) AS span_days{more} FROM l WINDOW f AS (PARTITION BY {keys} ORDER BY disclosed_date RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW))
+    SELECT {keys}, id, members, span_days FROM w WHERE members >= {least}{also} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY members DESC, span_days, disclosed_date, id DESC) = 1"""
+on_trades("ticker_cluster", "WITH src AS (SELECT * FROM feed WHERE symbol IS NOT NULL), " + _CLUSTER.format(keys="symbol", least=3, more="", also=""))(lambda t: rules.ticker_cluster(t).select("symbol", "id", "members", "span_days"))
+on_both(
+    "cross_branch_ticker",
+    "WITH src AS (SELECT f.*, m.chamber = 'executive' AS ex FROM feed f JOIN member m ON m.id = f.member_id WHERE symbol IS NOT NULL), "
+    + _CLUSTER.format(keys="symbol", least=2, more=", max(CAST(ex AS INTEGER)) OVER f AS some_ex, min(CAST(ex AS INTEGER)) OVER f AS all_ex", also=" AND some_ex = 1 AND all_ex = 0"),
+)(lambda t, m: rules.cross_branch(t, m).select("symbol", "id", "members", "span_days"))
+on_both("committee_cluster", "WITH src AS (SELECT f.*, c.committee FROM feed f JOIN committee c ON c.member_id = f.member_id WHERE symbol IS NOT NULL), " + _CLUSTER.format(keys="symbol, committee", least=2, more="", also=""))(
+    lambda t, m: rules.committee_cluster(t, m).select("symbol", "committee", "id", "members", "span_days")
+)
+on_trades(
+    "owner_pattern",
+    """WITH g AS (SELECT member_id, count(*) AS rows, count(*) FILTER (WHERE owner IN ('spouse', 'dependent')) AS family FROM feed GROUP BY member_id),
+    l AS (SELECT * FROM feed WHERE owner IN ('spouse', 'dependent') QUALIFY row_number() OVER (PARTITION BY member_id ORDER BY disclosed_date DESC, sort_date DESC, id DESC) = 1)
+    SELECT l.id, g.rows, CAST(round(100.0 * family / rows) AS BIGINT) AS percent FROM g JOIN l USING (member_id) WHERE rows >= 5 AND family / rows >= 0.8""",
+)(lambda t: rules.owner_pattern(t).select("id", "rows", "percent"))
+on_trades(
+    "headline",
+    """WITH x AS (SELECT count(*) FILTER (WHERE NOT impossible AND lag > 365 AND lag <= 1200) AS late, count(*) FILTER (WHERE low_cents >= 500000000) AS big, max(low_cents) AS largest FROM feed),
+    t AS (SELECT symbol, count(DISTINCT member_id) AS m FROM feed WHERE symbol IS NOT NULL GROUP BY symbol HAVING m >= 3 ORDER BY m DESC, symbol LIMIT 1),
+    facts AS (SELECT 1 AS k, 'year_late' AS kind, late AS n, NULL AS label FROM x WHERE late >= 3 UNION ALL SELECT 2, CASE WHEN big >= 3 THEN 'top_brackets' ELSE 'largest_bracket' END, CASE WHEN big >= 3 THEN big ELSE largest END, NULL FROM x WHERE big > 0
+      UNION ALL SELECT 3, 'widely_held', m, symbol FROM t UNION ALL SELECT 4, 'snapshot', (SELECT count(*) FROM feed), (SELECT min(year(tx_date)) || '-' || max(year(tx_date)) FROM feed)),
+    r AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM facts)
+    SELECT a.kind AS lead, CAST(a.n AS BIGINT) AS lead_n, a.label AS lead_label, b.kind AS supporting, CAST(b.n AS BIGINT) AS supporting_n, b.label AS supporting_label FROM (SELECT * FROM r WHERE i = 1) a LEFT JOIN (SELECT * FROM r WHERE i = 2 AND k < 4) b ON true""",
+)(rules.headline)
+
+# Text and other tables --------------------------------------------------------------------------
+
+
+@query(
+    "parse_amount",
+    """SELECT event_id, kind, low_cents, high_cents FROM (SELECT event_id, event_id % 6 AS k, event_id * 100 + 100100 AS v FROM events), LATERAL (SELECT
+      CASE k WHEN 0 THEN 'range' WHEN 1 THEN 'atLeast' WHEN 2 THEN 'exact' WHEN 3 THEN 'none' WHEN 4 THEN 'unknown' ELSE 'atLeast' END AS kind,
+      CAST(CASE WHEN k IN (3, 4) THEN 0 ELSE v END AS BIGINT) AS low_cents, CAST(CASE WHEN k IN (3, 4) THEN 0 WHEN k = 0 THEN v + 500000 ELSE v END AS BIGINT) AS high_cents)""",
+    cte=False,
+)
+def _parse_amount(spark, d):
+    k, v = F.col("event_id") % 6, F.format_number(F.col("event_id") + 1001, 0)
+    up = F.format_number(F.col("event_id") + 6001, 0)
+    text = F.when(k == 0, F.concat(F.lit("$"), v, F.lit(" - $"), up)).when(k == 1, F.concat(F.lit("Over $"), v)).when(k == 2, F.concat(F.lit("$"), v, F.lit(".00"))).when(k == 3, F.lit("None (or less than $201)")).when(k == 4, F.lit("illegible")).otherwise(F.concat(F.lit("$"), v, F.lit(" +")))
+    a = amounts.parse(text)
+    return testdata.read(spark, d, "events").select("event_id", a["kind"].alias("kind"), a["low_cents"].alias("low_cents"), a["high_cents"].alias("high_cents"))
+
+
+query("html_links", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages", cte=False)(
+    lambda spark, d: testdata.read(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+)
+query("json_props", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events", cte=False)(lambda spark, d: testdata.read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")))
+query("folded_names", "SELECT id, trim(regexp_replace(lower(name), '[^a-z ]', '', 'g')) AS folded, 'x-' || trim(regexp_replace(lower(name), '[^a-z ]', '', 'g')) AS slug FROM member")(
+    lambda spark, d: testdata.members(spark, d).select("id", names.folded(F.col("name")).alias("folded"), names.fallback_id(F.col("name")).alias("slug"))
+)
