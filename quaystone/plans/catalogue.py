@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from quaystone.functions import amounts, ids, names
 from quaystone.functions import columns as C
-from quaystone.operators import feed, rules, stats
+from quaystone.operators import feed, rules, stats, watch
+from quaystone.plans import sinks
 from quaystone.sources import testdata
 from quaystone.sources.testdata import CTE
+from quaystone.streaming import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -252,3 +254,23 @@ query("json_props", "SELECT event_id, json_extract_string(props, '$.k') AS k FRO
 query("folded_names", "SELECT id, trim(regexp_replace(lower(name), '[^a-z ]', '', 'g')) AS folded, 'x-' || trim(regexp_replace(lower(name), '[^a-z ]', '', 'g')) AS slug FROM member")(
     lambda spark, d: testdata.members(spark, d).select("id", names.folded(F.col("name")).alias("folded"), names.fallback_id(F.col("name")).alias("slug"))
 )
+
+
+# Watching, sinks, increments ----------------------------------------------------------------------
+
+@query(
+    "alert_digest",
+    f"""WITH {_WATCH}, u AS (SELECT * FROM feed WHERE symbol IN (SELECT upper(ticker) FROM tickers) OR member_id IN (SELECT member_id FROM follows)),
+    s AS (SELECT list_sort(list_distinct(list(symbol))) AS names, count(*) AS n FROM u)
+    SELECT n, array_to_string(names[1:4], ', ') AS names, CAST(greatest(len(names) - 4, 0) AS BIGINT) AS more, n || ' new rows: ' || array_to_string(names[1:4], ', ') || CASE WHEN len(names) > 4 THEN ' and ' || (len(names) - 4) || ' more' ELSE '' END AS text FROM s""",
+)
+def _alert(spark, d):
+    return watch.alert(feed.relevant(testdata.trades(spark, d), *_watched(spark)))
+
+
+on_both("provenance", "SELECT (SELECT string_agg(chamber, ', ' ORDER BY chamber) FROM (SELECT DISTINCT m.chamber FROM feed f JOIN member m ON m.id = f.member_id)) AS chambers, (SELECT string_agg(CAST(y AS VARCHAR), ', ' ORDER BY y) FROM (SELECT DISTINCT year(tx_date) AS y FROM feed)) AS years")(sinks.provenance)
+query("incremental_events", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL", cte=False)(lambda spark, d: refresh.event_counts(testdata.read(spark, d, "events")))
+on_both("display_columns", """SELECT f.id, CASE tx_type WHEN 'buy' THEN 'bought' WHEN 'sell' THEN 'sold' WHEN 'partial_sell' THEN 'sold part of' ELSE 'exchanged' END AS verb,
+    CASE m.party WHEN 'democrat' THEN 'D' WHEN 'republican' THEN 'R' WHEN 'independent' THEN 'I' END AS party_letter, strftime(disclosed_date, '%Y') AS label_year FROM feed f LEFT JOIN member m ON m.id = f.member_id""")(
+    lambda t, m: t.join(F.broadcast(m.select(F.col("id").alias("_m"), "party")), F.col("member_id") == F.col("_m"), "left").select("id", C.named(F.col("tx_type"), C.VERBS).alias("verb"), F.when(F.col("party") != "unknown", F.upper(F.substring("party", 1, 1))).alias("party_letter"), F.date_format("disclosed_date", "yyyy").alias("label_year"))
+)
