@@ -118,23 +118,15 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _pack(w: W.Words, start: np.ndarray, n_words: np.ndarray) -> bytes:
-    """Words of each super-k-mer, one space between words and a line feed after each."""
-    data = w.buf.tobytes()
-    ws, we, first = w.start.tolist(), w.end.tolist(), start.tolist()
-    out = []
-    for s, n in zip(first, n_words.tolist(), strict=True):
-        piece = data[ws[s] : we[s + n - 1]]
-        if len(piece) != sum(we[s : s + n]) - sum(ws[s : s + n]) + n - 1 or not piece.isascii() or b"\t" in piece or b"\n" in piece or b"\r" in piece or b"\x0b" in piece or b"\x0c" in piece:
-            piece = b" ".join([data[a:b] for a, b in zip(ws[s : s + n], we[s : s + n], strict=True)])
-        out.append(piece)
-    return b"\n".join(out)
-
-
-def _blob(w: W.Words, start: np.ndarray, n_words: np.ndarray, row: np.ndarray, word: np.ndarray, ask: np.ndarray) -> bytes:
+def _pack(data: bytes, begin: np.ndarray, end: np.ndarray) -> bytes:
+    """The bytes of each super-k-mer as they stand, one line feed between them: n_words says where the next begins."""
+    return b"\n".join([data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+
+
+def _blob(w: W.Words, data: bytes, start: np.ndarray, n_words: np.ndarray, row: np.ndarray, word: np.ndarray, ask: np.ndarray) -> bytes:
     """Super-k-mers of one bucket: counts, then rows, first words, whether an answer is wanted, and the packed words."""
     head = struct.pack("<q", len(start))
-    return zstandard.compress(head + n_words.astype("<i4").tobytes() + np.diff(row, prepend=0).astype("<i8").tobytes() + word.astype("<i4").tobytes() + ask.astype("<i1").tobytes() + _pack(w, start, n_words), 3)
+    return zstandard.compress(head + n_words.astype("<i4").tobytes() + np.diff(row, prepend=0).astype("<i8").tobytes() + word.astype("<i4").tobytes() + ask.astype("<i1").tobytes() + _pack(data, w.start[start], w.end[start + n_words - 1]), 3)
 
 
 def _super_kmers(k: int, m: int, frequent: np.ndarray, n_buckets: int):
@@ -170,12 +162,12 @@ def _super_kmers(k: int, m: int, frequent: np.ndarray, n_buckets: int):
         bucket = (W.mix(grams[place[begin]] ^ W.U64(0x5851F42D4C957F2D)) % W.U64(n_buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
-        ids, blobs = [], []
+        ids, blobs, data = [], [], w.buf.tobytes()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             i = by[a:b]
             s, t = begin[i], text[begin[i]]
             ids.append(int(bucket[i[0]]))
-            blobs.append(_blob(w, s, end[i] - s + k - 1, rows[t], s - w.first[t], ~again[s]))
+            blobs.append(_blob(w, data, s, end[i] - s + k - 1, rows[t], s - w.first[t], ~again[s]))
         known_from, known_to = _runs(again)
         t = text[known_from]
         # Runs of windows may touch across texts: cut them there.
