@@ -2,7 +2,7 @@
 
 For each host up to `EXEMPLARS` pages are parsed to DOM trees and aligned by simple tree matching
 (a dynamic programme over the children of nodes with equal labels; runs of siblings with one label
-are one slot). Text that stands at an aligned place in all of them alike is template; where texts
+are one slot). A block of text that stands at an aligned place in all of them alike is template; where texts
 vary is content, and the deepest node that holds nearly all varying text is the host's content slot.
 The wrapper of a host is that slot and its template texts. Extraction takes the slot of each page,
 or its article, without template texts and without parts whose element or class names a role other
@@ -97,6 +97,9 @@ class Page:
                 self._close(stack, SAME[tag])
             elif tag == "body":
                 self._close(stack, {"head"}, over=True)
+            if tag == "br":  # parts words, not blocks
+                events.append((stack[-1], " "))
+                continue
             if tag not in INLINE:
                 events.append((stack[-1], None))
             if tag in VOID:
@@ -153,6 +156,30 @@ class Page:
             found.append(f"{found[parent]}/{label}" if parent >= 0 else "")
         return found
 
+    def block_of(self) -> list[int]:
+        """Each node's nearest ancestor (or self) that is no inline element."""
+        found: list[int] = []
+        for i, (parent, tag, _, _) in enumerate(self.nodes):
+            found.append(found[parent] if tag in INLINE and parent >= 0 else i)
+        return found
+
+    def blocks(self, use: list[bool], block_of: list[int]) -> Iterator[tuple[int, str]]:
+        """(node, text) of the blocks whose texts are in nodes to use, in page order."""
+        held: list[str] = []
+        at = 0
+        for node, text in self.events:
+            if text is None:
+                if held:
+                    if whole := _clean("".join(held)):
+                        yield at, whole
+                    held = []
+            elif use[node]:
+                if not held:
+                    at = block_of[node]
+                held.append(text)
+        if held and (whole := _clean("".join(held))):
+            yield at, whole
+
 
 def _clean(text: str) -> str:
     return " ".join((entities.unescape(text) if "&" in text else text).split())
@@ -163,17 +190,17 @@ def _clean(text: str) -> str:
 
 def tree(page: Page) -> tuple:
     """(label, own text, child slots) of the whole page without the parts that are outside; a slot joins a run of siblings with one label."""
-    out = page.outside()
+    out, block_of = page.outside(), page.block_of()
     texts: dict[int, list[str]] = {}
-    for node, text in page.events:
-        if text is not None and not out[node] and text.strip():
-            texts.setdefault(node, []).append(_clean(text))
+    for node, text in page.blocks([not x for x in out], block_of):
+        texts.setdefault(node, []).append(text)
     slots: dict[int, list[list]] = {}
     depth = [0] * len(page.nodes)
     for i, (parent, _, label, _) in enumerate(page.nodes):
-        if i and not out[i]:
-            depth[i] = depth[parent] + 1
-            runs = slots.setdefault(parent, [])
+        if i and not out[i] and block_of[i] == i:
+            above = block_of[parent]
+            depth[i] = depth[above] + 1
+            runs = slots.setdefault(above, [])
             if runs and runs[-1][0] == label:
                 runs[-1][1].append(i)
             else:
@@ -218,7 +245,7 @@ def match(a: tuple, b: tuple) -> tuple[int, list]:
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: `slot` (path of the content slot) and `template` (path, text) pairs."""
+    """The wrapper of pages of one host: `slot` (path of the content slot) and `template` (path and text of whole blocks)."""
     trees = []
     for page in pages:
         t = tree(Page(page))
@@ -267,28 +294,14 @@ def extract(source: str, wrapper: dict) -> str:
     slot = wrapper.get("slot")
     roots = [i for i, p in enumerate(paths) if p == slot and not out[i]] if slot else []
     inside = [False] * len(page.nodes)
-
-    def within(starts: list[int]) -> list[bool]:
-        flags = [False] * len(page.nodes)
-        for i in starts:
-            flags[i] = True
-        for i, (parent, _, _, _) in enumerate(page.nodes):
-            if parent >= 0 and flags[parent]:
-                flags[i] = True
-        return flags
-
-    inside = within(articles or roots or [0])
+    for i in articles or roots or [0]:
+        inside[i] = True
+    for i, (parent, _, _, _) in enumerate(page.nodes):
+        if parent >= 0 and inside[parent]:
+            inside[i] = True
     template = {(p, t) for p, t in wrapper.get("template", ())}
-    blocks, held = [], []
-    for node, text in page.events:
-        if text is None:
-            if held:
-                blocks.append("".join(held))
-                held = []
-        elif inside[node] and not out[node] and not (template and (paths[node], _clean(text)) in template):
-            held.append(text)
-    blocks.append("".join(held))
-    return " ".join(x for x in map(_clean, blocks) if x)
+    blocks = page.blocks([x and not y for x, y in zip(inside, out, strict=True)], page.block_of())
+    return " ".join(text for node, text in blocks if (paths[node], text) not in template)
 
 
 def host() -> F.Column:
