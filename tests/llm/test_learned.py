@@ -1,0 +1,201 @@
+"""Trained operators by held-out accuracy, extraction by constructed pages, and the pipeline against its parts."""
+
+import math
+import re
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from quaystone.llm import op02_quality as op2
+from quaystone.llm import op04_html as op4
+from quaystone.llm import op08_secrets as op8
+
+SF = "/root/testdata/sf0.01"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def read(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+# 2 ------------------------------------------------------------------------------------------------
+
+
+def test_sum_of_squares_identity():
+    rng = np.random.default_rng(1)
+    size = op2.BUCKETS + op2.N_STATS * op2.LEVELS
+    m = op2.Machine(0.3, rng.normal(size=size), rng.normal(size=(size, 4)))
+    ptr, idx, val = op2.features(pa.array(["some words of a text, some", "", None, "UP! UP!"]))
+    for i, raw in enumerate(m.raw(ptr, idx, val)):
+        a, b = ptr[i], ptr[i + 1]
+        pairs = sum(m.factors[idx[j]] @ m.factors[idx[k]] * val[j] * val[k] for j in range(a, b) for k in range(j + 1, b))
+        assert math.isclose(raw, 0.3 + m.linear[idx[a:b]] @ val[a:b] + pairs, rel_tol=1e-9)
+
+
+def test_quality_held_out(spark):
+    got = {r.doc_id: r for r in op2.op2_quality(spark, SF).collect()}
+    labels = [(r.doc_id, r.quality) for r in read(spark, "labels").collect()]
+    held = [(got[d].score, q) for d, q in labels if got[d].held_out]
+    good, bad = [s for s, q in held if q], [s for s, q in held if not q]
+    assert len(got) == 1000 and len(held) > 50
+    assert sum(a > b for a in good for b in bad) / len(good) / len(bad) > 0.97
+    assert sum(got[d].predicted == q for d, q in labels if got[d].held_out) / len(held) > 0.95
+
+
+def test_quality_awkward(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "w " * 50_000, "x"), (4, "a\x00b", "x"), (4, "a\x00b", "x")], "doc_id bigint, text string, score string")
+    labels = spark.createDataFrame([(4, 1, 0), (4, None, 0), (None, 1, 0), (1, 1, 1)], "doc_id bigint, quality int, toxic int")
+    for known, want in ((labels.limit(0), 0.5), (labels, None)):
+        rows = op2.score(docs, op2.train(docs, known)).collect()
+        assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows) and rows[0].score == rows[1].score
+        assert want is None or {round(r.score, 6) for r in rows} == {want}
+    assert op2.score(docs.limit(0), op2.train(docs, labels)).count() == 0
+
+
+# 8 ------------------------------------------------------------------------------------------------
+
+
+def test_forest_held_out(spark):
+    common = op8.trigram_table(read(spark, "documents"))
+    forest = op8.train(op8.example_findings(), common)
+    other = op8.example_findings(40, seed=99)
+    x = np.array([op8.describe(c.encode(), b.encode(), a.encode(), common) for b, c, a, _ in other])
+    y = np.array([f[3] for f in other])
+    assert ((forest.score(x) >= 0.5) == y).mean() > 0.97
+
+
+def test_secrets_planted(spark):
+    docs = read(spark, "documents")
+    pattern = re.compile(r'AKIA[A-Z0-9]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = ")[0-9a-f]{40}')
+    want = {(r.doc_id, m.start(), m.end()) for r in docs.collect() for m in pattern.finditer(r.text)}
+    rows = op8.op8_secrets(spark, SF).collect()
+    found = {(r.doc_id, r.from_char, r.to_char) for r in rows if r.is_secret}
+    assert want and want <= found and len(found - want) <= 0.1 * len(want) + 2
+    clean = {r.doc_id: r for r in op8.redact(docs).collect()}
+    for r in docs.collect():
+        assert not pattern.search(clean[r.doc_id].text) and clean[r.doc_id].n_chars == len(clean[r.doc_id].text)
+        if not any(d == r.doc_id for d, _, _ in found):
+            assert clean[r.doc_id].text == r.text
+
+
+def test_secrets_awkward(spark):
+    text = 'é password=0123456789abcdef01 ü token = "' + "0a" * 20 + '"' + " w" * 30_000
+    docs = spark.createDataFrame([(1, None, 7, "c"), (2, "", 7, "c"), (None, text, 7, "c"), (3, text, 7, "c"), (3, text, 7, "c")], "doc_id bigint, text string, n_chars int, score string")
+    rows = op8.scan(docs).collect()
+    assert len(rows) == 6 and {r.candidate for r in rows if r.is_secret} == {"0123456789abcdef01", "0a" * 20}
+    assert all(text[r.from_char : r.to_char] == r.candidate for r in rows)
+    out = op8.redact(docs).collect()
+    assert out[0].text is None and out[0].n_chars == 7 and out[4].text.startswith('é password=<secret> ü token = "<secret>" w')
+    assert op8.redact(docs.limit(0)).count() == 0 and op8.scan(docs.limit(0)).count() == 0
+
+
+# 4 ------------------------------------------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body class="menu">
+<header><h1>Site</h1></header><nav><ul><li>Home<li>About</ul></nav><div class="cookie-notice">We use cookies</div>
+<{tag} {attrs}><h1>Title {i}</h1><p>First <b>bo</b>ld {i} &lt;tag&gt; &copy;<br>next<p>Second  {i}
+line<div class="ad">Buy now</div><p class="tagline">Share this story with friends</p><form><input>Name</form><!-- hidden --></{tag}>
+<section id="comments"><article class="comment"><p>Nice one {i}</article></section><aside>Side</aside><footer>End {i}</footer></body></html>"""
+
+
+def test_extract_article():
+    text = op4.extract(PAGE.format(tag="article", attrs="", i=1), {})
+    assert text == "Title 1 First bold 1 <tag> © next Second 1 line Share this story with friends"
+    assert op4.extract("", {}) == "" and op4.extract("plain &amp cut &am", {}) == "plain & cut &am" and op4.extract("<p>a<p title='x>y'>b <", {}) == "a b <"
+    assert op4.extract("<article><p>cut off <b>he<script>x", {}) == "cut off he"
+
+
+def test_wrapper_induction():
+    pages = [PAGE.format(tag="div", attrs='id="content"', i=i) for i in range(4)]
+    wrapper = op4.induce(pages)
+    assert wrapper["slot"].endswith("div#content")
+    assert [t for _, t in wrapper["template"]] == ["Share this story with friends"]
+    assert op4.extract(pages[2], wrapper) == "Title 2 First bold 2 <tag> © next Second 2 line"
+    assert op4.induce(pages[:1] * 3) == {}
+
+
+def test_simple_tree_matching():
+    t = lambda s: op4.tree(op4.Page(s))
+    assert op4.match(t("<div><p>a</p><ul></ul></div>"), t("<div><ul></ul><p>b</p></div>"))[0] == 3
+    assert op4.match(t("<div><p>a</p><ul></ul></div>"), t("<div><p>b</p><h1>x</h1><ul></ul></div>"))[0] == 4
+
+
+def test_pages(spark):
+    import html
+
+    def plain(source):
+        body = source.split("<article>", 1)[1].split("</article>")[0]
+        body = re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body))
+        return " ".join(html.unescape(re.sub(r"<[^>]*$", "", body)).split())
+
+    got = {r.page_id: r for r in op4.op4_html(spark, SF).collect()}
+    for r in read(spark, "pages").collect():
+        assert got[r.page_id].text == plain(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_pages_awkward(spark):
+    rows = [(1, None, None), (2, "http://h/1", ""), (2, "http://h/1", ""), (3, "http://h/2", "<div>" * 3000 + "deep"), (4, "nonsense", "<p>x" * 20_000)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, text string")
+    got = op4.extract_pages(pages).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (2, 0), (2, 0), (3, 4), (4, 39_999)]
+    assert op4.extract_pages(pages.limit(0)).count() == 0
+
+
+# Pipeline -----------------------------------------------------------------------------------------
+
+
+def test_pipeline(spark):
+    docs = read(spark, "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    out = corpus_pipeline.run(spark, SF).collect()
+    machine = op2.train(docs, read(spark, "labels"))
+    good = {r.doc_id for r in op2.score(docs, machine).collect() if r.score >= 0.3}
+    comps = brute.op9([(d, rows[d].text) for d in good])
+    single = [d for d, (_, c) in comps.items() if d == c]
+    bench = [(r.item_id, r.text) for r in read(spark, "benchmark").collect()]
+    hits = brute.op1([(d, rows[d].text) for d in single], bench)
+    want = {d for d in single if not hits[d][4]}
+    assert {r.doc_id for r in out} == want
+    left = brute.op1([(r.doc_id, r.text) for r in out], bench)
+    assert not any(x[1] for x in left.values())
+    untouched = [r for r in out if not hits[r.doc_id][1] and "<secret>" not in r.text]
+    assert len(untouched) > 0.9 * len(out) and all(r.text == rows[r.doc_id].text for r in untouched)
+    assert not any(re.search(r"AKIA[A-Z0-9]{16}|password=[0-9a-f]{18}", r.text) for r in out)
+    assert {r.epoch for r in out} >= {0}
+
+
+def test_stages_awkward(spark, tmp_path):
+    """Stages on a table of nulls and copies, and on an empty one, keep the columns of documents."""
+    benchmark = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, None, None, None, None), (None, "x y", "en", "s", 3), (2, "same text here", "en", "s", 14), (2, "same text here", "en", "s", 14), (3, "w " * 20_000, "en", "t", 1)], DOCS)
+    for table in (docs, docs.limit(0)):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            at = stage(spark, at, str(tmp_path))
+            if name != "mixing":
+                assert at.columns == docs.columns and at.dtypes == docs.dtypes
+        assert {r.doc_id for r in at.collect()} == {r.doc_id for r in table.collect()}
+
+
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op5_chat_format", "op7_line_rules", "op10_warc"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from quaystone.llm import catalogue
+
+    small = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        c.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    df = catalogue.queries()[name](spark, small)
+    cols = sorted(df.columns)
+    found = c.execute(catalogue.oracle_sql()[name])
+    names = [x[0] for x in found.description]
+    at = [names.index(x) for x in cols]
+    assert sorted(repr(tuple(r[x] for x in cols)) for r in df.collect()) == sorted(repr(tuple(x[i] for i in at)) for x in found.fetchall())
