@@ -16,8 +16,8 @@ def fingerprint() -> Column:
 
 def fnv1a64(text: Column) -> Column:
     """FNV-1a of the UTF-8 bytes, 16 hex digits. Two 32-bit halves, since 64-bit products would overflow."""
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(F.hex(F.encode(text, "UTF-8")), i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
-    codes = F.when(F.octet_length(text) > 0, codes).otherwise(F.array().cast("array<bigint>"))
+    # One pass over the hex digits: a lambda would evaluate hex(text) anew for every byte.
+    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("long"))
     start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("hi"), F.lit(0x84222325).cast("long").alias("lo"))
 
     def step(acc, b):
