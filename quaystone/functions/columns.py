@@ -122,3 +122,34 @@ def us_date(text: Column) -> Column:
     part = lambda i: F.expr("null").cast("int") if i is None else F.nullif(F.regexp_extract(F.trim(text), r"^(\d{1,2})/(\d{1,2})/(\d{1,4})$", i), F.lit("")).cast("int")
     year = F.when(part(3) < 100, part(3) + 2000).otherwise(part(3))
     return F.when((year > 1900) & (year < 2200), lenient_date(year, part(1), part(2)))
+
+
+def verb() -> Column:
+    return named(F.col("tx_type"), VERBS)
+
+
+def is_acquisition() -> Column:
+    return F.col("tx_type") == "buy"
+
+
+def party_letter(column: str = "party") -> Column:
+    return F.when(F.col(column).isin("democrat", "republican", "independent"), F.upper(F.substring(column, 1, 1)))
+
+
+def amount_headline(kind: str = "amount_kind", low: str = "low_cents", high: str = "high_cents") -> Column:
+    """What a bracket says at a glance: its upper end, its floor, or that nothing is known."""
+    k = F.col(kind)
+    return F.when(k == "range", F.concat(F.lit("up to "), dollars(F.col(high)))).when(k == "atLeast", F.concat(F.lit("at least "), dollars(F.col(low)))).when(k == "exact", dollars(F.col(low))).when(k == "none", "under $201").otherwise("unknown")
+
+
+def summary() -> Column:
+    return F.concat_ws(" ", "member_name", verb(), symbol(), F.concat(F.lit("("), amount_headline(), F.lit(");")), gap_phrase())
+
+
+def chamber_tag(chambers: list[str], column: str = "chamber") -> Column:
+    """The chamber in words, if the feed covers more than one."""
+    return named(F.col(column), {"house": "House", "senate": "Senate", "executive": "Executive"}) if len(set(chambers)) > 1 else F.lit(None).cast("string")
+
+
+def is_stale(last_contact: Column, generated: Column, now: Column, days: int = 7) -> Column:
+    return F.datediff(now, F.coalesce(last_contact, generated)) > days

@@ -174,7 +174,12 @@ on_trades(
       coalesce(ticker, substr(trim(regexp_replace(asset, '\\s*\\[[A-Za-z]{2,4}\\]\\s*$', '')), 1, 18)) AS symbol,
       CASE WHEN impossible THEN 'dates inconsistent' WHEN lag = 0 THEN 'disclosed the same day' WHEN lag = 1 THEN 'disclosed 1 day later' ELSE 'disclosed ' || lag || ' days later' END AS gap FROM feed""",
 )(lambda t: t.select("id", C.lag_days().cast("long").alias("lag_days"), C.impossible().alias("impossible"), C.late().alias("late"), C.is_option().alias("is_option"), C.sort_date().alias("sort_date"), C.clean_asset().alias("clean_asset"), C.symbol().alias("symbol"), C.gap_phrase().alias("gap")))
-on_trades("stable_ids")(lambda t: ids.stable_ids(t.withColumnRenamed("id", "row_id"), "row_id").select("row_id", "id"))
+_FNV = "list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(string_split(fp, ''), lambda x: CAST(ascii(x) AS UHUGEINT))), lambda a, b: (xor(a, b) * CAST(1099511628211 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT))"
+on_trades(
+    "stable_ids",
+    f"""WITH p AS (SELECT id AS row_id, filing_id, {_FP} AS fp FROM feed), h AS (SELECT row_id, filing_id, lpad(lower(hex(CAST({_FNV} AS UBIGINT))), 16, '0') AS h FROM p),
+    n AS (SELECT *, row_number() OVER (PARTITION BY filing_id, h ORDER BY row_id) AS n FROM h) SELECT row_id, filing_id || '-' || h || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS id FROM n""",
+)(lambda t: ids.stable_ids(t.withColumnRenamed("id", "row_id"), "row_id").select("row_id", "id"))
 
 # Rules ------------------------------------------------------------------------------------------
 
@@ -274,3 +279,12 @@ on_both("display_columns", """SELECT f.id, CASE tx_type WHEN 'buy' THEN 'bought'
     CASE m.party WHEN 'democrat' THEN 'D' WHEN 'republican' THEN 'R' WHEN 'independent' THEN 'I' END AS party_letter, strftime(disclosed_date, '%Y') AS label_year FROM feed f LEFT JOIN member m ON m.id = f.member_id""")(
     lambda t, m: t.join(F.broadcast(m.select(F.col("id").alias("_m"), "party")), F.col("member_id") == F.col("_m"), "left").select("id", C.named(F.col("tx_type"), C.VERBS).alias("verb"), F.when(F.col("party") != "unknown", F.upper(F.substring("party", 1, 1))).alias("party_letter"), F.date_format("disclosed_date", "yyyy").alias("label_year"))
 )
+on_trades(
+    "summaries",
+    f"""SELECT id, member_name || ' ' || CASE tx_type WHEN 'buy' THEN 'bought' WHEN 'sell' THEN 'sold' WHEN 'partial_sell' THEN 'sold part of' ELSE 'exchanged' END || ' ' ||
+      coalesce(ticker, substr(trim(regexp_replace(asset, '\\s*\\[[A-Za-z]{{2,4}}\\]\\s*$', '')), 1, 18)) || ' (' || CASE amount_kind WHEN 'range' THEN 'up to ' || {_DOLLARS.format('high_cents')} WHEN 'atLeast' THEN 'at least ' || {_DOLLARS.format('low_cents')} ELSE 'unknown' END || '); ' ||
+      CASE WHEN impossible THEN 'dates inconsistent' WHEN lag = 0 THEN 'disclosed the same day' WHEN lag = 1 THEN 'disclosed 1 day later' ELSE 'disclosed ' || lag || ' days later' END AS summary FROM feed""",
+)(lambda t: t.select("id", C.summary().alias("summary")))
+query("html_rows", "SELECT page_id, row, cells[row + 1] AS cell FROM (SELECT page_id, cells, unnest(range(len(cells))) AS row FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '(?s)<[^>]*>', '', 'g'))) AS cells FROM pages))", cte=False)(
+    lambda spark, d: testdata.read(spark, d, "pages").select("page_id", F.posexplode(F.transform(F.regexp_extract_all("html", F.lit("(?s)<li[^>]*>(.*?)</li>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "(?s)<[^>]*>", "")))).alias("row", "cell")).select("page_id", F.col("row").cast("long").alias("row"), "cell")
+)
