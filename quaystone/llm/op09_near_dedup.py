@@ -6,14 +6,15 @@ bands of `ROWS` smallest (or largest) values are the candidates' keys. At a simi
 pair shares none of the 36 bands with a chance of about one in a million.
 
 Equal sets are one class from the start, and only class representatives go on. Then, in a bucket:
-1. every member is paired with the bucket's smallest member only, and pairs are confirmed on their
+1. every member is paired with its bucket's smallest member only (at first with the smallest over
+   all its buckets, then, where components still differ, with each), and pairs are confirmed on their
    full sets; components of the confirmed links settle nearly all buckets, however large;
 2. in a bucket that still holds several components, members of different components are paired
    if it has at most `SMALL` members;
 3. members of larger such buckets meet by prefixes of their sets instead (frequent shingles last):
-   sets with a similarity of 0.75 share a shingle of the longer prefix of the larger and the shorter
-   prefix of the smaller set. That is exact, needs no cap, and does not pair
-   documents that merely share a passage.
+   the first shingle that sets with a similarity of 0.75 share stands so early in both that 3/7 of
+   their sizes' sum can follow. That is exact, needs no cap, and does not pair documents that merely
+   share a passage.
 Pairs are confirmed on the full sets in every step. Texts of candidates are written once.
 
 Defined cases: a text without words has an empty set and stays alone; fewer than five words are one
@@ -120,7 +121,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _prefixes(frequent: np.ndarray):
-    """(id, text, comp) -> a row for each shingle of the longer prefix; `short` if the shorter prefix has it too."""
+    """(id, text, comp) -> a row for each shingle of a set's prefix, with its place in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +133,10 @@ def _prefixes(frequent: np.ndarray):
                 late = frequent[at] == h if len(frequent) else np.zeros(len(h), bool)
                 order = np.lexsort((h, late, of))
                 place = W.row_slices(ptr)
-                long, short = size - -(-3 * size // 4) + 1, size - -(-6 * size // 7) + 1
+                long = size - -(-3 * size // 4) + 1
                 keep = place < long[of]
                 of, h, place = of[keep], h[order][keep], place[keep]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), part.column(2).take(pa.array(of)), pa.array(size[of]), pa.array(h.view(np.int64)), pa.array(place < short[of])], ["id", "comp", "n", "shingle", "short"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), part.column(2).take(pa.array(of)), pa.array(size[of]), pa.array(h.view(np.int64)), pa.array(place)], ["id", "comp", "n", "shingle", "place"])
 
     return run
 
@@ -160,11 +161,13 @@ def _by_prefix(found: DataFrame, texts: DataFrame) -> DataFrame:
     # Any order of shingles is right; at most some tens of thousands, the most frequent, are put last.
     often = counted.filter(F.col("n") > max(20, total * FREQUENT)).orderBy(F.desc("n"), "shingle").limit(50_000).select("shingle").collect()
     frequent = np.sort(np.array([r.shingle for r in often], dtype=np.int64).view(np.uint64))
-    rows = held.mapInArrow(_prefixes(frequent), "id bigint, comp bigint, n bigint, shingle bigint, short boolean")
-    small = rows.filter("short").select("shingle", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    large = rows.select("shingle", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return small.join(large, "shingle").filter(ordered & (4 * F.col("na") >= 3 * F.col("nb")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+    rows = held.mapInArrow(_prefixes(frequent), "id bigint, comp bigint, n bigint, shingle bigint, place bigint")
+    side = lambda x: rows.select("shingle", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "place")])
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    # Linked sets have 3/7 of their sizes' sum in common; the first shingle that they share leaves room for so many in both.
+    common = -F.floor(-3 * (F.col("n_a") + F.col("n_b")) / 7)
+    room = (F.col("place_a") <= F.col("n_a") - common) & (F.col("place_b") <= F.col("n_b") - common)
+    return side("a").join(side("b"), "shingle").filter(ordered & room & (F.col("comp_a") != F.col("comp_b"))).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
@@ -178,13 +181,24 @@ def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, s
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
     texts = cut(texts, "candidates")
     fits = lambda x, y: (4 * F.least(x, y) >= 3 * F.greatest(x, y))
-    stars = members.filter((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    confirmed = cut(_confirm(stars, texts), "links")
-    comps = components(confirmed)
-    # Buckets with more than one component left.
-    placed = members.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "size", "hub", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    open_ = cut(placed.join(mixed, "key"), "open")
+    pair = lambda rows: rows.select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    stars = members.filter((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
+    found = cut(_confirm(pair(stars.groupBy("id").agg(F.min("hub").alias("hub"))), texts), "links")
+    comps = components(found)
+
+    def mixed(comps: DataFrame) -> DataFrame:
+        """Rows of buckets with more than one component left."""
+        c = comps.withColumnRenamed("node", "id")
+        placed = members.join(c, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("hub_comp")).filter("lo <> hi")
+        return cut(placed.join(several.select("key", "hub_comp"), "key"), "open")
+
+    apart = mixed(comps).filter((F.col("comp") != F.col("hub_comp")) & fits(F.col("n"), F.col("hub_n")))
+    more = cut(_confirm(pair(apart).distinct(), texts), "links")
+    if not more.isEmpty():
+        found = found.union(more)
+        comps = components(found)
+    open_ = mixed(comps)
     few = open_.filter(F.col("size") <= small)
     x, y = (few.select("key", "hub", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp")]) for s in "xy")
     tried = (F.col("id_x") == x["hub"]) | (F.col("id_y") == x["hub"])
@@ -193,7 +207,7 @@ def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, s
     pairs = near if many.isEmpty() else near.union(_by_prefix(many, texts)).distinct()
     more = cut(_confirm(pairs, texts), "links")
     if not more.isEmpty():
-        comps = components(confirmed.union(more))
+        comps = components(found.union(more))
     return sig, comps
 
 
