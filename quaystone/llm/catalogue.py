@@ -25,4 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": op01_decontaminate.ORACLE, "op5_chat_format": op05_chat.ORACLE, "op7_line_rules": op07_line_rules.ORACLE, "op10_warc": op10_warc.ORACLE}
+    return {
+        "op1_decontaminate": op01_decontaminate.ORACLE,
+        "op5_chat_format": op05_chat.ORACLE,
+        "op6_substring_dedup": op06_substrings.ORACLE,
+        "op7_line_rules": op07_line_rules.ORACLE,
+        "op9_near_dedup": op09_near_dedup.ORACLE,
+        "op10_warc": op10_warc.ORACLE,
+    }

@@ -183,7 +183,7 @@ def test_stages_awkward(spark, tmp_path):
         assert {r.doc_id for r in at.collect()} == {r.doc_id for r in table.collect()}
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op5_chat_format", "op7_line_rules", "op10_warc"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op5_chat_format", "op6_substring_dedup", "op7_line_rules", "op9_near_dedup", "op10_warc"])
 def test_queries_against_sql(spark, name):
     import duckdb
 
