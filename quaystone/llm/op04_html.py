@@ -48,8 +48,9 @@ OUTSIDE = frozenset("head nav header footer aside form button select dialog menu
 ROLE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus reply replies respond reactions share sharing social related recommended "
-    "widget toolbar pagination pager login signup signin search copyright disclaimer skip".split()
+    "widget toolbar pagination pager login signup signin search copyright disclaimer skip side rail crumbs responses discussion feedback adsbygoogle adslot".split()
 )
+LAYOUT = frozenset("with has no without".split())
 ARIA = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|/?[a-zA-Z][^>]*(>|\Z))", re.S)
@@ -132,7 +133,10 @@ class Page:
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                words += [x.lower() for x in _PART.split(value)]
+                for one in value.split():
+                    own = [x.lower() for x in _PART.split(one)]
+                    # "with-sidebar", "no-ads" and the like describe a layout, not a role.
+                    words += [] if LAYOUT.intersection(own) else own
                 label += ("." if key == "class" else "#") + re.sub(r"\d+", "0", value)
             elif key == "role":
                 out |= value.lower() in ARIA
