@@ -216,6 +216,7 @@ def near_dedup(docs: DataFrame, **options) -> DataFrame:
     sig, comps = links(docs, **options)
     classes = sig.filter("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("id"))
     placed = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").select("set_a", "set_b", F.col("n").alias("m"), F.coalesce("component", "id").alias("component"))
+    placed = cut(placed, "classes")  # so that the join is not tied to the grouping's partitions, and a class of a third of all rows can be split
     light = sig.select("doc_id", "n", "set_a", "set_b")
     joined = light.join(placed.withColumnsRenamed({"set_a": "sa", "set_b": "sb"}), (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n") == F.col("m")), "left")
     component = F.coalesce("component", "doc_id")
