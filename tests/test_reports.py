@@ -66,7 +66,7 @@ def test_scan():
 
 
 def test_native():
-    rows, _ = reports.read_native(["1. A Fund purchase 1/5/2026 No $1,001 -", "$15,000", "1. again sale 1/5/2026 $5", "2 B sale 1/6/2026 $50,001 - $100,000"], dt.date(2026, 2, 1))
+    rows, _ = reports.read_native(["1 A Fund purchase 1/5/2026 No $1,001 -", "$15,000", "1 again sale 1/5/2026 No $5", "2 B sale 1/6/2026 Yes $50,001 - $100,000", "3 C sale 1/6/2026 $5"], dt.date(2026, 2, 1))
     assert [(r.asset, r.low_cents, r.high_cents) for r in rows] == [("A Fund", 100_100, 1_500_000), ("B", 5_000_100, 10_000_000)]
 
 
