@@ -174,7 +174,7 @@ def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, s
     """(signatures of documents, (node, component) of class representatives that have links)."""
     sig = cut(docs.select("doc_id", "text").mapInArrow(_signatures(permutations, rows), "doc_id bigint, n bigint, set_a bigint, set_b bigint, bands array<bigint>"), "signatures")
     classes = sig.filter("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    rowed = classes.select("id", "n", F.explode("bands").alias("key"))
+    rowed = classes.select("id", "n", F.explode("bands").alias("key")).repartition("key")  # one exchange for both uses below
     # Only buckets of two or more go on.
     sizes = rowed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     members = cut(rowed.join(sizes, "key").select("key", "id", "n", "size", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
@@ -186,19 +186,20 @@ def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, s
     found = cut(_confirm(pair(stars.groupBy("id").agg(F.min("hub").alias("hub"))), texts), "links")
     comps = components(found)
 
-    def mixed(comps: DataFrame) -> DataFrame:
+    def mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
         """Rows of buckets with more than one component left."""
         c = comps.withColumnRenamed("node", "id")
-        placed = members.join(c, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        placed = rows.select(*members.columns).join(c, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("hub_comp")).filter("lo <> hi")
         return cut(placed.join(several.select("key", "hub_comp"), "key"), "open")
 
-    apart = mixed(comps).filter((F.col("comp") != F.col("hub_comp")) & fits(F.col("n"), F.col("hub_n")))
+    open_ = mixed(members, comps)
+    apart = open_.filter((F.col("comp") != F.col("hub_comp")) & fits(F.col("n"), F.col("hub_n")))
     more = cut(_confirm(pair(apart).distinct(), texts), "links")
     if not more.isEmpty():
         found = found.union(more)
         comps = components(found)
-    open_ = mixed(comps)
+    open_ = mixed(open_, comps)  # a bucket of one component stays one
     few = open_.filter(F.col("size") <= small)
     x, y = (few.select("key", "hub", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "comp")]) for s in "xy")
     tried = (F.col("id_x") == x["hub"]) | (F.col("id_y") == x["hub"])
