@@ -35,12 +35,20 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components
-from .store import cut, table
+from .store import cut, settings, table
 
 SHINGLE = 5
 PERMUTATIONS = 72
 ROWS = 4
 SMALL = 24
+#: Spark's own filter ahead of a join, of 4 MB whatever the input: texts of most documents without a candidate stay where they are.
+BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1pb",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 25),
+}
 FREQUENT = 1 / 256  #: share of a shard's documents from which a shingle counts as frequent
 
 
@@ -178,8 +186,9 @@ def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, s
     # Only buckets of two or more go on.
     sizes = rowed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     members = cut(rowed.join(sizes, "key").select("key", "id", "n", "size", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.select("id").distinct(), "id").groupBy("id").agg(F.min("text").alias("text"))
-    texts = cut(texts, "candidates")
+    with settings(docs.sparkSession, BLOOM):
+        texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.filter("size > 1").select("id"), "id", "left_semi")
+        texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")), "candidates")
     fits = lambda x, y: (4 * F.least(x, y) >= 3 * F.greatest(x, y))
     pair = lambda rows: rows.select(F.col("hub").alias("a"), F.col("id").alias("b"))
     stars = members.filter((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
