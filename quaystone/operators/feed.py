@@ -122,7 +122,7 @@ def name_match(members: DataFrame, query: str) -> DataFrame:
 def csv_projection(trades: DataFrame, members: DataFrame) -> DataFrame:
     """The 19 columns of the export."""
     m = members.select(F.col("id").alias("_m"), F.col("chamber").alias("m_chamber"), "party")
-    return trades.drop("chamber").join(F.broadcast(m), trades.member_id == F.col("_m"), "left").select(
+    return trades.drop("chamber").join(m, trades.member_id == F.col("_m"), "left").select(
         "member_name", F.coalesce("m_chamber", F.lit("")).alias("chamber"), F.coalesce("party", F.lit("")).alias("party"), "owner", F.col("tx_type").alias("transaction_type"), "asset", F.coalesce("ticker", F.lit("")).alias("ticker"), F.coalesce("asset_type", F.lit("")).alias("asset_type"),
         F.date_format("tx_date", "yyyy-MM-dd").alias("transaction_date"), F.date_format("disclosed_date", "yyyy-MM-dd").alias("disclosed_date"), C.lag_days().cast("long").alias("disclosure_lag_days"), C.impossible().alias("has_impossible_date"),
         C.amount_label().alias("amount_label"), F.col("low_cents").alias("amount_low_cents"), F.col("high_cents").alias("amount_high_cents"), "is_amendment", F.coalesce("warning", F.lit("")).alias("warnings"), "filing_id", F.coalesce(C.document_url(F.col("filing_id"), "https://filings.example/"), F.lit("")).alias("source_url"),

@@ -277,7 +277,7 @@ on_both("provenance", "SELECT (SELECT string_agg(chamber, ', ' ORDER BY chamber)
 query("incremental_events", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL", cte=False)(lambda spark, d: refresh.event_counts(testdata.read(spark, d, "events")))
 on_both("display_columns", """SELECT f.id, CASE tx_type WHEN 'buy' THEN 'bought' WHEN 'sell' THEN 'sold' WHEN 'partial_sell' THEN 'sold part of' ELSE 'exchanged' END AS verb,
     CASE m.party WHEN 'democrat' THEN 'D' WHEN 'republican' THEN 'R' WHEN 'independent' THEN 'I' END AS party_letter, strftime(disclosed_date, '%Y') AS label_year FROM feed f LEFT JOIN member m ON m.id = f.member_id""")(
-    lambda t, m: t.join(F.broadcast(m.select(F.col("id").alias("_m"), "party")), F.col("member_id") == F.col("_m"), "left").select("id", C.named(F.col("tx_type"), C.VERBS).alias("verb"), F.when(F.col("party") != "unknown", F.upper(F.substring("party", 1, 1))).alias("party_letter"), F.date_format("disclosed_date", "yyyy").alias("label_year"))
+    lambda t, m: t.join(m.select(F.col("id").alias("_m"), "party"), F.col("member_id") == F.col("_m"), "left").select("id", C.named(F.col("tx_type"), C.VERBS).alias("verb"), F.when(F.col("party") != "unknown", F.upper(F.substring("party", 1, 1))).alias("party_letter"), F.date_format("disclosed_date", "yyyy").alias("label_year"))
 )
 on_trades(
     "summaries",
