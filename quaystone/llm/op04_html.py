@@ -3,10 +3,11 @@
 For each host up to `EXEMPLARS` pages are parsed to DOM trees and aligned by simple tree matching
 (a dynamic programme over the children of nodes with equal labels; runs of siblings with one label
 are one slot). A block of text that stands at an aligned place in all of them alike is template; where texts
-vary is content, and the deepest node that holds nearly all varying text is the host's content slot.
-The wrapper of a host is that slot and its template texts. Extraction takes the slot of each page,
-or its article, without template texts and without parts whose element or class names a role other
+vary is content, and the deepest aligned node that holds all varying text of all of them is the host's content slot.
+The wrapper of a host is that slot and its template texts. Extraction takes the slot of each page
+without template texts and without parts whose element or class names a role other
 than content: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
+Only where the slot is not on the page, or its host has none, <article> and <main> decide, and without them the page is taken whole.
 
 Exemplars are chosen by a grouped minimum per host and slot, so that a host with a third of all
 pages sends a few pages from each task. Wrappers go to the pages by a broadcast where their measured
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from .store import cut, table
 
 EXEMPLARS = 5
-SLOT_SHARE = 0.9  #: of the varying text, for a content slot to go one level deeper
 BROADCAST_BYTES = 16 << 20
 DEPTH = 40  #: levels of a tree that are aligned
 
@@ -155,9 +155,10 @@ class Page:
         return flags
 
     def paths(self) -> list[str]:
+        """Labels from the root down to each node, without inline elements, as in `tree`."""
         found: list[str] = []
-        for parent, _, label, _ in self.nodes:
-            found.append(f"{found[parent]}/{label}" if parent >= 0 else "")
+        for parent, tag, label, _ in self.nodes:
+            found.append("" if parent < 0 else found[parent] if tag in INLINE else f"{found[parent]}/{label}")
         return found
 
     def block_of(self) -> list[int]:
@@ -250,40 +251,42 @@ def match(a: tuple, b: tuple) -> tuple[int, list]:
 
 def induce(pages: list[str]) -> dict:
     """The wrapper of pages of one host: `slot` (path of the content slot) and `template` (path and text of whole blocks)."""
-    trees = []
-    for page in pages:
-        t = tree(Page(page))
+    trees, blocks = [], []
+    for source in pages:
+        page = Page(source)
+        t = tree(page)
         if t not in trees:
             trees.append(t)
+            paths = page.paths()
+            blocks += [(paths[node], text) for node, text in page.blocks([not x for x in page.outside()], page.block_of())]
     if len(trees) < 2:
         return {}
-    first, constant = trees[0], None
+    first, constant, aligned = trees[0], None, None
     for other in trees[1:]:
         alike: set = set()
+        places: set = set()
 
-        def walk(a, b, pairs, path, alike=alike):
+        def walk(a, b, pairs, path, alike=alike, places=places):
             alike.update((path, x) for x in set(a[1]) & set(b[1]))
+            places.add(path)
             for x, y, below in pairs:
-                walk(x, y, below, f"{path}/{x[0]}", alike)
+                walk(x, y, below, f"{path}/{x[0]}", alike, places)
 
         walk(first, other, match(first, other)[1], "")
         constant = alike if constant is None else constant & alike
+        aligned = places if aligned is None else aligned & places
     if len(trees) < 3:
         constant = set()
-
-    def varying(node: tuple, path: str) -> int:
-        own = sum(len(x) for x in node[1] if (path, x) not in constant)
-        return own + sum(varying(c, f"{path}/{c[0]}") for c in node[2])
-
-    node, path = first, ""
-    total = varying(first, "")
-    while total:
-        below = [(varying(c, f"{path}/{c[0]}"), i) for i, c in enumerate(node[2]) if c[0].split(".")[0].split("#")[0] in SCOPE]
-        if not below or max(below)[0] < SLOT_SHARE * total:
-            break
-        node = node[2][max(below)[1]]
-        path = f"{path}/{node[0]}"
-    return {"slot": path, "template": sorted(map(list, constant))}
+    found = {"template": sorted(map(list, constant))}
+    held = [path.split("/") for path in {path for path, text in blocks if (path, text) not in constant}]
+    if held:
+        # What the first and the last path in order share, all share.
+        low, high = min(held), max(held)
+        n = next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
+        while n > 1 and ("/".join(low[:n]) not in aligned or re.split("[.#]", low[n - 1])[0] not in SCOPE):
+            n -= 1
+        found["slot"] = "/".join(low[:n])
+    return found
 
 
 # Extraction -------------------------------------------------------------------------------------
@@ -294,11 +297,12 @@ def extract(source: str, wrapper: dict) -> str:
         return ""
     page = Page(source)
     out, paths = page.outside(), page.paths()
-    articles = [i for i, (_, tag, _, _) in enumerate(page.nodes) if tag in ("article", "main") and not out[i]]
     slot = wrapper.get("slot")
-    roots = [i for i, p in enumerate(paths) if p == slot and not out[i]] if slot else []
+    roots = [i for i, p in enumerate(paths) if p == slot and not out[i]]
+    if not roots:
+        roots = [i for i, (_, tag, _, _) in enumerate(page.nodes) if tag in ("article", "main") and not out[i]]
     inside = [False] * len(page.nodes)
-    for i in articles or roots or [0]:
+    for i in roots or [0]:
         inside[i] = True
     for i, (parent, _, _, _) in enumerate(page.nodes):
         if parent >= 0 and inside[parent]:

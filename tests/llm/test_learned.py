@@ -117,6 +117,20 @@ def test_wrapper_induction():
     assert op4.induce(pages[:1] * 3) == {}
 
 
+def test_slot_before_article():
+    """Teaser cards are <article>s, the text is in a <div>, and the headline stands beside it."""
+    page = "<html><body><div><p>Welcome</p></div><h1>Head {i}</h1><div id=text><p>Long text {i} " + "w " * 200 + "</p></div><article><p>Card {i}</p></article></body></html>"
+    pages = [page.format(i=i) for i in range(5)]
+    wrapper = op4.induce(pages)
+    assert wrapper["slot"] == "/html/body"
+    assert op4.extract(pages[1], wrapper) == "Head 1 Long text 1 " + "w " * 200 + "Card 1"
+    # A lead on one exemplar alone, whichever it is, belongs to the slot; where the slot is missing, the article decides.
+    lead = "<html><body><section><p>{lead}</p><div><p>" + "v " * 200 + "{i}</p></div></section><div><p>Always</p></div></body></html>"
+    pages = [lead.format(i=i, lead="Lead" if i == 3 else "") for i in range(5)]
+    assert op4.induce(pages)["slot"] == "/html/body/section" and op4.extract(pages[3], op4.induce(pages)).startswith("Lead v")
+    assert op4.extract("<p>x</p><article>only</article>", op4.induce(pages)) == "only"
+
+
 def test_simple_tree_matching():
     t = lambda s: op4.tree(op4.Page(s))
     assert op4.match(t("<div><p>a</p><ul></ul></div>"), t("<div><ul></ul><p>b</p></div>"))[0] == 3
