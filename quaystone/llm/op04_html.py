@@ -1,38 +1,43 @@
 """HTML extraction by wrapper induction.
 
-For each host up to `EXEMPLARS` pages are parsed to DOM trees and aligned by simple tree matching
+A block of text is template where it stands at one path in more than `SHARE` of a host's different pages,
+and in `LEAST` at least; blocks of all pages are counted, by 64-bit hashes of path and text. Other text varies
+and is content. For each host up to `EXEMPLARS` pages are parsed to DOM trees and aligned by simple tree matching
 (a dynamic programme over the children of nodes with equal labels; runs of siblings with one label
-are one slot). A block of text that stands at an aligned place in all of them alike is template; where texts
-vary is content, and the deepest aligned node that holds all varying text of all of them is the host's content slot.
+are one slot), and the deepest aligned node that holds all varying text of all of them is the host's content slot.
 The wrapper of a host is that slot and its template texts. Extraction takes the slot of each page
 without template texts and without parts whose element or class names a role other
 than content: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
 Only where the slot is not on the page, or its host has none, <article> and <main> decide, and without them the page is taken whole.
 
-Exemplars are chosen by a grouped minimum per host and slot, so that a host with a third of all
-pages sends a few pages from each task. Wrappers go to the pages by a broadcast where their measured
-size allows it, and by a join that adaptive execution can split otherwise.
+Exemplars are the first different pages that are not empty, in the order of their hashes. Counts are added up in each
+task before they travel, and so are exemplars chosen, so that a host with a third of all pages is no load on one task.
+Wrappers go to the pages by a broadcast where their measured size allows it, and by a join that adaptive
+execution can split otherwise.
 
 Defined cases: a null or empty html gives an empty text; a null url is a host of its own; a host with
-fewer than three different exemplars has no template texts; unclosed and cut-off markup is read as
+fewer than three different pages has no template texts; unclosed and cut-off markup is read as
 browsers do; repeated rows are extracted each for itself; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import cut, table
 
 EXEMPLARS = 5
+SHARE = 0.5  #: of a host's different pages; a block in more of them is template
+LEAST = 3  #: and in so many at least
 BROADCAST_BYTES = 16 << 20
 DEPTH = 40  #: levels of a tree that are aligned
 
@@ -249,8 +254,22 @@ def match(a: tuple, b: tuple) -> tuple[int, list]:
     return 1 + best[n][m], pairs
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: `slot` (path of the content slot) and `template` (path and text of whole blocks)."""
+def key(path: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def block_keys(source: str) -> list[int]:
+    """Keys of the different blocks of a page that are not outside."""
+    page = Page(source)
+    paths = page.paths()
+    return list({key(paths[node], text) for node, text in page.blocks([not x for x in page.outside()], page.block_of())})
+
+
+def induce(pages: list[str], known: set[int] | None = None) -> dict:
+    """The wrapper of pages of one host: `slot` (path of the content slot) and `template` (path and text of whole blocks).
+
+    known: keys of the template blocks of all the host's pages; they stand for what the pages at hand have alike.
+    """
     trees, blocks = [], []
     for source in pages:
         page = Page(source)
@@ -277,6 +296,8 @@ def induce(pages: list[str]) -> dict:
         aligned = places if aligned is None else aligned & places
     if len(trees) < 3:
         constant = set()
+    if known is not None:
+        constant = {(path, text) for path, text in blocks if key(path, text) in known}
     found = {"template": sorted(map(list, constant))}
     held = [path.split("/") for path in {path for path, text in blocks if (path, text) not in constant}]
     if held:
@@ -309,32 +330,58 @@ def extract(source: str, wrapper: dict) -> str:
             inside[i] = True
     template = {(p, t) for p, t in wrapper.get("template", ())}
     blocks = page.blocks([x and not y for x, y in zip(inside, out, strict=True)], page.block_of())
-    return " ".join(text for node, text in blocks if (paths[node], text) not in template)
+    known = wrapper.get("known", ())
+    return " ".join(text for node, text in blocks if (paths[node], text) not in template and not (known and key(paths[node], text) in known))
 
 
 def host() -> F.Column:
     return F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
+def small(df: DataFrame, bytes_a_row: F.Column) -> DataFrame:
+    """df, broadcast if its measured size allows it."""
+    return F.broadcast(df) if (df.agg(F.sum(bytes_a_row).alias("n")).first().n or 0) <= BROADCAST_BYTES else df
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """host, page (hash), blocks (keys) of each different page that is not empty."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"host": batch["host"], "page": batch["page"], "blocks": [block_keys(x) for x in batch["html"]]})
+
+    filled = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), "html").filter(F.col("html").rlike(r"\S"))
+    return filled.mapInPandas(run, "host string, page bigint, blocks array<bigint>")
+
+
 def wrappers(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
     """host, wrapper (JSON)."""
-    rank = F.xxhash64("page_id", F.lit(3))
-    chosen = pages.select(host().alias("host"), F.pmod(F.xxhash64("page_id", F.lit(4)), F.lit(exemplars)).alias("part"), rank.alias("rank"), "html").groupBy("host", "part").agg(F.min_by("html", "rank").alias("html"))
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    seen = cut(page_blocks(pages), "blocks")
+    different = seen.select("host", "page").distinct()
+    n_pages = different.groupBy("host").agg(F.count("*").alias("n_pages"))
+    counted = seen.select("host", "page", F.explode("blocks").alias("block")).distinct().groupBy("host", "block").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST)
+    known = counted.join(n_pages, "host").filter(F.col("n") > F.col("n_pages") * SHARE).groupBy("host").agg(F.collect_list("block").alias("known"))
+    # Ranks within a host are limited in each task before they travel.
+    first = Window.partitionBy("host").orderBy("page")
+    chosen = cut(different.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= exemplars).drop("rank").join(known, "host", "left"), "exemplars")
+    picked = small(chosen.select("host", "page"), F.octet_length("host") + 32)
+    shown = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), "html").join(picked, ["host", "page"]).groupBy("host", "page").agg(F.min("html").alias("html"))
+
+    def run(by: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # At most `exemplars` pages.
-        ordered = group.sort_values("part")
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(induce([x for x in ordered["html"] if isinstance(x, str)]))]})
+        ordered, blocks = group.sort_values("page"), group["known"].iloc[0]
+        blocks = [] if blocks is None else sorted(map(int, blocks))
+        found = induce(ordered["html"].tolist(), set(blocks))
+        found.pop("template", None)  # the keys have it
+        return pd.DataFrame({"host": [by[0]], "wrapper": [json.dumps(found | {"known": blocks})]})
 
-    return chosen.groupBy("host").applyInPandas(run, "host string, wrapper string")
+    return shown.join(chosen, ["host", "page"]).groupBy("host").applyInPandas(run, "host string, wrapper string")
 
 
 def extract_pages(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     found = cut(wrappers(pages, exemplars), "wrappers")
-    size = found.agg(F.sum(F.octet_length("wrapper") + 64).alias("n")).first().n or 0
-    known = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    joined = pages.select("page_id", "url", "html", host().alias("host")).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = pages.select("page_id", "url", "html", host().alias("host")).join(small(found, F.octet_length("wrapper") + 64), "host", "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read: dict[str, dict] = {}
@@ -345,6 +392,7 @@ def extract_pages(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
                     read.clear()
                 if isinstance(wrapper, str) and wrapper not in read:
                     read[wrapper] = json.loads(wrapper)
+                    read[wrapper]["known"] = set(read[wrapper]["known"])
                 texts.append(extract(source if isinstance(source, str) else "", read.get(wrapper, {})))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(x) for x in texts]})
 

@@ -131,6 +131,17 @@ def test_slot_before_article():
     assert op4.extract("<p>x</p><article>only</article>", op4.induce(pages)) == "only"
 
 
+def test_template_from_all_pages(spark):
+    """Blocks are judged over all pages: not by an empty or odd exemplar, and not by a sentence that exemplars share by chance."""
+    page = "<html><body><div><p>Shop news</p>{notice}</div><div id=text><p>Text {i}</p>{rare}</div></body></html>"
+    html = [page.format(i=i, notice="<p>Open today</p>" if i % 5 else "", rare="<p>Rare</p>" if i % 3 == 0 else "") for i in range(60)]
+    rows = [(i, "http://h/x", x) for i, x in enumerate(html)] + [(i, "http://h/x", "") for i in range(100, 130)] + [(i, "http://h/x", "<html><body><p>Error</p></body></html>") for i in range(200, 260)]
+    rows += [(300 + i, "http://three/x", page.format(i=i, notice="", rare="")) for i in range(3)]
+    got = {r.page_id: r.text for r in op4.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), exemplars=3).collect()}
+    assert all(got[i] == f"Text {i}" + (" Rare" if i % 3 == 0 else "") for i in range(60))
+    assert got[100] == "" and got[200] == "Error" and [got[300 + i] for i in range(3)] == ["Text 0", "Text 1", "Text 2"]
+
+
 def test_simple_tree_matching():
     t = lambda s: op4.tree(op4.Page(s))
     assert op4.match(t("<div><p>a</p><ul></ul></div>"), t("<div><ul></ul><p>b</p></div>"))[0] == 3
