@@ -1,7 +1,9 @@
 """Secret scans: a random forest over candidates, to remove false positives.
 
-Candidates are runs of `[A-Za-z0-9_+/=.-]` of at least `SHORTEST` bytes that hold a digit, found with
-array operations over whole texts. A candidate is described by its length, the transitions between
+Candidates are runs of `[A-Za-z0-9_+/=.-]` of at least `SHORTEST` bytes that hold a digit, mix cases or
+have few frequent trigrams, found with array operations over whole texts, and, at any length and of any
+characters, whole values assigned to a name with one of `KEYWORDS`, and quoted values. Of
+candidates that overlap the widest secret counts, or else the widest. A candidate is described by its length, the transitions between
 its character classes, entropy, dictionary coverage (the share of its letter trigrams that are
 frequent in the corpus), whether it looks like a path or a name, what assignment it stands in, and
 the words beside it. The forest is trained from labelled findings; `example_findings` makes such
@@ -19,6 +21,7 @@ columns pass through redaction unchanged, but for n_chars, which is counted agai
 from __future__ import annotations
 
 import random
+import re
 import string
 import uuid
 from collections.abc import Iterator
@@ -38,7 +41,12 @@ DEPTH = 9
 BESIDE = 48  #: bytes looked at on either side
 MARK = "<secret>"
 #: Words beside a candidate, or in front of its "=", that speak for a secret.
-KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
+KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "passphrase")
+PASSWORDS = (b"password", b"passwd", b"pwd", b"passphrase", b"secret")
+RARE = 0.6  #: a run without digits is a candidate where a smaller share of its trigrams is frequent
+_NAME = re.compile(rb"(?:" + "|".join(KEYWORDS).encode() + rb")[\w.-]*[\"']?\]?[ \t]*\Z", re.I)
+_VALUE = re.compile(rb"[=:>]*[ \t]*(?:(?:bearer|basic)[ \t]+)?(?:\"((?:\\.|[^\"\\\n])+)\"|'((?:\\.|[^'\\\n])+)'|[\"']?([^\s\"']\S*))", re.I)
+_QUOTED = re.compile(rb"(?<![\w\"'])(?:\"((?:\\.|[^\"\\\n])+)\"|'((?:\\.|[^'\\\n])+)'(?!\w))")
 _RUN = np.zeros(256, bool)
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=.-")] = True
 _DIGIT = np.zeros(256, bool)
@@ -76,29 +84,78 @@ def trigram_table(docs: DataFrame, share: float = 0.95) -> np.ndarray:
     return flags
 
 
-def candidates(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Byte ranges of candidates; w: split by white space."""
+def candidates(w: W.Words, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of runs that are candidates; w: split by white space."""
     n = w.text_start[-1]
-    inside = _RUN[w.buf[:n]]
+    buf = w.buf[:n]
+    inside = _RUN[buf]
     edge = np.zeros(n + 1, bool)
     edge[1:-1] = inside[1:] != inside[:-1]
     edge[w.text_start] = True
     cuts = np.flatnonzero(edge)
     a, b = cuts[:-1], cuts[1:]
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[w.buf[:n]])))
-    keep = (b - a >= SHORTEST) & (digits[b] > digits[a])
+    keep = b - a >= SHORTEST
     a, b = a[keep], b[keep]
     keep = inside[a] if len(a) else np.zeros(0, bool)
+    a, b = a[keep], b[keep]
+    upto = lambda flags: np.concatenate(([0], np.cumsum(flags)))
+    digits = upto(_DIGIT[buf])
+    x = _letters(w.buf[: n + 2])
+    ok = (x[:-2] >= 0) & (x[1:-1] >= 0) & (x[2:] >= 0)
+    often = np.zeros(n, bool)
+    often[ok] = common[(x[:-2] * 676 + x[1:-1] * 26 + x[2:])[ok]]
+    kind = _KIND[buf]
+    ups = np.zeros(n, bool)
+    ups[1:] = (kind[1:] == 0) & (kind[:-1] == 1)
+    letters, ok, often, ups = upto(kind < 2), upto(ok), upto(often), upto(ups)
+    # Trigrams that end within the run; it has more than two bytes.
+    tri = ok[b - 2] - ok[a]
+    rare = np.where(tri > 0, often[b - 2] - often[a] < RARE * tri, letters[b] - letters[a] >= SHORTEST // 2)
+    keep = (digits[b] > digits[a]) | (ups[b] > ups[np.minimum(a + 1, n)]) | rare
     return a[keep], b[keep]
 
 
-NAMES = ("length", "value_length", "transitions", "transition_rate", "entropy", "upper", "lower", "digits", "other", "hex", "coverage", "slashes", "dots", "dashes", "assigned", "key_before", "quoted", "keyword_beside", "at_beside", "starts_upper4", "longest_letters", "longest_digits")
+def values(buf: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, from byte, to byte) of assigned values behind a keyword, and of quoted values, in texts that begin at starts."""
+    n, out = int(starts[-1]), []
+    raw = buf[:n].tobytes()
+    signs = np.flatnonzero((buf[:n] == 0x3D) | (buf[:n] == 0x3A))
+    quotes = np.flatnonzero((buf[:n] == 0x22) | (buf[:n] == 0x27))
+    for marks, assigned in ((signs, True), (quotes, False)):
+        done = 0
+        for i, p in zip((np.searchsorted(starts, marks, side="right") - 1).tolist(), marks.tolist(), strict=True):
+            lo, hi = int(starts[i]), int(starts[i + 1])
+            if p < done or assigned and not _NAME.search(raw[max(lo, p - BESIDE) : p]):
+                continue
+            # What stands before the text is not looked at.
+            m = _VALUE.match(raw, p, hi) if assigned else _QUOTED.match(raw, p, hi) if p > lo else _QUOTED.match(raw[lo:hi])
+            if m is None:
+                continue
+            base = lo if not assigned and p == lo else 0
+            s, e = m.span(m.lastindex)
+            if assigned and m.lastindex == 3:
+                e = s + len(raw[s:e].rstrip(b",;.)]}>\"'"))
+            done = base + m.end()
+            if e > s:
+                out.append((i, base + s, base + e))
+    return out
+
+
+def value_at(token: bytes, before: bytes) -> int:
+    """Where the value begins in a candidate: behind its last "=", but at 0 where the candidate is the value of a keyword before it."""
+    if before.rstrip(b" \t\"'").endswith((b"=", b":")) and _NAME.search(before.rstrip(b" \t\"'=:>")):
+        return 0
+    return token.rstrip(b"=").rfind(b"=") + 1
+
+
+NAMES = ("length", "value_length", "transitions", "transition_rate", "entropy", "upper", "lower", "digits", "other", "hex", "coverage", "slashes", "dots", "dashes", "assigned", "key_before", "quoted", "keyword_beside", "at_beside", "starts_upper4", "longest_letters", "longest_digits", "password_before", "spaces")
 
 
 def describe(token: bytes, before: bytes, after: bytes, common: np.ndarray) -> list[float]:
     """The features of one candidate, in the order of NAMES."""
-    key, sep, value = token.rpartition(b"=") if not token.endswith(b"=") else (token.rstrip(b"=").rpartition(b"=") if b"=" in token.rstrip(b"=") else (b"", b"", token))
-    assigned = bool(sep) or before.rstrip(b" \"'").endswith((b"=", b":"))
+    at = value_at(token, before)
+    key, value = token[: max(0, at - 1)], token[at:]
+    assigned = at > 0 or before.rstrip(b" \"'").endswith((b"=", b":"))
     v = np.frombuffer(value or token, np.uint8)
     kind = _KIND[v]
     counts = np.bincount(v)
@@ -122,6 +179,7 @@ def describe(token: bytes, before: bytes, after: bytes, common: np.ndarray) -> l
         float(all(c in b"0123456789abcdefABCDEF" for c in v.tolist())), float(common[tri].mean()) if len(tri) else 0.0, token.count(b"/"), token.count(b"."), token.count(b"-"),
         float(assigned), float(any(own.endswith(k.encode()) for k in KEYWORDS)), float(before[-1:] in (b'"', b"'") and bool(before)), float(any(k.encode() in near for k in KEYWORDS)), float(b"@" in before[-1:] or b"@" in after[:1]),
         float(len(v) >= 4 and bool((kind[:4] == 0).all())), longest((kind == 0) | (kind == 1)), longest(kind == 2),
+        float(own.endswith(PASSWORDS)), value.count(b" "),
     ]
 
 
@@ -214,6 +272,46 @@ def example_findings(n: int = 240, seed: int = 5) -> list[tuple[str, str, str, i
             (plain() + "id: ", f"{r.choice(['ORD', 'INV', 'DOC'])}-{r.randint(10**5, 10**7)}-{r.randint(10, 99)}", " " + plain(), 0),
             (plain(), f"555-{r.randint(100, 999)}-{r.randint(1000, 9999)}", " " + plain(), 0),
         ]
+    return out + _short_and_plain(n, seed + 1)
+
+
+def _short_and_plain(n: int, seed: int) -> list[tuple[str, str, str, int]]:
+    """Findings without digits, of few bytes or of any characters, and the false alarms like them."""
+    r = random.Random(seed)
+    some = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    real = "the of and water house people letter number because little another between mother answer country required string optional none true false value default public main open door city time report".split()
+    made = lambda: "".join(r.choice("bdfghlmnprst") + r.choice("aeiou") + r.choice(["", "n", "r", "s"]) for _ in range(r.randint(1, 4)))
+    word = lambda: r.choice(real) if r.random() < 0.5 else made()
+    plain = lambda: " ".join(word() for _ in range(4)) + " "
+    password = lambda: r.choice(["password", "passwd", "pwd", "secret", "passphrase", "db_password", "Password"])
+    name = lambda: r.choice(["key", "token", "auth", "api_key", "secret", "password"])
+    sign = lambda: r.choice(["=", ": ", " = ", ":"])
+    alnum, odd = string.ascii_letters + string.digits, "@!:#$%&*?^~"
+    out = []
+    for _ in range(n):
+        short = r.choice([made() + str(r.randint(1, 999)) + some(string.ascii_lowercase, r.randint(0, 2)), some(alnum, r.randint(5, 10)) + r.choice(string.digits)])
+        broken = some(alnum, r.randint(3, 9)) + r.choice(odd) + some(alnum + odd, r.randint(2, 12))
+        out += [
+            (plain() + password() + sign(), short, " " + plain(), 1),
+            (plain() + name() + sign(), broken, " " + plain(), 1),
+            (plain() + name() + sign() + '"', broken, '" ' + plain(), 1),
+            (plain() + password() + sign() + '"', r.choice([" ", " ", "-"]).join(word() for _ in range(r.randint(3, 6))), '" ' + plain(), 1),
+            (plain(), name() + "=" + some(string.ascii_letters, r.randint(12, 32)), " " + plain(), 1),
+            (plain() + name() + sign(), some(string.ascii_letters, r.randint(12, 32)), " " + plain(), 1),
+            (plain(), "AKIA" + some(string.ascii_uppercase, 16), " " + plain(), 1),
+            (plain(), r.choice(["ghp_", "gho_", "glpat-", "sk_live_"]) + some(string.ascii_letters, r.randint(20, 36)), " " + plain(), 1),
+            (plain() + name() + sign(), word(), " " + plain(), 0),
+            (plain() + name() + sign(), word() + r.choice([".", "_"]) + word(), " " + plain(), 0),
+            (plain() + r.choice(["key", "token", "auth"]) + sign() + '"', word(), '" ' + plain(), 0),
+            (plain() + '"', " ".join(word() for _ in range(r.randint(1, 12))), '" ' + plain(), 0),
+            (plain(), "".join(word().capitalize() for _ in range(r.randint(3, 5))), " " + plain(), 0),
+            (plain() + "https:", f"//www.{made()}.com/{word()}/{word()}", " " + plain(), 0),
+            (plain(), f"/usr/{word()}/{word()}/{made()}.py", " " + plain(), 0),
+            (plain(), r.choice(["_", "-", "."]).join(word() for _ in range(r.randint(3, 5))), " " + plain(), 0),
+            (plain(), made() + made() + made(), " " + plain(), 0),
+            (plain(), (word() + word() + word()).upper(), " " + plain(), 0),
+            (plain(), f"{word()}={word()}{word()}", " " + plain(), 0),
+        ]
     return out
 
 
@@ -222,24 +320,49 @@ def train(findings: list[tuple[str, str, str, int]], common: np.ndarray) -> Fore
     return grow(x, np.array([f[3] for f in findings], float))
 
 
-def _findings(part: pa.Array, forest: Forest, common: np.ndarray) -> tuple[np.ndarray, list]:
+def _findings(part: pa.Array, forest: Forest, common: np.ndarray, threshold: float) -> tuple[np.ndarray, list]:
     """(text index, (from byte, to byte, score)) of every candidate of a shard, in order."""
     w = W.split_words(part, W.SPACED)
-    a, b = candidates(w)
-    if not len(a):
-        return np.zeros(0, np.int64), []
+    a, b = candidates(w, common)
     of = np.searchsorted(w.text_start, a, side="right") - 1
     x, spans = [], []
     for i, s, e in zip(of.tolist(), a.tolist(), b.tolist(), strict=True):
         lo, hi = w.text_start[i], w.text_start[i + 1]
         token = w.buf[s:e].tobytes()
-        core = token.rstrip(b".=-") if not token.endswith(b"=") else token.rstrip(b".-")
-        x.append(describe(core or token, w.buf[max(lo, s - BESIDE) : s].tobytes(), w.buf[e : min(hi, e + BESIDE)].tobytes(), common))
+        core = (token.rstrip(b".=-") if not token.endswith(b"=") else token.rstrip(b".-")) or token
+        before = w.buf[max(lo, s - BESIDE) : s].tobytes()
+        x.append(describe(core, before, w.buf[e : min(hi, e + BESIDE)].tobytes(), common))
         # In an assignment only the value is secret.
-        key = core.rstrip(b"=").rfind(b"=") + 1
-        spans.append((s + key - lo, s + len(core) - lo))
-    scores = forest.score(np.array(x))
-    return of, [(int(s), int(e), float(p)) for (s, e), p in zip(spans, scores, strict=True)]
+        spans.append((i, s + value_at(core, before), s + len(core)))
+    known = set(spans)
+    for i, s, e in values(w.buf, w.text_start):
+        if (i, s, e) not in known:
+            known.add((i, s, e))
+            lo, hi = w.text_start[i], w.text_start[i + 1]
+            x.append(describe(w.buf[s:e].tobytes(), w.buf[max(lo, s - BESIDE) : s].tobytes(), w.buf[e : min(hi, e + BESIDE)].tobytes(), common))
+            spans.append((i, s, e))
+    if not x:
+        return np.zeros(0, np.int64), []
+    scores = forest.score(np.array(x)).tolist()
+    apart: list[list] = []  # candidates that overlap are one group
+    for (i, s, e), p in sorted(zip(spans, scores, strict=True)):
+        if apart and apart[-1][0] == i and s < apart[-1][1]:
+            apart[-1][1] = max(apart[-1][1], e)
+            apart[-1][2].append((s, e, p))
+        else:
+            apart.append([i, e, [(s, e, p)]])
+    found = []
+    for i, _, group in apart:
+        lo = int(w.text_start[i])
+        secret = [g for g in group if g[2] >= threshold]
+        held: list[list] = []
+        for s, e, p in secret or [max(group, key=lambda g: g[1] - g[0])]:
+            if held and s < held[-1][1]:
+                held[-1][1:] = max(held[-1][1], e), max(held[-1][2], p)
+            else:
+                held.append([s, e, p])
+        found += [(i, (s - lo, e - lo, p)) for s, e, p in held]
+    return np.array([i for i, _ in found], np.int64), [f for _, f in found]
 
 
 def _model(docs: DataFrame, findings):
@@ -254,7 +377,7 @@ def scan(docs: DataFrame, findings: list | None = None, threshold: float = 0.5)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.chunks(batch, "text"):
-                of, found = _findings(part.column(1), *model.value)
+                of, found = _findings(part.column(1), *model.value, threshold)
                 ids, rows = part.column(0), []
                 for i, (s, e, p) in zip(of.tolist(), found, strict=True):
                     raw = part.column(1)[i].as_py().encode()
@@ -275,7 +398,7 @@ def redact(docs: DataFrame, findings: list | None = None, threshold: float = 0.5
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.chunks(batch, batch.schema.names[column]):
-                of, found = _findings(part.column(column), *model.value)
+                of, found = _findings(part.column(column), *model.value, threshold)
                 hits: dict[int, list] = {}
                 for i, f in zip(of.tolist(), found, strict=True):
                     if f[2] >= threshold:
