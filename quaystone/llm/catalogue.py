@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": op05_chat.op5_chat_format,
         "op6_substring_dedup": op06_substrings.op6_substring_dedup,
         "op7_line_rules": op07_line_rules.op7_line_rules,
+        "op7_clean_lines": op07_line_rules.op7_clean_lines,
         "op8_secrets": op08_secrets.op8_secrets,
         "op9_near_dedup": op09_near_dedup.op9_near_dedup,
         "op10_warc": op10_warc.op10_warc,

@@ -6,6 +6,10 @@ that hold it, removes lines that stand in more than `share` of the host's texts
 `least`), and rejects documents that this depletes: under `left` of their words remain. `source` is the host of documents. Exact
 copies of a text count once, so that copying a document does not make its lines boilerplate.
 
+`line_rules` gives figures and the verdict; `clean_lines` gives the documents without the lines above the limits.
+Its limits hold at every size of a host: a line in `MOST` different texts is above them whatever its share, and
+a document is also depleted when fewer than `FEWEST` words remain, or under `REMAINING` of them.
+
 Repeated words are found from five-word windows hashed to 64 bits; only texts in which a hash
 occurs twice take the longer way of sorting windows. Lines are grouped by host, line and text
 before they are counted by host and line, so that a line in every document is counted in parts.
@@ -25,15 +29,23 @@ from .store import cut, table
 SHARE = 0.05
 LEAST = 20
 LEFT = 0.1
+MOST = 20
+FEWEST = 10  #: words, as for whole texts
+REMAINING = 0.5  #: of the words; see the planted documents in tests/llm/test_exact.py
+BROADCAST_BYTES = 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def base_figures(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines (hash and words of each distinct line)."""
+def normal(x: F.Column) -> F.Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
+
+
+def base_figures(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines (hash and words of each line that is not blank); also: "raw", the text as it is."""
     text = F.coalesce("text", F.lit(""))
-    step1 = docs.select("doc_id", "source", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), F.split(text, "\n").alias("l"))
+    step1 = docs.select("doc_id", "source", F.col("text").alias("raw"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), F.split(text, "\n").alias("l"))
     five = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(5)]))
     step2 = step1.withColumn("h", F.when(F.size("w") >= 5, five).otherwise(F.array().cast("array<bigint>"))).withColumn("l", F.filter("l", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     sort = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -42,24 +54,30 @@ def base_figures(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last")), lambda acc, p: F.struct((acc["n"] + F.least(F.lit(5), p - acc["last"])).alias("n"), p.alias("last")), lambda acc: acc["n"])
     repeats = F.size(F.array_distinct("h")) < F.size("h")
     step3 = step2.withColumn("s", F.when(repeats, sort).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    normal = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
     line = lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.size(F.split(normal(x), " ")).alias("n"))
     return step3.select(
         "doc_id", "source", F.xxhash64("text").alias("text_hash"),
         F.size("w").cast("long").alias("n_words"), F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"), F.transform("l", line).alias("lines"),
+        covered.cast("long").alias("n_repeat_words"), F.transform("l", line).alias("lines"), *also,
     )
 
 
-def line_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
-    """The figures, base_failed, n_boilerplate (words in lines above the limits) and kept."""
-    base = cut(base_figures(docs).withColumn("row", F.monotonically_increasing_id()), "lines")
+def above_limits(base: DataFrame, share: float, least: int, most: int | None = None) -> DataFrame:
+    """s (source), above (hash) of lines above the limits."""
     texts = base.select("source", "text_hash").distinct().groupBy("source").agg(F.count("*").alias("n_texts"))
     lines = base.select("source", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
     often = lines.groupBy("source", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    above = often.join(texts, often.source.eqNullSafe(texts.source)).filter(F.col("n") > F.col("n_texts") * share).select(often.source.alias("s"), F.col("h").alias("above"))
+    over = F.col("n") > F.col("n_texts") * share
+    over = over if most is None else over | (F.col("n") >= most)
+    return often.join(texts, often.source.eqNullSafe(texts.source)).filter(over).select(often.source.alias("s"), F.col("h").alias("above"))
+
+
+def line_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
+    """The figures, base_failed, n_boilerplate (words in lines above the limits) and kept."""
+    base = cut(base_figures(docs).withColumn("row", F.monotonically_increasing_id()), "lines")
+    above = above_limits(base, share, least)
     held = base.select("row", "source", F.explode("lines").alias("line"))
     removed = held.join(above, held.source.eqNullSafe(F.col("s")) & (F.col("line.h") == F.col("above"))).groupBy("row").agg(F.sum("line.n").cast("long").alias("n_boilerplate"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -68,6 +86,29 @@ def line_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST, left:
     return found.withColumn("kept", ~(F.col("base_failed") | depleted)).drop("row", "source")
 
 
+def clean_lines(docs: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST, left: float = REMAINING) -> DataFrame:
+    """doc_id, text without the lines above the limits, n_words, n_boilerplate, n_lines_removed, base_failed, kept. Texts without such lines stay as they are, null too."""
+    base = cut(base_figures(docs, "raw").withColumn("row", F.monotonically_increasing_id()), "lines")
+    above = above_limits(base, share, least, most)
+    held = base.select("row", "source", F.explode("lines").alias("line"))
+    held = held.join(above, held.source.eqNullSafe(F.col("s")) & (F.col("line.h") == F.col("above")))
+    removed = cut(held.groupBy("row").agg(F.sum("line.n").cast("long").alias("words"), F.count("*").alias("removed"), F.collect_set("above").alias("gone")), "removed")
+    size = removed.agg(F.sum(F.size("gone") * 8 + 64).alias("n")).first().n or 0
+    found = base.join(F.broadcast(removed) if size <= BROADCAST_BYTES else removed, "row", "left")
+    rest = F.filter(F.split("raw", "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("gone", F.xxhash64(normal(x)))))
+    n_boilerplate = F.coalesce("words", F.lit(0).cast("long"))
+    remain = F.col("n_words") - n_boilerplate
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return found.select(
+        "doc_id", F.when(F.col("gone").isNull(), F.col("raw")).otherwise(F.array_join(rest, "\n")).alias("text"), "n_words", n_boilerplate.alias("n_boilerplate"),
+        F.coalesce("removed", F.lit(0).cast("long")).alias("n_lines_removed"), failed.alias("base_failed"), (~failed & (remain >= FEWEST) & (remain >= F.col("n_words") * left)).alias("kept"),
+    )
+
+
+def op7_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"))
 

@@ -181,6 +181,26 @@ def test_line_rules(spark):
     assert op7.line_rules(docs.limit(0)).count() == 0
 
 
+def test_clean_lines(spark):
+    """Texts come back without the lines above the limits, in hosts of every size; planted documents that this depletes are not kept."""
+    own = lambda i, n: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
+    lines = ["All rights  reserved 20{} by the publisher of this fine site", "Some rights are not reserved since {} weeks or longer ago", "No rights reserved here for {} more days in any land"]
+    foot = lambda i: "\n".join(x.format(i % 90 + 10) for x in lines)
+    texts = [f"{own(i, 40)}\n\n{foot(i)}\n{own(i + 300, 12)} end" if i < 22 else own(i, 60) for i in range(600)]
+    # Lines in 22 of 600 texts are under the share of 0.05. Planted: little more than such lines.
+    planted = [f"{foot(i)}\n{own(700 + i, 12)}" for i in range(4)] + [lines[0].format(12) + "\nshort rest"]
+    rows = [(i, t, "s") for i, t in enumerate([*texts, *planted])] + [(9000, None, "s"), (9001, "", None), (9002, foot(10), "other")]
+    got = {r.doc_id: r for r in op7.clean_lines(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), most=20).collect()}
+    assert len(got) == len(rows)
+    for i, text in enumerate(texts):
+        assert got[i].text == "\n".join(x for x in text.split("\n") if "reserved" not in x) and got[i].kept
+        assert (got[i].n_lines_removed, got[i].n_boilerplate) == ((3, len(foot(i).split())) if i < 22 else (0, 0))
+    for i in range(600, 605):
+        assert "rights" not in got[i].text and not got[i].kept and not got[i].base_failed
+    assert got[603].text == own(703, 12) and got[9000].text is None and got[9001].text == "" and got[9002].text == foot(10)
+
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 
