@@ -7,22 +7,31 @@ from pyspark.sql import functions as F
 
 from .store import cut
 
+SALTS = 32  #: parts in which a node's neighbours are dealt
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges with m, the least of their a: a node's edges are dealt over `SALTS` parts, and its least is copied to each."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["a", "salt"]).drop("salt")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable; edges: (a, b), a and b of one ordered type.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each keeps connectivity and
     at most as many edges, and few rounds suffice. Every round is a written table. Neighbourhoods
-    are reduced to minima and joined back, so that a hub with many neighbours is never one row.
+    are reduced to minima and joined back in parts, so that a hub with many neighbours is never one row or one task.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     mark = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a > b").distinct()
+        small = _with_least(large, low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a > b").distinct()
         now = cut(small, "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("b")).first()
         if seen == mark:

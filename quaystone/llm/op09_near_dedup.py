@@ -15,13 +15,21 @@ Equal sets are one class from the start, and only class representatives go on. T
    the first shingle that sets with a similarity of 0.75 share stands so early in both that 3/7 of
    their sizes' sum can follow. That is exact, needs no cap, and does not pair documents that merely
    share a passage.
-Pairs are confirmed on the full sets in every step. Texts of candidates are written once.
+
+Pairs are confirmed in every step: first the signatures are compared, a byte of each smallest and
+largest value; a pair in which fewer than `AGREE` of them agree is not near (at 0.75 that happens with a
+chance of less than one in ten million), and texts move for the others alone, to be compared on
+their full sets. Texts of candidates are written once.
+
+Bands travel once, but those of keys that more than `HOT` of the documents hold (counted over all of them) do not:
+such a key's hub and size are put together from partial minima and counts and broadcast, at most 2 * 36 / `HOT` of them.
+All other joins are between written tables, so that adaptive execution can split what is skewed.
 
 Defined cases: a text without words has an empty set and stays alone; fewer than five words are one
-shingle; repeated rows are equal sets; if a doc_id repeats with another text, links of the smallest
-id of a class are confirmed on the smallest of its texts; a null doc_id takes its class's component
+shingle; repeated rows are equal sets; rows that repeat a doc_id with another text are documents of
+their own under one name, each kept or not by its own set; a null doc_id takes its class's component
 (null if the class has no other id) and is not kept beside another; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored. doc_id may be of any ordered type.
 """
 
 from __future__ import annotations
@@ -32,15 +40,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .graph import components
-from .store import cut, settings, table
+from .store import bounded, cut, settings, table
 
 SHINGLE = 5
 PERMUTATIONS = 72
 ROWS = 4
 SMALL = 24
+AGREE = 0.55  #: of a signature's values
+HOT, HOT_LEAST = 1 / 4096, 1000
+NAMES = 2147483647  #: a class is named by its smallest doc_id and its set's hash modulo this
 #: Spark's own filter ahead of a join, of 4 MB whatever the input: texts of most documents without a candidate stay where they are.
 BLOOM = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
@@ -75,9 +87,26 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(count))))), hashes
 
 
+def set_hashes(ptr: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each set; 0 for an empty one."""
+    size = np.diff(ptr)
+    some = np.flatnonzero(size)
+    out = [np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)]
+    if len(some):
+        for ids, c in zip(out, W.constants(2, 5), strict=True):
+            ids[some] = np.add.reduceat(W.mix(hashes ^ c), ptr[some])
+    return out
+
+
+def min_max(starts: np.ndarray, hashes: np.ndarray, permutations: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The smallest and the largest value of each set (none empty) under each permutation."""
+    for factor, offset in zip(W.constants(permutations, 1), W.constants(permutations, 2), strict=True):
+        v = hashes * factor + offset
+        yield np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
+
+
 def _signatures(permutations: int, rows: int):
-    factors, offsets = W.constants(permutations, 1), W.constants(permutations, 2)
-    mixers = W.constants(rows, 3)
+    mixers, n_bands = W.constants(rows, 3), 2 * (permutations // rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,26 +114,97 @@ def _signatures(permutations: int, rows: int):
                 ptr, hashes = shingle_sets(part.column(1))
                 size = np.diff(ptr)
                 some = np.flatnonzero(size)
-                starts = ptr[some]
-                ids = [np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)]
-                n_bands = 2 * (permutations // rows)
                 bands = np.zeros((len(some), n_bands), np.uint64)
                 if len(some):
-                    for i, c in enumerate(W.constants(2, 5)):
-                        ids[i][some] = np.add.reduceat(W.mix(hashes ^ c), starts)
-                    for p in range(n_bands // 2 * rows):
-                        v = hashes * factors[p] + offsets[p]
-                        band, c = p // rows, mixers[p % rows]
-                        bands[:, band] += np.minimum.reduceat(v, starts) * c
-                        bands[:, band + n_bands // 2] += np.maximum.reduceat(v, starts) * c
+                    for p, (low, high) in enumerate(min_max(ptr[some], hashes, n_bands // 2 * rows)):
+                        bands[:, p // rows] += low * mixers[p % rows]
+                        bands[:, p // rows + n_bands // 2] += high * mixers[p % rows]
                     bands = W.mix(bands + W.constants(n_bands, 4))
-                offsets_of = np.concatenate(([0], np.cumsum((size > 0) * n_bands))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets_of), pa.array(bands.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(ids[0].view(np.int64)), pa.array(ids[1].view(np.int64)), lists], ["doc_id", "n", "set_a", "set_b", "bands"])
+                offsets = np.concatenate(([0], np.cumsum((size > 0) * n_bands))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), *(pa.array(x.view(np.int64)) for x in set_hashes(ptr, hashes)), lists], ["doc_id", "n", "set_a", "set_b", "bands"])
+
+    return run
+
+
+def _node(kind: str) -> str:
+    return f"struct<d:{kind},s:int>"
+
+
+def _hash() -> F.Column:
+    """With it a class's name tells classes apart whose smallest doc_id is the same."""
+    return F.pmod("set_b", F.lit(NAMES)).cast("int").alias("s")
+
+
+def _often_keys(share: float):
+    """Keys that a shard's documents hold often, with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value, n = np.unique(np.asarray(batch.column(0).flatten()), return_counts=True)
+            often = n >= max(2, batch.num_rows * share / 2)
+            yield pa.RecordBatch.from_arrays([pa.array(value[often]), pa.array(n[often].astype(np.int64))], ["key", "n"])
+
+    return run
+
+
+def buckets(sig: DataFrame, share: float = HOT, least: int = HOT_LEAST) -> DataFrame:
+    """key, id, n, size, hub, hub_n of every class in a bucket of two or more; the hub is a bucket's smallest member."""
+    total = sig.count()
+    counted = sig.select("bands").mapInArrow(_often_keys(share), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    hot = cut(counted.filter(F.col("n") > max(least, total * share)).select("key"), "hot")  # 2 * bands / share rows at most
+    filled = sig.filter("n > 0 and doc_id is not null")
+    classes = filled.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("d"), F.first("bands").alias("bands"))
+    rowed = classes.select("d", _hash(), "n", F.explode("bands").alias("key"))
+    first, node = F.min(F.struct("d", "s", "n")), F.struct("d", "s")
+    # One exchange for both uses. Plain columns, not structs: this is the longest table there is.
+    cold = rowed.join(F.broadcast(hot), "key", "left_anti").repartition("key")
+    sizes = cold.groupBy("key").agg(first.alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    members = cold.join(sizes, "key")
+    if not hot.isEmpty():
+        # Hubs and sizes of hot keys come from partial minima and counts, and their members stay where they are.
+        listed = filled.select(F.col("doc_id").alias("d"), _hash(), "n", F.explode("bands").alias("key")).join(F.broadcast(hot), "key")
+        whole = cut(listed.groupBy("key").agg(first.alias("hub"), F.count("*").alias("size")), "hot")
+        members = members.unionByName(rowed.join(F.broadcast(whole), "key"))
+    return cut(members.select("key", node.alias("id"), "n", "size", F.struct("hub.d", "hub.s").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+
+
+def _sketches(permutations: int, node: pa.DataType):
+    """Rows (d, text), sorted by d -> (id, n, sketch, text), one row for each d and set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, set()
+        for batch in batches:
+            for part in W.chunks(batch, "text", 2 << 20):
+                ptr, hashes = shingle_sets(part.column(1))
+                s = np.mod(set_hashes(ptr, hashes)[1].view(np.int64), NAMES)
+                keep = np.zeros(len(s), bool)
+                for i, row in enumerate(zip(part.column(0).to_pylist(), s.tolist(), np.diff(ptr).tolist(), strict=True)):
+                    if row[0] != last:
+                        last, seen = row[0], set()
+                    keep[i] = row[2] and row[1] not in seen
+                    seen.add(row[1])
+                sketch = np.zeros((len(s), 2 * permutations), np.uint8)
+                some = np.flatnonzero(np.diff(ptr))
+                if len(some):
+                    for p, both in enumerate(min_max(ptr[some], hashes, permutations)):
+                        for i, v in enumerate(both):
+                            sketch[some, 2 * p + i] = W.mix(v) & W.U64(255)
+                ids = pa.StructArray.from_arrays([part.column(0).cast(node.field(0).type), pa.array(s.astype(np.int32))], fields=[node.field(0), node.field(1)])
+                rows = pa.RecordBatch.from_arrays([ids, pa.array(np.diff(ptr)), pa.array([x.tobytes() for x in sketch], pa.binary()), part.column(1)], ["id", "n", "sketch", "text"])
+                yield rows.filter(pa.array(keep))
 
     return run
 
 
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sketches -> in how many values they agree."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).sum(axis=1).astype(np.int32))], ["a", "b", "agree"])
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of texts -> pairs whose sets are linked."""
     for batch in batches:
@@ -122,10 +222,15 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked)), part.column(1).filter(pa.array(linked))], ["a", "b"])
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_overlaps, "a bigint, b bigint")
+def _confirm(pairs: DataFrame, texts: DataFrame, node: str, least: int) -> DataFrame:
+    """The pairs (a, b) that are linked, as a written table."""
+    side = lambda c: (texts.select(F.col("id").alias(x), F.col(c).alias(f"{c}_{x}")) for x in "ab")
+    a, b = side("sketch")
+    rated = cut(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreement, f"a {node}, b {node}, agree int"), "rated")
+    a, b = side("text")
+    with settings(pairs.sparkSession, BLOOM):
+        joined = rated.filter(F.col("agree") >= least).select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+        return cut(joined.mapInArrow(_overlaps, f"a {node}, b {node}"), "links")
 
 
 def _prefixes(frequent: np.ndarray):
@@ -161,7 +266,7 @@ def _often(share: float):
     return run
 
 
-def _by_prefix(found: DataFrame, texts: DataFrame) -> DataFrame:
+def _by_prefix(found: DataFrame, texts: DataFrame, node: str) -> DataFrame:
     """Candidate pairs among (id, comp) by prefixes of their sets."""
     held = cut(found.join(texts, "id").select("id", "text", "comp"), "prefixed")
     total = held.count()
@@ -169,42 +274,47 @@ def _by_prefix(found: DataFrame, texts: DataFrame) -> DataFrame:
     # Any order of shingles is right; at most some tens of thousands, the most frequent, are put last.
     often = counted.filter(F.col("n") > max(20, total * FREQUENT)).orderBy(F.desc("n"), "shingle").limit(50_000).select("shingle").collect()
     frequent = np.sort(np.array([r.shingle for r in often], dtype=np.int64).view(np.uint64))
-    rows = held.mapInArrow(_prefixes(frequent), "id bigint, comp bigint, n bigint, shingle bigint, place bigint")
-    side = lambda x: rows.select("shingle", F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "place")])
+    rows = cut(held.mapInArrow(_prefixes(frequent), f"id {node}, comp {node}, n bigint, shingle bigint, place bigint"), "prefixes")
+    # Sizes of linked sets differ by a third at most: they fall in one power of 4/3 or in neighbouring ones.
+    step = F.floor(F.log("n") / float(np.log(4 / 3)) + 1e-9).cast("int")
+    side = lambda x: rows.select("shingle", step.alias("step"), F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "place")])
+    larger = side("b").withColumn("step", F.explode(F.array(F.col("step"), F.col("step") - 1)))
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
     # Linked sets have 3/7 of their sizes' sum in common; the first shingle that they share leaves room for so many in both.
     common = -F.floor(-3 * (F.col("n_a") + F.col("n_b")) / 7)
     room = (F.col("place_a") <= F.col("n_a") - common) & (F.col("place_b") <= F.col("n_b") - common)
-    return side("a").join(side("b"), "shingle").filter(ordered & room & (F.col("comp_a") != F.col("comp_b"))).select("a", "b").distinct()
+    return side("a").join(larger, ["shingle", "step"]).filter(ordered & room & (F.col("comp_a") != F.col("comp_b"))).select("a", "b").distinct()
 
 
-def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, small: int = SMALL, agree: float = AGREE, **hot) -> tuple[DataFrame, DataFrame]:
     """(signatures of documents, (node, component) of class representatives that have links)."""
-    sig = cut(docs.select("doc_id", "text").mapInArrow(_signatures(permutations, rows), "doc_id bigint, n bigint, set_a bigint, set_b bigint, bands array<bigint>"), "signatures")
-    classes = sig.filter("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    rowed = classes.select("id", "n", F.explode("bands").alias("key")).repartition("key")  # one exchange for both uses below
-    # Only buckets of two or more go on.
-    sizes = rowed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    members = cut(rowed.join(sizes, "key").select("key", "id", "n", "size", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
+    kind = docs.schema["doc_id"].dataType
+    node = _node(kind.simpleString())
+    sig = cut(docs.select("doc_id", "text").mapInArrow(_signatures(permutations, rows), f"doc_id {kind.simpleString()}, n bigint, set_a bigint, set_b bigint, bands array<bigint>"), "signatures")
+    members = buckets(sig, **hot)
+    wanted = cut(members.select("id").distinct().select("id.d", F.lit(1).alias("one")), "wanted")
     with settings(docs.sparkSession, BLOOM):
-        texts = docs.select(F.col("doc_id").alias("id"), "text").join(members.filter("size > 1").select("id"), "id", "left_semi")
-        texts = cut(texts.groupBy("id").agg(F.min("text").alias("text")), "candidates")
+        # Rows of one d and text are one; the exchange of the join serves for that too.
+        texts = docs.select(F.col("doc_id").alias("d"), "text").join(wanted.filter("one > 0").select("d"), "d", "left_semi").dropDuplicates(["d", "text"]).sortWithinPartitions("d")
+        shape = pa.struct([("d", _arrow(kind)), ("s", pa.int32())])
+        texts = cut(texts.mapInArrow(_sketches(permutations, shape), f"id {node}, n bigint, sketch binary, text string"), "candidates")
+    confirm = lambda pairs: _confirm(pairs, texts, node, int(agree * 2 * permutations))
     fits = lambda x, y: (4 * F.least(x, y) >= 3 * F.greatest(x, y))
     pair = lambda rows: rows.select(F.col("hub").alias("a"), F.col("id").alias("b"))
     stars = members.filter((F.col("id") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
-    found = cut(_confirm(pair(stars.groupBy("id").agg(F.min("hub").alias("hub"))), texts), "links")
+    found = confirm(pair(stars.groupBy("id").agg(F.min("hub").alias("hub"))))
     comps = components(found)
 
     def mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
         """Rows of buckets with more than one component left."""
         c = comps.withColumnRenamed("node", "id")
-        placed = rows.select(*members.columns).join(c, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        placed = cut(rows.select(*members.columns).join(c, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
         several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("hub_comp")).filter("lo <> hi")
-        return cut(placed.join(several.select("key", "hub_comp"), "key"), "open")
+        return cut(placed.join(cut(several.select("key", "hub_comp"), "several"), "key"), "open")
 
     open_ = mixed(members, comps)
     apart = open_.filter((F.col("comp") != F.col("hub_comp")) & fits(F.col("n"), F.col("hub_n")))
-    more = cut(_confirm(pair(apart).distinct(), texts), "links")
+    more = confirm(pair(apart).distinct())
     if not more.isEmpty():
         found = found.union(more)
         comps = components(found)
@@ -214,38 +324,66 @@ def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, s
     tried = (F.col("id_x") == x["hub"]) | (F.col("id_y") == x["hub"])
     near = x.join(y.drop("hub"), "key").filter((F.col("id_x") < F.col("id_y")) & (F.col("comp_x") != F.col("comp_y")) & ~tried & fits(F.col("n_x"), F.col("n_y"))).select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
     many = cut(open_.filter(F.col("size") > small).select("id", "comp").distinct(), "crowded")
-    pairs = near if many.isEmpty() else near.union(_by_prefix(many, texts)).distinct()
-    more = cut(_confirm(pairs, texts), "links")
+    pairs = near if many.isEmpty() else near.union(_by_prefix(many, texts, node)).distinct()
+    more = confirm(pairs)
     if not more.isEmpty():
         comps = components(found.union(more))
     return sig, comps
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
+def _judged(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n, set_a, set_b, component of every row."""
     sig, comps = links(docs, **options)
-    classes = sig.filter("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("id"))
-    placed = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").select("set_a", "set_b", F.col("n").alias("m"), F.coalesce("component", "id").alias("component"))
+    classes = sig.filter("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("d")).withColumn("s", _hash()).withColumn("id", F.struct("d", "s"))
+    placed = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.col("n").alias("m"), F.coalesce("component", "id")["d"].alias("component"))
     placed = cut(placed, "classes")  # so that the join is not tied to the grouping's partitions, and a class of a third of all rows can be split
-    light = sig.select("doc_id", "n", "set_a", "set_b")
-    joined = light.join(placed.withColumnsRenamed({"set_a": "sa", "set_b": "sb"}), (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n") == F.col("m")), "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    same = (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n") == F.col("m"))
+    return sig.select("doc_id", "n", "set_a", "set_b").join(placed, same, "left").select("doc_id", "n", "set_a", "set_b", F.coalesce("component", "doc_id").alias("component"))
+
+
+def near_dedup(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component"))
+    return _judged(docs, **options).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def _with_sets(columns: list[str]):
+    text = columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field(text)
+            ptr, hashes = shingle_sets(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ptr)), *(pa.array(x.view(np.int64)) for x in set_hashes(ptr, hashes))], ["row", "n", "set_a", "set_b"])
+
+    return run
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group: the one with the smallest id, one row of it.
+    """docs with one document of each group: the rows that `near_dedup` keeps; of those with one doc_id and one set, one.
 
-    Rows with a null doc_id cannot be told apart and stay.
+    A doc_id none of whose rows is kept goes as a whole. Rows of an id that is null or repeats are told apart by
+    their sets. Texts stay where they are, unless the ids that are looked at outgrow a broadcast.
     """
-    found = cut(near_dedup(docs, **options), "groups")
-    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = cut(found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
-    if again.isEmpty():
+    found = cut(_judged(docs, **options).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component"))), "judged")
+    by_id = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
+    touched = cut(by_id.filter("stay = 0 or rows > 1").select(F.col("doc_id").alias("_id"), (F.col("stay") > 0).alias("_again")), "touched")
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    marked = row.join(bounded(touched, F.lit(32)), F.col("row.doc_id").eqNullSafe(F.col("_id")), "left")
+    out = marked.filter(F.col("_again").isNull()).select("row.*")
+    if touched.filter("_again").isEmpty():
         return out
-    once = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    again = marked.filter("_again").select("row").mapInArrow(_with_sets(docs.columns), T.StructType([T.StructField("row", row.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "set_a", "set_b"))]))
+    staying = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"), F.col("set_a").alias("_a"), F.col("set_b").alias("_b")).distinct()
+    same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("n") == F.col("_n")) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b"))
+    once = again.join(staying, same, "left_semi").groupBy(F.col("row.doc_id"), "n", "set_a", "set_b").agg(F.min_by("row", F.struct("row.text")).alias("row"))
+    return out.unionByName(once.select("row.*"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quaystone-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -33,6 +38,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns called c0, c1, ..., so that no name of its own meets one of an operator's; and what each is called now."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def named(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of before, under their own names."""
+    return docs.select(*[F.col(now).alias(c) for c, now in names.items()])
+
+
+def bounded(df: DataFrame, bytes_a_row: Column) -> DataFrame:
+    """A written table, to be broadcast if its measured size allows it; adaptive execution can split the join otherwise."""
+    return F.broadcast(df) if (df.agg(F.sum(bytes_a_row.cast("long")).alias("n")).first().n or 0) <= BROADCAST_BYTES else df
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings for the queries that run inside; what was set before comes back."""
