@@ -9,12 +9,14 @@ walking to the nearest sampled position; their spans are merged into removal spa
 What is located is confirmed on the words' hashes in the text.
 
 The phrases are a stated query set: they go to tasks in blocks of at most `BLOCK_WORDS` words of
-items, each a bounded broadcast, and a further block is a further pass over the documents.
-Documents never move: with one block there is no shuffle at all.
+items, each a bounded broadcast, and a further block is a further pass over the documents, with a written table
+between, so that no task holds more than one block. Documents never move: there is no shuffle at all.
 
 Defined cases: a null or empty text has no words and no hits; items without words have no phrases;
 repeated items and rows count each for themselves (an item_id counts once a document); an empty
-benchmark or table works; other columns are ignored; null item_ids are left out.
+benchmark or table works; null item_ids are left out. Columns of the input are carried, and those named as the findings
+(`n_words`, `spans`, `items`, `n_hit`, `contaminated`) give way to them; `decontaminate` returns all columns of the input as they were, but for
+the text, and n_chars where it is an integer. item_id is a bigint.
 """
 
 from __future__ import annotations
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .store import table
+from .store import cut, named, numbered, table
 
 WINDOW = 13
 SAMPLE = 8
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 
 
 class WaveletTree:
@@ -146,16 +148,20 @@ class Phrases:
 def phrases(items: list[tuple[int, str]], window: int = WINDOW) -> Phrases:
     w = W.split_words(pa.array([t or "" for _, t in items], pa.large_string()), W.ALNUM, lower=True)
     vocabulary, symbol = np.unique(w.hash(), return_inverse=True)
-    found: dict[tuple, set] = {}
-    for i, (item, _) in enumerate(items):
-        s = symbol[w.first[i] : w.first[i + 1]].tolist()
-        for j in range(max(1, len(s) - window + 1) if s else 0):
-            found.setdefault(tuple(s[j : j + window]), set()).add(item)
-    rows = np.ones((len(found), window), np.int64)
-    for i, p in enumerate(found):
-        rows[i, : len(p)] = np.array(p) + 2
-    held = [sorted(x) for x in found.values()]
-    return Phrases(vocabulary, rows, np.array([len(p) for p in found], np.int64), np.cumsum([0, *map(len, held)]), np.array([y for x in held for y in x], np.int64))
+    count = w.n_words
+    per_item = np.where(count >= window, count - window + 1, count > 0)
+    of = np.repeat(np.arange(len(items)), per_item)
+    if not len(of):
+        return Phrases(vocabulary, np.zeros((0, window), np.int32), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
+    start = w.first[of] + W.row_slices(np.concatenate(([0], np.cumsum(per_item))))
+    rows = np.full((len(of), window), -1, np.int32)
+    for j in range(window):
+        more = count[of] > j
+        rows[more, j] = symbol[start[more] + j]
+    rows, which = np.unique(rows, axis=0, return_inverse=True)
+    held = np.unique(np.stack((which.reshape(-1), np.array([i for i, _ in items], np.int64)[of]), axis=1), axis=0)
+    length = (rows >= 0).sum(axis=1)
+    return Phrases(vocabulary, np.where(rows >= 0, rows + 2, 1).astype(np.int32), length, np.searchsorted(held[:, 0], np.arange(len(rows) + 1)), held[:, 1])
 
 
 def shard_hits(w: W.Words, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -201,30 +207,37 @@ _ADDED = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.Array
 _OUT = pa.schema([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.int64()))])
 
 
-def _scan(block, column: int):
-    """Adds n_words, spans ([from, to) words, merged) and items to the rows of a shard."""
+def merged(spans: np.ndarray) -> list[list[int]]:
+    """[from, to) rows with those that touch or overlap made one, in order."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    top = np.maximum.accumulate(spans[:, 1])
+    new = np.concatenate(([True], spans[1:, 0] > top[:-1]))
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)
+    return np.stack((spans[new, 0], top[last]), axis=1).tolist()
+
+
+def _scan(block, text: int, further: bool):
+    """Adds n_words, spans ([from, to) words, merged) and items to the rows of a shard; further: to those of the blocks before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Phrases = block.value
         for batch in batches:
-            for part in W.chunks(batch, batch.schema.names[column]):
-                w = W.split_words(part.column(column), W.ALNUM, lower=True)
+            for part in W.chunks(batch, batch.schema.names[text]):
+                own = part.columns[: -len(_ADDED)] if further else part.columns
+                spans, items = (part.column(len(own) + i).to_pylist() if further else [None] * part.num_rows for i in (1, 2))
+                w = W.split_words(part.column(text), W.ALNUM, lower=True)
                 first, which = shard_hits(w, p)
-                spans, items = [None] * part.num_rows, [None] * part.num_rows
                 order = np.argsort(first, kind="stable")
-                text = np.searchsorted(w.first, first[order], side="right") - 1
-                ends = np.flatnonzero(np.diff(text, prepend=-1, append=-1))
+                of = np.searchsorted(w.first, first[order], side="right") - 1
+                ends = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    i = int(text[a])
-                    occ = order[a:b]
-                    s, e = first[occ] - w.first[i], first[occ] + p.length[which[occ]] - w.first[i]
-                    top = np.maximum.accumulate(e)
-                    new = np.concatenate(([True], s[1:] > top[:-1]))
-                    last = np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)
-                    spans[i] = np.stack((s[new], top[last]), axis=1).tolist()
-                    items[i] = np.unique(np.concatenate([p.items[p.item_ptr[x] : p.item_ptr[x + 1]] for x in set(which[occ].tolist())])).tolist()
+                    i, occ = int(of[a]), order[a:b]
+                    found = np.stack((first[occ], first[occ] + p.length[which[occ]]), axis=1) - w.first[i]
+                    spans[i] = merged(np.concatenate((found, np.array(spans[i] or np.zeros((0, 2)), np.int64))))
+                    held = [p.items[p.item_ptr[x] : p.item_ptr[x + 1]] for x in set(which[occ].tolist())]
+                    items[i] = np.unique(np.concatenate([*held, np.array(items[i] or [], np.int64)])).tolist()
                 more = [pa.array(w.n_words.astype(np.int64)), pa.array(spans, _OUT.field(1).type), pa.array(items, _OUT.field(2).type)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *_OUT.names])
+                yield pa.RecordBatch.from_arrays([*own, *more], [*part.schema.names[: len(own)], *_OUT.names])
 
     return run
 
@@ -242,34 +255,16 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int,
     yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text") -> DataFrame:
     """docs with n_words, spans (removal spans in words, merged; null if none) and items (ids found; null if none)."""
-    spark = docs.sparkSession
-    out, column = None, docs.columns.index("text")
+    docs = docs.drop(*_OUT.names, "n_hit", "contaminated")
+    schema, column, out = T.StructType([*docs.schema.fields, *_ADDED]), docs.columns.index(text), None
     for items in _blocks(benchmark, block_words):
-        block = spark.sparkContext.broadcast(phrases(items, window))
-        schema = T.StructType([*docs.schema.fields, *_ADDED])
-        if out is not None:
-            # A further block: a further pass over the documents with what is known so far.
-            known = docs.columns
-            out = out.withColumnsRenamed({"spans": "_spans", "items": "_items"}).drop("n_words")
-            schema = T.StructType([*out.schema.fields, *_ADDED])
-            both = lambda a, b: F.concat(F.coalesce(a, F.array().cast(out.schema[a].dataType)), F.coalesce(b, F.array().cast(out.schema[a].dataType)))  # noqa: E731, B023
-            merged = out.mapInArrow(_scan(block, column), schema).withColumns({"spans": both("_spans", "spans"), "items": F.array_sort(F.array_distinct(both("_items", "items")))})
-            out = merged.withColumns({"spans": F.when(F.size("spans") > 0, _merge("spans")), "items": F.when(F.size("items") > 0, F.col("items"))}).select(*known, "n_words", "spans", "items")
-        else:
-            out = docs.mapInArrow(_scan(block, column), schema)
+        block = docs.sparkSession.sparkContext.broadcast(phrases(items, window))
+        out = docs.mapInArrow(_scan(block, column, False), schema) if out is None else cut(out, "block").mapInArrow(_scan(block, column, True), schema)
     return out
 
 
-def _merge(spans: str) -> F.Column:
-    """Sorted spans with those that touch or overlap made one."""
-    first = lambda acc: F.get(acc, F.lit(0))
-    none = F.array().cast("array<array<int>>")
-    join = lambda acc, s: F.when((F.size(acc) > 0) & (F.get(s, F.lit(0)) <= F.get(first(acc), F.lit(1))), F.concat(F.array(F.array(F.get(first(acc), F.lit(0)), F.greatest(F.get(first(acc), F.lit(1)), F.get(s, F.lit(1))))), F.slice(acc, 2, F.greatest(F.lit(0), F.size(acc) - 1)))).otherwise(F.concat(F.array(s), acc))
-    return F.reverse(F.aggregate(F.array_sort(spans), none, join))
-
-
 N_HIT = "aggregate(coalesce(spans, array()), 0L, (a, s) -> a + s[1] - s[0])"
 
 
@@ -278,17 +273,18 @@ def contaminated(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", F.expr(N_HIT)).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def cut_spans(found: DataFrame) -> DataFrame:
-    """The texts of found without their removal spans; n_chars, if there, counted again; n_words, spans and items go."""
+def cut_spans(found: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The texts of found without their removal spans; n_chars, if it is there as an integer, counted again; n_words, spans and items go."""
     names = found.columns
-    column, spans, n_chars = names.index("text"), names.index("spans"), names.index("n_chars") if "n_chars" in names else None
+    column, spans = names.index(text), names.index("spans")
+    counted = names.index(n_chars) if n_chars in names and isinstance(found.schema[n_chars].dataType, T.IntegralType) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [i for i in range(batch.num_columns) if batch.schema.names[i] not in _OUT.names]
             for part in W.chunks(batch, names[column]):
                 cols, texts = list(part.columns), part.column(column).to_pylist()
-                counts = part.column(n_chars).to_pylist() if n_chars is not None else None
+                counts = part.column(counted).to_pylist() if counted is not None else None
                 for i, held in enumerate(part.column(spans).to_pylist()):
                     if held:
                         raw = texts[i].encode()
@@ -299,12 +295,19 @@ def cut_spans(found: DataFrame) -> DataFrame:
                             counts[i] = len(texts[i])
                 cols[column] = pa.array(texts, part.schema.field(column).type)
                 if counts is not None:
-                    cols[n_chars] = pa.array(counts, part.schema.field(n_chars).type)
+                    cols[counted] = pa.array(counts, part.schema.field(counted).type)
                 yield pa.RecordBatch.from_arrays([cols[i] for i in keep], [part.schema.names[i] for i in keep])
 
     return found.mapInArrow(run, T.StructType([f for f in found.schema.fields if f.name not in _OUT.names]))
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without contaminated documents, and the others without passages of the benchmark; columns of docs, whatever they are called."""
+    rows, names = numbered(docs)
+    found = contaminated(contamination(rows, benchmark, text=names["text"], **options)).filter(~F.col("contaminated"))
+    return named(cut_spans(found.drop("n_hit", "contaminated"), names["text"], names.get("n_chars", "")), names)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
     ids = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda x: x.cast("string")))

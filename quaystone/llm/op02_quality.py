@@ -6,14 +6,15 @@ Features of a whole text: its distinct words hashed to `BUCKETS` (log counts, un
 bucket each, shares of character classes, of repeated words and windows, mean word length, and the
 length as metadata. labels, lang, source and doc_id are never features.
 
-Fitting uses at most `FIT_ROWS` labelled rows (those whose id hashes smallest), a bounded sample that
+Fitting uses at most `FIT_ROWS` labelled documents (those whose id hashes smallest), a bounded sample that
 is collected; scoring maps over documents without a shuffle, with a model of about a megabyte.
 
 Defined cases: null and empty texts are scored by the intercept and the empty structure; a doc_id
 labelled more than once takes the mean of its labels (1 from a half on); null labels and ids do not
 train; with no labels every score is 0.5, with one class the share of ones; repeated rows are scored
-alike; a null doc_id counts as not held out; an empty table gives no rows; columns `score` and
-`predicted` of the input are replaced and others are passed through.
+alike, and an id with several texts trains by the smallest of them; a null doc_id counts as not held out; an empty table gives
+no rows; columns `score` and `predicted` of the input are replaced by `score` and others are passed through; `accepted`
+returns all columns of the input as they were. doc_id is a bigint.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .store import table
+from .store import named, numbered, table
 
 BUCKETS = 1 << 14
 LEVELS = 12
@@ -165,19 +166,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
     known = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    # A bounded sample: fit_rows ids at most.
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
-    found = joined.mapInArrow(run, "doc_id bigint, y int, idx array<int>, val array<float>").limit(2 * fit_rows).toArrow()
+    # A bounded sample: fit_rows ids at most, and a text for each.
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    found = joined.mapInArrow(run, "doc_id bigint, y int, idx array<int>, val array<float>").toArrow()
     cols = [found.column(i).combine_chunks() for i in range(4)]
     rows = [(cols[0][i].as_py(), np.asarray(cols[2][i].values).astype(np.int64), np.asarray(cols[3][i].values).astype(np.float64), cols[1][i].as_py()) for i in range(found.num_rows)]
-    rows.sort(key=lambda r: (r[0], len(r[1])))
+    rows.sort(key=lambda r: r[0])
     return fit([r[1:] for r in rows])
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """docs with score and predicted."""
     docs = docs.drop("score", "predicted")
-    model, column = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index("text")
+    model, column = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,6 +190,12 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the machine does not reject; columns of docs, whatever they are called."""
+    rows, names = numbered(docs)
+    return named(score(rows, machine, threshold, names["text"]).filter("predicted = 1"), names)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = train(docs, table(spark, sf_dir, "labels"))

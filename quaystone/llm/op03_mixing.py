@@ -8,29 +8,30 @@ a keyed permutation of blocks that differs from pass to pass. Without a budget o
 is as large as makes the least repeated source run exactly once, so that no document is lost.
 
 Sources are aggregated before they are shuffled; documents of a source are dealt over blocks by a
-hash, and running sums go over blocks (some thousands a source at most, each of `block_tokens`), so
-that a source with a third of all rows is no task's burden. Five bisection steps are evaluated in
-one pass over the source table.
+hash, and running sums and ranks go over blocks in two levels: over the blocks of each of `RANGES` ranges of
+their hashed order, and over the ranges. So no task holds a source with a third of all rows, nor all its blocks.
+Five bisection steps are evaluated in one pass over the source table.
 
 Defined cases: a null text has no tokens; a null source is a source of its own; documents without
 tokens count one token, so that they stay in the mix; a doc_id that occurs in several rows is so
-many documents; an empty table gives no rows; other columns are ignored.
+many documents; an empty table gives no rows. Other columns are ignored, or carried as they are; a carried column
+that is called as one of the results (`tokens`, `epoch`, `block`, `block_rank`) comes back with `input_` before its name.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import cut, table
+from .store import cut, numbered, table
 
 ENTROPY = 0.98  #: of the entropy of equal shares
 REPEATS = 4.0  #: most passes over a source
 BLOCK_TOKENS = 200_000
 STEPS = 40  #: of bisection
 SEED = 17
+RANGES = 4096  #: of the hashed order of blocks, a power of two
+RESULTS = ("tokens", "epoch", "block", "block_rank")
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -38,8 +39,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", _tokens().alias("tokens"))
 
 
-def _tokens() -> F.Column:
-    return F.array_size(F.split(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")).cast("long")
+def _tokens(text: str = "text") -> F.Column:
+    return F.array_size(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")), " ")).cast("long")
 
 
 def _facts(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
@@ -91,6 +92,19 @@ def weights(counts: DataFrame, entropy: float = ENTROPY, repeats: float = REPEAT
     return weighed.select("source", "total", "weight", (F.col("weight") * F.lit(float(size))).alias("quota"))
 
 
+def _ordered(rows: DataFrame, keys: list[str], order: F.Column, size: F.Column) -> DataFrame:
+    """rows with `before`: the sum of sizes of the rows of the same keys that come first by order (a hash), then block; in two levels."""
+    ranged = rows.withColumns({"at": order, "size_": size}).withColumn("range", F.shiftright("at", 64 - RANGES.bit_length() + 1))
+    whole = ranged.groupBy(*keys, "range").agg(F.sum("size_").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = whole.select(*[F.col(c).alias(f"{c}_") for c in [*keys, "range"]], F.coalesce(earlier, F.lit(0)).alias("offset"))
+    within = F.sum("size_").over(Window.partitionBy(*keys, "range").orderBy("at", "block").rowsBetween(Window.unboundedPreceding, -1))
+    same = F.lit(True)
+    for c in [*keys, "range"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return ranged.withColumn("inner", F.coalesce(within, F.lit(0))).join(offsets, same).withColumn("before", F.col("offset") + F.col("inner")).select(*rows.columns, "before")
+
+
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, carry: bool = False) -> DataFrame:
     """doc_id, source, tokens, epoch, block, block_rank: a row for each time that a document is in the mix.
 
@@ -100,45 +114,20 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     counts = cut(token_counts(docs).withColumn("tokens", F.greatest("tokens", F.lit(1))), "tokens")
     quotas = cut(weights(counts, entropy, repeats, budget), "quotas").withColumnRenamed("source", "s")
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(float(block_tokens)))).cast("long")
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), n_blocks)
-    deal = lambda rows: rows.join(quotas, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block)
+    dealt = lambda rows, doc_id, source: rows.join(quotas, F.col(source).eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.xxhash64(doc_id, F.lit(seed)), n_blocks))
     # Whole passes take every block; the last pass takes blocks, permuted by a hash, until the rest of the quota is spent.
     exact = F.round(F.col("quota") / F.col("total"), 9)
-    blocks = deal(counts).groupBy("source", "block", "total", "quota").agg(F.sum("tokens").alias("size"))
+    blocks = dealt(counts, "doc_id", "source").groupBy("source", "block", "total", "quota").agg(F.sum("tokens").alias("size"))
     planned = blocks.select("source", "block", "size", F.floor(exact).cast("long").alias("whole"), ((exact - F.floor(exact)) * F.col("total")).alias("rest"))
-    order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.col("whole"), F.lit(seed)), "block")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    passes = planned.withColumn("taken", before < F.col("rest")).select("source", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))).alias("epoch"), "whole", "taken")
-    kept = passes.filter((F.col("epoch") < F.col("whole")) | F.col("taken"))
-    ranked = kept.select(F.col("source").alias("s"), F.col("block").alias("b"), "epoch", F.row_number().over(Window.partitionBy("source", "epoch").orderBy(F.xxhash64("block", "epoch", F.lit(seed)), "block")).alias("block_rank"))
-    ranked = cut(ranked, "blocks")
-    rows = docs.withColumn("tokens", F.greatest(_tokens(), F.lit(1))) if carry else counts
-    names = [c for c in rows.columns if c not in ("tokens", "epoch", "block", "block_rank")]
-    dealt = deal(rows.select(*names, "tokens")).drop("s", "total", "weight", "quota")
-    return dealt.join(ranked, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select(*names, "tokens", "epoch", "block", "block_rank")
-
-
-def brute_exponent(totals: list[int], entropy: float = ENTROPY, repeats: float = REPEATS) -> float:
-    """For tests: the same exponent by plain bisection in Python."""
-    p = [t / sum(totals) for t in totals]
-
-    def fact(a):
-        w = [x**a for x in p]
-        z = sum(w)
-        h = math.log(z) - sum(x * math.log(x) for x in w) / z
-        r = [y / x for x, y in zip(p, w, strict=True)]
-        return (h / math.log(len(p)) if len(p) > 1 else 1.0), max(r) / min(r)
-
-    def search(holds):
-        low, high = 0.0, 1.0
-        for _ in range(STEPS):
-            mid = (low + high) / 2
-            low, high = (mid, high) if holds(*fact(mid)) else (low, mid)
-        return low
-
-    a = 1.0 if fact(1.0)[0] >= entropy else search(lambda h, r: h >= entropy)
-    least = 0.0 if fact(0.0)[1] <= repeats else search(lambda h, r: r > repeats) + 2.0**-STEPS
-    return min(1.0, max(a, least))
+    last = _ordered(planned, ["source"], F.xxhash64("block", F.col("whole"), F.lit(seed)), F.col("size"))
+    passes = last.withColumn("taken", F.col("before") < F.col("rest")).select("source", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))).alias("epoch"), "whole", "taken")
+    kept = cut(passes.filter((F.col("epoch") < F.col("whole")) | F.col("taken")).select("source", "block", "epoch"), "passes")
+    ranked = _ordered(kept, ["source", "epoch"], F.xxhash64("block", "epoch", F.lit(seed)), F.lit(1).cast("long"))
+    ranked = cut(ranked.select(F.col("source").alias("of"), F.col("block").alias("b"), "epoch", (F.col("before") + 1).cast("int").alias("block_rank")), "blocks")
+    rows, names = numbered(docs if carry else counts)
+    tokens = F.greatest(_tokens(names["text"]), F.lit(1)) if carry else F.col(names.pop("tokens"))
+    placed = dealt(rows.withColumn("n", tokens), names["doc_id"], names["source"]).join(ranked, F.col(names["source"]).eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")))
+    return placed.select(*[F.col(now).alias(f"input_{c}" if c in RESULTS else c) for c, now in names.items()], F.col("n").alias("tokens"), "epoch", "block", "block_rank")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ Scanning maps over documents without a shuffle; the model and the table are a fe
 
 Defined cases: a null or empty text has no findings and stays as it is; overlapping findings do not
 occur; repeated rows and doc_ids are scanned each for itself; an empty table gives no rows; other
-columns pass through redaction unchanged, but for n_chars, which is counted again where present.
+columns pass through redaction unchanged, but for n_chars, which is counted again where it is an integer. doc_id is a bigint.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words as W
 from .store import table
@@ -67,8 +68,11 @@ def trigram_table(docs: DataFrame, share: float = 0.95) -> np.ndarray:
         total = np.zeros(26**3, np.int64)
         for batch in batches:
             for part in W.chunks(batch, "text"):
-                x = _letters(W.split_words(part.column(0), W.SPACED).buf)
+                w = W.split_words(part.column(0), W.SPACED)
+                x = _letters(w.buf)
                 ok = (x[:-2] >= 0) & (x[1:-1] >= 0) & (x[2:] >= 0)
+                for back in (1, 2):  # none across texts
+                    ok[np.maximum(w.text_start[1:-1] - back, 0)[w.text_start[1:-1] >= back]] = False
                 total += np.bincount((x[:-2] * 676 + x[1:-1] * 26 + x[2:])[ok], minlength=26**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["trigram", "n"])
@@ -378,11 +382,13 @@ def scan(docs: DataFrame, findings: list | None = None, threshold: float = 0.5)
         for batch in batches:
             for part in W.chunks(batch, "text"):
                 of, found = _findings(part.column(1), *model.value, threshold)
-                ids, rows = part.column(0), []
+                ids, rows, last = part.column(0), [], None
                 for i, (s, e, p) in zip(of.tolist(), found, strict=True):
-                    raw = part.column(1)[i].as_py().encode()
-                    start, text = len(raw[:s].decode()), raw[s:e].decode()
-                    rows.append((ids[i].as_py(), start, start + len(text), text, p, p >= threshold))
+                    if i != last:  # findings are in order: each text is encoded once, and counted up to where it was left
+                        last, raw, at, chars = i, part.column(1)[i].as_py().encode(), 0, 0
+                    chars += len(raw[at:s].decode())
+                    text, at = raw[s:e].decode(), s
+                    rows.append((ids[i].as_py(), chars, chars + len(text), text, p, p >= threshold))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "from_char", "to_char", "candidate", "score", "is_secret"])
@@ -393,7 +399,7 @@ def scan(docs: DataFrame, findings: list | None = None, threshold: float = 0.5)
 def redact(docs: DataFrame, findings: list | None = None, threshold: float = 0.5, mark: str = MARK) -> DataFrame:
     """docs with every secret replaced by a mark, in the same columns."""
     model, column = _model(docs, findings), docs.columns.index("text")
-    n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

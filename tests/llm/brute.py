@@ -1,9 +1,13 @@
 """Plain Python versions of the operators, for small fixtures."""
 
 import hashlib
+import math
 import re
+import struct
 from collections import Counter, defaultdict
 
+import xxhash
+
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
@@ -77,3 +81,63 @@ def op1(docs, items):
                     found |= by[x]
         out[d] = (len(w), sum(hit), len(found), sha(",".join(sorted(map(str, found)))), sum(hit) > 0 and 20 * sum(hit) >= len(w))
     return out
+
+
+def op3_exponent(totals, entropy, repeats, steps=40):
+    """The largest exponent that reaches the entropy, raised as far as the limit on repetition asks: plain bisection."""
+    p = [t / sum(totals) for t in totals]
+
+    def fact(a):
+        w = [x**a for x in p]
+        z = sum(w)
+        h = math.log(z) - sum(x * math.log(x) for x in w) / z
+        r = [y / x for x, y in zip(p, w, strict=True)]
+        return (h / math.log(len(p)) if len(p) > 1 else 1.0), max(r) / min(r)
+
+    def search(holds):
+        low, high = 0.0, 1.0
+        for _ in range(steps):
+            mid = (low + high) / 2
+            low, high = (mid, high) if holds(*fact(mid)) else (low, mid)
+        return low
+
+    a = 1.0 if fact(1.0)[0] >= entropy else search(lambda h, r: h >= entropy)
+    least = 0.0 if fact(0.0)[1] <= repeats else search(lambda h, r: r > repeats) + 2.0**-steps
+    return min(1.0, max(a, least))
+
+
+def long_hash(*values, seed=42):
+    """Spark's xxhash64 of (value, bytes) pairs."""
+    for v, n in values:
+        seed = xxhash.xxh64(struct.pack("<q" if n == 8 else "<i", v), seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def op3(docs, entropy=0.98, repeats=4.0, block_tokens=200_000, seed=17):
+    """docs: (doc_id, source, text) -> sorted (doc_id, tokens, epoch, block, block_rank)"""
+    tokens = [max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for _, _, t in docs]
+    total = Counter()
+    for (_, s, _), n in zip(docs, tokens, strict=True):
+        total[s] += n
+    a = op3_exponent(list(total.values()), entropy, repeats)
+    every = sum(total.values())
+    power = {s: (n / every) ** a for s, n in total.items()}
+    least = min(power[s] / n for s, n in total.items())
+    out = []
+    for s, n in total.items():
+        exact = round(power[s] / least / n, 9)
+        n_blocks = max(1, math.ceil(n / block_tokens))
+        blocks = defaultdict(list)
+        for (d, o, _), k in zip(docs, tokens, strict=True):
+            if o == s:
+                blocks[long_hash((d, 8), (seed, 4)) % n_blocks].append((d, k))
+        whole = math.floor(exact)
+        spent, last = 0, set()
+        for b in sorted(blocks, key=lambda b: (long_hash((b, 8), (whole, 8), (seed, 4)), b)):
+            if spent < (exact - whole) * n:
+                last.add(b)
+            spent += sum(k for _, k in blocks[b])
+        for epoch in range(whole + 1):
+            used = sorted((b for b in blocks if epoch < whole or b in last), key=lambda b: (long_hash((b, 8), (epoch, 8), (seed, 4)), b))
+            out += [(d, k, epoch, b, rank) for rank, b in enumerate(used, 1) for d, k in blocks[b]]
+    return sorted(out)

@@ -116,6 +116,42 @@ def test_near_dedup_repeated_ids_nulls_empty(spark):
     assert sorted(x.doc_id for x in kept.collect()) == [3, 8] and kept.columns == frame(spark, []).columns
 
 
+def test_keep_one_decides_by_row(spark):
+    """Rows that repeat a doc_id with other texts stay or go by their own texts; of equal rows one stays."""
+    a, b, c = (" ".join(vocabulary(50, i)) for i in (31, 32, 33))
+    some = lambda rows: sorted(((r.doc_id, r.text) for r in op9.keep_one(frame(spark, [t for _, t in rows], [d for d, _ in rows])).collect()), key=str)
+    assert some([(1, a), (5, b), (5, a)]) == [(1, a), (5, b)]
+    assert some([(5, b), (5, a)]) == sorted([(5, a), (5, b)])
+    assert some([(5, a), (5, a), (None, b), (None, b), (None, a), (7, None), (7, "")]) == sorted([(5, a), (None, b), (7, None)], key=str)
+    # Two classes whose smallest id is the same are two classes.
+    near = " ".join(b.split()[:48])
+    got = op9.near_dedup(frame(spark, [a, b, near, c], [5, 5, 6, 7])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 7, True)]
+    assert some([(5, a), (5, b), (6, near), (7, c)]) == sorted([(5, a), (5, b), (7, c)])
+
+
+def test_keep_one_repeated_ids_against_brute(spark):
+    r = random.Random(34)
+    texts = [t for t in awkward(35) if t]
+    rows = [(r.randint(0, 30), r.choice(texts)) for _ in range(150)]
+    # Every row is a document: a group's name is its smallest id, and a row stays if it has that id.
+    comps = brute.op9([((d, i), t) for i, (d, t) in enumerate(rows)])
+    want = {(d, frozenset(brute.shingles(t))) for i, (d, t) in enumerate(rows) if comps[d, i][1][0] == d}
+    kept = op9.keep_one(frame(spark, [t for _, t in rows], [d for d, _ in rows])).collect()
+    assert len(kept) == len(want) and {(x.doc_id, frozenset(brute.shingles(x.text))) for x in kept} == want
+
+
+def test_near_dedup_hot_keys_and_other_ids(spark):
+    """Bands held by many documents are dealt over partitions; doc_id may be a string, and columns of any name may come along."""
+    base = vocabulary(120, 36)
+    texts = [" ".join(w if (i * 7 + j) % 61 else f"{w}{i}" for j, w in enumerate(base)) for i in range(90)] + [" ".join(vocabulary(60, 40 + i)) for i in range(30)]
+    rows = [(f"d{i:03}", t, "clash", i) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, id string, component int")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in op9.near_dedup(docs, share=1 / 64, least=5).collect()}
+    assert got == brute.op9([(d, t) for d, t, _, _ in rows]) and len({c for _, c in got.values()}) < 100
+    assert op9.keep_one(docs).columns == docs.columns
+
+
 # 1 ------------------------------------------------------------------------------------------------
 
 
@@ -160,6 +196,14 @@ def test_cut_spans_and_empty_benchmark(spark):
     assert rows == {0: ("before. ! after", 15), 1: ("clean", 5), 2: (None, 0)}
     assert {r.n_hit for r in op1.contaminated(op1.contamination(docs, bench.limit(0))).collect()} == {0}
     assert op1.contamination(docs.limit(0), bench).count() == 0
+    # Columns called as anything inside the operator come back as they were.
+    names = ["spans", "items", "n_words", "n_hit", "contaminated", "c0", "c1", "score"]
+    clash = docs.withColumns({c: F.lit(f"own {c}") for c in names}).withColumn("n_chars", F.lit("own"))
+    for block_words in (10**6, 1):
+        out = op1.decontaminate(clash, bench.union(bench), block_words=block_words)
+        assert out.columns == clash.columns and out.dtypes == clash.dtypes
+        assert {r.doc_id for r in out.collect()} == {1, 2} and all(r[c] == f"own {c}" for r in out.collect() for c in names)
+    assert {r.n_hit for r in op1.contaminated(op1.contamination(clash, bench)).collect()} == {14, 0}
 
 
 # 7 ------------------------------------------------------------------------------------------------
@@ -209,7 +253,7 @@ def test_mixing(spark):
     docs = spark.createDataFrame(rows, DOCS)
     mixed = op3.mix(docs, block_tokens=500).toPandas()
     totals = docs.withColumn("t", F.greatest(F.lit(1), F.when(F.col("text") > "", 50).otherwise(1))).groupBy("source").agg(F.sum("t").alias("t")).toPandas()
-    a = op3.brute_exponent(totals.t.tolist())
+    a = brute.op3_exponent(totals.t.tolist(), op3.ENTROPY, op3.REPEATS)
     quota = totals.assign(q=totals.t**a)
     quota["passes"] = quota.q / quota.t / (quota.q / quota.t).min()
     assert mixed.doc_id.nunique() == 802  # nothing is lost
@@ -218,13 +262,27 @@ def test_mixing(spark):
     for r in quota.itertuples():
         assert abs(taken[r.source or "-"] - r.passes * r.t) <= 550
     assert not mixed.duplicated(["doc_id", "epoch"]).any()
-    orders = mixed[mixed.source == "big"].groupby("epoch").apply(lambda g: tuple(g.drop_duplicates("block").sort_values("block_rank").block))
-    assert len(orders) == 1 and sorted(orders[0]) != list(orders[0])
-    carried = op3.mix(docs.withColumn("epoch", F.lit("clash")), block_tokens=500, carry=True)
-    assert carried.count() == len(mixed) and "text" in carried.columns
+    big = mixed[mixed.source == "big"].drop_duplicates("block").sort_values("block_rank").block.tolist()
+    assert set(mixed[mixed.source == "big"].epoch) == {0} and sorted(big) != big
+    names = ["epoch", "total", "s", "b", "weight", "quota", "n", "c0", "of", "before", "range"]
+    carried = op3.mix(docs.withColumns({c: F.lit(f"own {c}") for c in names}), block_tokens=500, carry=True).toPandas()
+    assert len(carried) == len(mixed) and set(carried.input_epoch) == {"own epoch"} and all(set(carried[c]) == {f"own {c}"} for c in names[1:])
+    own = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    assert sorted(mixed[["doc_id", "tokens", "epoch", "block", "block_rank"]].itertuples(index=False, name=None)) == brute.op3(own, block_tokens=500)
     assert op3.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_query(spark):
+    """Every row of the query, with ties, a very long text and a source in one block."""
+    rows = [(r.doc_id, r.source, r.text) for r in op3.table(spark, SF, "documents").collect()]
+    got = sorted((r.doc_id, r.tokens, r.epoch, r.block, r.block_rank) for r in op3.op3_mixing(spark, SF).collect())
+    assert got == brute.op3(rows)
+    rows = [(i % 90, "a" if i % 3 else None, "w " * (30_000 if i == 7 else i % 5)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    got = sorted((r.doc_id, r.tokens, r.epoch, r.block, r.block_rank) for r in op3.mix(docs, block_tokens=100).collect())
+    assert got == brute.op3(rows, block_tokens=100)
+
+
 def test_mixing_budget_and_one_source(spark):
     docs = spark.createDataFrame([(i, "w " * 100, "en", "one", 1) for i in range(100)], DOCS)
     assert op3.mix(docs, block_tokens=500).groupBy("epoch").count().collect()[0]["count"] == 100
