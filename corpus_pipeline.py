@@ -9,7 +9,6 @@ repeated rows, empty tables and columns with clashing names.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quaystone.llm import op01_decontaminate, op02_quality, op03_mixing, op08_secrets, op09_near_dedup
 from quaystone.llm.store import cut, table
@@ -18,7 +17,7 @@ from quaystone.llm.store import cut, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     machine = op02_quality.train(docs, table(spark, sf_dir, "labels"))
-    return op02_quality.score(docs, machine).filter("predicted = 1").select(*docs.columns)
+    return op02_quality.accepted(docs, machine)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; passages of the benchmark go from the others."""
-    found = op01_decontaminate.contaminated(op01_decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
-    return op01_decontaminate.cut_spans(found.filter(~F.col("contaminated")).drop("n_hit", "contaminated"))
+    return op01_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
