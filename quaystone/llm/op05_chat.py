@@ -2,14 +2,17 @@
 
 `format_turns` turns (conv_id, turn, role, text) rows into text segments with a loss flag each;
 the concatenation of a conversation's segments is the training text. `read_back` parses that text
-again. Both stream: rows arrive sorted by conversation and turn, and a task holds one turn at a
+again: it finds turns by the template's marks in the text as it runs on, whatever segments it is cut in, and the
+machine judges the roles that it reads; beside the text it knows the loss mask alone. Both stream: rows arrive sorted
+by conversation and turn, and a task holds one turn at a
 time, so that a conversation of any length needs no more memory than its longest turn. (A digest
 over a conversation has to see its turns in order, so one conversation stays in one task.)
 
 Defined cases: a null text or role counts as empty; rows of a conversation go by turn (nulls
 first), then role, then text; repeated rows are turns of their own; a null conv_id is one
 conversation; an empty table gives no rows; other columns are ignored. A conversation whose roles
-the machine rejects is formatted all the same, with `valid` false.
+the machine rejects is formatted all the same, with `valid` false. The query adds conversation -1; turns that the table has
+under that id are turns of the same conversation. conv_id is a bigint.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ class Template:
 
 
 CHATML = Template()
-_SEGMENT = "conv_id bigint, segment string, loss boolean, role_ok boolean, turn_end boolean"
+_SEGMENT = "conv_id bigint, segment string, loss boolean"
 
 
 def escape(text: str) -> str:
@@ -73,20 +76,15 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iter
 
 def format_turns(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     """Segments of every conversation, in order within a partition: three a turn (opening, text, closing)."""
-    schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_()), ("role_ok", pa.bool_()), ("turn_end", pa.bool_())])
+    schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.string()), ("loss", pa.bool_())])
 
     def segments(batches):
         def rows():
-            conv, state, begun = None, "", False
             for batch in batches:
                 for conv_id, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    if not begun or conv_id != conv:
-                        conv, state, begun = conv_id, "", True
-                    ok = role in template.follows.get(state, ())
-                    state = role
-                    yield conv_id, template.opening + escape_role(role) + template.role_end, False, ok, False
-                    yield conv_id, escape(text), role in template.learnt, ok, False
-                    yield conv_id, template.closing + template.turn_end, False, ok, True
+                    yield conv_id, template.opening + escape_role(role) + template.role_end, False
+                    yield conv_id, escape(text), role in template.learnt
+                    yield conv_id, template.closing + template.turn_end, False
 
         return _batches(rows(), schema)
 
@@ -95,38 +93,65 @@ def format_turns(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     return dealt.select("conv_id", "role", "text").mapInArrow(segments, _SEGMENT)
 
 
+class Reader:
+    """Reads one conversation's text as it comes: what is held is the turn that has not ended."""
+
+    def __init__(self, template: Template):
+        self.template, self.end = template, template.closing + template.turn_end
+        self.held, self.mask = "", []  #: text, and where in it the loss mask is on
+        self.n_turns = self.n_chars = self.n_learnt = 0
+        self.turns, self.learnt = hashlib.sha256(), hashlib.sha256()
+        self.state, self.valid = "", True
+
+    def read(self, segment: str, loss: bool) -> None:
+        looked = max(0, len(self.held) - len(self.end) + 1)
+        if loss and segment:
+            self.mask.append((len(self.held), len(self.held) + len(segment)))
+        self.held += segment
+        self.n_chars += len(segment)
+        while (at := self.held.find(self.end, looked)) >= 0:
+            self._turn(self.held[:at])
+            gone = at + len(self.end)
+            self.held, looked = self.held[gone:], 0
+            self.mask = [(a - gone, b - gone) for a, b in self.mask if b > gone]
+
+    def _turn(self, turn: str) -> None:
+        head, found, text = turn.removeprefix(self.template.opening).partition(self.template.role_end)
+        if not turn.startswith(self.template.opening) or not found or self.template.opening in text:
+            raise ValueError("a formatted turn does not read back")
+        role = unescape_role(head)
+        begin = len(turn) - len(text)
+        if any(a < begin or b > len(turn) for a, b in self.mask if a < len(turn)):
+            raise ValueError("the loss mask covers more than a text")
+        learnt = unescape("".join(turn[a:b] for a, b in self.mask if a < len(turn)))
+        self.turns.update(f"{role}\n{unescape(text)}\n".encode())
+        self.learnt.update(learnt.encode())
+        self.n_turns, self.n_learnt = self.n_turns + 1, self.n_learnt + len(learnt)
+        self.valid &= role in self.template.follows.get(self.state, ())
+        self.state = role
+
+    def done(self) -> tuple:
+        if self.held:
+            raise ValueError("a formatted conversation does not end with a turn")
+        return self.n_turns, self.turns.hexdigest(), self.n_learnt, self.learnt.hexdigest(), self.n_chars, self.valid and self.state in self.template.last
+
+
 def read_back(segments: DataFrame, template: Template = CHATML) -> DataFrame:
-    """One row a conversation, from the formatted text and its loss flags alone."""
+    """One row a conversation, from the formatted text and its loss mask alone."""
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())])
 
     def digests(batches):
         def rows():
-            at = None
+            conv, reader = None, None
             for batch in batches:
-                for conv_id, segment, loss, ok, turn_end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if at is None or conv_id != at[0]:
-                        if at is not None:
-                            yield done(*at)
-                        at = [conv_id, "", 0, hashlib.sha256(), 0, hashlib.sha256(), 0, True, ""]
-                    at[1] += segment
-                    at[6] += len(segment)
-                    if loss:
-                        learnt = unescape(segment)
-                        at[4] += len(learnt)
-                        at[5].update(learnt.encode())
-                    if turn_end:
-                        head, _, rest = at[1].removeprefix(template.opening).partition(template.role_end)
-                        role = unescape_role(head)
-                        text, _, left = rest.partition(template.closing)
-                        if left != template.turn_end or not at[1].startswith(template.opening):
-                            raise ValueError("a formatted turn does not read back")
-                        at[3].update(f"{role}\n{unescape(text)}\n".encode())
-                        at[1], at[2], at[7], at[8] = "", at[2] + 1, at[7] and ok, role
-            if at is not None:
-                yield done(*at)
-
-        def done(conv_id, _, n, turns, chars, learnt, total, ok, role):
-            return conv_id, n, turns.hexdigest(), chars, learnt.hexdigest(), total, ok and role in template.last
+                for conv_id, segment, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if reader is None or conv_id != conv:
+                        if reader is not None:
+                            yield conv, *reader.done()
+                        conv, reader = conv_id, Reader(template)
+                    reader.read(segment, loss)
+            if reader is not None:
+                yield conv, *reader.done()
 
         return _batches(rows(), schema)
 

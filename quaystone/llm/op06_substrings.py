@@ -9,12 +9,15 @@ counted, and confirmed word by word. Words under a window counted twice or more
 Two things keep a passage or text that a third of all documents share from landing in one task:
 within a task's shard, a window met twice is known to repeat and only one representative of it
 travels on; and grams frequent in the corpus (found first, by counts that each shard reports for
-its most frequent grams; at most 2 / `FREQUENT` exist) come last in the order of minimisers, so that a window
-with anything rare in it goes by that. Buckets are as many as the words demand, of a fixed size.
+its most frequent grams) come last in the order of minimisers, so that a window
+with anything rare in it goes by that. Buckets are as many as the words demand, of `BUCKET_WORDS` on average.
+A gram that is not frequent but would fill a bucket alone (more than `BUCKET_WORDS` / 64 occurrences, and `HEAVY` of all)
+is split: its windows go by it and by their minimiser in a second order, so that equal windows still meet. Lists of
+such grams are broadcast; at most 1 / `HEAVY` exist, 2 MB.
 
 Defined cases: a null or empty text has no words; texts under k words have no windows; repeated
 rows and repeated doc_ids are documents of their own, and their windows repeat; an empty table gives
-no rows; other columns are ignored. Rows are numbered by their place in the input, so that must be
+no rows; other columns are ignored. doc_id is a bigint. Rows are numbered by their place in the input, so that must be
 something that reads the same twice, as a stored table does.
 """
 
@@ -36,21 +39,22 @@ from .store import cut, table
 K = 35  #: words in a window
 M = 4  #: words in a minimiser
 FREQUENT = 1 / 4096  #: share of all grams from which a gram is frequent
+HEAVY = 1 / 262_144  #: and from which its bucket may be split
 BUCKET_WORDS = 1_000_000  #: words of the corpus to a bucket
 _FAR = np.uint64(1) << np.uint64(63)
 
 
-def _frequent(shards: DataFrame, m: int, share: float) -> tuple[np.ndarray, int]:
-    """Hashes of frequent grams (at most 2 / share of them, a bounded set), and the number of words."""
+def _frequent(shards: DataFrame, m: int, share: float, heavy: float, bucket_words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of frequent and of heavy grams (at most 1 / heavy of them, a bounded set), and the number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.chunks(batch, "text"):
+            for part in W.chunks(batch, "text", 8 << 20):
                 w = W.split_words(part.column(0), W.SPACED)
                 g = W.windows(w.hash(), m)
                 g = g[W.within(w.first, m, len(g))]
                 value, n = np.unique(g, return_counts=True)
-                often = n >= max(2, len(g) * share / 2)
+                often = n >= max(4 if share < 1 / 1000 else 2, len(g) * heavy)
                 value, n = np.append(value[often], W.U64(0)), np.append(n[often], 0)
                 total = np.zeros(len(n), np.int64)
                 total[-1] = len(w.start)
@@ -59,19 +63,27 @@ def _frequent(shards: DataFrame, m: int, share: float) -> tuple[np.ndarray, int]
     counted = shards.select("text").mapInArrow(count, "gram bigint, n bigint, words bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     counted = cut(counted, "grams")
     total = counted.agg(F.sum("words").alias("t")).first().t or 0
-    often = counted.filter(F.col("n") > max(50, total * share)).select("gram").collect()
-    return np.sort(np.array([r.gram for r in often], dtype=np.int64).view(np.uint64)), total
+    often, many = max(50, total * share), max(50, bucket_words / 64, total * heavy)
+    found = counted.filter(F.col("n") > min(often, many)).select("gram", "n").toArrow()
+    gram, n = (np.asarray(found.column(i).combine_chunks(), dtype=np.int64) for i in (0, 1))
+    gram = gram.view(np.uint64)
+    return np.sort(gram[n > often]), np.sort(gram[(n > many) & (n <= often)]), total
 
 
 def _order(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """What minimisers are smallest by: frequent grams after all others."""
     out = grams >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        out[frequent[at] == grams] |= _FAR
+    out[_among(grams, frequent)] |= _FAR
     return out
 
 
+def _among(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which values are among those held (sorted)."""
+    if not len(held):
+        return np.zeros(len(values), bool)
+    return held[np.minimum(np.searchsorted(held, values), len(held) - 1)] == values
+
+
 def _minimisers(order: np.ndarray, span: int) -> np.ndarray:
     """Position of the first smallest of each `span` consecutive values (by doubling)."""
     n = len(order) - span + 1
@@ -129,7 +141,7 @@ def _blob(w: W.Words, data: bytes, start: np.ndarray, n_words: np.ndarray, row:
     return zstandard.compress(head + n_words.astype("<i4").tobytes() + np.diff(row, prepend=0).astype("<i8").tobytes() + word.astype("<i4").tobytes() + ask.astype("<i1").tobytes() + _pack(data, w.start[start], w.end[start + n_words - 1]), 3)
 
 
-def _super_kmers(k: int, m: int, frequent: np.ndarray, n_buckets: int):
+def _super_kmers(k: int, m: int, frequent: np.ndarray, heavy: np.ndarray, n_buckets: int):
     """Shard -> (bucket, blob) rows; `known` has the ranges found to repeat within the shard, to be passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,14 +164,22 @@ def _super_kmers(k: int, m: int, frequent: np.ndarray, n_buckets: int):
         again[at], first[at] = again_at, first_at
         grams = W.windows(h, m)
         place = _minimisers(_order(grams, frequent), k - m + 1)
+        # What windows are dealt by: their minimiser, and for heavy ones that of a second order too.
+        second = np.zeros(len(place), np.int64)
+        split = _among(grams[place], heavy)
+        if split.any():
+            other = W.mix(grams ^ W.U64(0xA0761D6478BD642F))
+            second[split] = _minimisers(np.where(_among(grams, frequent), other | _FAR, other >> W.U64(1)), k - m + 1)[split] + 1
         # A super-k-mer: consecutive windows of one text that are first of their kind, agree on the minimiser, and agree on whether an answer is wanted.
         breaks = np.ones(len(ok) + 1, bool)
-        breaks[1:-1] = (place[1:] != place[:-1]) | (first[1:] != first[:-1]) | (again[1:] != again[:-1]) | (text[1 : len(ok)] != text[: len(ok) - 1])
+        breaks[1:-1] = (place[1:] != place[:-1]) | (second[1:] != second[:-1]) | (first[1:] != first[:-1]) | (again[1:] != again[:-1]) | (text[1 : len(ok)] != text[: len(ok) - 1])
         edges = np.flatnonzero(breaks)
         begin, end = edges[:-1], edges[1:]
         use = first[begin]
         begin, end = begin[use], end[use]
-        bucket = (W.mix(grams[place[begin]] ^ W.U64(0x5851F42D4C957F2D)) % W.U64(n_buckets)).astype(np.int64)
+        dealt = grams[place[begin]] ^ W.U64(0x5851F42D4C957F2D)
+        dealt = np.where(second[begin] > 0, dealt ^ W.mix(grams[np.maximum(second[begin] - 1, 0)]), dealt)
+        bucket = (W.mix(dealt) % W.U64(n_buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
         ids, blobs, data = [], [], w.buf.tobytes()
@@ -232,11 +252,11 @@ def _count_bucket(k: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, share: float = FREQUENT, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def repeated_ranges(docs: DataFrame, k: int = K, m: int = M, share: float = FREQUENT, heavy: float = HEAVY, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     """(row, from_word, to_word) of word ranges under windows that occur elsewhere; docs: row, text."""
-    frequent, total = _frequent(docs, m, share)
+    frequent, split, total = _frequent(docs, m, share, heavy, bucket_words)
     n_buckets = max(16, -(-total // bucket_words))
-    shipped = docs.select("row", "text").mapInArrow(_super_kmers(k, m, frequent, n_buckets), "bucket bigint, blob binary, known binary")
+    shipped = docs.select("row", "text").mapInArrow(_super_kmers(k, m, frequent, split, n_buckets), "bucket bigint, blob binary, known binary")
     return shipped.groupBy("bucket").applyInArrow(_count_bucket(k), "row bigint, from_word int, to_word int")
 
 

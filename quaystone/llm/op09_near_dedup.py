@@ -53,13 +53,13 @@ SMALL = 24
 AGREE = 0.55  #: of a signature's values
 HOT, HOT_LEAST = 1 / 4096, 1000
 NAMES = 2147483647  #: a class is named by its smallest doc_id and its set's hash modulo this
-#: Spark's own filter ahead of a join, of 4 MB whatever the input: texts of most documents without a candidate stay where they are.
+#: Spark's own filter ahead of a join, of 1 MB whatever the input: texts of most documents without a candidate stay where they are.
 BLOOM = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1pb",
-    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
-    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 25),
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "1000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 23),
 }
 FREQUENT = 1 / 256  #: share of a shard's documents from which a shingle counts as frequent
 

@@ -8,7 +8,9 @@ payload that a third of all pages share is folded on the map side and crosses th
 
 Defined cases: a null html is an empty payload; payloads under `least` bytes are always responses;
 rows that repeat a page_id with the same payload are all responses if that id is the smallest; a
-null page_id or url is written as such and read back as null; an empty table gives an empty archive.
+null page_id or url is written as such and read back as null, an empty url as empty; a url with line breaks is written with
+them (and percent signs) as percent codes and a header line that says so, and read back as it was; very long payloads are
+stored whole; other columns are ignored; an empty table gives an empty archive. page_id is a bigint.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from .store import new_path, table
 
 LEAST = 100  #: bytes from which an equal payload is revisited
 CRLF = "\r\n"
+CODED = "X-Target-URI-Percent-Coded"
 
 
 def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -33,13 +36,15 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def _header(date: str) -> F.Column:
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
-    url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    broken = F.coalesce(F.col("url").rlike("[\r\n]"), F.lit(False))
+    url = F.when(broken, F.replace(F.replace(F.replace(F.col("url"), F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))).otherwise(F.col("url"))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", urn("page_id")),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", url),
+        line(CODED, F.when(broken, "true")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("WARC-Refers-To", urn("refers_to")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -59,8 +64,10 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """What the header bytes say."""
     text = F.col("header").cast("string")
     get = lambda name, value="([^\\r]*)": F.nullif(F.regexp_extract(text, rf"\n{name}: {value}\r\n", 1), F.lit(""))
+    written = F.when(text.rlike("\nWARC-Target-URI: "), F.regexp_extract(text, "\nWARC-Target-URI: ([^\r]*)\r\n", 1))
+    url = F.when(text.rlike(f"\n{CODED}: "), F.replace(F.replace(F.replace(written, F.lit("%0A"), F.lit("\n")), F.lit("%0D"), F.lit("\r")), F.lit("%25"), F.lit("%"))).otherwise(written)
     return spark.read.schema("header binary, digest string").parquet(f"{path}/headers").select(
-        get("WARC-Record-ID", "<urn:page:(-?\\d+)>").cast("long").alias("page_id"), get("WARC-Target-URI").alias("url"), get("WARC-Type").alias("record_type"),
+        get("WARC-Record-ID", "<urn:page:(-?\\d+)>").cast("long").alias("page_id"), url.alias("url"), get("WARC-Type").alias("record_type"),
         get("WARC-Refers-To", "<urn:page:(-?\\d+)>").cast("long").alias("refers_to"), get("WARC-Payload-Digest", "sha256:([0-9a-f]{64})").alias("payload_digest"), "header",
     )
 
@@ -82,18 +89,26 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     archive(table(spark, sf_dir, "pages"), path)
-    return restore(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rebuilt = (F.octet_length("record").cast("long").alias("record_bytes"), F.sha2("record", 256).alias("record_sha256"))
+    return restore(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *rebuilt)
 
 
+#: The record's header lines and payload, written out.
 ORACLE = """
 WITH rec AS (
-  SELECT page_id, coalesce(html, '') AS payload FROM pages),
+  SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
 sized AS (
-  SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM rec),
+  SELECT page_id, url, payload, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM rec),
 firsts AS (
-  SELECT payload_digest, min(page_id) AS first_id FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
-FROM sized LEFT JOIN firsts USING (payload_digest)
+  SELECT payload_digest, min(page_id) AS first_id FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest),
+told AS (
+  SELECT page_id, url, payload, payload_bytes, payload_digest, first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again, first_id
+  FROM sized LEFT JOIN firsts USING (payload_digest)),
+records AS (
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to,
+    'WARC/1.1' || crlf || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || crlf || coalesce('WARC-Record-ID: <urn:page:' || page_id || '>' || crlf, '') || 'WARC-Date: 1970-01-01T00:00:00Z' || crlf
+    || coalesce('WARC-Target-URI: ' || url || crlf, '') || 'WARC-Payload-Digest: sha256:' || payload_digest || crlf || CASE WHEN again THEN 'WARC-Refers-To: <urn:page:' || first_id || '>' || crlf ELSE '' END
+    || 'Content-Type: text/html; charset=utf-8' || crlf || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE payload_bytes END || crlf || crlf || CASE WHEN again THEN '' ELSE payload END || crlf || crlf AS record
+  FROM told, (SELECT chr(13) || chr(10) AS crlf))
+SELECT page_id, payload_bytes, payload_digest, record_type, refers_to, CAST(octet_length(encode(record)) AS BIGINT) AS record_bytes, sha256(record) AS record_sha256 FROM records
 """

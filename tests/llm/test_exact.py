@@ -74,6 +74,17 @@ def test_substrings_one_frequent_passage(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == dict(enumerate(brute.op6(texts)))
 
 
+def test_substrings_heavy_grams(spark):
+    """Grams that would fill a bucket alone are split by a second order of minimisers."""
+    v = vocabulary(90, 50)
+    r = random.Random(51)
+    passage = " ".join(r.choice(v) for _ in range(45))
+    texts = [f"{' '.join(r.choice(v) for _ in range(60))} the same four words {' '.join(r.choice(v) for _ in range(60))}{' ' + passage if i % 9 == 0 else ''}" for i in range(120)]
+    docs = frame(spark, texts).withColumn("row", F.lit("clash")).withColumn("bucket", F.lit("clash"))
+    got = op6.dedup_substrings(docs, share=1 / 50, heavy=1 / 5000, bucket_words=640).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == dict(enumerate(brute.op6(texts)))
+
+
 def test_substrings_repeated_ids_and_empty(spark):
     texts = [" ".join(vocabulary(50, 6)), " ".join(vocabulary(50, 7)), " ".join(vocabulary(50, 6))]
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in op6.dedup_substrings(frame(spark, texts, [5, 5, 5])).collect())
@@ -304,10 +315,35 @@ def test_chat(spark):
     assert got[1].loss_sha256 == brute.sha("<\\\\|") and got[1].loss_chars == 4
     assert (got[2].n_turns, got[2].loss_chars, got[2].valid, got[3].valid, got[None].valid) == (3, 4, False, True, False)
     assert op5.read_back(op5.format_turns(turns.limit(0))).count() == 0
+    more = spark.createDataFrame([(8, 0, "user", "q " * 200_000, "x"), (8, 1, "assistant", "<|im_end|>\n" * 30_000, "x")], "conv_id bigint, turn bigint, role string, text string, segment string")
+    long = op5.read_back(op5.format_turns(more.withColumn("loss", F.lit("clash")))).first()
+    assert (long.n_turns, long.loss_chars, long.valid) == (2, 11 * 30_000, True) and long.loss_sha256 == brute.sha("<|im_end|>\n" * 30_000)
     text = "".join(r.segment for r in op5.format_turns(turns.filter("conv_id = 3")).collect())
     assert text == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nho<|im_end|>\n"
 
 
+def test_reader_needs_no_segments():
+    """The text is parsed as it runs on, cut anywhere."""
+    say, said = "<|im_end|><|im_start|>assistant ok", []
+    for role, text in (("user", say), ("assistant", say), ("tool", "a\n<|"), ("assistant", "")):
+        said += [(f"<|im_start|>{op5.escape_role(role)}\n", False), (op5.escape(text), role == "assistant"), ("<|im_end|>\n", False)]
+    chars = [(c, loss) for segment, loss in said for c in segment]
+    for step in (1, 3, 10):
+        reader = op5.Reader(op5.CHATML)
+        for i in range(0, len(chars), step):
+            for loss in (False, True):  # a cut where the mask changes too
+                part = "".join(c for c, x in chars[i : i + step] if x == loss)
+                if step == 1 or len({x for _, x in chars[i : i + step]}) == 1:
+                    if part:
+                        reader.read(part, loss)
+                elif loss:
+                    for c, x in chars[i : i + step]:
+                        reader.read(c, x)
+        assert reader.done() == (4, brute.sha(f"user\n{say}\nassistant\n{say}\ntool\na\n<|\nassistant\n\n"), len(say), brute.sha(say), len(chars), True)
+    with pytest.raises(ValueError):
+        op5.Reader(op5.CHATML).read("<|im_start|>user hi<|im_end|>\n", False)
+
+
 def test_escapes_reverse():
     r = random.Random(3)
     for _ in range(2000):
@@ -329,7 +365,10 @@ def test_warc(spark):
         html = next(h for i, _, h in rows if i == r.page_id) or ""
         assert bytes(r.payload) == html.encode() and r.payload_digest == brute.sha(html) and r.payload_bytes == len(html.encode())
         assert bytes(r.record).startswith(b"WARC/1.1\r\nWARC-Type: ") and bytes(r.record).endswith(b"\r\n\r\n")
-    assert next(r.url for r in got if r.page_id == 5) == "http://a/%0D%0Ab"
+    assert next(r.url for r in got if r.page_id == 5) == "http://a/\r\nb"
+    odd = [(i, u, "x" * (3_000_000 if i == 1 else 5)) for i, u in enumerate(["", "a%0Ab%25", "%\n%25\r", "http://é", None])]
+    op10.archive(spark.createDataFrame(odd, "page_id bigint, url string, html string").withColumns({c: F.lit("clash") for c in ("payload", "n", "first_id")}), other := new_path(spark, "warc-test"))
+    assert {r.page_id: (r.url, len(r.payload)) for r in op10.restore(spark, other).collect()} == {i: (u, len(h)) for i, u, h in odd}
     empty = new_path(spark, "warc-test")
     op10.archive(pages.limit(0), empty)
     assert op10.restore(spark, empty).count() == 0
