@@ -1,43 +1,43 @@
-"""The amount column of a filing as a disclosed bracket, in one CASE over the text."""
+"""The amount column of a filing as a disclosed bracket, in one CASE over the text: the one grammar of all forms."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FIGURE = r"\$\s*([0-9][0-9,]*)(?:\.([0-9]{1,2}))?"
+#: A dollar figure: whole dollars with commas, and cents.
+FIGURE = r"\$([0-9][0-9,]*)(?:\.([0-9]{2}))?"
+DASH = "[-–—]"
 
 
-def _cents(whole: Column, part: Column) -> Column:
-    digits = F.nullif(F.replace(whole, F.lit(",")), F.lit(""))
-    return digits.cast("long") * 100 + F.coalesce(F.nullif(F.rpad(part, 2, "0"), F.lit("00")).try_cast("long"), F.lit(0))
+def cents(text: Column, pattern: str = FIGURE, group: int = 1) -> Column:
+    """The figure in a text, in cents; null if there is none. group: where the figure's groups begin in the pattern."""
+    whole, part = (F.nullif(F.regexp_extract(text, pattern, group + i), F.lit("")) for i in (0, 1))
+    return F.replace(whole, F.lit(",")).try_cast("long") * 100 + F.coalesce(part.try_cast("long"), F.lit(0))
 
 
 def parse(tail: Column) -> Column:
-    """struct(kind, low_cents, high_cents, pending, bad_upper) of the text after a row's dates.
+    """struct(kind, low_cents, high_cents, pending) of the text after a row's dates.
 
-    pending: "upper" if a range's second figure is on the next line, "threshold" after a bare "Over".
-    The order of the checks is part of the grammar.
+    pending: "upper" if a range's second figure is on the next line, "threshold" after a bare "Over". Words are looked for
+    anywhere, before figures; a figure must open the text, and what follows it tells ranges, open ends and lone figures apart.
     """
     text = F.trim(F.regexp_replace(F.coalesce(tail, F.lit("")), r"\s+", " "))
-    group = lambda pattern, i: F.regexp_extract(text, pattern, i)
-    two = rf"{_FIGURE}\s*[-–—]\s*{_FIGURE}"
-    first = _cents(group(_FIGURE, 1), group(_FIGURE, 2))
-    second = _cents(group(two, 3), group(two, 4))
+    after = F.trim(F.regexp_replace(text, f"^{FIGURE}", ""))
+    first, over, second = cents(text, f"^{FIGURE}"), cents(text, rf"(?i)\bover\s*{FIGURE}"), cents(after, rf"^{DASH}\s*{FIGURE}")
+    zero = F.lit(0)
 
-    def row(kind: str, low: Column, high: Column, pending: str | None = None, bad: bool = False) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), low.cast("long").alias("low_cents"), high.cast("long").alias("high_cents"), F.lit(pending).cast("string").alias("pending"), F.lit(bad).alias("bad_upper"))
+    def row(kind: str, low: Column, high: Column, pending: str | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), low.cast("long").alias("low_cents"), high.cast("long").alias("high_cents"), F.lit(pending).cast("string").alias("pending"))
 
-    zero = F.lit(0)
     return (
-        F.when(text == "", row("unknown", zero, zero))
-        .when(text.rlike(r"(?i)\bnone\b|less than \$\s*201\b"), row("none", zero, zero))
-        .when(text.rlike(rf"(?i)\bover\s*{_FIGURE}"), row("atLeast", first, first))
-        .when(text.rlike(r"(?i)\bover\s*$"), row("unknown", zero, zero, "threshold"))
-        .when(text.rlike(two) & (second > first), row("range", first, second))
-        .when(text.rlike(two), row("exact", first, first, None, True))
-        .when(text.rlike(rf"{_FIGURE}\s*\+"), row("atLeast", first, first))
-        .when(text.rlike(rf"{_FIGURE}\s*[-–—]\s*$"), row("range", first, first, "upper"))
-        .when(text.rlike(_FIGURE), row("exact", first, first))
+        F.when(F.lower(text).contains("none") | text.contains("less than $201"), row("none", zero, zero))
+        .when(over.isNotNull(), row("atLeast", over, over))
+        .when(text.rlike(r"(?i)\bover$"), row("unknown", zero, zero, "threshold"))
+        .when(first.isNull(), row("unknown", zero, zero))
+        .when(after == "", row("exact", first, first))
+        .when(after.startswith("+"), row("atLeast", first, first))
+        .when(second.isNotNull(), row("range", first, second))
+        .when(after.rlike(f"^{DASH}$"), row("range", first, first, "upper"))
         .otherwise(row("unknown", zero, zero))
     )

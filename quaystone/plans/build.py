@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from quaystone.functions import amounts, ids
 from quaystone.operators import feed, identity
+from quaystone.plans.tables import cut
 from quaystone.sources import indexes, reports
 
 #: Order of sources; of equal rows the earlier source's stays.
 PRIORITY = {"house": 0, "senate": 1, "white_house": 2, "cabinet": 3}
-TRADE = [c.split()[0] for c in reports.SCHEMA.split(", ")]
+TRADE = list(reports.COLUMNS)
 
 
 def recover_text(files: DataFrame, extract=None, recognise=None) -> DataFrame:
@@ -58,7 +59,7 @@ def house(index: DataFrame, texts: DataFrame, crosswalk: DataFrame, known: DataF
         wanted = wanted.join(status.select("filing_id"), "filing_id", "left_anti")
     member = identity.member_ids(wanted, known, identity.resolve(wanted, crosswalk))
     filings = wanted.join(member, "filing_id").join(texts, "filing_id", "left").withColumn("form", F.lit("house")).withColumn("recovered_by_ocr", F.coalesce("recovered_by_ocr", F.lit(False)))
-    rows = reports.parse_reports(filings)
+    rows = cut(reports.parse_reports(filings, ("house",)), "house-rows")  # read twice below, parsed once
     return Feed(_sourced(rows, "house"), reports.filing_status(filings, rows))
 
 
@@ -83,7 +84,8 @@ def executive(filings: DataFrame, source: str) -> Feed:
     readable = filings.filter(~F.col("is_amendment"))
     if source == "cabinet":
         readable = readable.filter("filed_on is not null")
-    rows = reports.parse_reports(readable.withColumn("member_id", names.fallback_id(F.col("name"))))
+    rows = reports.parse_reports(readable.withColumn("member_id", names.fallback_id(F.col("name"))), ("scan", "native"))
+    rows = cut(rows, "executive-rows")
     done = reports.filing_status(readable, rows).withColumn("source", F.lit(source))
     left = filings.join(readable.select("filing_id"), "filing_id", "left_anti").select("filing_id", F.lit(source).alias("source"), F.when(F.col("is_amendment"), "without_text").otherwise("failed").alias("status"))
     return Feed(_sourced(rows, source), done.unionByName(left))

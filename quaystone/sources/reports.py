@@ -1,367 +1,286 @@
-"""Line grammars of filed reports. Each filing's lines are read in order by a small reader.
+"""Rows of filed reports, by windows over the lines of a filing.
 
-A filing is a few hundred lines, so filings are grouped and read whole (`applyInPandas`); everything
-before (status filters, text recovery) and after (ids, de-duplication) is DataFrame work. Filter
-filings before parsing: a reader is a barrier to pushdown.
+A text is exploded to lines, each line is classified by what it is on the form, and rows are put together from the lines around
+the one that holds their dates. Lines are exchanged once, by filing; a filing has a few hundred.
+Filter filings before their lines are read. Money goes through the one grammar of `amounts`.
+
+A line with a row's dates always begins a row. A row with no readable date is left out and told by `report_warnings`.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import re
-from dataclasses import asdict, dataclass, field
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = (
-    "filing_id string, position int, member_id string, owner string, asset string, ticker string, asset_type string, tx_type string, tx_date date, disclosed_date date, "
-    "amount_kind string, low_cents bigint, high_cents bigint, filing_description string, warnings array<string>, is_amendment boolean"
-)
-
-#: What a figure, a ticker, an asset code, a transaction, owner codes and a label look like on the form.
-MONEY = r"\$[0-9,]+(?:\.[0-9]{2})?"
-_TICKER = r"\(([A-Z][A-Z0-9.\-]{0,6})\)"
-_CODE = r"\[([A-Z]{2,4})\]"
-_ROW = re.compile(r"(?:^|\s)(?P<code>S \(partial\)|[PSE])\s+(?P<tx>\d{1,2}/\d{1,2}/\d{2,4})\s+(?P<told>\d{1,2}/\d{1,2}/\d{2,4})\s*(?P<tail>.*)$")
-_OWNERS = re.compile(r"^\s*(?:(?:SP|JT|DC)\s+)+")
-_LABEL = re.compile(r"^\s*([A-Z])(?:\s{2,}[A-Z])*\s*:\s*(.*)$")
-_SPACED_HEADING = re.compile(r"^\s*[A-Za-z](?:\s{2,}[A-Za-z])+\s*$")
-#: Fixed values of the form: transaction codes, owner codes by precedence, page furniture, footers.
-TX_CODES = {"P": "buy", "S": "sell", "S (partial)": "partial_sell", "E": "exchange"}
-OWNER_CODES = (("SP", "spouse"), ("JT", "joint"), ("DC", "dependent"))
-HEAD_OPENS, HEAD_CLOSES = "ID Owner Asset", "$200?"
-FOOTERS = ("* For the complete list", "I CERTIFY", "Digitally Signed", "my knowledge and belief")
-FURNITURE = re.compile(r"^(Filing ID #|Name:|Status:|State/District:|Initial Public Offering)|Clerk of the House|Legislative Resource Center|^Yes No$|^Page \d+ of \d+$")
-
-
-def cents(figure: str) -> int:
-    whole, _, part = figure.replace("$", "").replace(",", "").strip().partition(".")
-    return int(whole or 0) * 100 + int((part + "00")[:2])
-
-
-def us_date(text: str) -> dt.date | None:
-    """M/D/Y; a day past the month's end rolls over."""
-    try:
-        m, d, y = (int(x) for x in text.strip().split("/"))
-    except ValueError:
-        return None
-    y += 2000 if y < 100 else 0
-    if not (1900 < y < 2200 and 1 <= m <= 12 and 1 <= d <= 31):
-        return None
-    return dt.date(y, m, 1) + dt.timedelta(days=d - 1)
-
-
-#: The amount column: first pattern that fits decides. (pattern, kind, what is still to come)
-_AMOUNTS = [
-    (re.compile(r"(?i)none|less than \$201"), "none", None),
-    (re.compile(rf"(?i)\bOver\s*({MONEY})"), "atLeast", None),
-    (re.compile(r"(?i)\bOver\s*$"), "unknown", "threshold"),
-    (re.compile(rf"^\s*({MONEY})\s*[-–]\s*({MONEY})"), "range", None),
-    (re.compile(rf"^\s*({MONEY})\s*\+"), "atLeast", None),
-    (re.compile(rf"^\s*({MONEY})\s*[-–]\s*$"), "range", "upper"),
-    (re.compile(rf"^\s*({MONEY})\s*$"), "exact", None),
-]
-
-
-def amount(tail: str) -> tuple[str, int, int, str | None]:
-    """(kind, low, high, pending)."""
-    for pattern, kind, pending in _AMOUNTS:
-        if tail.strip() and (m := pattern.search(tail.strip())):
-            figures = [cents(x) for x in m.groups()] or [0]
-            return kind, figures[0], figures[-1], pending
-    return "unknown", 0, 0, None
-
-
-def ticker_and_type(text: str) -> tuple[str | None, str | None]:
-    if m := re.search(rf"{_TICKER}\s*{_CODE}", text):
-        return m[1], m[2]
-    if m := re.search(rf"{_TICKER}\s*$", text):
-        return m[1], None
-    m = re.search(_CODE, text)
-    return None, m[1] if m else None
-
-
-def tidy(text: str) -> str:
-    return " ".join(text.split())
-
-
-def owner_of(codes: str) -> str:
-    return next((name for code, name in OWNER_CODES if code in codes), "self")
-
-
-@dataclass
-class Row:
-    asset: str
-    tx_type: str
-    tx_date: dt.date
-    disclosed_date: dt.date
-    amount_kind: str
-    low_cents: int
-    high_cents: int
-    owner: str = "self"
-    ticker: str | None = None
-    asset_type: str | None = None
-    filing_description: str | None = None
-    warnings: list[str] = field(default_factory=list)
-    is_amendment: bool = False
-
-
-class HouseReader:
-    """Reads one House report. What is pending: asset text, owner, description and amendment of the next row; a figure of the last."""
-
-    def __init__(self, filed_on: dt.date | None):
-        self.filed_on, self.rows, self.warnings = filed_on, [], []
-        self.place = "outside"  # outside, heading or table
-        self.figure: str | None = None  #: what the last row still needs
-        self.after_last, self.open_text = False, False
-        self._clear()
-
-    def _clear(self) -> None:
-        self.asset, self.owner, self.text, self.amended = [], None, None, False
-
-    def read(self, text: str) -> list[Row]:
-        lines = [re.sub(r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x9f]", " ", x).strip() for x in re.split(r"\r\n|\r|\n", text)]
-        for i, line in enumerate(lines):
-            if line and self._in_table(line):
-                following = next((x for x in lines[i + 1 :] if x), "")
-                self._line(line, following)
-        self._give_up()
-        return self.rows
-
-    def _in_table(self, line: str) -> bool:
-        """Follows headings and footers; whether the line is one of the table's own."""
-        if HEAD_OPENS in line:
-            self.place, self.open_text, self.asset = "heading", False, []
-        elif self.place == "heading":
-            if HEAD_CLOSES in line:
-                self.place = "table"
-        elif line.startswith(FOOTERS):
-            self.place, self.open_text, self.asset, self.text = "outside", False, [], None
-        else:
-            return self.place == "table" and not FURNITURE.search(line)
-        return False
-
-    def _line(self, line: str, following: str) -> None:
-        if m := _OWNERS.match(line + " "):
-            rest = line[m.end() :].strip() if m.end() <= len(line) else ""
-            if not rest or _LABEL.match(rest):
-                self.owner, line = owner_of(m[0]), rest
-                if not line:
-                    return
-        for step in (self._orphan_type, self._wrapped_figure, self._label, self._row):
-            if step(line):
-                return
-        if _SPACED_HEADING.match(line):
-            return
-        below = _LABEL.match(_OWNERS.sub("", following))
-        if below and below[1] == "D" and not re.search(_CODE, line):
-            self.text = tidy(f"{self.text or ''} {line}")
-        elif self.open_text and not (re.search(_CODE, line) or _OWNERS.match(line) or re.search(_TICKER, line)):
-            self._describe_more(line)
-            self.open_text = line[-1] not in ".!?"
-        else:
-            self.open_text = False
-            self.asset.append(line)
-
-    def _orphan_type(self, line: str) -> bool:
-        m = re.fullmatch(rf"\s*{_CODE}\s*", line)
-        if not m or not self.rows or self.rows[-1].asset_type is not None:
-            return False
-        self.rows[-1].asset_type = m[1]
-        return True
-
-    def _wrapped_figure(self, line: str) -> bool:
-        m = re.search(MONEY, line) if self.figure else None
-        if not m:
-            return False
-        last, value = self.rows[-1], cents(m[0])
-        if self.figure == "threshold":
-            last.amount_kind, last.low_cents, last.high_cents = "atLeast", value, value
-        elif value > last.low_cents:
-            last.high_cents = value
-        else:
-            last.warnings.append(f"ignored an upper bound that is not above the lower: {m[0]}")
-        self.figure = None
-        if rest := tidy(f"{line[: m.start()]} {line[m.end() :]}"):
-            ticker, code = ticker_and_type(rest)
-            if last.ticker is None and ticker:
-                last.asset, last.ticker, last.asset_type = tidy(f"{last.asset} {rest}"), ticker, last.asset_type or code
-            else:
-                self.asset.append(rest)
-        return True
-
-    def _label(self, line: str) -> bool:
-        m = _LABEL.match(line)
-        if not m:
-            return False
-        body, self.open_text = m[2].strip(), False
-        mine = self.rows[-1] if self.rows and not self.asset else None
-        if m[1] == "D" and body:
-            self.after_last = mine is not None and mine.filing_description is None
-            if self.after_last:
-                mine.filing_description = body
-            else:
-                self.text = tidy(f"{self.text or ''} {body}")
-            self.open_text = body[-1] not in ".!?"
-        elif m[1] == "F" and body == "Amended":
-            if mine:
-                mine.is_amendment = True
-            else:
-                self.amended = True
-        return True
-
-    def _describe_more(self, line: str) -> None:
-        if self.after_last and self.rows:
-            self.rows[-1].filing_description = tidy(f"{self.rows[-1].filing_description or ''} {line}")
-        else:
-            self.text = tidy(f"{self.text or ''} {line}")
-
-    def _row(self, line: str) -> bool:
-        m = _ROW.search(line)
-        if not m:
-            return False
-        self._give_up()
-        name = tidy(" ".join([*self.asset, line[: m.start()]]))
-        marks = list(re.finditer(_CODE, name))
-        if len(marks) > 1:
-            name = name[marks[-2].end() : marks[-1].end()].strip()
-        name = re.sub(r"^\d{6,}\s+", "", name)
-        codes = _OWNERS.match(name)
-        name = name[codes.end() :] if codes else name
-        tx, told = us_date(m["tx"]), us_date(m["told"])
-        if tx and told:
-            kind, low, high, self.figure = amount(m["tail"])
-            row = Row(name, TX_CODES.get(m["code"], "buy"), tx, self.filed_on or told, kind, low, high, owner_of(codes[0]) if codes else self.owner or "self", *ticker_and_type(name), self.text, [], self.amended)
-            if kind == "unknown" and not self.figure and m["tail"].strip():
-                row.warnings.append(f"amount not understood: {m['tail'].strip()}")
-            self.rows.append(row)
-            self._clear()
-            self.after_last, self.open_text = True, False
-        else:
-            self.warnings.append("a row's dates could not be read")
-            self.asset = []
-        return True
-
-    def _give_up(self) -> None:
-        if self.figure:
-            self.rows[-1].warnings.append("upper bound of the range not found" if self.figure == "upper" else "threshold of the amount not found")
-            self.figure = None
+from quaystone.functions import amounts
+from quaystone.functions import columns as C
 
+COLUMNS = (
+    "filing_id", "position", "member_id", "owner", "asset", "ticker", "asset_type", "tx_type", "tx_date", "disclosed_date",
+    "amount_kind", "low_cents", "high_cents", "filing_description", "warnings", "is_amendment",
+)
 
-# Executive branch ---------------------------------------------------------------------------------
-
-#: Rows, dates and furniture of the executive form.
-_SCAN_ROW = re.compile(r"(?i)\b(purchase|sale|exchange)\b\s+(\d{1,2}/\d{1,2}/\d{2,4}|\d{3,4}/\d{2,4})\s+(yes|no)\b\s*(.*)$")
-_NATIVE_ROW = re.compile(r"(?i)^\s*(\d{1,4})\s+(.*?)\s+(purchase|sale|exchange)\s+(\d{1,2}/\d{1,2}/\d{2,4})\s+(?:yes|no)\s+(.*)$")
-_RECEIVED = re.compile(r"(?i)oge\s+received:?\s*(\d{1,2}/\d{1,2}/\d{2,4})")
-_SIGNED = re.compile(r"Date:\s*(\d{4})\.(\d{1,2})\.(\d{1,2})")
-_PAGE = re.compile(r"(?i)page\s+\d+\s+of\s+\d+")
-_SCAN_WORDS = (
+#: Fixed values of the house form: transaction codes, owner codes by precedence, first and last heading cell, footers, furniture.
+TX_CODES = {"S (partial)": "partial_sell", "P": "buy", "S": "sell", "E": "exchange"}
+OWNER_CODES = {"SP": "spouse", "JT": "joint", "DC": "dependent"}
+HEAD_OPENS, HEAD_CLOSES = "ID Owner Asset", "$200?"
+FOOTERS = ("* For the complete list", "I CERTIFY", "Digitally Signed", "my knowledge and belief")
+FURNITURE_OPENS = ("Filing ID #", "Name:", "Status:", "State/District:", "Initial Public Offering")
+FURNITURE_HAS = ("Clerk of the House", "Legislative Resource Center")
+#: Fixed values of the executive form: transaction words and furniture.
+TX_WORDS = {"purchase": "buy", "sale": "sell", "exchange": "exchange"}
+SCAN_WORDS = (
     "oge form 278-t", "instructions", "public form", "account num", "filer's name", "filer's information", "transactions", "notification", "days ago", "received over", "summary of contents", "privacy act",
     "u.s.c", "c.f.r", "office of government ethics", "executive branch personnel",
 )
+MOST_STRAY = 4  #: lines without a row that can be a row's description
+
+DATE = r"\d{1,2}/\d{1,2}/\d{2,4}"
+TICKER = r"\(([A-Z][A-Z0-9.\-]{0,6})\)"
+TYPE = r"\[([A-Z]{2,4})\]"
+OWNERS = rf"^((?:(?:{'|'.join(OWNER_CODES)})(?:\s+|$))+)"
+_CODES = "|".join(c.replace("(", r"\(").replace(")", r"\)") for c in TX_CODES)
+ROW = r"(?:^|\s)" + r"\s+".join(f"({field})" for field in (_CODES, DATE, DATE)) + "(.*)$"
+_WORDS = "|".join(TX_WORDS)
+#: On scans the first slash of a date may be lost: month and day run together.
+SCAN_ROW = rf"(?i)^(.*?)\b({_WORDS})\b\s+({DATE}|\d{{3,4}}/\d{{2,4}})\s+(?:yes|no)\b(.*)$"
+NATIVE_ROW = rf"(?i)^\s*(\d{{1,4}})\s+(.*?)\s+({_WORDS})\s+({DATE})\s+(?:yes|no)\s+(.*)$"
+
+
+def _any(flags: list[Column]) -> Column:
+    out = F.lit(False)
+    for flag in flags:
+        out = out | flag
+    return out
+
+
+def _got(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def tidy(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def owner(codes: Column) -> Column:
+    """The owner that codes name, by precedence; null if they name none."""
+    out = F.lit(None).cast("string")
+    for code, name in reversed(OWNER_CODES.items()):
+        out = F.when(codes.contains(code), name).otherwise(out)
+    return out
+
+
+def ticker_and_type(text: Column) -> tuple[Column, Column]:
+    """A ticker before an asset code, else at the end; and the code."""
+    both, last = _got(text, TICKER + r"\s*" + TYPE), _got(text, TICKER + r"\s*$")
+    return F.coalesce(both, last), F.when(both.isNotNull(), _got(text, TICKER + r"\s*" + TYPE, 2)).when(last.isNull(), _got(text, TYPE))
+
+
+def lines(filings: DataFrame) -> DataFrame:
+    """filing_id, n, raw (the line), line (without control characters and outer spaces) of every line."""
+    text = F.coalesce("text", F.lit(""))
+    split = filings.select("filing_id", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("n", "raw"))
+    return split.withColumn("line", F.trim(F.regexp_replace("raw", r"[\x00-\x1f\x7f-\x9f]", " ")))
+
+
+def _by(*keys: str):
+    """(up to a line, before it) among the lines with the same keys."""
+    w = Window.partitionBy("filing_id", *keys).orderBy("n")
+    return w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _label(line: Column) -> tuple[Column, Column]:
+    """(letter, body) of a label: the form's labels print as single capitals, wide apart, before a colon."""
+    head = F.trim(F.substring_index(line, ":", 1))
+    return F.when(line.contains(":") & head.rlike(r"^[A-Z](\s\s+[A-Z])*$"), F.substring(head, 1, 1)), F.trim(F.regexp_replace(line, "^[^:]*:", ""))
+
+
+def _house_tokens(filings: DataFrame) -> DataFrame:
+    """The table's lines, classified: kind, and what it takes to put rows together."""
+    upto, before = _by()
+    line = F.col("line")
+    told = lines(filings).filter(line != "")
+    told = told.withColumn("event", F.when(line.contains(HEAD_OPENS), "open").when(line.contains(HEAD_CLOSES), "close").when(_any([line.startswith(x) for x in FOOTERS]), "foot"))
+    below = F.trim(F.regexp_replace(F.coalesce(F.lead("line").over(Window.partitionBy("filing_id").orderBy("n")), F.lit("")), OWNERS, ""))
+    told = told.withColumns({"before": F.last("event", True).over(before), "above_d": _label(below)[0].eqNullSafe(F.lit("D"))})
+    told = told.withColumn("event", F.when((F.col("event") != "close") | F.col("before").eqNullSafe(F.lit("open")), F.col("event")))
+    told = told.withColumns({"place": F.last("event", True).over(upto), "events": F.count("event").over(upto), "feet": F.count_if(F.col("event") == "foot").over(upto)})
+    furniture = _any([line.startswith(x) for x in FURNITURE_OPENS] + [line.contains(x) for x in FURNITURE_HAS]) | line.rlike(r"^(Yes No|Page \d+ of \d+)$")
+    told = told.filter((F.col("place") == "close") & F.col("event").isNull() & ~furniture)
+    # Owner codes alone, or before a label, speak of the next row.
+    codes = F.regexp_extract("line", OWNERS, 1)
+    rest = F.trim(F.substring(line, F.length(codes) + 1, F.length("line")))
+    told = told.withColumn("held", F.when((codes != "") & ((rest == "") | _label(rest)[0].isNotNull()), codes)).withColumn("line", F.when(F.col("held").isNotNull(), rest).otherwise(line))
+    # A row, its dates and its amount.
+    told = told.withColumns({"code": _got(line, ROW), "tx_date": C.us_date(F.regexp_extract("line", ROW, 2)), "told_date": C.us_date(F.regexp_extract("line", ROW, 3)), "tail": F.trim(F.regexp_extract("line", ROW, 4))})
+    told = told.withColumns({"is_row": F.col("code").isNotNull(), "amount": F.when(F.col("code").isNotNull(), amounts.parse(F.col("tail")))})
+    told = told.withColumn("valid", F.col("is_row") & F.col("tx_date").isNotNull() & F.col("told_date").isNotNull())
+    told = told.withColumns({"part": F.count_if("is_row").over(upto), "row": F.count_if("valid").over(upto), "awaits": F.last(F.when(F.col("is_row"), F.coalesce("amount.pending", F.lit(""))), True).over(upto)})
+    # The first figure below a row that waits for one is that row's.
+    figure = F.when(~F.col("is_row") & (F.col("awaits") != ""), amounts.cents(line))
+    told = told.withColumn("figure", figure)
+    told = told.withColumn("figure", F.when(F.count("figure").over(_by("part")[1]) == 0, F.col("figure")))
+    letter, body = _label(line)
+    free = ~F.col("is_row") & F.col("figure").isNull()
+    kind = (
+        F.when(F.col("is_row"), "row").when(F.col("figure").isNotNull(), "figure").when(line == "", "owner").when(line.rlike(f"^{TYPE}$"), "code").when(letter.isNotNull(), "label").when(line.rlike(r"^[A-Za-z](\s\s+[A-Za-z])+$"), "heading").otherwise("text")
+    )
+    told = told.withColumns({"kind": kind, "letter": F.when(free, letter), "body": F.when(free & letter.isNotNull(), body)})
+    # A text right above a description belongs to it; texts below one go on with it to a full stop, or to what looks like an asset.
+    ends = lambda c: c.rlike(r"[.!?]$")
+    asset_like = line.rlike(TYPE) | line.rlike(TICKER) | line.rlike(OWNERS)
+    told = told.withColumn("kind", F.when((F.col("kind") == "text") & F.col("above_d") & ~line.rlike(TYPE), "above").otherwise(F.col("kind")))
+    told = told.withColumn("group", F.count_if(F.col("kind").isin("row", "label")).over(upto) + F.col("events"))
+    opens = (F.col("letter") == "D") & (F.col("body") != "") & ~ends(F.col("body"))
+    told = told.withColumn("open", F.coalesce(F.max(F.when(F.col("kind") == "label", opens)).over(Window.partitionBy("filing_id", "group")), F.lit(False)) & (F.col("kind") == "text"))
+    group_upto, group_before = _by("group")
+    goes_on = F.col("open") & (F.count_if(F.col("open") & asset_like).over(group_upto) == 0) & (F.count_if(F.col("open") & ends(line)).over(group_before) == 0)
+    told = told.withColumn("kind", F.when(goes_on, "more").otherwise(F.col("kind")))
+    # What a label says is of the row above, unless asset text of the next row came between.
+    told = told.withColumn("left", F.when(F.col("kind") == "figure", tidy(F.regexp_replace("line", f"^(.*?){amounts.FIGURE}", "$1 "))))
+    pending = (F.col("kind") == "text") | ((F.col("left") != "") & ticker_and_type(F.col("left"))[0].isNull())
+    told = told.withColumn("mine", (F.col("row") > 0) & (F.count_if(pending).over(_by("part", "events")[1]) == 0))
+    return told.withColumn("mine", F.when(F.col("kind") == "more", F.max(F.when(F.col("kind") == "label", F.col("mine"))).over(Window.partitionBy("filing_id", "group"))).otherwise(F.col("mine")))
+
+
+def house_rows(filings: DataFrame) -> DataFrame:
+    """Rows of house reports (filing_id, filed_on, text)."""
+    told = _house_tokens(filings)
+    own = F.col("kind").isin("row", "figure", "code") | (F.col("kind").isin("label", "more") & F.col("mine"))
+    piece = F.struct("n", "kind", "line", "body", "letter", "held", "figure", "left", "part", "events", "feet")
+    row = F.struct("code", "tx_date", "told_date", "tail", "amount", "part", "events", "feet", F.regexp_replace("line", ROW, "").alias("head"))
+    told = told.withColumn("target", F.when(own, F.col("row")).otherwise(F.col("row") + 1))
+    found = told.groupBy("filing_id", "target").agg(F.max(F.when(F.col("valid"), row)).alias("r"), F.array_sort(F.collect_list(piece)).alias("pieces")).filter("r is not null")
+    held = told.filter("held is not null").select("filing_id", (F.col("row") + F.when(F.col("kind") == "row", 0).otherwise(1)).alias("target"), "n", "held")
+    found = found.join(held.groupBy("filing_id", "target").agg(F.max_by("held", "n").alias("held")), ["filing_id", "target"], "left")
+    those = lambda test, value: F.filter(F.transform(F.filter("pieces", test), value), lambda x: x.isNotNull())
+    first = lambda kind, value: F.get(those(lambda p: p["kind"] == kind, value), F.lit(0))
+    # Asset text of the part just before the row, on the same page.
+    buffered = those(lambda p: p["kind"].isin("text", "left") & (p["part"] == F.col("r.part") - 1) & (p["events"] == F.col("r.events")), lambda p: p["line"])
+    name = tidy(F.concat_ws(" ", F.concat_ws(" ", buffered), F.col("before_left"), F.col("r.head")))
+    two = rf"^.*{TYPE}(.*{TYPE}).*$"
+    # Figure text that is no part of its row's name opens the next row's.
+    left = first("figure", lambda p: F.nullif(p["left"], F.lit("")))
+    found = found.withColumn("left", left).withColumn("left_ticker", ticker_and_type(F.col("left"))[0])
+    by = Window.partitionBy("filing_id").orderBy("target")
+    found = found.withColumn("before_left", F.when(F.lag("left_ticker").over(by).isNull(), F.lag("left").over(by)))
+    found = found.withColumn("name", name).withColumn("name", F.trim(F.when(F.col("name").rlike(two), F.regexp_extract("name", two, 2)).otherwise(F.col("name"))))
+    found = found.withColumn("name", F.regexp_replace("name", r"^\d{6,}\s+", "")).withColumn("codes", F.regexp_extract("name", OWNERS, 1)).withColumn("name", F.regexp_replace("name", OWNERS, ""))
+    ticker, code = ticker_and_type(F.col("name"))
+    found = found.withColumns({"ticker": ticker, "asset_type": code, "figure": first("figure", lambda p: p["figure"]), "orphan": first("code", lambda p: F.regexp_extract(p["line"], TYPE, 1))})
+    claims = F.col("ticker").isNull() & F.col("left_ticker").isNotNull()
+    left_code = ticker_and_type(F.col("left"))[1]
+    below = lambda p: (p["kind"] == "label") & (p["letter"] == "D") & (p["body"] != "")
+    text = those(lambda p: (below(p) | p["kind"].isin("more", "above")) & (p["feet"] == F.col("r.feet")), lambda p: F.when(p["kind"] == "label", p["body"]).otherwise(p["line"]))
+    amended = F.exists("pieces", lambda p: (p["kind"] == "label") & (p["letter"] == "F") & (p["body"] == "Amended"))
+    a, figure = F.col("r.amount"), F.col("figure")
+    upper, over = a["pending"].eqNullSafe(F.lit("upper")), a["pending"].eqNullSafe(F.lit("threshold"))
+    warned = F.filter(
+        F.array(
+            F.when(upper & figure.isNull(), "upper bound of the range not found"),
+            F.when(upper & (figure <= a["low_cents"]), "ignored an upper bound that is not above the lower"),
+            F.when(over & figure.isNull(), "threshold of the amount not found"),
+            F.when((a["kind"] == "unknown") & ~over & (F.col("r.tail") != ""), F.concat(F.lit("amount not understood: "), F.col("r.tail"))),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    tx = C.named(F.col("r.code"), TX_CODES)
+    done = found.select(
+        "filing_id", (F.col("target") - 1).cast("int").alias("position"), F.coalesce(owner(F.col("codes")), owner(F.col("held")), F.lit("self")).alias("owner"),
+        F.when(claims, tidy(F.concat_ws(" ", "name", "left"))).otherwise(F.col("name")).alias("asset"), F.when(claims, F.col("left_ticker")).otherwise(F.col("ticker")).alias("ticker"),
+        F.coalesce("asset_type", F.when(claims, left_code), "orphan").alias("asset_type"), tx.alias("tx_type"), F.col("r.tx_date").alias("tx_date"), F.col("r.told_date").alias("told_date"),
+        F.when(over & figure.isNotNull(), "atLeast").otherwise(a["kind"]).alias("amount_kind"), F.when(over, F.coalesce(figure, F.lit(0))).otherwise(a["low_cents"]).alias("low_cents"),
+        F.when(over, F.coalesce(figure, F.lit(0))).when(upper & (figure > a["low_cents"]), figure).otherwise(a["high_cents"]).alias("high_cents"), F.nullif(tidy(F.concat_ws(" ", text)), F.lit("")).alias("filing_description"), warned.alias("warnings"), amended.alias("is_amendment"),
+    )
+    return done.join(filings.select("filing_id", "filed_on"), "filing_id").withColumn("disclosed_date", F.coalesce("filed_on", "told_date")).drop("told_date", "filed_on")
 
 
-def _is_furniture(line: str) -> bool:
-    low = line.strip().lower()
-    return not low or any(p.search(line) for p in (_PAGE, _RECEIVED, _SIGNED)) or any(w in low for w in _SCAN_WORDS) or ("description" in low and "type" in low)
-
-
-MOST_STRAY = 4
-
-
-def _scan_date(raw: str) -> dt.date | None:
-    if re.fullmatch(r"\d{3,4}/\d{2,4}", raw):
-        joined, year = raw.split("/")
-        raw = f"{joined[:-2]}/{joined[-2:]}/{year}"
-    return us_date(raw)
-
-
-def read_scan(lines: list[str], disclosed: dt.date | None) -> tuple[list[Row], list[str]]:
-    """Rows of a scanned executive form: a type word, a date and Yes or No anchor a row; lines before it are its description."""
-    warnings: list[str] = []
-    if disclosed is None:
-        disclosed = next((d for x in lines if (m := _RECEIVED.search(x)) and (d := us_date(m[1]))), None)
-    if disclosed is None and (m := next(filter(None, map(_SIGNED.search, lines)), None)):
-        disclosed = us_date(f"{m[2]}/{m[3]}/{m[1]}")
-        warnings.append("dated by the certifying signature, for want of a received date")
-    if disclosed is None:
-        warnings.append("no received date: rows skipped")
-    rows, stray = [], []
-    for line in lines:
-        m = _SCAN_ROW.search(line)
-        if not m:
-            if not _is_furniture(line):
-                stray.append(line)
-                if len(stray) > MOST_STRAY:
-                    warnings.append(f"{len(stray)} lines without a row discarded")
-                    stray = []
-            continue
-        head, stray = tidy(" ".join([*stray, line[: m.start()]])), []
-        date = _scan_date(m[2])
-        if disclosed is None:
-            continue
-        if date is None:
-            warnings.append(f"date not understood: {m[2]}")
-            continue
-        number = re.match(r"(\d{1,4})\s+(.*)$", head)
-        name = number[2].strip() if number else head
-        money = re.sub(r"(?<=\d)\.(?=\d{3}\b)", ",", re.sub(r"(?<![A-Za-z0-9])S(?=\d)", "$", m[4]))
-        kind, low, high, pending = amount(money)
-        notes = []
-        if pending:
-            notes.append("amount goes on past its line")
-        if kind == "unknown":
-            notes.append(f"amount not understood: {m[4]}")
-        if not name:
-            notes.append("no description")
-        rows.append(Row(name, {"purchase": "buy", "sale": "sell"}.get(m[1].lower(), "exchange"), date, disclosed, kind, low, high, warnings=notes))
-    return rows, warnings
-
-
-def read_native(lines: list[str], disclosed: dt.date) -> tuple[list[Row], list[str]]:
-    """Rows of a native executive form: numbered lines with growing numbers; a dangling dash pulls the next line's figure."""
-    rows, last = [], 0
-    for i, line in enumerate(lines):
-        m = _NATIVE_ROW.match(line)
-        if not m or int(m[1]) <= last:
-            continue
-        date = us_date(m[4])
-        if date is None:
-            continue
-        last, tail = int(m[1]), m[5]
-        if re.search(r"[-–]\s*$", tail) and i + 1 < len(lines) and re.fullmatch(rf"\s*{MONEY}\s*", lines[i + 1]):
-            tail = f"{tail} {lines[i + 1].strip()}"
-        kind, low, high, pending = amount(tail)
-        notes = ["amount goes on past its line"] if pending else []
-        rows.append(Row(tidy(m[2]), {"purchase": "buy", "sale": "sell"}.get(m[3].lower(), "exchange"), date, disclosed, kind, low, high, warnings=notes))
-    return rows, []
-
-
-def parse_reports(filings: DataFrame) -> DataFrame:
-    """Rows of filings (filing_id, member_id, form: house, scan or native; filed_on, text, recovered_by_ocr).
-
-    A filing is one row, so this maps over rows without a shuffle. Null or empty text gives no rows.
-    """
+# Executive branch ---------------------------------------------------------------------------------
+
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for f in batch.to_dict("records"):
-                text = f["text"] if isinstance(f["text"], str) else ""
-                filed = f["filed_on"] if isinstance(f["filed_on"], dt.date) else None
-                if f["form"] == "house":
-                    rows = HouseReader(filed).read(text)
-                else:
-                    rows = (read_scan if f["form"] == "scan" else read_native)(text.split("\n"), filed)[0]
-                for i, row in enumerate(rows):
-                    extra = ["recovered by OCR"] if f["recovered_by_ocr"] else []
-                    out.append(asdict(row) | {"filing_id": f["filing_id"], "member_id": f["member_id"], "position": i, "warnings": row.warnings + extra})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in re.split(r", ", SCHEMA)])
-
-    return filings.select("filing_id", "member_id", "form", "filed_on", "text", "recovered_by_ocr").mapInPandas(run, SCHEMA)
+def _executive(rows: DataFrame, notes: list[Column]) -> DataFrame:
+    """Rows of executive forms (filing_id, n, asset, word, tx_date, disclosed_date, a) in the common columns: owner self, no ticker."""
+    notes = [F.when(F.col("a.pending").isNotNull(), "amount goes on past its line"), *notes]
+    nth = F.row_number().over(Window.partitionBy("filing_id").orderBy("n")) - 1
+    return rows.select(
+        "filing_id", nth.cast("int").alias("position"), F.lit("self").alias("owner"), "asset", F.lit(None).cast("string").alias("ticker"), F.lit(None).cast("string").alias("asset_type"), C.named(F.lower("word"), TX_WORDS).alias("tx_type"), "tx_date", "disclosed_date",
+        F.col("a.kind").alias("amount_kind"), F.col("a.low_cents").alias("low_cents"), F.col("a.high_cents").alias("high_cents"), F.lit(None).cast("string").alias("filing_description"), F.filter(F.array(*notes), lambda x: x.isNotNull()).alias("warnings"), F.lit(False).alias("is_amendment"),
+    )
+
+
+def _scan_lines(filings: DataFrame) -> DataFrame:
+    """Lines of scanned forms: rows, their dates, the description lines before them, and the date of disclosure."""
+    line, low = F.col("line"), F.lower("line")
+    received = C.us_date(F.regexp_extract("line", rf"(?i)oge\s+received:?\s*({DATE})", 1))
+    signed = [F.regexp_extract("line", r"Date:\s*(\d{4})\.(\d{1,2})\.(\d{1,2})", i).try_cast("int") for i in (1, 2, 3)]
+    signed = C.lenient_date(*signed)
+    page = Window.partitionBy("filing_id").orderBy("n")
+    whole = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = lines(filings).withColumns({"received": received, "signed": signed, "word": _got(line, SCAN_ROW, 2)})
+    furniture = (line == "") | received.isNotNull() | signed.isNotNull() | low.rlike(r"page\s+\d+\s+of\s+\d+") | _any([low.contains(w) for w in SCAN_WORDS]) | (low.contains("description") & low.contains("type"))
+    told = told.withColumn("stray", F.col("word").isNull() & ~furniture).withColumns({"received": F.first("received", True).over(whole), "signed": F.first("signed", True).over(whole)})
+    # Lines before a row are its description, but for those that filled the buffer before.
+    told = told.withColumn("part", F.count("word").over(_by()[1])).withColumn("nth", F.count_if("stray").over(_by("part")[0]))
+    size = F.count_if("stray").over(Window.partitionBy("filing_id", "part"))
+    whole_buffers = F.floor(size / (MOST_STRAY + 1)) * (MOST_STRAY + 1)
+    kept = F.array_sort(F.collect_list(F.when(F.col("stray") & (F.col("nth") > whole_buffers), F.struct("n", "line"))).over(Window.partitionBy("filing_id", "part")))
+    raw = F.regexp_extract("line", SCAN_ROW, 3)
+    date = F.when(raw.rlike(r"^\d{3,4}/\d+$"), F.regexp_replace(raw, r"^(\d{1,2})(\d\d)/", "$1/$2/")).otherwise(raw)
+    return told.withColumns({"before": F.transform(kept, lambda x: x["line"]), "raw_date": raw, "tx_date": C.us_date(date), "discarded": F.when(F.col("stray") & (F.col("nth") % (MOST_STRAY + 1) == 0), F.lit(MOST_STRAY + 1))})
+
+
+def scan_rows(filings: DataFrame) -> DataFrame:
+    """Rows of scanned executive forms: a type word, a date, and Yes or No make a row; lines before it are its description."""
+    told = _scan_lines(filings).filter("word is not null").join(filings.select("filing_id", "filed_on"), "filing_id")
+    told = told.withColumn("disclosed_date", F.coalesce("filed_on", "received", "signed")).filter("disclosed_date is not null and tx_date is not null")
+    head = tidy(F.concat_ws(" ", F.concat_ws(" ", "before"), F.regexp_extract("line", SCAN_ROW, 1)))
+    tail = F.trim(F.regexp_extract("line", SCAN_ROW, 4))
+    # Recognition reads a dollar sign as S and a comma as a full stop.
+    money = F.regexp_replace(F.regexp_replace(tail, r"(^|[^A-Za-z0-9])S(?=\d)", r"$1\$"), r"(?<=\d)\.(?=\d{3}(\D|$))", ",")
+    rows = told.select("filing_id", "n", F.regexp_replace(head, r"^\d{1,4}\s+", "").alias("asset"), "word", "tx_date", "disclosed_date", amounts.parse(money).alias("a"), tail.alias("tail"))
+    return _executive(rows, [F.when(F.col("a.kind") == "unknown", F.concat(F.lit("amount not understood: "), "tail")), F.when(F.col("asset") == "", "no description")])
+
+
+def native_rows(filings: DataFrame) -> DataFrame:
+    """Rows of native executive forms: numbered lines with growing numbers; a dangling dash takes the figure alone on the next line."""
+    page = Window.partitionBy("filing_id").orderBy("n")
+    told = lines(filings).withColumn("below", F.trim(F.coalesce(F.lead("line").over(page), F.lit("")))).withColumn("word", _got(F.col("line"), NATIVE_ROW, 3)).filter("word is not null")
+    told = told.withColumns({"number": F.regexp_extract("line", NATIVE_ROW, 1).cast("int"), "tx_date": C.us_date(F.regexp_extract("line", NATIVE_ROW, 4))}).filter("tx_date is not null")
+    told = told.withColumn("most", F.max("number").over(_by()[1])).filter(F.col("number") > F.coalesce("most", F.lit(0)))
+    tail = F.trim(F.regexp_extract("line", NATIVE_ROW, 5))
+    tail = F.when(tail.rlike(f"{amounts.DASH}$") & F.col("below").rlike(f"^{amounts.FIGURE}$"), F.concat_ws(" ", tail, F.col("below"))).otherwise(tail)
+    told = told.join(filings.select("filing_id", F.col("filed_on").alias("disclosed_date")), "filing_id")
+    return _executive(told.select("filing_id", "n", tidy(F.regexp_extract("line", NATIVE_ROW, 2)).alias("asset"), "word", "tx_date", "disclosed_date", amounts.parse(tail).alias("a")), [])
+
+
+READERS = {"house": house_rows, "scan": scan_rows, "native": native_rows}
+
+
+def parse_reports(filings: DataFrame, forms: tuple[str, ...] = tuple(READERS)) -> DataFrame:
+    """Rows of filings (filing_id, member_id, form: house, scan or native; filed_on, text, recovered_by_ocr). Null or empty text gives no rows.
+
+    forms: those that occur; a reader of none is not planned.
+    """
+    rows = None
+    for form in forms:
+        found = READERS[form](filings.filter(F.col("form") == form).select("filing_id", "filed_on", "text"))
+        rows = found if rows is None else rows.unionByName(found)
+    about = filings.select("filing_id", "member_id", "recovered_by_ocr")
+    noted = F.when(F.col("recovered_by_ocr"), F.array_append("warnings", F.lit("recovered by OCR"))).otherwise(F.col("warnings"))
+    return rows.join(about, "filing_id").withColumn("warnings", noted).select(*COLUMNS)
+
+
+def report_warnings(filings: DataFrame) -> DataFrame:
+    """filing_id, warning: what was left out of filings, or taken in place of what is missing."""
+    only = lambda form: filings.filter(F.col("form") == form).select("filing_id", "filed_on", "text")
+    house = _house_tokens(only("house")).filter("is_row and not valid").select("filing_id", F.lit("a row's dates could not be read").alias("warning"))
+    scan = _scan_lines(only("scan")).join(only("scan").select("filing_id", "filed_on"), "filing_id")
+    undated = F.coalesce("filed_on", "received", "signed").isNull()
+    line_notes = F.array(F.when(F.col("word").isNotNull() & ~undated & F.col("tx_date").isNull(), F.concat(F.lit("date not understood: "), "raw_date")), F.when(F.col("discarded").isNotNull(), F.concat(F.col("discarded").cast("string"), F.lit(" lines without a row discarded"))))
+    by_line = scan.select("filing_id", F.explode(F.filter(line_notes, lambda x: x.isNotNull())).alias("warning"))
+    signed = F.col("filed_on").isNull() & F.col("received").isNull() & F.col("signed").isNotNull()
+    by_filing = scan.select("filing_id", F.when(undated, "no received date: rows skipped").when(signed, "dated by the certifying signature, for want of a received date").alias("warning")).distinct().filter("warning is not null")
+    return house.unionByName(by_line).unionByName(by_filing)
 
 
 def filing_status(filings: DataFrame, rows: DataFrame) -> DataFrame:

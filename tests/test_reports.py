@@ -9,71 +9,79 @@ from quaystone.functions import amounts, ids
 from quaystone.sources import indexes, reports
 
 HEAD = "ID Owner Asset Transaction\nType Date\n$200?\n"
-
-
-def house(body, filed=None):
-    return reports.HouseReader(filed).read(HEAD + body)
-
-
-def test_row_and_wrapped_upper_bound():
-    (row,) = house("SP Apple Inc. (AAPL) [ST] P 01/02/2025 01/10/2025 $1,001 -\n$15,000")
+FILING = "filing_id string, member_id string, form string, filed_on date, text string, recovered_by_ocr boolean"
+
+
+@pytest.fixture
+def read(spark):
+    """Texts of one form -> rows of each text, in order."""
+
+    def run(form, *texts, filed=None):
+        filings = spark.createDataFrame([(f"f{i}", "m", form, filed, t, False) for i, t in enumerate(texts)], FILING)
+        found = [[] for _ in texts]
+        for r in sorted(reports.parse_reports(filings).collect(), key=lambda r: r.position):
+            found[int(r.filing_id[1:])].append(r)
+        return found
+
+    return run
+
+
+def test_house_rows(read):
+    """Rows, wrapped figures, page breaks, labels and owners, each in a filing of its own."""
+    bodies = [
+        "SP Apple Inc. (AAPL) [ST] P 01/02/2025 01/10/2025 $1,001 -\n$15,000",
+        "A (AA) [ST] P 01/02/2025 01/10/2025 $1,001 -\nB (BB) [ST] S 01/02/2025 01/10/2025",
+        "A (AA) [ST] P 01/02/2025 01/10/2025 Over\n$1,000,000",
+        "Long name of a\nfund P 01/02/2025 01/10/2025 $1,001 -\nID Owner Asset\n$200?\n$15,000 company (LONG) [ST]",
+        "JT\nOne Corp (ONE) P 01/02/2025 01/10/2025 $1,001 - $15,000\n[OP]\nF      S     : Amended\nD          : Bought ten\ncalls.\n1234567 Two (TWO) [ST] S (partial) 1/2/25 1/9/25 $15.00",
+        "",
+        "* For the complete list\nA (AA) [ST] P 01/02/2025 01/10/2025 $1,001 - $15,000",
+        "A (AA) [ST] P 01/02/2025 01/10/2025 $1,001 -\n$900 rest of\nthe next (NX) [ST] S 1/2/25 1/9/25 junk\nPart above\nD   : says so!\nDC SP Third [MF] Fourth (FOUR) [ST] E 1/2/25 1/9/25 $5.00\nx (X) [ST] P 13/45/2025 1/9/25 $5.00\nD   : late",
+    ]
+    got = read("house", *[HEAD + b for b in bodies], "A (AA) [ST] P 01/02/2025 01/10/2025 $1,001 - $15,000", None)
+    (row,) = got[0]
     assert (row.owner, row.ticker, row.asset_type, row.tx_type) == ("spouse", "AAPL", "ST", "buy")
     assert (row.amount_kind, row.low_cents, row.high_cents, row.warnings) == ("range", 100_100, 1_500_000, [])
-
-
-def test_missing_upper_bound_warns():
-    first, second = house("A (AA) [ST] P 01/02/2025 01/10/2025 $1,001 -\nB (BB) [ST] S 01/02/2025 01/10/2025")
-    assert first.warnings and not second.warnings
-
-
-def test_over_wraps():
-    (row,) = house("A (AA) [ST] P 01/02/2025 01/10/2025 Over\n$1,000,000")
-    assert (row.amount_kind, row.low_cents) == ("atLeast", 100_000_000)
-
-
-def test_page_break_in_a_row():
-    (row,) = house("Long name of a\nfund P 01/02/2025 01/10/2025 $1,001 -\nID Owner Asset\n$200?\n$15,000 company (LONG) [ST]")
-    assert (row.ticker, row.asset_type, row.high_cents) == ("LONG", "ST", 1_500_000)
-
-
-def test_descriptions_amendment_owner_line_and_orphan_type():
-    rows = house("JT\nOne Corp (ONE) P 01/02/2025 01/10/2025 $1,001 - $15,000\n[OP]\nF      S     : Amended\nD          : Bought ten\ncalls.\n1234567 Two (TWO) [ST] S (partial) 1/2/25 1/9/25 $15.00")
-    assert [r.owner for r in rows] == ["joint", "self"]
-    assert [r.asset_type for r in rows] == ["OP", "ST"]
-    assert [r.is_amendment for r in rows] == [True, False]
-    assert rows[0].filing_description == "Bought ten calls."
-    assert (rows[1].asset, rows[1].tx_type, rows[1].amount_kind, rows[1].low_cents) == ("Two (TWO) [ST]", "partial_sell", "exact", 1500)
-
-
-def test_filed_date_and_impossible_day():
-    (row,) = house("A (AA) [ST] E 02/30/2025 03/10/2025 junk", dt.date(2025, 4, 1))
+    first, second = got[1]
+    assert first.warnings == ["upper bound of the range not found"] and not second.warnings
+    assert [(r.amount_kind, r.low_cents, r.high_cents) for r in got[2]] == [("atLeast", 100_000_000, 100_000_000)]
+    assert [(r.asset, r.ticker, r.asset_type, r.high_cents) for r in got[3]] == [("Long name of a fund company (LONG) [ST]", "LONG", "ST", 1_500_000)]
+    assert [(r.owner, r.asset_type, r.is_amendment, r.filing_description) for r in got[4]] == [("joint", "OP", True, "Bought ten calls."), ("self", "ST", False, None)]
+    last = got[4][1]
+    assert (last.asset, last.tx_type, last.amount_kind, last.low_cents) == ("Two (TWO) [ST]", "partial_sell", "exact", 1500)
+    assert got[5] == got[6] == got[8] == got[9] == []
+    a, b, c = got[7]
+    assert a.warnings == ["ignored an upper bound that is not above the lower"] and a.high_cents == 100_100
+    assert (b.asset, b.warnings, b.filing_description) == ("rest of the next (NX) [ST]", ["amount not understood: junk"], "says so!")
+    assert (c.asset, c.tx_type, c.owner, c.position) == ("Fourth (FOUR) [ST]", "exchange", "self", 2) and c.filing_description.startswith("Part above")
+
+
+def test_filed_date_and_impossible_day(read):
+    ((row,),) = read("house", HEAD + "A (AA) [ST] E 02/30/2025 03/10/2025 junk", filed=dt.date(2025, 4, 1))
     assert (row.tx_date, row.disclosed_date, row.amount_kind) == (dt.date(2025, 3, 2), dt.date(2025, 4, 1), "unknown")
     assert row.warnings
 
 
-def test_outside_the_table():
-    assert house("") == [] and reports.HouseReader(None).read("A (AA) [ST] P 01/02/2025 01/10/2025 $1,001 - $15,000") == []
-    assert house("* For the complete list\nA (AA) [ST] P 01/02/2025 01/10/2025 $1,001 - $15,000") == []
-
-
-def test_scan():
-    rows, warnings = reports.read_scan(["OGE Received: 4/23/2026", "12 HOUSTON CNTY", "AL BRD purchase 1/5/2026 No S1,001 - S15.000", "13 X sale 514/26 Yes $1 -", "14 Y sale 9951/26 No $5"], None)
-    assert [(r.asset, r.tx_type, r.tx_date, r.amount_kind) for r in rows] == [("HOUSTON CNTY AL BRD", "buy", dt.date(2026, 1, 5), "range"), ("X", "sell", dt.date(2026, 5, 14), "range")]
-    assert rows[0].high_cents == 1_500_000 and rows[1].warnings and len(warnings) == 1
-    assert reports.read_scan(["a purchase 1/5/2026 No $5"], None) == ([], ["no received date: rows skipped"])
-    rows, warnings = reports.read_scan(["Date: 2026.08.20 16:24", *"abcde", "z purchase 1/5/2026 No $5"], None)
-    assert rows[0].asset == "z" and rows[0].disclosed_date == dt.date(2026, 8, 20) and len(warnings) == 2
+def test_scan(spark, read):
+    texts = ["OGE Received: 4/23/2026\n12 RIVERTON PORT\nOR REV purchase 1/5/2026 No S1,001 - S15.000\n13 X sale 514/26 Yes $1 -\n14 Y sale 9951/26 No $5", "a purchase 1/5/2026 No $5", "Date: 2024.02.11 09:05\na\nb\nc\nd\ne\nz purchase 1/5/2026 No $5"]
+    got = read("scan", *texts)
+    assert [(r.asset, r.tx_type, r.tx_date, r.amount_kind) for r in got[0]] == [("RIVERTON PORT OR REV", "buy", dt.date(2026, 1, 5), "range"), ("X", "sell", dt.date(2026, 5, 14), "range")]
+    assert got[0][0].high_cents == 1_500_000 and got[0][1].warnings == ["amount goes on past its line"] and got[1] == []
+    assert (got[2][0].asset, got[2][0].disclosed_date) == ("z", dt.date(2024, 2, 11))
+    filings = spark.createDataFrame([(f"f{i}", "m", "scan", None, t, False) for i, t in enumerate(texts)] + [("f9", "m", "house", None, HEAD + "x P 13/45/2025 1/9/25 $5.00", False)], FILING)
+    assert sorted((r.filing_id, r.warning) for r in reports.report_warnings(filings).collect()) == [
+        ("f0", "date not understood: 9951/26"), ("f1", "no received date: rows skipped"), ("f2", "5 lines without a row discarded"), ("f2", "dated by the certifying signature, for want of a received date"), ("f9", "a row's dates could not be read"),
+    ]
 
 
-def test_native():
-    rows, _ = reports.read_native(["1 A Fund purchase 1/5/2026 No $1,001 -", "$15,000", "1 again sale 1/5/2026 No $5", "2 B sale 1/6/2026 Yes $50,001 - $100,000", "3 C sale 1/6/2026 $5"], dt.date(2026, 2, 1))
+def test_native(read):
+    (rows,) = read("native", "1 A Fund purchase 1/5/2026 No $1,001 -\n$15,000\n1 again sale 1/5/2026 No $5\n2 B sale 1/6/2026 Yes $50,001 - $100,000\n3 C sale 1/6/2026 $5", filed=dt.date(2026, 2, 1))
     assert [(r.asset, r.low_cents, r.high_cents) for r in rows] == [("A Fund", 100_100, 1_500_000), ("B", 5_000_100, 10_000_000)]
 
 
 def test_parse_reports(spark):
     text = HEAD + "A (AA) [ST] P 01/02/2025 01/10/2025 $1,001 - $15,000"
-    schema = "filing_id string, member_id string, form string, filed_on date, text string, recovered_by_ocr boolean"
-    filings = spark.createDataFrame([("f1", "m", "house", None, text, True), ("f2", "m", "house", None, None, False), ("f3", "m", "scan", dt.date(2025, 1, 1), "1 a sale 1/5/2025 No $5", False)], schema)
+    filings = spark.createDataFrame([("f1", "m", "house", None, text, True), ("f2", "m", "house", None, None, False), ("f3", "m", "scan", dt.date(2025, 1, 1), "1 a sale 1/5/2025 No $5", False)], FILING)
     rows = reports.parse_reports(filings)
     assert sorted((r.filing_id, r.asset, tuple(r.warnings)) for r in rows.collect()) == [("f1", "A (AA) [ST]", ("recovered by OCR",)), ("f3", "a", ())]
     assert {(r.filing_id, r.status) for r in reports.filing_status(filings, rows).collect()} == {("f1", "parsed"), ("f2", "without_text"), ("f3", "parsed")}
@@ -83,7 +91,7 @@ def test_parse_reports(spark):
     ("text", "want"),
     [
         ("$1,001 - $15,000", ("range", 100_100, 1_500_000, None)), ("$50,000,001 +", ("atLeast", 5_000_000_100, 5_000_000_100, None)), ("Spouse/DC Over $1,000,000", ("atLeast", 100_000_000, 100_000_000, None)),
-        ("Over", ("unknown", 0, 0, "threshold")), ("$15.07", ("exact", 1507, 1507, None)), ("None (or less than $201)", ("none", 0, 0, None)), ("$50,001 -", ("range", 5_000_100, 5_000_100, "upper")), ("", ("unknown", 0, 0, None)), ("junk", ("unknown", 0, 0, None)), (None, ("unknown", 0, 0, None)),
+        ("Over", ("unknown", 0, 0, "threshold")), ("$15.07", ("exact", 1507, 1507, None)), ("None (or less than $201)", ("none", 0, 0, None)), ("$50,001 -", ("range", 5_000_100, 5_000_100, "upper")), ("", ("unknown", 0, 0, None)), ("junk", ("unknown", 0, 0, None)), ("junk $5", ("unknown", 0, 0, None)), ("noneX $5", ("none", 0, 0, None)), ("$15,000 - $1,001", ("range", 1_500_000, 100_100, None)), (None, ("unknown", 0, 0, None)),
     ],
 )
 def test_amount_column(spark, text, want):
