@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from quaystone.functions import amounts, ids, names
 from quaystone.functions import columns as C
-from quaystone.operators import feed, rules, stats, watch
+from quaystone.operators import feed, identity, rules, stats, watch
 from quaystone.plans import sinks
-from quaystone.sources import testdata
+from quaystone.sources import indexes, reports, testdata
 from quaystone.sources.testdata import CTE
 from quaystone.streaming import refresh
 
@@ -97,7 +97,7 @@ on_trades("filing_counts", "SELECT filing_id, count(*) AS n FROM feed GROUP BY f
 on_trades("feed_recent", "SELECT id, sort_date, row_number() OVER (ORDER BY sort_date DESC, id DESC) AS rank FROM feed QUALIFY rank <= 400")(lambda t: feed.recent(t).select("id", "sort_date", "rank"))
 on_trades("feed_just_disclosed", "SELECT id, disclosed_date, row_number() OVER (ORDER BY disclosed_date DESC, id DESC) AS rank FROM feed QUALIFY rank <= 60")(lambda t: feed.just_disclosed(t).select("id", "disclosed_date", "rank"))
 on_trades("filter_types_owners", "SELECT id FROM feed WHERE tx_type IN ('buy', 'exchange') AND owner IN ('spouse', 'joint')")(lambda t: feed.select(t, types={"buy", "exchange"}, owners={"spouse", "joint"}).select("id"))
-on_both("filter_state_chamber", "SELECT f.id FROM feed f JOIN member m ON m.id = f.member_id WHERE m.state IN ('FRANCE', 'CHINA', 'PERU') AND m.chamber IN ('senate', 'executive')")(lambda t, m: feed.select(t, m, states={"FRANCE", "CHINA", "PERU"}, chambers={"senate", "executive"}).select("id"))
+on_both("filter_state_chamber", "SELECT f.id FROM feed f JOIN member m ON m.id = f.member_id WHERE m.state IN ('NATION_1', 'NATION_6', 'NATION_17') AND m.chamber IN ('senate', 'executive')")(lambda t, m: feed.select(t, m, states={"NATION_1", "NATION_6", "NATION_17"}, chambers={"senate", "executive"}).select("id"))
 on_trades("filter_options", "SELECT id FROM feed WHERE asset_type = 'OP'")(lambda t: feed.select(t, options_only=True).select("id"))
 on_trades("filter_late", "SELECT id, lag AS lag_days FROM feed WHERE NOT impossible AND lag > 45")(lambda t: feed.with_dates(feed.select(t, late_only=True)).select("id", F.col("lag_days").cast("long")))
 on_trades("filter_min_bracket", "SELECT id FROM feed WHERE amount_kind = 'atLeast' OR low_cents >= 500000100")(lambda t: feed.select(t, min_bracket="5M").select("id"))
@@ -136,7 +136,13 @@ def _new_filings(spark, d):
     return feed.new_filings(t.groupBy("filing_id").agg(F.max("disclosed_date").alias("filed_on")), t.filter("is_amendment").select("filing_id").distinct())
 
 
-query("member_name_match", "SELECT 'C7' AS id, name, 1 AS tier FROM member WHERE id = 'C7'")(lambda spark, d: feed.name_match(testdata.members(spark, d), " customer#000000007 "))
+_ASKED = " customer#000000007 "
+query(
+    "member_name_match",
+    f"""WITH q AS (SELECT lower(trim('{_ASKED}')) AS q), hits AS (SELECT id, name, CASE WHEN lower(name) = q THEN 1 WHEN starts_with(lower(name), q) THEN 2 WHEN contains(lower(name), q) THEN 3 END AS tier FROM member, q),
+    best AS (SELECT tier, count(DISTINCT id) AS people, min(id) AS id FROM hits WHERE tier = (SELECT min(tier) FROM hits) GROUP BY tier)
+    SELECT h.id, h.name, h.tier FROM best b JOIN hits h ON h.tier = b.tier AND h.id = b.id WHERE people = 1""",
+)(lambda spark, d: feed.name_match(testdata.members(spark, d), _ASKED))
 on_both("member_search", "SELECT id, name FROM member WHERE contains(lower(name), '00001') OR lower(state) = '00001'")(lambda t, m: m.filter(F.lower("name").contains("00001") | (F.lower("state") == "00001")).select("id", "name"))
 
 _FP = "coalesce(ticker, asset) || '|' || coalesce(asset_type, '') || '|' || tx_type || '|' || CAST(tx_date AS VARCHAR) || '|' || low_cents || '|' || high_cents || '|' || owner"
@@ -261,6 +267,100 @@ query("folded_names", "SELECT id, trim(regexp_replace(lower(name), '[^a-z ]', ''
 )
 
 
+# Identity ---------------------------------------------------------------------------------------
+# Members as a crosswalk: eight people to a surname, and seats by their number, so that every tier, every doubt and every miss occurs.
+
+_PEOPLE = """p AS (SELECT c_custkey AS k, chr(CAST(97 + (c_custkey // 2) % 12 AS INTEGER)) || 'stone' || translate(CAST(c_custkey // 96 AS VARCHAR), '0123456789', 'abcdefghij') AS last, CASE c_custkey % 5 WHEN 0 THEN 'anna' WHEN 1 THEN 'ann' WHEN 2 THEN 'robert' WHEN 3 THEN 'mary kay' ELSE 'zed' END AS first, CASE WHEN c_custkey % 5 = 2 THEN 'bob' END AS nick,
+    'N' || c_nationkey % 3 AS state, CASE WHEN c_custkey % 4 = 0 THEN 'senate' ELSE 'house' END AS chamber, c_custkey % 7 AS district, CASE WHEN c_custkey % 3 = 0 THEN 1990 ELSE 9999 END AS ends FROM customer),
+    x AS (SELECT *, 'Z' || lpad(CAST(k AS VARCHAR), 6, '0') AS bioguide FROM p),
+    f AS (SELECT CAST(k AS VARCHAR) AS filing_id, CASE WHEN k % 11 = 0 THEN 'nobody' ELSE last END AS last, CASE WHEN k % 6 = 0 THEN 'bob' WHEN k % 6 = 1 THEN 'an' ELSE first END AS first, state, CASE WHEN k % 2 = 0 THEN district END AS seat FROM x)"""
+
+
+def _people(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(crosswalk, filings) of the customers."""
+    k = F.col("c_custkey")
+    first = F.when(k % 5 == 0, "Anna").when(k % 5 == 1, "Ann").when(k % 5 == 2, "Robert").when(k % 5 == 3, "Mary Kay").otherwise("Zed")
+    last = F.concat(F.char(F.lit(97) + F.floor(k / 2) % 12), F.lit("stone"), F.translate(F.floor(k / 96).cast("string"), "0123456789", "abcdefghij"))
+    x = testdata.read(spark, d, "customer").select(
+        k.alias("k"), F.concat(F.lit("Z"), F.lpad(k.cast("string"), 6, "0")).alias("bioguide"), last.alias("last"), first.alias("first"), F.when(k % 5 == 2, "Bob").alias("nickname"), F.concat(F.lit("n"), (F.col("c_nationkey") % 3).cast("string")).alias("state"),
+        F.when(k % 4 == 0, "senate").otherwise("house").alias("chamber"), (k % 7).cast("int").alias("district"), F.when(k % 3 == 0, 1990).otherwise(9999).alias("last_term_end_year"),
+    )
+    filed = x.select(
+        F.col("k").cast("string").alias("filing_id"), F.when(F.col("k") % 11 == 0, "Nobody").otherwise(F.col("last")).alias("last"), F.when(F.col("k") % 6 == 0, "Bob").when(F.col("k") % 6 == 1, "An").otherwise(F.col("first")).alias("first"),
+        F.upper("state").alias("state"), F.when(F.col("k") % 2 == 0, F.lpad(F.col("district").cast("string"), 2, "0")).alias("district"),
+    )
+    return x.drop("k"), filed
+
+
+_ONE = "CASE WHEN count(DISTINCT bioguide) FILTER (WHERE {0}) = 1 THEN min(bioguide) FILTER (WHERE {0}) WHEN count(DISTINCT bioguide) FILTER (WHERE {0} AND seat = district) = 1 THEN min(bioguide) FILTER (WHERE {0} AND seat = district) END"
+_EXACT = "(split_part(f.first, ' ', 1) = split_part(x.first, ' ', 1) OR coalesce(nick = split_part(f.first, ' ', 1), false))"
+_ALIKE = "(starts_with(x.first, f.first) OR starts_with(f.first, x.first) OR coalesce(nick = f.first, false))"
+
+
+@query(
+    "identity_resolve",
+    f"""WITH {_PEOPLE}, c AS (SELECT filing_id, {_ONE.format(_EXACT)} AS t1, count(DISTINCT bioguide) FILTER (WHERE {_EXACT}) AS exact, {_ONE.format('true')} AS t2, {_ONE.format(_ALIKE)} AS t3
+      FROM f JOIN x ON x.state = f.state AND x.last = f.last GROUP BY filing_id),
+    r AS (SELECT f.filing_id, c.filing_id IS NOT NULL AS seen, coalesce(t1, CASE WHEN exact < 2 THEN coalesce(t2, t3) END) AS bioguide FROM f LEFT JOIN c ON c.filing_id = f.filing_id)
+    SELECT filing_id, bioguide, CASE WHEN bioguide IS NOT NULL THEN 'matched' WHEN seen THEN 'ambiguous' ELSE 'not_found' END AS resolution FROM r""",
+    cte=False,
+)
+def _identity(spark, d):
+    x, filed = _people(spark, d)
+    return identity.resolve(filed, x)
+
+
+@query(
+    "identity_chamber",
+    f"""WITH {_PEOPLE}, s AS (SELECT filing_id, split_part(first, ' ', 1) AS first, last, NULL::BIGINT AS seat FROM f),
+    c AS (SELECT filing_id, {_ONE.format('true')} AS t1, {_ONE.format("(starts_with(x.first, s.first) OR starts_with(s.first, x.first) OR coalesce(nick = s.first, false))")} AS t2 FROM s JOIN x ON x.last = s.last AND x.chamber = 'senate' AND ends >= 2000 GROUP BY filing_id),
+    r AS (SELECT s.filing_id, c.filing_id IS NOT NULL AS seen, coalesce(t1, t2) AS bioguide FROM s LEFT JOIN c ON c.filing_id = s.filing_id)
+    SELECT filing_id, bioguide, CASE WHEN bioguide IS NOT NULL THEN 'matched' WHEN seen THEN 'ambiguous' ELSE 'not_found' END AS resolution FROM r""",
+    cte=False,
+)
+def _identity_chamber(spark, d):
+    x, filed = _people(spark, d)
+    return identity.resolve_in_chamber(filed, x, "senate", 2000)
+
+
+# Ingest -----------------------------------------------------------------------------------------
+# Lines and pages of the sources, made from the tables.
+
+
+@query(
+    "clerk_index",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS filing_id, 'Mem' || o_custkey AS last, CASE WHEN o_orderkey % 4 = 0 THEN 'P' ELSE 'X' END AS filing_type, 'ST' AS state, lpad(CAST(o_custkey % 50 AS VARCHAR), 2, '0') AS district, CAST(year(o_orderdate) AS BIGINT) AS year, CAST(o_orderdate AS DATE) AS filed_on, 'Jo Mem' || o_custkey AS full_name, o_orderkey % 4 = 0 AS is_ptr FROM orders",
+    cte=False,
+)
+def _clerk(spark, d):
+    date = F.to_date("o_orderdate")
+    cells = [F.lit(" "), F.concat(F.lit("Mem"), F.col("o_custkey").cast("string")), F.lit("Jo"), F.lit(""), F.when(F.col("o_orderkey") % 4 == 0, "P").otherwise("X"), F.concat(F.lit("ST"), F.lpad((F.col("o_custkey") % 50).cast("string"), 2, "0")), F.year(date).cast("string"), F.date_format(date, "M/d/yyyy"), F.col("o_orderkey").cast("string")]
+    lines = testdata.read(spark, d, "orders").select(F.concat(F.concat_ws("\t", *cells), F.lit("\r")).alias("value"))
+    head = spark.createDataFrame([("Prefix\tLast\tFirst\tSuffix\tFilingType\tStateDst\tYear\tFilingDate\tDocID\r",), ("too\tshort",)], "value string")
+    return indexes.clerk_index(head.unionByName(lines), 1990).select("filing_id", "last", "filing_type", "state", "district", F.col("year").cast("long"), "filed_on", "full_name", "is_ptr")
+
+
+@query(
+    "house_report",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, count(*) OVER w AS nth, l_partkey AS p, CAST(l_shipdate AS DATE) AS told, CAST(o_orderdate AS DATE) AS tx FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 8 = 0
+      WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING))
+    SELECT CAST(l_orderkey AS VARCHAR) AS filing_id, CAST(nth - 1 AS BIGINT) AS position, 'Firm ' || p || ' (TK) [ST]' AS asset, 'TK' AS ticker, 'ST' AS asset_type, tx AS tx_date, told AS disclosed_date, CASE p % 3 WHEN 0 THEN 'spouse' ELSE 'self' END AS owner,
+      CASE p % 4 WHEN 0 THEN 'atLeast' WHEN 1 THEN 'range' WHEN 2 THEN 'exact' ELSE 'range' END AS amount_kind, CAST(p * 100 AS BIGINT) AS low_cents, CAST(CASE WHEN p % 4 IN (1, 3) THEN p * 100 + 500000 ELSE p * 100 END AS BIGINT) AS high_cents, p % 5 = 0 AS is_amendment, CASE WHEN p % 7 = 0 THEN 'Bought by plan.' END AS filing_description FROM r""",
+    cte=False,
+)
+def _house_report(spark, d):
+    p, us = F.col("l_partkey"), lambda c: F.date_format(F.to_date(c), "MM/dd/yyyy")
+    money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
+    tail = F.when(p % 4 == 0, F.concat(F.lit("Over\n"), money(p))).when(p % 4 == 1, F.concat(money(p), F.lit(" - "), money(p + 5000))).when(p % 4 == 2, money(p)).otherwise(F.concat(money(p), F.lit(" -\n"), money(p + 5000)))
+    row = F.concat(F.when(p % 3 == 0, "SP ").otherwise(""), F.lit("Firm "), p.cast("string"), F.lit("\n(TK) [ST] P "), us("o_orderdate"), F.lit(" "), us("l_shipdate"), F.lit(" "), tail, F.when(p % 5 == 0, "\nF      S     : Amended").otherwise(""), F.when(p % 7 == 0, "\nD          : Bought\nby plan.").otherwise(""))
+    line = testdata.read(spark, d, "lineitem").filter("l_orderkey % 8 = 0")
+    joined = line.join(testdata.read(spark, d, "orders"), line.l_orderkey == F.col("o_orderkey"))
+    body = joined.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("row")))), lambda x: x["row"]), "\n").alias("body"))
+    text = F.concat(F.lit(f"Name: Jo\n{reports.HEAD_OPENS} Transaction\nType Date\n{reports.HEAD_CLOSES}\n"), "body", F.lit(f"\n{reports.FOOTERS[0]} of codes\nnone"))
+    filings = body.select(F.col("l_orderkey").cast("string").alias("filing_id"), F.lit(None).cast("date").alias("filed_on"), text.alias("text"))
+    return reports.house_rows(filings).select("filing_id", F.col("position").cast("long"), "asset", "ticker", "asset_type", "tx_date", "disclosed_date", "owner", "amount_kind", "low_cents", "high_cents", "is_amendment", "filing_description")
+
+
 # Watching, sinks, increments ----------------------------------------------------------------------
 
 @query(
