@@ -34,33 +34,39 @@ FEWEST = 10  #: words, as for whole texts
 REMAINING = 0.5  #: of the words; see the planted documents in tests/llm/test_exact.py
 BROADCAST_BYTES = 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
-def normal(x: F.Column) -> F.Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
+def folded(x: F.Column) -> F.Column:
+    """Small letters, digits as 0, white space but for line breaks folded."""
+    return F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
+
+
+def normal(line: F.Column) -> F.Column:
+    return F.trim(folded(line))
 
 
 def base_figures(docs: DataFrame, *also: str) -> DataFrame:
     """doc_id, source, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines (hash and words of each line that is not blank); also: "raw", the text as it is."""
     text = F.coalesce("text", F.lit(""))
-    step1 = docs.select("doc_id", "source", F.col("text").alias("raw"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), F.split(text, "\n").alias("l"))
-    five = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(5)]))
-    step2 = step1.withColumn("h", F.when(F.size("w") >= 5, five).otherwise(F.array().cast("array<bigint>"))).withColumn("l", F.filter("l", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    sort = F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    step1 = docs.select("doc_id", "source", F.col("text").alias("raw"), text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"), F.split(text, "\n").alias("l"), F.split(folded(text), "\n").alias("f"))
+    # Each word is hashed once, and a window from its words' hashes.
+    step2 = step1.withColumns({"hw": F.transform("w", lambda x: F.xxhash64(x)), "l": F.filter("l", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "f": F.filter(F.transform("f", lambda x: F.trim(x)), lambda x: x != "")})
+    five = F.transform(F.sequence(F.lit(0), F.size("hw") - 5), lambda i: F.xxhash64(*[F.get("hw", i + j) for j in range(5)]))
+    step3 = step2.withColumn("h", F.when(F.size("hw") >= 5, five).otherwise(F.array().cast("array<bigint>")))
+    sort = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     again = F.filter(F.col("s"), lambda x, j: (F.get("s", j - 1)["h"].eqNullSafe(x["h"])) | (F.get("s", j + 1)["h"].eqNullSafe(x["h"])))
-    places = F.array_sort(F.transform(again, lambda x: x["i"]))
+    places = F.sort_array(F.transform(again, lambda x: x["i"]))
     covered = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last")), lambda acc, p: F.struct((acc["n"] + F.least(F.lit(5), p - acc["last"])).alias("n"), p.alias("last")), lambda acc: acc["n"])
     repeats = F.size(F.array_distinct("h")) < F.size("h")
-    step3 = step2.withColumn("s", F.when(repeats, sort).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    line = lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.size(F.split(normal(x), " ")).alias("n"))
-    return step3.select(
+    step4 = step3.withColumn("s", F.when(repeats, sort).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    line = lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("n"))
+    return step4.select(
         "doc_id", "source", F.xxhash64("text").alias("text_hash"),
-        F.size("w").cast("long").alias("n_words"), F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"), F.transform("l", line).alias("lines"), *also,
+        covered.cast("long").alias("n_repeat_words"), F.transform("f", line).alias("lines"), *also,
     )
 
 
