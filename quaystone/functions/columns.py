@@ -14,7 +14,11 @@ ASSET_NAMES = {
     "OT": "Other", "CT": "Cryptocurrency", "HN": "Hedge fund", "OI": "Ownership interest", "PS": "Stock (private)", "RP": "Real property", "SA": "Stock appreciation right",
     "CO": "Collectible", "FA": "Farm", "IH": "Inheritance", "IR": "IRA", "TR": "Trust", "VA": "Variable annuity", "WU": "Whole life insurance",
 }
-VERBS = {"buy": "bought", "sell": "sold", "partial_sell": "sold part of", "exchange": "exchanged"}
+#: What is shown for the codes of directions, owners, chambers and parties.
+VERBS = {"buy": "Bought", "sell": "Sold", "partial_sell": "Sold (partial)", "exchange": "Exchanged"}
+OWNERS = {"self": "Member", "spouse": "Spouse", "joint": "Joint", "dependent": "Dependent"}
+CHAMBERS = {"house": "House", "senate": "Senate", "executive": "Executive Branch"}
+PARTIES = {"democrat": "Democrat", "republican": "Republican", "independent": "Independent", "unknown": "Party unknown"}
 TX_ORDER = ["buy", "sell", "partial_sell", "exchange"]
 
 
@@ -45,9 +49,9 @@ def sort_date() -> Column:
 
 
 def clean_asset() -> Column:
-    """The asset's name without a "(TICKER) [TY]" or "[TY]" at its end."""
-    cut = F.regexp_replace("asset", r"\s*\([A-Za-z0-9.\-/]+\)\s*\[[A-Za-z]{2,4}\]\s*$", "")
-    return F.trim(F.regexp_replace(cut, r"\s*\[[A-Za-z]{2,4}\]\s*$", ""))
+    """The asset's name without a "(TICKER) [TY]" or "[TY]" in capitals at its end."""
+    code = r"\s*\[[A-Z]{2,4}\]\s*$"
+    return F.trim(F.regexp_replace(F.regexp_replace("asset", r"\s*\([A-Z][A-Z0-9.\-]{0,6}\)" + code, ""), code, ""))
 
 
 def symbol() -> Column:
@@ -56,7 +60,7 @@ def symbol() -> Column:
 
 def gap_phrase() -> Column:
     days = lag_days()
-    return F.when(impossible(), "dates inconsistent").when(days == 0, "disclosed the same day").when(days == 1, "disclosed 1 day later").otherwise(F.concat(F.lit("disclosed "), days.cast("string"), F.lit(" days later")))
+    return F.when(impossible(), "filing dates are inconsistent").when(days == 0, "disclosed the same day").when(days == 1, "disclosed 1 day later").otherwise(F.concat(F.lit("disclosed "), days.cast("string"), F.lit(" days later")))
 
 
 def dollars(cents: Column) -> Column:
@@ -72,7 +76,7 @@ def amount_label(kind: str = "amount_kind", low: str = "low_cents", high: str =
 
 
 def party(raw: Column) -> Column:
-    name = F.lower(F.trim(raw))
+    name = F.lower(raw)
     return F.when(name.isin("democrat", "democratic"), "democrat").when(name == "republican", "republican").when(F.coalesce(name, F.lit("")) != "", "independent").otherwise("unknown")
 
 
@@ -84,7 +88,7 @@ def initials(name: Column) -> Column:
     """First letters of the last two words that do not end in a full stop; a dash if there is none."""
     parts = F.filter(F.split(F.trim(name), r"\s+"), lambda x: ~x.endswith(".") & (x != ""))
     last = F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2)
-    return F.when(F.size(parts) == 0, "–").otherwise(F.upper(F.array_join(F.transform(last, lambda x: F.substring(x, 1, 1)), "")))
+    return F.when(F.size(parts) == 0, "—").otherwise(F.upper(F.array_join(F.transform(last, lambda x: F.substring(x, 1, 1)), "")))
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -103,7 +107,7 @@ def date_label(d: Column) -> Column:
 
 def age_phrase(then: Column, now: Column) -> Column:
     days = F.datediff(now, then)
-    return F.when(days <= 0, "today").when(days == 1, "yesterday").otherwise(F.concat(days.cast("string"), F.lit(" days ago")))
+    return F.when(days < 0, "dated in the future").when(days == 0, "downloaded today").when(days == 1, "1 day old").when(days > 1, F.concat(days.cast("string"), F.lit(" days old")))
 
 
 def lenient_date(y: Column, m: Column, d: Column) -> Column:
@@ -133,32 +137,66 @@ def is_acquisition() -> Column:
 
 
 def party_letter(column: str = "party") -> Column:
-    return F.when(F.col(column).isin("democrat", "republican", "independent"), F.upper(F.substring(column, 1, 1)))
+    """Empty where the party is not known."""
+    return F.when(F.col(column).isin("democrat", "republican", "independent"), F.upper(F.substring(column, 1, 1))).otherwise("")
+
+
+def party_label(column: str = "party") -> Column:
+    return named(F.coalesce(F.col(column), F.lit("unknown")), PARTIES)
+
+
+def _by_kind(kind: str, told: dict[str, Column], otherwise: str) -> Column:
+    out = F.lit(otherwise)
+    for k, text in told.items():
+        out = F.when(F.col(kind) == k, text).otherwise(out)
+    return out
 
 
 def amount_headline(kind: str = "amount_kind", low: str = "low_cents", high: str = "high_cents") -> Column:
-    """What a bracket says at a glance: its upper end, its floor, or that nothing is known."""
-    k = F.col(kind)
-    return F.when(k == "range", F.concat(F.lit("up to "), dollars(F.col(high)))).when(k == "atLeast", F.concat(F.lit("at least "), dollars(F.col(low)))).when(k == "exact", dollars(F.col(low))).when(k == "none", "under $201").otherwise("unknown")
+    """A bracket at a glance. An open one has no upper end, and none is made up."""
+    lo, hi = dollars(F.col(low)), dollars(F.col(high))
+    return _by_kind(kind, {"range": F.concat(lo, F.lit(" – "), hi), "atLeast": F.concat(F.lit("Over "), lo), "exact": lo, "none": F.lit("None (or less than $201)")}, "Amount unreadable")
+
+
+def amount_caption(kind: str = "amount_kind") -> Column:
+    """What sort of figure it is."""
+    told = {"range": "Disclosed range", "atLeast": "Open-ended bracket", "exact": "Exact amount", "none": "Below the reporting threshold"}
+    return _by_kind(kind, {k: F.lit(v) for k, v in told.items()}, "Not readable on the filing")
+
+
+def amount_spoken(kind: str = "amount_kind", low: str = "low_cents", high: str = "high_cents") -> Column:
+    """A bracket to be read aloud: no dashes."""
+    lo, hi = dollars(F.col(low)), dollars(F.col(high))
+    told = {"range": F.concat(F.lit("Disclosed range, "), lo, F.lit(" to "), hi), "atLeast": F.concat(F.lit("Open-ended bracket, over "), lo), "exact": F.concat(F.lit("Exact amount, "), lo), "none": F.lit("None, or less than $201")}
+    return _by_kind(kind, told, "Amount could not be read from the filing")
+
+
+def timing() -> Column:
+    return F.concat(F.lit("Traded "), date_label(F.col("tx_date")), F.lit(" · "), gap_phrase())
 
 
 def summary() -> Column:
-    return F.concat_ws(" ", "member_name", verb(), symbol(), F.concat(F.lit("("), amount_headline(), F.lit(");")), gap_phrase())
+    """A row in one sentence to be read aloud; what is not known is left out."""
+    account = F.when(F.col("owner") == "self", "own account").otherwise(F.concat(named(F.col("owner"), OWNERS), F.lit(" account")))
+    gap = F.when(impossible(), "the filing's dates are inconsistent and are shown as filed").otherwise(gap_phrase())
+    kind = named(F.col("asset_type"), ASSET_NAMES, F.lit(None).cast("string"))
+    return F.concat_ws(", ", "member_name", account, verb(), clean_asset(), F.concat(F.lit("ticker "), F.col("ticker")), kind, amount_spoken(), F.concat(F.lit("traded "), date_label(F.col("tx_date"))), gap)
 
 
 def chamber_tag(chambers: list[str], column: str = "chamber") -> Column:
     """The chamber in words, if the feed covers more than one."""
-    return named(F.col(column), {"house": "House", "senate": "Senate", "executive": "Executive"}) if len(set(chambers)) > 1 else F.lit(None).cast("string")
+    return named(F.col(column), CHAMBERS) if len(set(chambers)) > 1 else F.lit(None).cast("string")
 
 
 def is_stale(last_contact: Column, generated: Column, now: Column, days: int = 7) -> Column:
-    return F.datediff(now, F.coalesce(last_contact, generated)) > days
+    """Whether the last contact, or else the data, is older; false if neither is known."""
+    return F.coalesce(F.datediff(now, F.coalesce(last_contact, generated)) > days, F.lit(False))
 
 
 def identity_line(party_column: str = "party", chamber: str = "chamber", state: str = "state", district: str = "district") -> Column:
     """Party, chamber and seat, without what is not known."""
-    shown = F.when(F.col(party_column).isin("democrat", "republican", "independent"), F.initcap(party_column))
-    return F.concat_ws(" · ", shown, F.initcap(chamber), F.nullif(seat(F.col(state), F.col(district)), F.lit("")))
+    shown = F.when(F.col(party_column) != "unknown", named(F.col(party_column), PARTIES))
+    return F.concat_ws(" · ", shown, named(F.col(chamber), CHAMBERS), F.nullif(seat(F.col(state), F.col(district)), F.lit("")))
 
 
 def source_name(chamber: str = "chamber") -> Column:

@@ -96,6 +96,13 @@ def upsert_members(seed: DataFrame, new: DataFrame) -> DataFrame:
     return seed.unionByName(new.join(seed.select("id"), "id", "left_anti").dropDuplicates(["id"]))
 
 
+def changed(rows: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """rows with the values that changes give for their key (one row each); null, or no row, leaves a value as it is."""
+    given = [c for c in changes.columns if c != key]
+    new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in given])
+    return rows.join(new, F.col(key) == F.col("_key"), "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in rows.columns])
+
+
 def possible_duplicate_amendments(trades: DataFrame) -> DataFrame:
     """Rows that share all but the amount, if one of them amends."""
     same = Window.partitionBy("member_id", F.upper(F.coalesce("ticker", "asset")), F.coalesce("asset_type", F.lit("")), "tx_type", "owner", "tx_date")

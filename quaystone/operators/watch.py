@@ -24,21 +24,38 @@ def mark_seen(seen: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def alert(rows: DataFrame, most: int = 4) -> DataFrame:
-    """One row: n, names (tickers, or members if no row has a ticker; the first four in order), more, and the row itself if it is one."""
+    """One row, or none without rows: n, names (tickers, or members if no row has a ticker; the first four in order), more, title and body.
+
+    A single row is told in full; of several their number and names.
+    """
     told = rows.agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_set(F.upper("ticker"))).alias("tickers"), F.sort_array(F.collect_set("member_name")).alias("members"),
-        F.min(F.struct("member_name", "tx_type", C.symbol().alias("symbol"))).alias("one"),
+        F.count("*").alias("n"), F.sort_array(F.collect_set("ticker")).alias("tickers"), F.sort_array(F.collect_set("member_name")).alias("members"),
+        F.min(F.struct("id", "member_name", F.lower(C.verb()).alias("verb"), C.symbol().alias("symbol"), C.amount_label().alias("amount"), C.gap_phrase().alias("gap"))).alias("one"),
     ).filter("n > 0")
     names = F.when(F.size("tickers") > 0, F.col("tickers")).otherwise(F.col("members"))
     shown = F.array_join(F.slice(names, 1, most), ", ")
     more = F.greatest(F.size(names) - most, F.lit(0))
-    text = F.when(F.col("n") == 1, F.concat_ws(" ", "one.member_name", C.named(F.col("one.tx_type"), C.VERBS), "one.symbol")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" new rows: "), shown, F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(F.lit(""))))
-    return told.select("n", shown.alias("names"), more.cast("long").alias("more"), text.alias("text"))
+    single = F.col("n") == 1
+    title = F.when(single, F.concat_ws(" ", "one.member_name", "one.verb", "one.symbol")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" new disclosures on your watchlist")))
+    body = F.when(single, F.concat_ws(" · ", "one.amount", "one.gap")).otherwise(F.concat(shown, F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(F.lit(""))))
+    return told.select("n", shown.alias("names"), more.cast("long").alias("more"), title.alias("title"), body.alias("body"))
 
 
 def followed(follows: DataFrame, members: DataFrame) -> DataFrame:
-    """Followed members in order of name; ids without a record have a null name."""
-    return follows.join(members.select(F.col("id").alias("member_id"), "name", "chamber"), "member_id", "left").orderBy(F.asc_nulls_last("name"), "member_id")
+    """Followed members that have a record, in order of name."""
+    return follows.distinct().join(members.select(F.col("id").alias("member_id"), "name", "chamber"), "member_id").orderBy("name", "member_id")
+
+
+def missing(follows: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: how many followed ids have no record."""
+    return follows.distinct().join(members.select(F.col("id").alias("member_id")), "member_id", "left_anti").agg(F.count("*").alias("missing"))
+
+
+def new_section(matches: DataFrame, seen: DataFrame, limit: int = 50) -> DataFrame:
+    """Matches not seen before, newest first, as many as are shown; `mark_seen` takes these, and the rest come next time."""
+    from quaystone.operators import feed
+
+    return feed.just_disclosed(matches.join(seen.select(F.col("row_id").alias("id")), "id", "left_anti"), limit)
 
 
 def widget(trades: DataFrame, mode: str, tickers: DataFrame, follows: DataFrame, ticker: str | None = None, limit: int = 5) -> DataFrame:

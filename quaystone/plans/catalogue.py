@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.functions import amounts, ids, names
@@ -173,12 +173,13 @@ on_both(
       CAST(f.tx_date AS VARCHAR) AS transaction_date, CAST(f.disclosed_date AS VARCHAR) AS disclosed_date, f.lag AS disclosure_lag_days, f.impossible AS has_impossible_date, {_LABEL} AS amount_label, f.low_cents AS amount_low_cents, f.high_cents AS amount_high_cents,
       f.is_amendment, coalesce(f.warning, '') AS warnings, f.filing_id, 'https://filings.example/' || f.filing_id || '.pdf' AS source_url FROM feed f LEFT JOIN member m ON m.id = f.member_id""",
 )(feed.csv_projection)
+_GAP = "CASE WHEN impossible THEN 'filing dates are inconsistent' WHEN lag = 0 THEN 'disclosed the same day' WHEN lag = 1 THEN 'disclosed 1 day later' ELSE 'disclosed ' || lag || ' days later' END"
+_CLEAN = r"trim(regexp_replace(regexp_replace(asset, '\s*\([A-Z][A-Z0-9.\-]{0,6}\)\s*\[[A-Z]{2,4}\]\s*$', ''), '\s*\[[A-Z]{2,4}\]\s*$', ''))"
 on_trades(
     "derived_columns",
-    """SELECT id, lag AS lag_days, impossible, NOT impossible AND lag > 45 AS late, coalesce(asset_type = 'OP', false) AS is_option, sort_date,
-      trim(regexp_replace(regexp_replace(asset, '\\s*\\([A-Za-z0-9.\\-/]+\\)\\s*\\[[A-Za-z]{2,4}\\]\\s*$', ''), '\\s*\\[[A-Za-z]{2,4}\\]\\s*$', '')) AS clean_asset,
-      coalesce(ticker, substr(trim(regexp_replace(asset, '\\s*\\[[A-Za-z]{2,4}\\]\\s*$', '')), 1, 18)) AS symbol,
-      CASE WHEN impossible THEN 'dates inconsistent' WHEN lag = 0 THEN 'disclosed the same day' WHEN lag = 1 THEN 'disclosed 1 day later' ELSE 'disclosed ' || lag || ' days later' END AS gap FROM feed""",
+    f"""SELECT id, lag AS lag_days, impossible, NOT impossible AND lag > 45 AS late, coalesce(asset_type = 'OP', false) AS is_option, sort_date,
+      {_CLEAN} AS clean_asset, coalesce(ticker, substr({_CLEAN}, 1, 18)) AS symbol,
+      {_GAP} AS gap FROM feed""",
 )(lambda t: t.select("id", C.lag_days().cast("long").alias("lag_days"), C.impossible().alias("impossible"), C.late().alias("late"), C.is_option().alias("is_option"), C.sort_date().alias("sort_date"), C.clean_asset().alias("clean_asset"), C.symbol().alias("symbol"), C.gap_phrase().alias("gap")))
 _FNV = "list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(string_split(fp, ''), lambda x: CAST(ascii(x) AS UHUGEINT))), lambda a, b: (xor(a, b) * CAST(1099511628211 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT))"
 on_trades(
@@ -342,7 +343,7 @@ def _clerk(spark, d):
 
 @query(
     "house_report",
-    """WITH r AS (SELECT l_orderkey, l_linenumber, count(*) OVER w AS nth, l_partkey AS p, CAST(l_shipdate AS DATE) AS told, CAST(o_orderdate AS DATE) AS tx FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 8 = 0
+    """WITH r AS (SELECT l_orderkey, l_linenumber, count(*) OVER w AS nth, l_partkey AS p, CAST(l_shipdate AS DATE) AS told, CAST(o_orderdate AS DATE) AS tx FROM lineitem JOIN orders ON l_orderkey = o_orderkey
       WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING))
     SELECT CAST(l_orderkey AS VARCHAR) AS filing_id, CAST(nth - 1 AS BIGINT) AS position, 'Firm ' || p || ' (TK) [ST]' AS asset, 'TK' AS ticker, 'ST' AS asset_type, tx AS tx_date, told AS disclosed_date, CASE p % 3 WHEN 0 THEN 'spouse' ELSE 'self' END AS owner,
       CASE p % 4 WHEN 0 THEN 'atLeast' WHEN 1 THEN 'range' WHEN 2 THEN 'exact' ELSE 'range' END AS amount_kind, CAST(p * 100 AS BIGINT) AS low_cents, CAST(CASE WHEN p % 4 IN (1, 3) THEN p * 100 + 500000 ELSE p * 100 END AS BIGINT) AS high_cents, p % 5 = 0 AS is_amendment, CASE WHEN p % 7 = 0 THEN 'Bought by plan.' END AS filing_description FROM r""",
@@ -353,7 +354,7 @@ def _house_report(spark, d):
     money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
     tail = F.when(p % 4 == 0, F.concat(F.lit("Over\n"), money(p))).when(p % 4 == 1, F.concat(money(p), F.lit(" - "), money(p + 5000))).when(p % 4 == 2, money(p)).otherwise(F.concat(money(p), F.lit(" -\n"), money(p + 5000)))
     row = F.concat(F.when(p % 3 == 0, "SP ").otherwise(""), F.lit("Firm "), p.cast("string"), F.lit("\n(TK) [ST] P "), us("o_orderdate"), F.lit(" "), us("l_shipdate"), F.lit(" "), tail, F.when(p % 5 == 0, "\nF      S     : Amended").otherwise(""), F.when(p % 7 == 0, "\nD          : Bought\nby plan.").otherwise(""))
-    line = testdata.read(spark, d, "lineitem").filter("l_orderkey % 8 = 0")
+    line = testdata.read(spark, d, "lineitem")
     joined = line.join(testdata.read(spark, d, "orders"), line.l_orderkey == F.col("o_orderkey"))
     body = joined.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("row")))), lambda x: x["row"]), "\n").alias("body"))
     text = F.concat(F.lit(f"Name: Jo\n{reports.HEAD_OPENS} Transaction\nType Date\n{reports.HEAD_CLOSES}\n"), "body", F.lit(f"\n{reports.FOOTERS[0]} of codes\nnone"))
@@ -366,8 +367,8 @@ def _house_report(spark, d):
 @query(
     "alert_digest",
     f"""WITH {_WATCH}, u AS (SELECT * FROM feed WHERE symbol IN (SELECT upper(ticker) FROM tickers) OR member_id IN (SELECT member_id FROM follows)),
-    s AS (SELECT list_sort(list_distinct(list(symbol))) AS names, count(*) AS n FROM u)
-    SELECT n, array_to_string(names[1:4], ', ') AS names, CAST(greatest(len(names) - 4, 0) AS BIGINT) AS more, n || ' new rows: ' || array_to_string(names[1:4], ', ') || CASE WHEN len(names) > 4 THEN ' and ' || (len(names) - 4) || ' more' ELSE '' END AS text FROM s""",
+    s AS (SELECT list_sort(list_distinct(list(ticker))) AS names, count(*) AS n FROM u)
+    SELECT n, array_to_string(names[1:4], ', ') AS names, CAST(greatest(len(names) - 4, 0) AS BIGINT) AS more, n || ' new disclosures on your watchlist' AS title, array_to_string(names[1:4], ', ') || CASE WHEN len(names) > 4 THEN ' and ' || (len(names) - 4) || ' more' ELSE '' END AS body FROM s""",
 )
 def _alert(spark, d):
     return watch.alert(feed.relevant(testdata.trades(spark, d), *_watched(spark)))
@@ -375,16 +376,270 @@ def _alert(spark, d):
 
 on_both("provenance", "SELECT (SELECT string_agg(chamber, ', ' ORDER BY chamber) FROM (SELECT DISTINCT m.chamber FROM feed f JOIN member m ON m.id = f.member_id)) AS chambers, (SELECT string_agg(CAST(y AS VARCHAR), ', ' ORDER BY y) FROM (SELECT DISTINCT year(tx_date) AS y FROM feed)) AS years")(sinks.provenance)
 query("incremental_events", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL", cte=False)(lambda spark, d: refresh.event_counts(testdata.read(spark, d, "events")))
-on_both("display_columns", """SELECT f.id, CASE tx_type WHEN 'buy' THEN 'bought' WHEN 'sell' THEN 'sold' WHEN 'partial_sell' THEN 'sold part of' ELSE 'exchanged' END AS verb,
-    CASE m.party WHEN 'democrat' THEN 'D' WHEN 'republican' THEN 'R' WHEN 'independent' THEN 'I' END AS party_letter, strftime(disclosed_date, '%Y') AS label_year FROM feed f LEFT JOIN member m ON m.id = f.member_id""")(
-    lambda t, m: t.join(m.select(F.col("id").alias("_m"), "party"), F.col("member_id") == F.col("_m"), "left").select("id", C.named(F.col("tx_type"), C.VERBS).alias("verb"), F.when(F.col("party") != "unknown", F.upper(F.substring("party", 1, 1))).alias("party_letter"), F.date_format("disclosed_date", "yyyy").alias("label_year"))
+_LO, _HI, _DAY = _DOLLARS.format("low_cents"), _DOLLARS.format("high_cents"), "strftime({0}, '%b %-d, %Y')"
+_SPOKEN = f"CASE amount_kind WHEN 'range' THEN 'Disclosed range, ' || {_LO} || ' to ' || {_HI} WHEN 'atLeast' THEN 'Open-ended bracket, over ' || {_LO} ELSE 'Amount could not be read from the filing' END"
+_VERB = "CASE tx_type WHEN 'buy' THEN 'Bought' WHEN 'sell' THEN 'Sold' WHEN 'partial_sell' THEN 'Sold (partial)' ELSE 'Exchanged' END"
+_OWNER = "CASE owner WHEN 'self' THEN 'Member' WHEN 'spouse' THEN 'Spouse' WHEN 'joint' THEN 'Joint' ELSE 'Dependent' END"
+
+
+@on_both(
+    "display_columns",
+    f"""SELECT f.id, {_VERB} AS verb, CASE tx_type WHEN 'buy' THEN '↑' WHEN 'exchange' THEN '↔' ELSE '↓' END AS arrow, tx_type = 'buy' AS is_acquisition, {_OWNER} AS owner_label,
+    CASE m.party WHEN 'democrat' THEN 'D' WHEN 'republican' THEN 'R' WHEN 'independent' THEN 'I' ELSE '' END AS party_letter, CASE m.party WHEN 'democrat' THEN 'Democrat' WHEN 'republican' THEN 'Republican' WHEN 'independent' THEN 'Independent' ELSE 'Party unknown' END AS party_label,
+    CASE m.chamber WHEN 'house' THEN 'House' WHEN 'senate' THEN 'Senate' ELSE 'Executive Branch' END AS chamber_tag, CASE m.chamber WHEN 'senate' THEN 'US Senate eFD' WHEN 'executive' THEN 'White House Public Disclosures' ELSE 'US House Clerk' END AS source_name,
+    CASE amount_kind WHEN 'range' THEN {_LO} || ' – ' || {_HI} WHEN 'atLeast' THEN 'Over ' || {_LO} ELSE 'Amount unreadable' END AS headline,
+    CASE amount_kind WHEN 'range' THEN 'Disclosed range' WHEN 'atLeast' THEN 'Open-ended bracket' ELSE 'Not readable on the filing' END AS caption, {_SPOKEN} AS spoken,
+    {_DAY.format('disclosed_date')} AS date_label, 'Traded ' || {_DAY.format('tx_date')} || ' · ' || {_GAP} AS timing FROM feed f LEFT JOIN member m ON m.id = f.member_id""",
 )
+def _display(t, m):
+    shown = t.drop("chamber").join(m.select(F.col("id").alias("_m"), "party", "chamber"), F.col("member_id") == F.col("_m"), "left")
+    return shown.select(
+        "id", C.verb().alias("verb"), C.arrow().alias("arrow"), C.is_acquisition().alias("is_acquisition"), C.named(F.col("owner"), C.OWNERS).alias("owner_label"), C.party_letter().alias("party_letter"), C.party_label().alias("party_label"),
+        C.chamber_tag(["house", "senate", "executive"]).alias("chamber_tag"), C.source_name().alias("source_name"), C.amount_headline().alias("headline"), C.amount_caption().alias("caption"), C.amount_spoken().alias("spoken"),
+        C.date_label(F.col("disclosed_date")).alias("date_label"), C.timing().alias("timing"),
+    )
+
+
 on_trades(
     "summaries",
-    f"""SELECT id, member_name || ' ' || CASE tx_type WHEN 'buy' THEN 'bought' WHEN 'sell' THEN 'sold' WHEN 'partial_sell' THEN 'sold part of' ELSE 'exchanged' END || ' ' ||
-      coalesce(ticker, substr(trim(regexp_replace(asset, '\\s*\\[[A-Za-z]{{2,4}}\\]\\s*$', '')), 1, 18)) || ' (' || CASE amount_kind WHEN 'range' THEN 'up to ' || {_DOLLARS.format('high_cents')} WHEN 'atLeast' THEN 'at least ' || {_DOLLARS.format('low_cents')} ELSE 'unknown' END || '); ' ||
-      CASE WHEN impossible THEN 'dates inconsistent' WHEN lag = 0 THEN 'disclosed the same day' WHEN lag = 1 THEN 'disclosed 1 day later' ELSE 'disclosed ' || lag || ' days later' END AS summary FROM feed""",
+    f"""SELECT id, concat_ws(', ', member_name, CASE owner WHEN 'self' THEN 'own' ELSE {_OWNER} END || ' account', {_VERB}, {_CLEAN}, 'ticker ' || ticker,
+      CASE asset_type WHEN 'ST' THEN 'Stock' WHEN 'OP' THEN 'Option' WHEN 'MF' THEN 'Mutual fund' WHEN 'EF' THEN 'Exchange-traded fund' WHEN 'GS' THEN 'Government security' END, {_SPOKEN}, 'traded ' || {_DAY.format('tx_date')},
+      CASE WHEN impossible THEN 'the filing''s dates are inconsistent and are shown as filed' ELSE {_GAP} END) AS summary FROM feed""",
 )(lambda t: t.select("id", C.summary().alias("summary")))
 query("html_rows", "SELECT page_id, row, cells[row + 1] AS cell FROM (SELECT page_id, cells, unnest(range(len(cells))) AS row FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '(?s)<[^>]*>', '', 'g'))) AS cells FROM pages))", cte=False)(
     lambda spark, d: testdata.read(spark, d, "pages").select("page_id", F.posexplode(F.transform(F.regexp_extract_all("html", F.lit("(?s)<li[^>]*>(.*?)</li>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "(?s)<[^>]*>", "")))).alias("row", "cell")).select("page_id", F.col("row").cast("long").alias("row"), "cell")
 )
+
+
+# People, contacts, changes --------------------------------------------------------------------------
+
+
+@query(
+    "person_columns",
+    """SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'democrat' WHEN 1 THEN 'democrat' WHEN 2 THEN 'republican' WHEN 3 THEN 'independent' ELSE 'unknown' END AS party, CASE WHEN c_custkey % 4 = 0 THEN 'ST' ELSE 'ST-' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0') END AS seat,
+      CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey % 60 END AS seat_number, CASE c_custkey % 3 WHEN 0 THEN 'AC' WHEN 1 THEN '—' ELSE 'C' END AS initials, c_custkey % 2 = 0 AS is_bioguide, 'Jo Doe' || c_custkey AS called,
+      CASE c_custkey % 6 WHEN 0 THEN 'Democrat · ' WHEN 1 THEN 'Democrat · ' WHEN 2 THEN 'Republican · ' WHEN 3 THEN 'Independent · ' ELSE '' END || CASE c_custkey % 2 WHEN 0 THEN 'Senate' ELSE 'Executive Branch' END || ' · ' || CASE WHEN c_custkey % 4 = 0 THEN 'ST' ELSE 'ST-' || lpad(CAST(c_custkey % 60 AS VARCHAR), 2, '0') END AS identity_line,
+      CASE WHEN c_custkey % 3 = 0 THEN 'BR.' || c_custkey % 100 END AS ticker FROM customer""",
+    cte=False,
+)
+def _person(spark, d):
+    k, t = F.col("c_custkey"), lambda c: c.cast("string")
+    raw = F.when(k % 6 == 0, "Democrat").when(k % 6 == 1, "DEMOCRATIC").when(k % 6 == 2, "Republican").when(k % 6 == 3, "Libertarian").when(k % 6 == 4, "")
+    people = testdata.read(spark, d, "customer").select(
+        "c_custkey", C.party(raw).alias("party"), F.lit("ST").alias("state"), F.when(k % 4 != 0, F.lpad(t(k % 60), 2, "0")).alias("district"), F.when(k % 2 == 0, "senate").otherwise("executive").alias("chamber"),
+        F.when(k % 3 == 0, F.concat(F.lit("Ann Q. "), "c_name")).when(k % 3 == 1, "Q.").otherwise(F.col("c_name")).alias("name"), F.when(k % 2 == 0, F.concat(F.lit("Doe"), t(k), F.lit(", Jo"))).otherwise(F.concat(F.lit("Jo Doe"), t(k))).alias("filed"),
+        F.concat(F.when(k % 2 == 0, "Z").otherwise("z"), F.lpad(t(k), 6, "0")).alias("code"), F.when(k % 3 == 0, F.concat(F.lit(" br."), t(k % 100), F.lit(" "))).when(k % 3 == 1, " ").otherwise("thirteenchars").alias("asked"),
+    )
+    return people.select(
+        "c_custkey", "party", C.seat(F.col("state"), F.col("district")).alias("seat"), names.seat_number(F.col("district")).cast("long").alias("seat_number"), C.initials(F.col("name")).alias("initials"), names.is_bioguide(F.col("code")).alias("is_bioguide"),
+        names.last_first(F.col("filed")).alias("called"), C.identity_line().alias("identity_line"), watch.admissible_ticker(F.col("asked")).alias("ticker"),
+    )
+
+
+@query(
+    "contact_classes",
+    """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'fresh' WHEN 3 THEN 'not_modified' WHEN 1 THEN 'served_from_cache' WHEN 5 THEN 'served_from_cache' ELSE 'failed' END AS outcome,
+      CASE event_id % 7 WHEN 1 THEN 'too_large' WHEN 2 THEN 'undecodable' WHEN 4 THEN 'no_cache' WHEN 5 THEN 'offline' WHEN 6 THEN 'bad_status' END AS reason, event_id % 7 IN (0, 3) AS reached, event_id % 7 IN (1, 2, 4, 6) AS unexpected FROM events""",
+    cte=False,
+)
+def _contacts(spark, d):
+    k = F.col("event_id") % 7
+    status = F.when(k <= 2, 200).when(k <= 4, 304).when(k == 6, 500)
+    landed = testdata.read(spark, d, "events").select("event_id", status.alias("status"), F.when(k == 1, indexes.MOST_BYTES + 1).otherwise(10).alias("bytes"), (k != 2).alias("utf8_ok"), k.isin(1, 3, 5).alias("cache_hit"))
+    return indexes.classify_contact(landed).select("event_id", "outcome", "reason", "reached", "unexpected")
+
+
+query("index_year_window", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS year FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1996", cte=False)(
+    lambda spark, d: indexes.year_window(testdata.read(spark, d, "orders").select("o_orderkey", F.year(F.to_date("o_orderdate")).cast("long").alias("year")), 1996)
+)
+
+
+@query(
+    "refresh_summaries",
+    """SELECT event_id, CASE WHEN a = 0 AND e % 13 = 1 THEN 'The Clerk returned an unexpected response; showing the last data downloaded.' WHEN a = 0 AND e % 11 = 2 AND (e % 5 = 1 OR e % 17 = 0) THEN 'Couldn''t reach the House Clerk. Showing the filings already downloaded.'
+      WHEN e % 4 = 0 THEN 'No new filings since the last check.' WHEN a = 0 AND e % 3 > e % 2 THEN 'Checked ' || e % 3 || ' new filing' || CASE WHEN e % 3 = 1 THEN '' ELSE 's' END || '; nothing to add.'
+      WHEN a = 0 THEN e % 4 || ' new filing' || CASE WHEN e % 4 = 1 THEN '' ELSE 's' END || ', none readable.'
+      ELSE 'Added ' || a || ' transaction' || CASE WHEN a = 1 THEN '' ELSE 's' END || ' from ' || e % 3 || ' filing' || CASE WHEN e % 3 = 1 THEN '' ELSE 's' END || '.' || CASE WHEN e % 2 > 0 THEN ' ' || e % 2 || ' were scanned paper and yielded nothing.' ELSE '' END || CASE WHEN e % 7 = 0 THEN ' More remain; check again to continue.' ELSE '' END END AS told
+      FROM (SELECT event_id, event_id AS e, greatest(event_id % 6 - 2, 0) AS a FROM events)""",
+    cte=False,
+)
+def _refreshed(spark, d):
+    e = F.col("event_id")
+    runs = testdata.read(spark, d, "events").select(
+        "event_id", F.greatest(e % 6 - 2, F.lit(0)).alias("added"), (e % 13 == 1).alias("unexpected"), (e % 11 != 2).alias("reached"), (e % 5 == 1).cast("int").alias("failed"), (e % 17 != 0).cast("int").alias("indexed"),
+        (e % 4).alias("new_filings"), (e % 3).alias("downloaded"), (e % 2).alias("scanned"), (e % 7 == 0).alias("more_remaining"),
+    )
+    return runs.select("event_id", refresh.summary().alias("told"))
+
+
+@query(
+    "data_ages",
+    """SELECT o_orderkey, CASE WHEN a < 0 THEN 'dated in the future' WHEN a = 0 THEN 'downloaded today' WHEN a = 1 THEN '1 day old' ELSE a || ' days old' END AS age,
+      coalesce(CASE WHEN o_orderkey % 3 = 0 THEN a > 7 WHEN o_orderkey % 3 = 1 THEN a + 3 > 7 END, false) AS stale FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1996-06-30') AS a FROM orders)""",
+    cte=False,
+)
+def _ages(spark, d):
+    k, then, now = F.col("o_orderkey"), F.to_date("o_orderdate"), F.lit("1996-06-30").cast("date")
+    last, made = F.when(k % 3 == 0, then), F.when(k % 3 < 2, F.date_sub(then, 3))
+    return testdata.read(spark, d, "orders").select("o_orderkey", C.age_phrase(then, now).alias("age"), C.is_stale(last, made, now).alias("stale"))
+
+
+_FOLLOWS = "follows(member_id) AS (VALUES ('C1'), ('C5'), ('C12'), ('X1'), ('X2'))"
+
+
+def _follows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in ("C1", "C5", "C12", "X1", "X2", "C5")], "member_id string")
+
+
+query("followed_members", f"WITH {_FOLLOWS} SELECT m.id AS member_id, m.name, m.chamber FROM member m JOIN follows ON m.id = member_id")(lambda spark, d: watch.followed(_follows(spark), testdata.members(spark, d)))
+query("followed_missing", f"WITH {_FOLLOWS} SELECT count(*) AS missing FROM follows WHERE member_id NOT IN (SELECT id FROM member)")(lambda spark, d: watch.missing(_follows(spark), testdata.members(spark, d)))
+on_trades("seen_trimmed", "SELECT id AS row_id FROM feed ORDER BY id DESC LIMIT (SELECT CASE WHEN count(*) > 300 THEN 200 ELSE count(*) END FROM feed)")(lambda t: feed.trim_seen(t.select(F.col("id").alias("row_id")), 300, 200))
+on_trades("seen_marked", "SELECT id AS row_id FROM feed WHERE is_amendment OR tx_type = 'exchange'")(lambda t: watch.mark_seen(t.filter("is_amendment").select(F.col("id").alias("row_id")), t.filter("tx_type = 'exchange'")))
+on_trades("new_section", "SELECT id, row_number() OVER (ORDER BY disclosed_date DESC, id DESC) AS rank FROM feed WHERE NOT is_amendment QUALIFY rank <= 50")(lambda t: watch.new_section(t, t.filter("is_amendment").select(F.col("id").alias("row_id"))).select("id", "rank"))
+query("widget_watchlist", f"WITH {_WATCH} SELECT id, row_number() OVER (ORDER BY disclosed_date DESC, id DESC) AS rank FROM feed WHERE symbol IN (SELECT upper(ticker) FROM tickers) OR member_id IN (SELECT member_id FROM follows) QUALIFY rank <= 5")(
+    lambda spark, d: watch.widget(testdata.trades(spark, d), "watchlist", *_watched(spark)).select("id", "rank")
+)
+on_trades("copied_with_change", "SELECT id, CASE WHEN is_amendment THEN 'spouse' ELSE owner END AS owner, asset_type FROM feed")(
+    lambda t: feed.changed(t.select("id", "owner", "asset_type"), t.filter("is_amendment").select("id", F.lit("spouse").alias("owner"), F.lit(None).cast("string").alias("asset_type")))
+)
+on_trades("feed_json", "SELECT id, CAST(tx_date AS VARCHAR) AS tx_date, asset, ticker, low_cents FROM feed")(
+    lambda t: sinks.feed_json(t).select(*[F.get_json_object("value", f"$.{c}").cast(k).alias(c) for c, k in (("id", "string"), ("tx_date", "string"), ("asset", "string"), ("ticker", "string"), ("low_cents", "long"))])
+)
+on_trades("index_years", "SELECT string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) AS years FROM (SELECT DISTINCT year(disclosed_date) AS y FROM feed)")(lambda t: t.agg(F.array_join(F.sort_array(F.collect_set(F.year("disclosed_date"))), ",").alias("years")))
+
+
+@query("member_ids", f"WITH {_PEOPLE} SELECT filing_id, CASE WHEN k % 4 = 0 THEN 'K' || k ELSE 'x-' || last || '-' || replace(first, ' ', '-') || '-n' END AS member_id FROM f JOIN p ON CAST(p.k AS VARCHAR) = f.filing_id".replace("last || '-' || replace(first", "f.last || '-' || replace(f.first"), cte=False)
+def _member_ids(spark, d):
+    x, filed = _people(spark, d)
+    named = filed.withColumn("full_name", F.concat_ws(" ", "first", "last", "filing_id"))
+    known = named.filter("cast(filing_id as bigint) % 4 = 0").select("full_name", F.concat(F.lit("K"), "filing_id").alias("member_id"))
+    return identity.member_ids(named, known, filed.select("filing_id", F.lit(None).cast("string").alias("bioguide")))
+
+
+@query(
+    "members_attached",
+    """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'democrat' WHEN 1 THEN 'republican' ELSE 'unknown' END AS party, CASE WHEN c_custkey % 2 = 0 AND c_nationkey % 5 > 0 THEN n_name ELSE '' END AS committees FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    cte=False,
+)
+def _attached(spark, d):
+    k, cust, nation = F.col("c_custkey"), testdata.read(spark, d, "customer"), testdata.read(spark, d, "nation")
+    code = F.concat(F.lit("Z"), k.cast("string"))
+    members = cust.select("c_custkey", code.alias("bioguide_id"))
+    legislators = cust.filter(k % 3 < 2).select(code.alias("bioguide"), F.when(k % 3 == 0, "democrat").otherwise("republican").alias("party"))
+    committees = nation.select(F.when(F.col("n_nationkey") % 5 > 0, F.concat(F.lit("T"), F.col("n_nationkey").cast("string"))).alias("thomas_id"), F.col("n_name").alias("name"))
+    served = cust.select(F.concat(F.lit("T"), F.col("c_nationkey").cast("string")).alias("key"), F.when(k % 2 == 0, code).alias("bioguide"))
+    below = served.withColumn("key", F.concat("key", F.lit("01")))  # subcommittees have no record of their own
+    return identity.attach(members, legislators, indexes.roster(committees, served.unionByName(below))).select("c_custkey", "party", F.array_join("committees", ",").alias("committees"))
+
+
+# More sources ---------------------------------------------------------------------------------------
+
+
+def _us(date: Column) -> Column:
+    return F.date_format(date, "MM/dd/yyyy")
+
+
+@query(
+    "senate_index",
+    """SELECT 'Jo' AS first, 'Mem' || c_custkey AS last, 'Mem' || c_custkey || ', Jo (Senator)' AS display, CASE c_custkey % 3 WHEN 0 THEN 'ptr' ELSE 'paper' END AS kind, '0000abcd-0000-0000-0000-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS filing_id, c_custkey % 5 = 0 AS is_amendment,
+      DATE '2001-01-01' + CAST(c_custkey % 365 AS INTEGER) AS filed_on FROM customer WHERE c_custkey % 3 < 2""",
+    cte=False,
+)
+def _senate_index(spark, d):
+    k, key = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    kind = F.when(k % 3 == 0, "ptr").when(k % 3 == 1, "paper").otherwise("annual")
+    link = F.concat(F.lit('<a href="/search/view/'), kind, F.lit("/0000ABCD-0000-0000-0000-"), F.lpad(key, 12, "0"), F.lit('/">Report'), F.when(k % 5 == 0, " (Amendment 1)").otherwise(""), F.lit("</a>"))
+    row = F.array(F.lit(" Jo "), F.concat(F.lit("Mem"), key), F.concat(F.lit("Mem"), key, F.lit(", Jo (Senator)")), link, _us(F.date_add(F.lit("2001-01-01").cast("date"), (k % 365).cast("int"))))
+    pages = testdata.read(spark, d, "customer").groupBy(F.floor(k / 100)).agg(F.collect_list(row).alias("data"))
+    return indexes.senate_index(pages.select(F.to_json(F.struct(F.lit(1).alias("draw"), "data")).alias("value")))
+
+
+@query(
+    "senate_report",
+    """WITH r AS (SELECT l_orderkey, l_partkey AS p, CAST(l_shipdate AS DATE) AS told, CAST(o_orderdate AS DATE) AS tx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT CAST(l_orderkey AS VARCHAR) AS filing_id, nth - 1 AS position, told AS tx_date, tx AS disclosed_date, CASE p % 4 WHEN 0 THEN 'spouse' WHEN 1 THEN 'joint' WHEN 2 THEN 'dependent' ELSE 'self' END AS owner, CASE WHEN p % 3 > 0 THEN 'TK' END AS ticker, 'Firm & ' || p AS asset,
+      CASE p % 5 WHEN 0 THEN 'ST' WHEN 1 THEN 'OP' WHEN 2 THEN 'GS' WHEN 3 THEN 'CT' ELSE 'PS' END AS asset_type, CASE p % 4 WHEN 0 THEN 'buy' WHEN 1 THEN 'sell' WHEN 2 THEN 'partial_sell' ELSE 'exchange' END AS tx_type, '$1,001 - $15,000' AS amount_text, CASE WHEN p % 2 = 0 THEN 'Note ' || p END AS filing_description FROM r""",
+    cte=False,
+)
+def _senate_report(spark, d):
+    p, key = F.col("l_partkey"), F.col("l_partkey").cast("string")
+    cells = [
+        F.lit("1"), _us(F.to_date("l_shipdate")), F.when(p % 4 == 0, "Spouse").when(p % 4 == 1, "Joint").when(p % 4 == 2, "Child").otherwise("Self"), F.when(p % 3 > 0, '<a href="#">TK</a>').otherwise("--"), F.concat(F.lit("Firm &amp;\n "), key, F.lit("<br>Company: x")),
+        F.when(p % 5 == 0, "Stock").when(p % 5 == 1, "Stock Option").when(p % 5 == 2, "Municipal Security").when(p % 5 == 3, "Cryptocurrency").otherwise("Non-Public Stock"),
+        F.when(p % 4 == 0, "Purchase").when(p % 4 == 1, "Sale (Full)").when(p % 4 == 2, "Sale (Partial)").otherwise("Exchange"), F.lit("$1,001 - $15,000"), F.when(p % 2 == 0, F.concat(F.lit("Note&nbsp;"), key)).otherwise("--"),
+    ]
+    tr = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    line, orders = testdata.read(spark, d, "lineitem"), testdata.read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("filed_on"))
+    rows = line.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", tr.alias("tr")))), lambda x: x["tr"]), "\n").alias("body"))
+    html = F.concat(F.lit('<table class="table table-striped"><thead><tr><th>#</th></tr></thead><tbody>'), "body", F.lit("</tbody></table>"))
+    pages = rows.join(orders, rows.l_orderkey == orders.o_orderkey).select(F.col("l_orderkey").cast("string").alias("filing_id"), html.alias("html"), "filed_on")
+    return indexes.senate_report(pages).drop("warning")
+
+
+@query("paper_images", "SELECT CAST(c_custkey AS VARCHAR) AS filing_id, CAST(i AS BIGINT) AS position, '/media/' || c_custkey || '?p=1&n=' || i AS url FROM customer, range(2) t(i)", cte=False)
+def _paper(spark, d):
+    key = F.col("c_custkey").cast("string")
+    image = lambda i: F.concat(F.lit("<IMG class='x filingImage' src='/media/"), key, F.lit(f"?p=1&amp;n={i}'>"))
+    pages = testdata.read(spark, d, "customer").select(key.alias("filing_id"), F.concat(F.lit("<img src='/logo.png'>"), image(0), image(1), image(0)).alias("html"))
+    return indexes.paper_images(pages).select("filing_id", F.col("position").cast("long"), "url")
+
+
+@query(
+    "link_index",
+    """WITH l AS (SELECT '/f?a=1&b=' || n_nationkey || '.pdf' AS url, 'Quill ' || n_name || ' 1.' || n_nationkey + 1 || '.24' || CASE WHEN n_nationkey % 4 = 0 THEN ' amended' ELSE '' END AS text, DATE '2024-01-01' + CAST(n_nationkey AS INTEGER) AS dated, n_nationkey % 4 = 0 AS is_amendment FROM nation WHERE n_nationkey % 2 = 0)
+    SELECT *, row_number() OVER (ORDER BY dated DESC) AS rank FROM l""",
+    cte=False,
+)
+def _links(spark, d):
+    k = F.col("n_nationkey")
+    a = F.concat(F.lit('<a class="x" href="/f?a=1&amp;b='), k.cast("string"), F.lit('.pdf"><b>'), F.when(k % 2 == 0, "Quill ").otherwise("Reed "), "n_name", F.lit("</b> 1."), (k + 1).cast("string"), F.lit(".24"), F.when(k % 4 == 0, " amended").otherwise(""), F.lit("</a>"))
+    page = testdata.read(spark, d, "nation").agg(F.array_join(F.collect_list(a), "\n").alias("html"))  # 25 nations
+    return indexes.link_index(page, "quill")
+
+
+@query(
+    "cabinet_index",
+    """SELECT 'OGE Form' AS kind, 'Jo Doe' || s_suppkey AS name, 'Department of Energy' AS agency, CASE s_suppkey % 4 WHEN 0 THEN 'Secretary' ELSE 'Attorney General' END AS title, DATE '2020-01-01' + CAST(s_suppkey % 300 AS INTEGER) AS filed_on, '/o/' || s_suppkey || '.pdf' AS url FROM supplier WHERE s_suppkey % 4 < 2 AND s_suppkey % 3 = 0""",
+    cte=False,
+)
+def _cabinet(spark, d):
+    k, key = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    record = F.struct(
+        F.concat(F.lit("<a href='/o/"), key, F.when(k % 9 == 9, ".doc").otherwise(".pdf"), F.lit("'>OGE&nbsp;Form</a>")).alias("type"), F.concat(F.lit("Doe"), key, F.lit(", Jo")).alias("name"), F.when(k % 3 == 0, "Department of Energy").when(k % 3 == 1, "Department of Puzzles").otherwise("Energy Board").alias("agency"),
+        F.when(k % 4 == 0, "Secretary").when(k % 4 == 1, "Attorney General").when(k % 4 == 2, "Deputy Secretary").otherwise("Clerk").alias("title"), F.concat(F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k % 300).cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00")).alias("docDate"),
+    )
+    pages = testdata.read(spark, d, "supplier").groupBy(F.floor(k / 100)).agg(F.collect_list(record).alias("data"))
+    return indexes.cabinet(indexes.agency_index(pages.select(F.to_json(F.struct("data")).alias("value"))))
+
+
+@query(
+    "crosswalk_seats",
+    """SELECT 'Z' || c_custkey AS bioguide, 'Doe' || c_custkey AS last, 'Robert' AS first, CASE c_custkey % 3 WHEN 0 THEN 'Bob' WHEN 1 THEN 'Rob' END AS nickname, 'ST' AS state, chamber, district, CAST(2000 + c_custkey % 20 AS BIGINT) AS last_term_end_year, CASE WHEN c_custkey % 2 = 0 THEN 'democrat' ELSE 'independent' END AS party
+      FROM customer, (VALUES ('house', 1::BIGINT), ('senate', NULL)) t(chamber, district)""",
+    cte=False,
+)
+def _crosswalk(spark, d):
+    k, key = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    term = lambda kind, district, end, party: F.struct(F.lit(kind).alias("type"), F.lit("ST").alias("state"), F.lit(district).cast("int").alias("district"), F.concat(end.cast("string"), F.lit("-01-03")).alias("end"), party.alias("party"))
+    person = F.struct(
+        F.struct(F.concat(F.lit("Z"), key).alias("bioguide")).alias("id"),
+        F.struct(F.lit("Robert").alias("first"), F.concat(F.lit("Doe"), key).alias("last"), F.when(k % 3 == 0, "Bob").alias("nickname"), F.concat(F.when(k % 3 == 1, "Rob").otherwise("Robert"), F.lit(" Doe")).alias("official_full")).alias("name"),
+        F.array(term("rep", 1, F.lit(1990), F.lit("Republican")), term("rep", 1, F.lit(1992), F.lit("Republican")), term("sen", None, 2000 + k % 20, F.when(k % 2 == 0, "Democrat").otherwise("Other"))).alias("terms"),
+    )
+    files = testdata.read(spark, d, "customer").groupBy(F.floor(k / 100)).agg(F.collect_list(person).alias("people"))
+    seats = indexes.crosswalk(files.select(F.to_json("people").alias("value")))
+    return seats.withColumns({c: F.col(c).cast("long") for c in ("district", "last_term_end_year")})
+
+
+query("newest_feed", "SELECT 2 AS schema_version, max(CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '#' || o_orderkey) AS generated_at FROM orders WHERE o_orderkey % 3 = 2", cte=False)(
+    lambda spark, d: indexes.newest_feed(testdata.read(spark, d, "orders").select((F.col("o_orderkey") % 3).alias("schemaVersion"), F.concat(F.date_format(F.to_date("o_orderdate"), "yyyy-MM-dd"), F.lit("#"), F.col("o_orderkey").cast("string")).alias("generatedAt"))).select(F.col("schemaVersion").cast("int").alias("schema_version"), F.col("generatedAt").alias("generated_at"))
+)
+
+
+@query("ocr_lines", "SELECT c_custkey AS filing_id, page, CAST(n AS BIGINT) AS line_no, 'w' || n || 'a  w' || n || 'b  w' || n || 'c' AS line FROM customer, range(1, 3) p(page), range(4) l(n)", cte=False)
+def _ocr(spark, d):
+    """Three fragments a line, each a little lower than the one before, in a random order."""
+    page, n, i = (F.explode(F.sequence(F.lit(lo), F.lit(hi))) for lo, hi in ((1, 2), (0, 3), (0, 2)))
+    f = testdata.read(spark, d, "customer").select("c_custkey", page.alias("page")).select("*", n.alias("n")).select("*", i.alias("i"))
+    fragments = f.select(F.col("c_custkey").alias("filing_id"), F.col("page").cast("long").alias("page"), (F.col("i") * 0.25).cast("double").alias("min_x"), (0.9 - F.col("n") * 0.05 - F.col("i") * 0.002).cast("double").alias("mid_y"), F.concat(F.lit("w"), F.col("n").cast("string"), F.char(F.lit(97) + F.col("i"))).alias("text"))
+    return indexes.ocr_lines(fragments).withColumn("line_no", F.col("line_no").cast("long"))
