@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_decontaminate, op02_quality, op03_mixing, op04_html, op05_chat, op06_substrings, op07_line_rules, op08_secrets, op09_near_dedup, op10_warc
+from . import op01_decontaminate, op02_quality, op03_mixing, op04_html, op05_chat, op06_substrings, op07_line_rules, op08_secrets, op09_near_dedup, op10_warc, op11_simhash, op12_manifest, op13_clusters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op08_secrets.op8_secrets,
         "op9_near_dedup": op09_near_dedup.op9_near_dedup,
         "op10_warc": op10_warc.op10_warc,
+        "op11_simhash": op11_simhash.op11_simhash,
+        "op12_manifest": op12_manifest.op12_manifest,
+        "op13_clusters": op13_clusters.op13_clusters,
     }
 
 
@@ -33,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_rules": op07_line_rules.ORACLE,
         "op9_near_dedup": op09_near_dedup.ORACLE,
         "op10_warc": op10_warc.ORACLE,
+        "op12_manifest": op12_manifest.ORACLE,
+        "op13_clusters": op13_clusters.ORACLE,
     }
