@@ -1,22 +1,30 @@
 """HTML extraction by wrapper induction.
 
-A block of text is template where it stands at one path in more than `SHARE` of a host's different pages,
-and in `LEAST` at least; blocks of all pages are counted, by 64-bit hashes of path and text. Other text varies
-and is content. For each host up to `EXEMPLARS` pages are parsed to DOM trees and aligned by simple tree matching
-(a dynamic programme over the children of nodes with equal labels; runs of siblings with one label
-are one slot), and the deepest aligned node that holds all varying text of all of them is the host's content slot.
-The wrapper of a host is that slot and its template texts. Extraction takes the slot of each page
-without template texts and without parts whose element or class names a role other
-than content: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
+Pages of a host are compared by article: pages whose long blocks (of `LONG` characters or more; all blocks where
+there is none) have the same texts show one article, under however many urls, and count once. A block of text is template where it
+stands at one path in more than `SHARE` of a host's articles, and in `LEAST` at least (in both, where a host has two);
+blocks of all pages are counted, by 64-bit hashes of path and text. Other text varies and is content, so a page that is
+mirrored with another date or view counter keeps its article.
+For each host pages of up to `EXEMPLARS` articles are parsed to DOM trees and aligned by simple tree matching (siblings
+with one label are one slot; of two nodes with equal paths, those child slots are aligned that stand in one order in both,
+as many nodes as possible), and the deepest aligned node that holds all varying text of all
+of them is the host's content slot. The wrapper of a host is that slot and its template blocks. Extraction takes the slot of each page
+without template blocks and without parts whose element or class names a role other
+than content: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments. (Those vary from page
+to page as articles do; no alignment tells them from content. roles=False leaves all but the wrapper out.)
 Only where the slot is not on the page, or its host has none, <article> and <main> decide, and without them the page is taken whole.
 
-Exemplars are the first different pages that are not empty, in the order of their hashes. Counts are added up in each
+Slots of one label are one node, so that a child has one possible partner and the best order is a longest
+increasing subsequence: a page costs n log n, at any depth, and nothing is recursive.
+
+Exemplars are pages of the first articles in the order of their hashes. Counts are added up in each
 task before they travel, and so are exemplars chosen, so that a host with a third of all pages is no load on one task.
 Wrappers go to the pages by a broadcast where their measured size allows it, and by a join that adaptive
 execution can split otherwise.
 
-Defined cases: a null or empty html gives an empty text; a null url is a host of its own; a host with
-fewer than three different pages has no template texts; unclosed and cut-off markup is read as
+Defined cases: a null or empty html gives an empty text; a null url is a host of its own; a host with one
+article has no template blocks, however many pages show it; what two articles of a host have in common at one path is template
+if it has but two; unclosed and cut-off markup is read as
 browsers do; repeated rows are extracted each for itself; an empty table gives no rows; other
 columns are ignored.
 """
@@ -27,6 +35,8 @@ import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,10 +46,10 @@ from pyspark.sql import functions as F
 from .store import cut, table
 
 EXEMPLARS = 5
-SHARE = 0.5  #: of a host's different pages; a block in more of them is template
-LEAST = 3  #: and in so many at least
+SHARE = 0.5  #: of a host's articles; a block in more of them is template
+LEAST = 3  #: and in so many at least, or in both of two
+LONG = 64  #: characters of a block that tells articles apart
 BROADCAST_BYTES = 16 << 20
-DEPTH = 40  #: levels of a tree that are aligned
 
 #: Fixed lists: elements without content or end tag, elements whose content is no markup, blocks, and what starting a block closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,11 +76,13 @@ _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 class Page:
     """A parsed page: nodes (parent, tag, label, outside) and, in page order, texts (node, text) and breaks (node, None)."""
 
-    __slots__ = ("events", "nodes")
+    __slots__ = ("events", "nodes", "_open", "_roles")
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, roles: bool = True):
         self.nodes: list[tuple[int, str, str, bool]] = [(-1, "", "", False)]
         self.events: list[tuple[int, str | None]] = []
+        self._open: Counter = Counter()  # open elements by tag, so that a search of the stack is made only for what is there
+        self._roles = roles
         self._parse(source)
 
     def _parse(self, source: str) -> None:
@@ -90,9 +102,9 @@ class Page:
                 continue
             tag = name.lower()
             if m[1]:
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1, 0, -1) if self._open[tag] else ():
                     if nodes[stack[depth]][1] == tag:
-                        del stack[depth:]
+                        self._drop(stack, depth)
                         break
                 if tag not in INLINE:
                     events.append((stack[-1], None))
@@ -117,19 +129,25 @@ class Page:
                 at = close.end() if close else end
                 continue
             stack.append(len(nodes) - 1)
+            self._open[tag] += 1
+
+    def _drop(self, stack: list[int], depth: int) -> None:
+        self._open.subtract(self.nodes[i][1] for i in stack[depth:])
+        del stack[depth:]
 
     def _close(self, stack: list[int], tags: set, over: bool = False) -> None:
+        if not any(self._open[tag] for tag in tags):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.nodes[stack[depth]][1]
             if tag in tags:
-                del stack[depth:]
+                self._drop(stack, depth)
                 return
             if tag in SCOPE and not over:
                 return
 
-    @staticmethod
-    def _role(tag: str, attrs: str) -> tuple[bool, str]:
-        if tag in OUTSIDE:
+    def _role(self, tag: str, attrs: str) -> tuple[bool, str]:
+        if tag in RAW or tag == "head" or (self._roles and tag in OUTSIDE):
             return True, tag
         if not attrs or "=" not in attrs and "hidden" not in attrs:
             return False, tag
@@ -144,13 +162,13 @@ class Page:
                     words += [] if LAYOUT.intersection(own) else own
                 label += ("." if key == "class" else "#") + re.sub(r"\d+", "0", value)
             elif key == "role":
-                out |= value.lower() in ARIA
+                out |= self._roles and value.lower() in ARIA
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 out = True
             elif key == "style":
                 out |= "display:none" in value.replace(" ", "").lower()
         if tag not in ("html", "body", "article", "main") or "comment" in words:
-            out |= not ROLE_WORDS.isdisjoint(words)
+            out |= self._roles and not ROLE_WORDS.isdisjoint(words)
         return out, label
 
     def outside(self) -> list[bool]:
@@ -159,11 +177,20 @@ class Page:
             flags.append(out or (parent >= 0 and flags[parent]))
         return flags
 
-    def paths(self) -> list[str]:
-        """Labels from the root down to each node, without inline elements, as in `tree`."""
-        found: list[str] = []
+    def paths(self) -> list[int]:
+        """A hash of the labels from the root down to each node; inline elements have their parent's, as in `tree`."""
+        found: list[int] = []
+        known: dict[tuple[int, str], int] = {}
         for parent, tag, label, _ in self.nodes:
-            found.append("" if parent < 0 else found[parent] if tag in INLINE else f"{found[parent]}/{label}")
+            if parent < 0:
+                found.append(key(0, ""))
+            elif tag in INLINE:
+                found.append(found[parent])
+            else:
+                at = (found[parent], label)
+                if at not in known:
+                    known[at] = key(*at)
+                found.append(known[at])
         return found
 
     def block_of(self) -> list[int]:
@@ -198,127 +225,130 @@ def _clean(text: str) -> str:
 # Alignment --------------------------------------------------------------------------------------
 
 
-def tree(page: Page) -> tuple:
-    """(label, own text, child slots) of the whole page without the parts that are outside; a slot joins a run of siblings with one label."""
-    out, block_of = page.outside(), page.block_of()
-    texts: dict[int, list[str]] = {}
-    for node, text in page.blocks([not x for x in out], block_of):
-        texts.setdefault(node, []).append(text)
-    slots: dict[int, list[list]] = {}
-    depth = [0] * len(page.nodes)
-    for i, (parent, _, label, _) in enumerate(page.nodes):
-        if i and not out[i] and block_of[i] == i:
-            above = block_of[parent]
-            depth[i] = depth[above] + 1
-            runs = slots.setdefault(above, [])
-            if runs and runs[-1][0] == label:
-                runs[-1][1].append(i)
-            else:
-                runs.append([label, [i]])
-
-    def build(label: str, members: list[int]) -> tuple:
-        own = [x for i in members for x in texts.get(i, ())]
-        below: list[list] = []
-        if depth[members[0]] < DEPTH:
-            for i in members:
-                for name, ids in slots.get(i, ()):
-                    if below and below[-1][0] == name:
-                        below[-1][1].extend(ids)
-                    else:
-                        below.append([name, list(ids)])
-        return label, own, [build(name, ids) for name, ids in below]
-
-    return build("", [0])
-
-
-def match(a: tuple, b: tuple) -> tuple[int, list]:
-    """Simple tree matching: (size of the best match of two trees with equal roots, aligned children)."""
-    if a[0] != b[0]:
-        return 0, []
-    n, m = len(a[2]), len(b[2])
-    inner = {(i, j): match(x, y) for i, x in enumerate(a[2]) for j, y in enumerate(b[2]) if x[0] == y[0]}
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n):
-        for j in range(m):
-            size = inner[i, j][0] if (i, j) in inner else 0
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size)
-    pairs, i, j = [], n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((a[2][i], b[2][j], inner[i, j][1]))
-    return 1 + best[n][m], pairs
-
-
-def key(path: str, text: str) -> int:
+def key(path: int, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def block_keys(source: str) -> list[int]:
-    """Keys of the different blocks of a page that are not outside."""
+class Tree:
+    """A page's slots by path, without the parts that are outside: children in the order of their first appearance, and parents."""
+
+    __slots__ = ("blocks", "children", "parent")
+
+    def __init__(self, page: Page):
+        out, paths, block_of = page.outside(), page.paths(), page.block_of()
+        self.children: dict[int, list[int]] = {paths[0]: []}
+        self.parent: dict[int, tuple[int | None, str]] = {paths[0]: (None, "")}
+        for i, (parent, _, label, _) in enumerate(page.nodes):
+            if i and not out[i] and block_of[i] == i and paths[i] not in self.children:
+                self.children[paths[i]] = []
+                self.children[paths[parent]].append(paths[i])
+                self.parent[paths[i]] = (paths[parent], label)
+        self.blocks = [(paths[node], text) for node, text in page.blocks([not x for x in out], block_of)]
+
+
+def ordered(places: list[int], weights: list[int]) -> tuple[int, list[int]]:
+    """The heaviest increasing subsequence of different places: (weight, indexes)."""
+    if all(x < y for x, y in zip(places, places[1:], strict=False)):
+        return sum(weights), list(range(len(places)))
+    # Ends of subsequences, by place, of growing weight: no later end is as light as an earlier one.
+    ends: list[int] = []
+    best: list[tuple[int, int]] = []
+    before: list[int] = []
+    for i, (place, weight) in enumerate(zip(places, weights, strict=True)):
+        at = bisect_left(ends, place)
+        total, last = best[at - 1] if at else (0, -1)
+        total += weight
+        before.append(last)
+        to = at
+        while to < len(ends) and best[to][0] <= total:
+            to += 1
+        ends[at:to], best[at:to] = [place], [(total, i)]
+    total, i = best[-1]
+    kept = []
+    while i >= 0:
+        kept.append(i)
+        i = before[i]
+    return total, kept[::-1]
+
+
+def match(a: Tree, b: Tree) -> tuple[int, set[int]]:
+    """Simple tree matching: (size of the best match, paths that are aligned)."""
+    size: dict[int, int] = {}
+    kept: dict[int, list[int]] = {}
+    for path in reversed(a.children):  # children come after their parents
+        if path in b.children:
+            place = {x: i for i, x in enumerate(b.children[path])}
+            both = [x for x in a.children[path] if x in place]
+            total, chosen = ordered([place[x] for x in both], [size[x] for x in both]) if both else (0, [])
+            size[path], kept[path] = 1 + total, [both[i] for i in chosen]
+    root = next(iter(a.children))
+    aligned, stack = set(), [root]
+    while stack:
+        path = stack.pop()
+        aligned.add(path)
+        stack += kept[path]
+    return size[root], aligned
+
+
+def block_keys(source: str) -> tuple[int, list[int]]:
+    """(which article a page shows, keys of its different blocks that are not outside)."""
     page = Page(source)
     paths = page.paths()
-    return list({key(paths[node], text) for node, text in page.blocks([not x for x in page.outside()], page.block_of())})
+    blocks = set(page.blocks([not x for x in page.outside()], page.block_of()))
+    long = {text for _, text in blocks if len(text) >= LONG} or {text for _, text in blocks}
+    return key(0, "\0".join(sorted(long))), list({key(paths[node], text) for node, text in blocks})
 
 
-def induce(pages: list[str], known: set[int] | None = None) -> dict:
-    """The wrapper of pages of one host: `slot` (path of the content slot) and `template` (path and text of whole blocks).
+def induce(pages: list[str], known: set[int] | None = None, roles: bool = True) -> dict:
+    """The wrapper of pages of one host: `known` (keys of template blocks), `slot` (path of the content slot) and `at` (its hash).
 
-    known: keys of the template blocks of all the host's pages; they stand for what the pages at hand have alike.
+    known: keys of the template blocks of all the host's pages; without them, what is alike at one path in all the given pages.
     """
-    trees, blocks = [], []
+    trees: list[Tree] = []
     for source in pages:
-        page = Page(source)
-        t = tree(page)
-        if t not in trees:
+        t = Tree(Page(source, roles))
+        if all(t.parent.keys() != x.parent.keys() or t.blocks != x.blocks for x in trees):
             trees.append(t)
-            paths = page.paths()
-            blocks += [(paths[node], text) for node, text in page.blocks([not x for x in page.outside()], page.block_of())]
     if len(trees) < 2:
-        return {}
-    first, constant, aligned = trees[0], None, None
-    for other in trees[1:]:
-        alike: set = set()
-        places: set = set()
-
-        def walk(a, b, pairs, path, alike=alike, places=places):
-            alike.update((path, x) for x in set(a[1]) & set(b[1]))
-            places.add(path)
-            for x, y, below in pairs:
-                walk(x, y, below, f"{path}/{x[0]}", alike, places)
-
-        walk(first, other, match(first, other)[1], "")
-        constant = alike if constant is None else constant & alike
-        aligned = places if aligned is None else aligned & places
-    if len(trees) < 3:
-        constant = set()
-    if known is not None:
-        constant = {(path, text) for path, text in blocks if key(path, text) in known}
-    found = {"template": sorted(map(list, constant))}
-    held = [path.split("/") for path in {path for path, text in blocks if (path, text) not in constant}]
-    if held:
-        # What the first and the last path in order share, all share.
-        low, high = min(held), max(held)
-        n = next((i for i, (x, y) in enumerate(zip(low, high, strict=False)) if x != y), min(len(low), len(high)))
-        while n > 1 and ("/".join(low[:n]) not in aligned or re.split("[.#]", low[n - 1])[0] not in SCOPE):
+        return {"known": sorted(known)} if known else {}
+    first, *others = trees
+    aligned = set.intersection(*(match(first, x)[1] for x in others))
+    if known is None:
+        known = {key(*x) for x in set(first.blocks).intersection(*(x.blocks for x in others)) if x[0] in aligned}
+    found: dict = {"known": sorted(known)}
+    parent = {path: x for t in trees for path, x in t.parent.items()}
+    varying = {path for t in trees for path, text in t.blocks if key(path, text) not in known}
+    if varying:
+        slot, path = [], varying.pop()
+        while path is not None:
+            slot.append(path)
+            path = parent[path][0]
+        slot.reverse()
+        meets = {x: i for i, x in enumerate(slot)}  # how far down the way to the slot a path goes along
+        for path in varying:
+            climbed = []
+            while path not in meets:
+                climbed.append(path)
+                path = parent[path][0]
+            meets.update(dict.fromkeys(climbed, meets[path]))
+            slot = slot[: meets[path] + 1]
+        labels = [parent[x][1] for x in slot]
+        n = len(slot)
+        while n > 1 and (slot[n - 1] not in aligned or re.split("[.#]", labels[n - 1])[0] not in SCOPE):
             n -= 1
-        found["slot"] = "/".join(low[:n])
+        found |= {"slot": "/".join(labels[:n]), "at": slot[n - 1]}
     return found
 
 
 # Extraction -------------------------------------------------------------------------------------
 
 
-def extract(source: str, wrapper: dict) -> str:
+def extract(source: str, wrapper: dict, roles: bool = True) -> str:
     if not source:
         return ""
-    page = Page(source)
+    page = Page(source, roles)
     out, paths = page.outside(), page.paths()
-    slot = wrapper.get("slot")
+    slot = wrapper.get("at")
     roots = [i for i, p in enumerate(paths) if p == slot and not out[i]]
     if not roots:
         roots = [i for i, (_, tag, _, _) in enumerate(page.nodes) if tag in ("article", "main") and not out[i]]
@@ -328,10 +358,9 @@ def extract(source: str, wrapper: dict) -> str:
     for i, (parent, _, _, _) in enumerate(page.nodes):
         if parent >= 0 and inside[parent]:
             inside[i] = True
-    template = {(p, t) for p, t in wrapper.get("template", ())}
-    blocks = page.blocks([x and not y for x, y in zip(inside, out, strict=True)], page.block_of())
     known = wrapper.get("known", ())
-    return " ".join(text for node, text in blocks if (paths[node], text) not in template and not (known and key(paths[node], text) in known))
+    blocks = page.blocks([x and not y for x, y in zip(inside, out, strict=True)], page.block_of())
+    return " ".join(text for node, text in blocks if not known or key(paths[node], text) not in known)
 
 
 def host() -> F.Column:
@@ -344,38 +373,38 @@ def small(df: DataFrame, bytes_a_row: F.Column) -> DataFrame:
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """host, page (hash), blocks (keys) of each different page that is not empty."""
+    """host, page (hash), article (hash), blocks (keys) of each page that is not empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"host": batch["host"], "page": batch["page"], "blocks": [block_keys(x) for x in batch["html"]]})
+            read = [block_keys(x) for x in batch["html"]]
+            yield pd.DataFrame({"host": batch["host"], "page": batch["page"], "article": [x for x, _ in read], "blocks": [y for _, y in read]})
 
     filled = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), "html").filter(F.col("html").rlike(r"\S"))
-    return filled.mapInPandas(run, "host string, page bigint, blocks array<bigint>")
+    return filled.mapInPandas(run, "host string, page bigint, article bigint, blocks array<bigint>")
 
 
 def wrappers(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
     """host, wrapper (JSON)."""
     seen = cut(page_blocks(pages), "blocks")
-    different = seen.select("host", "page").distinct()
-    n_pages = different.groupBy("host").agg(F.count("*").alias("n_pages"))
-    counted = seen.select("host", "page", F.explode("blocks").alias("block")).distinct().groupBy("host", "block").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST)
-    known = counted.join(n_pages, "host").filter(F.col("n") > F.col("n_pages") * SHARE).groupBy("host").agg(F.collect_list("block").alias("known"))
+    shown = seen.groupBy("host", "article").agg(F.min("page").alias("page"))
+    n_articles = shown.groupBy("host").agg(F.count("*").alias("n_articles"))
+    counted = seen.select("host", "article", F.explode("blocks").alias("block")).distinct().groupBy("host", "block").agg(F.count("*").alias("n")).filter("n > 1")
+    template = (F.col("n") > F.col("n_articles") * SHARE) & (F.col("n") >= F.least(F.lit(LEAST), F.col("n_articles")))
+    known = counted.join(n_articles, "host").filter(template).groupBy("host").agg(F.collect_list("block").alias("known"))
     # Ranks within a host are limited in each task before they travel.
-    first = Window.partitionBy("host").orderBy("page")
-    chosen = cut(different.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= exemplars).drop("rank").join(known, "host", "left"), "exemplars")
+    first = Window.partitionBy("host").orderBy("article")
+    chosen = cut(shown.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= exemplars).drop("rank").join(known, "host", "left"), "exemplars")
     picked = small(chosen.select("host", "page"), F.octet_length("host") + 32)
-    shown = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), "html").join(picked, ["host", "page"]).groupBy("host", "page").agg(F.min("html").alias("html"))
+    sources = pages.select(host().alias("host"), F.xxhash64("html").alias("page"), "html").join(picked, ["host", "page"]).groupBy("host", "page").agg(F.min("html").alias("html"))
 
     def run(by: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # At most `exemplars` pages.
-        ordered, blocks = group.sort_values("page"), group["known"].iloc[0]
-        blocks = [] if blocks is None else sorted(map(int, blocks))
-        found = induce(ordered["html"].tolist(), set(blocks))
-        found.pop("template", None)  # the keys have it
-        return pd.DataFrame({"host": [by[0]], "wrapper": [json.dumps(found | {"known": blocks})]})
+        ordered, blocks = group.sort_values("article"), group["known"].iloc[0]
+        found = induce(ordered["html"].tolist(), set() if blocks is None else set(map(int, blocks)))
+        return pd.DataFrame({"host": [by[0]], "wrapper": [json.dumps(found)]})
 
-    return shown.join(chosen, ["host", "page"]).groupBy("host").applyInPandas(run, "host string, wrapper string")
+    return sources.join(chosen, ["host", "page"]).groupBy("host").applyInPandas(run, "host string, wrapper string")
 
 
 def extract_pages(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
@@ -392,7 +421,7 @@ def extract_pages(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:
                     read.clear()
                 if isinstance(wrapper, str) and wrapper not in read:
                     read[wrapper] = json.loads(wrapper)
-                    read[wrapper]["known"] = set(read[wrapper]["known"])
+                    read[wrapper]["known"] = set(read[wrapper].get("known", ()))
                 texts.append(extract(source if isinstance(source, str) else "", read.get(wrapper, {})))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(x) for x in texts]})
 

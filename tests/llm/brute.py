@@ -141,3 +141,28 @@ def op3(docs, entropy=0.98, repeats=4.0, block_tokens=200_000, seed=17):
             used = sorted((b for b in blocks if epoch < whole or b in last), key=lambda b: (long_hash((b, 8), (epoch, 8), (seed, 4)), b))
             out += [(d, k, epoch, b, rank) for rank, b in enumerate(used, 1) for d, k in blocks[b]]
     return sorted(out)
+
+
+def op7_clean(rows, most, share=0.05, least=5, left=0.5, fewest=10):
+    """rows: (doc_id, text, source) -> (doc_id, cleaned text, words of lines removed, lines removed, kept)"""
+    blank = re.compile(r"[\x20\x09-\x0D]+")
+    normal = lambda x: blank.sub(" ", re.sub("[0-9]", "0", x.lower())).strip(" ")
+    lines = lambda t: [(x, normal(x)) for x in (t or "").split("\n")]
+    texts, holds = defaultdict(set), defaultdict(set)
+    for _, t, s in rows:
+        texts[s].add(t or "")
+        for _, n in lines(t):
+            if n:
+                holds[s, n].add(t or "")
+    above = {k for k, v in holds.items() if len(v) >= least and (len(v) > share * len(texts[k[0]]) or len(v) >= max(most, math.sqrt(len(texts[k[0]]))))}
+    out = []
+    for d, t, s in rows:
+        gone = [n for _, n in lines(t) if (s, n) in above]
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        five = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        covered = {i + j for i in range(len(words) - 4) if five[tuple(words[i : i + 5])] > 1 for j in range(5)}
+        failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+        n = sum(len(x.split(" ")) for x in gone)
+        text = "\n".join(x for x, y in lines(t) if (s, y) not in above) if gone else t
+        out.append((d, text, n, len(gone), not failed and len(words) - n >= max(fewest, left * len(words))))
+    return out

@@ -236,6 +236,32 @@ def test_line_rules(spark):
     assert op7.line_rules(docs.limit(0)).count() == 0
 
 
+def test_depleted_documents(spark):
+    """Documents of little more than lines of their host are rejected by the count of lines alone, in the query and in its SQL."""
+    import duckdb
+
+    line = "this line stands in every page of the host"
+    own = lambda i, n: " ".join(vocabulary(n, 100 + i))
+    texts = [f"{own(i, 30)}\n{line}" for i in range(30)] + [f"{own(50 + i, 4 + i)}\n{line.upper()}" for i in range(8)] + ["w" * 200_000 + f"\n{line}\n" + own(70, 20_000)]
+    rows = [(i, t, None if i % 2 else "h") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((tuple(r) for r in op7.line_rules(docs).select("doc_id", "n_words", "n_boilerplate", "base_failed", "kept").collect()))
+    rejected = {i for i, _, _, failed, kept in got if not failed and not kept}
+    assert rejected == {30 + i for i in range(8) if 4 + i < (13 + i) / 2}
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert got == sorted(con.execute(f"SELECT doc_id, n_words, n_boilerplate, base_failed, kept FROM ({op7.ORACLE})").fetchall())
+
+
+@pytest.mark.parametrize("most", [20, 3])
+def test_clean_lines_against_plain_python(spark, most):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    rows = [tuple(r) for r in docs.collect()] + [(90_000 + i, f"own {i} words {i}\nThe same  LINE {i}\n\n {vocabulary(9, i)[0]}", "x" if i < 12 else None) for i in range(20)] + [(1, None, None), (1, "", "x")]
+    got = sorted((tuple(r) for r in op7.clean_lines(spark.createDataFrame(rows, docs.schema), most=most).select("doc_id", "text", "n_boilerplate", "n_lines_removed", "kept").collect()), key=repr)
+    assert got == sorted(brute.op7_clean(rows, most), key=repr)
+    assert any(r[3] for r in got)
+
+
 def test_clean_lines(spark):
     """Texts come back without the lines above the limits, in hosts of every size; planted documents that this depletes are not kept."""
     own = lambda i, n: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
