@@ -15,7 +15,8 @@ Five bisection steps are evaluated in one pass over the source table.
 Defined cases: a null text has no tokens; a null source is a source of its own; documents without
 tokens count one token, so that they stay in the mix; a doc_id that occurs in several rows is so
 many documents; an empty table gives no rows. Other columns are ignored, or carried as they are; a carried column
-that is called as one of the results (`tokens`, `epoch`, `block`, `block_rank`) comes back with `input_` before its name.
+that is called as one of the results (`tokens`, `epoch`, `block`, `block_rank`, in small or capital letters) comes back with `input_` before its
+name, as often as it takes until no other column is called so.
 """
 
 from __future__ import annotations
@@ -105,6 +106,20 @@ def _ordered(rows: DataFrame, keys: list[str], order: F.Column, size: F.Column)
     return ranged.withColumn("inner", F.coalesce(within, F.lit(0))).join(offsets, same).withColumn("before", F.col("offset") + F.col("inner")).select(*rows.columns, "before")
 
 
+def carried_names(columns: list[str]) -> dict[str, str]:
+    """What each column is called beside the results; names that differ in case alone are one name."""
+    called = {c: c for c in columns if c.lower() not in RESULTS}
+    taken = {*RESULTS, *(c.lower() for c in called)}
+    for c in columns:
+        if c not in called:
+            name = f"input_{c}"
+            while name.lower() in taken:
+                name = f"input_{name}"
+            called[c] = name
+            taken.add(name.lower())
+    return called
+
+
 def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, carry: bool = False) -> DataFrame:
     """doc_id, source, tokens, epoch, block, block_rank: a row for each time that a document is in the mix.
 
@@ -127,7 +142,8 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     rows, names = numbered(docs if carry else counts)
     tokens = F.greatest(_tokens(names["text"]), F.lit(1)) if carry else F.col(names.pop("tokens"))
     placed = dealt(rows.withColumn("n", tokens), names["doc_id"], names["source"]).join(ranked, F.col(names["source"]).eqNullSafe(F.col("of")) & (F.col("block") == F.col("b")))
-    return placed.select(*[F.col(now).alias(f"input_{c}" if c in RESULTS else c) for c, now in names.items()], F.col("n").alias("tokens"), "epoch", "block", "block_rank")
+    called = carried_names(list(names))
+    return placed.select(*[F.col(now).alias(called[c]) for c, now in names.items()], F.col("n").alias("tokens"), "epoch", "block", "block_rank")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
