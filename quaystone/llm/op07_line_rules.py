@@ -3,12 +3,13 @@
 Base figures come from each whole text by array functions. The method then hashes every line in a
 normal form (small letters, digits as 0, white space folded), counts the distinct texts of a host
 that hold it, removes lines that stand in more than `share` of the host's texts (and at least
-`least`), and rejects documents that this depletes: under `left` of their words remain. `source` is the host of documents. Exact
+`least`), and rejects documents that this depletes: under `left` of their words remain, which is half. `source` is the host of documents. Exact
 copies of a text count once, so that copying a document does not make its lines boilerplate.
 
 `line_rules` gives figures and the verdict; `clean_lines` gives the documents without the lines above the limits.
-Its limits hold at every size of a host: a line in `MOST` different texts is above them whatever its share, and
-a document is also depleted when fewer than `FEWEST` words remain, or under `REMAINING` of them.
+There a line is also above the limits, whatever its share, in as many different texts as the square root of the
+host's, and `MOST` at least (20 of 400 texts, 10,000 of 10^8), so that neither a small nor a very large host has a limit that is out of
+reach or below what headings are shared by; a document is also depleted when fewer than `FEWEST` words remain.
 
 Repeated words are found from five-word windows hashed to 64 bits; only texts in which a hash
 occurs twice take the longer way of sorting windows. Lines are grouped by host, line and text
@@ -27,11 +28,10 @@ from pyspark.sql import functions as F
 from .store import cut, table
 
 SHARE = 0.05
-LEAST = 20
-LEFT = 0.1
+LEAST = 5
+LEFT = 0.5  #: of the words; see the planted documents in tests/llm/test_exact.py
 MOST = 20
 FEWEST = 10  #: words, as for whole texts
-REMAINING = 0.5  #: of the words; see the planted documents in tests/llm/test_exact.py
 BROADCAST_BYTES = 16 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
@@ -76,7 +76,7 @@ def above_limits(base: DataFrame, share: float, least: int, most: int | None = N
     lines = base.select("source", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
     often = lines.groupBy("source", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     over = F.col("n") > F.col("n_texts") * share
-    over = over if most is None else over | (F.col("n") >= most)
+    over = over if most is None else over | (F.col("n") >= F.greatest(F.lit(float(most)), F.sqrt("n_texts")))
     return often.join(texts, often.source.eqNullSafe(texts.source)).filter(over).select(often.source.alias("s"), F.col("h").alias("above"))
 
 
@@ -92,7 +92,7 @@ def line_rules(docs: DataFrame, share: float = SHARE, least: int = LEAST, left:
     return found.withColumn("kept", ~(F.col("base_failed") | depleted)).drop("row", "source")
 
 
-def clean_lines(docs: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST, left: float = REMAINING) -> DataFrame:
+def clean_lines(docs: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST, left: float = LEFT) -> DataFrame:
     """doc_id, text without the lines above the limits, n_words, n_boilerplate, n_lines_removed, base_failed, kept. Texts without such lines stay as they are, null too."""
     base = cut(base_figures(docs, "raw").withColumn("row", F.monotonically_increasing_id()), "lines")
     above = above_limits(base, share, least, most)
@@ -137,7 +137,7 @@ figures AS (
 lines AS (
   SELECT doc_id, source, text, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
   FROM (SELECT doc_id, source, text, unnest(l) AS x FROM figures)),
-often AS (SELECT source, line, count(DISTINCT text) AS n FROM lines GROUP BY source, line HAVING count(DISTINCT text) >= 20),
+often AS (SELECT source, line, count(DISTINCT text) AS n FROM lines GROUP BY source, line HAVING count(DISTINCT text) >= 5),
 texts AS (SELECT source, count(DISTINCT text) AS n_texts FROM figures GROUP BY source),
 above AS (SELECT o.source, o.line FROM often o JOIN texts t ON o.source IS NOT DISTINCT FROM t.source WHERE o.n > t.n_texts * 0.05),
 removed AS (
@@ -145,6 +145,6 @@ removed AS (
   FROM lines l WHERE EXISTS (SELECT 1 FROM above a WHERE a.source IS NOT DISTINCT FROM l.source AND a.line = l.line) GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, coalesce(n_boilerplate, 0) AS n_boilerplate,
   n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words - coalesce(n_boilerplate, 0) < n_words * 0.1) AS kept
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_words - coalesce(n_boilerplate, 0) < n_words * 0.5) AS kept
 FROM figures LEFT JOIN removed USING (doc_id)
 """
