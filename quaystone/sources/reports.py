@@ -1,7 +1,7 @@
 """Rows of filed reports, by windows over the lines of a filing.
 
-A text is exploded to lines, each line is classified by what it is on the form, and rows are put together from the lines around
-the one that holds their dates. Lines are exchanged once, by filing; a filing has a few hundred.
+A text is exploded to lines, each line is classified by the kinds of its words (`functions.tokens`, in Arrow batches), and rows are put
+together from the lines around the one that holds their dates. Lines are exchanged once, by filing; a filing has a few hundred.
 Filter filings before their lines are read. Money goes through the one grammar of `amounts`.
 
 A line with a row's dates always begins a row. A row with no readable date is left out and told by `report_warnings`.
@@ -9,11 +9,14 @@ A line with a row's dates always begins a row. A row with no readable date is le
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaystone.functions import amounts
 from quaystone.functions import columns as C
+from quaystone.functions import tokens as K
 
 COLUMNS = (
     "filing_id", "position", "member_id", "owner", "asset", "ticker", "asset_type", "tx_type", "tx_date", "disclosed_date",
@@ -35,18 +38,6 @@ SCAN_WORDS = (
 )
 MOST_STRAY = 4  #: lines without a row that can be a row's description
 
-DATE = r"\d{1,2}/\d{1,2}/\d{2,4}"
-TICKER = r"\(([A-Z][A-Z0-9.\-]{0,6})\)"
-TYPE = r"\[([A-Z]{2,4})\]"
-OWNERS = rf"^((?:(?:{'|'.join(OWNER_CODES)})(?:\s+|$))+)"
-_CODES = "|".join(c.replace("(", r"\(").replace(")", r"\)") for c in TX_CODES)
-ROW = r"(?:^|\s)" + r"\s+".join(f"({field})" for field in (_CODES, DATE, DATE)) + "(.*)$"
-_WORDS = "|".join(TX_WORDS)
-#: On scans the first slash of a date may be lost: month and day run together.
-SCAN_ROW = rf"(?i)^(.*?)\b({_WORDS})\b\s+({DATE}|\d{{3,4}}/\d{{2,4}})\s+(?:yes|no)\b(.*)$"
-NATIVE_ROW = rf"(?i)^\s*(\d{{1,4}})\s+(.*?)\s+({_WORDS})\s+({DATE})\s+(?:yes|no)\s+(.*)$"
-
-
 def _any(flags: list[Column]) -> Column:
     out = F.lit(False)
     for flag in flags:
@@ -54,10 +45,6 @@ def _any(flags: list[Column]) -> Column:
     return out
 
 
-def _got(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-
-
 def tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -70,10 +57,59 @@ def owner(codes: Column) -> Column:
     return out
 
 
-def ticker_and_type(text: Column) -> tuple[Column, Column]:
-    """A ticker before an asset code, else at the end; and the code."""
-    both, last = _got(text, TICKER + r"\s*" + TYPE), _got(text, TICKER + r"\s*$")
-    return F.coalesce(both, last), F.when(both.isNotNull(), _got(text, TICKER + r"\s*" + TYPE, 2)).when(last.isNull(), _got(text, TYPE))
+def _per_line(fields: str, told):
+    """A function of a string column to a struct, one line at a time, in Arrow batches; of null it is a struct of nulls."""
+    kinds = {name: kind for name, kind in (f.split() for f in fields.split(","))}
+    names = list(kinds)
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.BooleanType() if k == "boolean" else T.StringType()) for n, k in kinds.items()]))
+    def run(column: pd.Series) -> pd.DataFrame:
+        rows = [told(x) if isinstance(x, str) else (None,) * len(names) for x in column]
+        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+
+    return run
+
+
+def _house_line(line: str) -> tuple:
+    codes, rest = K.after(line, OWNER_CODES)
+    held = codes if codes and (not rest or K.label(rest)[0]) else None
+    line = rest if held else line
+    some = K.words(line) if "/" in line else []
+    row, (letter, body) = K.dated_code(some, TX_CODES), K.label(line)
+    code, tx, told, tail, head = (row[1], some[row[2]], some[row[2] + 1], " ".join(some[row[2] + 2 :]), " ".join(some[: row[0]])) if row else (None, None, None, "", line)
+    coded = [x for x, _, _ in K.enclosed(line, "[", "]") if K.is_code(x)]
+    alone = coded[0] if coded and line == f"[{coded[0]}]" else None
+    like = bool(coded) or any(K.is_symbol(x) for x, _, _ in K.enclosed(line, "(", ")")) or bool(K.after(line, OWNER_CODES)[0])
+    return held, line, code, tx, told, tail, head, letter, body, alone, bool(coded), like, len(K.apart(line)) > 1, line == "Yes No" or (line.startswith("Page ") and len(line.split()) == 4 and K.is_page_number(line.split()))
+
+
+def _asset_name(text: str) -> tuple:
+    """(owner codes, name, ticker, asset code) of all the text before a row's code."""
+    name = K.last_coded(text)
+    number, gap, rest = name.partition(" ")
+    name = rest.lstrip() if gap and K.is_number(number, 99, 6) else name  # an amended row's number on the form
+    codes, name = K.after(name, OWNER_CODES)
+    return codes, name, *K.symbol_and_code(name)
+
+
+def _executive_line(least: int):
+    def told(line: str) -> tuple:
+        some = K.words(line)
+        at = K.dated_word(some, TX_WORDS, least)
+        received = next((K.date(K.word(some, i + 2)) for i, x in enumerate(some) if K.bare(x) == "oge" and K.bare(K.word(some, i + 1)) == "received"), None)
+        parts = next((K.word(some, i + 1).split(".") for i, x in enumerate(some) if x == "Date:"), [])
+        signed = "/".join([parts[1], parts[2], parts[0]]) if len(parts) == 3 and K.is_number(parts[0], 4, 4) and K.is_number(parts[1], 2) and K.is_number(parts[2], 2) else None
+        row = (None,) * 6 if at is None else (" ".join(some[:at]), K.bare(some[at]), some[at + 1], K.date(some[at + 1], fused=True), " ".join(some[at + 3 :]), " ".join(map(K.money, some[at + 3 :])))
+        return *row, received, signed, K.is_page_number(some)
+
+    return told
+
+
+house_line = _per_line("held string, line string, code string, tx string, told string, tail string, head string, letter string, body string, alone string, coded boolean, like boolean, heading boolean, page boolean", _house_line)
+asset_name = _per_line("codes string, name string, ticker string, code string", _asset_name)
+symbol_and_code = _per_line("ticker string, code string", K.symbol_and_code)
+_EXECUTIVE = "head string, word string, raw string, date string, tail string, amount string, received string, signed string, page boolean"
+scan_line, native_line = _per_line(_EXECUTIVE, _executive_line(0)), _per_line(_EXECUTIVE, _executive_line(2))
 
 
 def lines(filings: DataFrame) -> DataFrame:
@@ -89,30 +125,20 @@ def _by(*keys: str):
     return w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _label(line: Column) -> tuple[Column, Column]:
-    """(letter, body) of a label: the form's labels print as single capitals, wide apart, before a colon."""
-    head = F.trim(F.substring_index(line, ":", 1))
-    return F.when(line.contains(":") & head.rlike(r"^[A-Z](\s\s+[A-Z])*$"), F.substring(head, 1, 1)), F.trim(F.regexp_replace(line, "^[^:]*:", ""))
-
-
 def _house_tokens(filings: DataFrame) -> DataFrame:
     """The table's lines, classified: kind, and what it takes to put rows together."""
     upto, before = _by()
     line = F.col("line")
-    told = lines(filings).filter(line != "")
+    told = lines(filings).filter(line != "").withColumn("w", house_line("line"))
     told = told.withColumn("event", F.when(line.contains(HEAD_OPENS), "open").when(line.contains(HEAD_CLOSES), "close").when(_any([line.startswith(x) for x in FOOTERS]), "foot"))
-    below = F.trim(F.regexp_replace(F.coalesce(F.lead("line").over(Window.partitionBy("filing_id").orderBy("n")), F.lit("")), OWNERS, ""))
-    told = told.withColumns({"before": F.last("event", True).over(before), "above_d": _label(below)[0].eqNullSafe(F.lit("D"))})
+    told = told.withColumns({"before": F.last("event", True).over(before), "above_d": F.lead("w.letter").over(Window.partitionBy("filing_id").orderBy("n")).eqNullSafe(F.lit("D"))})
     told = told.withColumn("event", F.when((F.col("event") != "close") | F.col("before").eqNullSafe(F.lit("open")), F.col("event")))
     told = told.withColumns({"place": F.last("event", True).over(upto), "events": F.count("event").over(upto), "feet": F.count_if(F.col("event") == "foot").over(upto)})
-    furniture = _any([line.startswith(x) for x in FURNITURE_OPENS] + [line.contains(x) for x in FURNITURE_HAS]) | line.rlike(r"^(Yes No|Page \d+ of \d+)$")
+    furniture = _any([line.startswith(x) for x in FURNITURE_OPENS] + [line.contains(x) for x in FURNITURE_HAS]) | F.col("w.page")
     told = told.filter((F.col("place") == "close") & F.col("event").isNull() & ~furniture)
-    # Owner codes alone, or before a label, speak of the next row.
-    codes = F.regexp_extract("line", OWNERS, 1)
-    rest = F.trim(F.substring(line, F.length(codes) + 1, F.length("line")))
-    told = told.withColumn("held", F.when((codes != "") & ((rest == "") | _label(rest)[0].isNotNull()), codes)).withColumn("line", F.when(F.col("held").isNotNull(), rest).otherwise(line))
-    # A row, its dates and its amount.
-    told = told.withColumns({"code": _got(line, ROW), "tx_date": C.us_date(F.regexp_extract("line", ROW, 2)), "told_date": C.us_date(F.regexp_extract("line", ROW, 3)), "tail": F.trim(F.regexp_extract("line", ROW, 4))})
+    # Owner codes alone, or before a label, speak of the next row (held). A row: its code, its dates and its amount.
+    w = lambda c: F.col(f"w.{c}")
+    told = told.withColumns({"line": w("line"), "held": w("held"), "code": w("code"), "tx_date": C.us_date(w("tx")), "told_date": C.us_date(w("told")), "tail": w("tail"), "head": w("head")})
     told = told.withColumns({"is_row": F.col("code").isNotNull(), "amount": F.when(F.col("code").isNotNull(), amounts.parse(F.col("tail")))})
     told = told.withColumn("valid", F.col("is_row") & F.col("tx_date").isNotNull() & F.col("told_date").isNotNull())
     told = told.withColumns({"part": F.count_if("is_row").over(upto), "row": F.count_if("valid").over(upto), "awaits": F.last(F.when(F.col("is_row"), F.coalesce("amount.pending", F.lit(""))), True).over(upto)})
@@ -120,16 +146,16 @@ def _house_tokens(filings: DataFrame) -> DataFrame:
     figure = F.when(~F.col("is_row") & (F.col("awaits") != ""), amounts.cents(line))
     told = told.withColumn("figure", figure)
     told = told.withColumn("figure", F.when(F.count("figure").over(_by("part")[1]) == 0, F.col("figure")))
-    letter, body = _label(line)
+    letter, body = w("letter"), w("body")
     free = ~F.col("is_row") & F.col("figure").isNull()
     kind = (
-        F.when(F.col("is_row"), "row").when(F.col("figure").isNotNull(), "figure").when(line == "", "owner").when(line.rlike(f"^{TYPE}$"), "code").when(letter.isNotNull(), "label").when(line.rlike(r"^[A-Za-z](\s\s+[A-Za-z])+$"), "heading").otherwise("text")
+        F.when(F.col("is_row"), "row").when(F.col("figure").isNotNull(), "figure").when(line == "", "owner").when(w("alone").isNotNull(), "code").when(letter.isNotNull(), "label").when(w("heading"), "heading").otherwise("text")
     )
     told = told.withColumns({"kind": kind, "letter": F.when(free, letter), "body": F.when(free & letter.isNotNull(), body)})
     # A text right above a description belongs to it; texts below one go on with it to a full stop, or to what looks like an asset.
     ends = lambda c: c.rlike(r"[.!?]$")
-    asset_like = line.rlike(TYPE) | line.rlike(TICKER) | line.rlike(OWNERS)
-    told = told.withColumn("kind", F.when((F.col("kind") == "text") & F.col("above_d") & ~line.rlike(TYPE), "above").otherwise(F.col("kind")))
+    asset_like = w("like")
+    told = told.withColumn("kind", F.when((F.col("kind") == "text") & F.col("above_d") & ~w("coded"), "above").otherwise(F.col("kind")))
     told = told.withColumn("group", F.count_if(F.col("kind").isin("row", "label")).over(upto) + F.col("events"))
     opens = (F.col("letter") == "D") & (F.col("body") != "") & ~ends(F.col("body"))
     told = told.withColumn("open", F.coalesce(F.max(F.when(F.col("kind") == "label", opens)).over(Window.partitionBy("filing_id", "group")), F.lit(False)) & (F.col("kind") == "text"))
@@ -138,7 +164,8 @@ def _house_tokens(filings: DataFrame) -> DataFrame:
     told = told.withColumn("kind", F.when(goes_on, "more").otherwise(F.col("kind")))
     # What a label says is of the row above, unless asset text of the next row came between.
     told = told.withColumn("left", F.when(F.col("kind") == "figure", tidy(F.regexp_replace("line", f"^(.*?){amounts.FIGURE}", "$1 "))))
-    pending = (F.col("kind") == "text") | ((F.col("left") != "") & ticker_and_type(F.col("left"))[0].isNull())
+    told = told.withColumns({"left_ticker": symbol_and_code("left")["ticker"], "alone": w("alone")}).drop("w")
+    pending = (F.col("kind") == "text") | ((F.col("left") != "") & F.col("left_ticker").isNull())
     told = told.withColumn("mine", (F.col("row") > 0) & (F.count_if(pending).over(_by("part", "events")[1]) == 0))
     return told.withColumn("mine", F.when(F.col("kind") == "more", F.max(F.when(F.col("kind") == "label", F.col("mine"))).over(Window.partitionBy("filing_id", "group"))).otherwise(F.col("mine")))
 
@@ -147,8 +174,8 @@ def house_rows(filings: DataFrame) -> DataFrame:
     """Rows of house reports (filing_id, filed_on, text)."""
     told = _house_tokens(filings)
     own = F.col("kind").isin("row", "figure", "code") | (F.col("kind").isin("label", "more") & F.col("mine"))
-    piece = F.struct("n", "kind", "line", "body", "letter", "held", "figure", "left", "part", "events", "feet")
-    row = F.struct("code", "tx_date", "told_date", "tail", "amount", "part", "events", "feet", F.regexp_replace("line", ROW, "").alias("head"))
+    piece = F.struct("n", "kind", "line", "body", "letter", "held", "figure", "left", "part", "events", "feet", "alone")
+    row = F.struct("code", "tx_date", "told_date", "tail", "amount", "part", "events", "feet", "head")
     told = told.withColumn("target", F.when(own, F.col("row")).otherwise(F.col("row") + 1))
     found = told.groupBy("filing_id", "target").agg(F.max(F.when(F.col("valid"), row)).alias("r"), F.array_sort(F.collect_list(piece)).alias("pieces")).filter("r is not null")
     held = told.filter("held is not null").select("filing_id", (F.col("row") + F.when(F.col("kind") == "row", 0).otherwise(1)).alias("target"), "n", "held")
@@ -158,18 +185,15 @@ def house_rows(filings: DataFrame) -> DataFrame:
     # Asset text of the part just before the row, on the same page.
     buffered = those(lambda p: p["kind"].isin("text", "left") & (p["part"] == F.col("r.part") - 1) & (p["events"] == F.col("r.events")), lambda p: p["line"])
     name = tidy(F.concat_ws(" ", F.concat_ws(" ", buffered), F.col("before_left"), F.col("r.head")))
-    two = rf"^.*{TYPE}(.*{TYPE}).*$"
     # Figure text that is no part of its row's name opens the next row's.
     left = first("figure", lambda p: F.nullif(p["left"], F.lit("")))
-    found = found.withColumn("left", left).withColumn("left_ticker", ticker_and_type(F.col("left"))[0])
+    found = found.withColumn("left", left).withColumn("left_is", symbol_and_code("left")).withColumns({"left_ticker": F.col("left_is.ticker"), "left_code": F.col("left_is.code")})
     by = Window.partitionBy("filing_id").orderBy("target")
     found = found.withColumn("before_left", F.when(F.lag("left_ticker").over(by).isNull(), F.lag("left").over(by)))
-    found = found.withColumn("name", name).withColumn("name", F.trim(F.when(F.col("name").rlike(two), F.regexp_extract("name", two, 2)).otherwise(F.col("name"))))
-    found = found.withColumn("name", F.regexp_replace("name", r"^\d{6,}\s+", "")).withColumn("codes", F.regexp_extract("name", OWNERS, 1)).withColumn("name", F.regexp_replace("name", OWNERS, ""))
-    ticker, code = ticker_and_type(F.col("name"))
-    found = found.withColumns({"ticker": ticker, "asset_type": code, "figure": first("figure", lambda p: p["figure"]), "orphan": first("code", lambda p: F.regexp_extract(p["line"], TYPE, 1))})
+    found = found.withColumn("is", asset_name(name)).withColumns({c: F.col(f"is.{c}") for c in ("codes", "name", "ticker")}).withColumn("asset_type", F.col("is.code"))
+    found = found.withColumns({"figure": first("figure", lambda p: p["figure"]), "orphan": first("code", lambda p: p["alone"])})
     claims = F.col("ticker").isNull() & F.col("left_ticker").isNotNull()
-    left_code = ticker_and_type(F.col("left"))[1]
+    left_code = F.col("left_code")
     below = lambda p: (p["kind"] == "label") & (p["letter"] == "D") & (p["body"] != "")
     text = those(lambda p: (below(p) | p["kind"].isin("more", "above")) & (p["feet"] == F.col("r.feet")), lambda p: F.when(p["kind"] == "label", p["body"]).otherwise(p["line"]))
     amended = F.exists("pieces", lambda p: (p["kind"] == "label") & (p["letter"] == "F") & (p["body"] == "Amended"))
@@ -211,46 +235,44 @@ def _executive(rows: DataFrame, notes: list[Column]) -> DataFrame:
 def _scan_lines(filings: DataFrame) -> DataFrame:
     """Lines of scanned forms: rows, their dates, the description lines before them, and the date of disclosure."""
     line, low = F.col("line"), F.lower("line")
-    received = C.us_date(F.regexp_extract("line", rf"(?i)oge\s+received:?\s*({DATE})", 1))
-    signed = [F.regexp_extract("line", r"Date:\s*(\d{4})\.(\d{1,2})\.(\d{1,2})", i).try_cast("int") for i in (1, 2, 3)]
-    signed = C.lenient_date(*signed)
     page = Window.partitionBy("filing_id").orderBy("n")
     whole = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    told = lines(filings).withColumns({"received": received, "signed": signed, "word": _got(line, SCAN_ROW, 2)})
-    furniture = (line == "") | received.isNotNull() | signed.isNotNull() | low.rlike(r"page\s+\d+\s+of\s+\d+") | _any([low.contains(w) for w in SCAN_WORDS]) | (low.contains("description") & low.contains("type"))
+    told = lines(filings).withColumn("w", scan_line("line"))
+    told = told.withColumns({"received": C.us_date(F.col("w.received")), "signed": C.us_date(F.col("w.signed")), "word": F.col("w.word")})
+    furniture = (line == "") | F.col("received").isNotNull() | F.col("signed").isNotNull() | F.col("w.page") | _any([low.contains(w) for w in SCAN_WORDS]) | (low.contains("description") & low.contains("type"))
     told = told.withColumn("stray", F.col("word").isNull() & ~furniture).withColumns({"received": F.first("received", True).over(whole), "signed": F.first("signed", True).over(whole)})
     # Lines before a row are its description, but for those that filled the buffer before.
     told = told.withColumn("part", F.count("word").over(_by()[1])).withColumn("nth", F.count_if("stray").over(_by("part")[0]))
     size = F.count_if("stray").over(Window.partitionBy("filing_id", "part"))
     whole_buffers = F.floor(size / (MOST_STRAY + 1)) * (MOST_STRAY + 1)
     kept = F.array_sort(F.collect_list(F.when(F.col("stray") & (F.col("nth") > whole_buffers), F.struct("n", "line"))).over(Window.partitionBy("filing_id", "part")))
-    raw = F.regexp_extract("line", SCAN_ROW, 3)
-    date = F.when(raw.rlike(r"^\d{3,4}/\d+$"), F.regexp_replace(raw, r"^(\d{1,2})(\d\d)/", "$1/$2/")).otherwise(raw)
-    return told.withColumns({"before": F.transform(kept, lambda x: x["line"]), "raw_date": raw, "tx_date": C.us_date(date), "discarded": F.when(F.col("stray") & (F.col("nth") % (MOST_STRAY + 1) == 0), F.lit(MOST_STRAY + 1))})
+    return told.withColumns({"before": F.transform(kept, lambda x: x["line"]), "raw_date": F.col("w.raw"), "tx_date": C.us_date(F.col("w.date")), "discarded": F.when(F.col("stray") & (F.col("nth") % (MOST_STRAY + 1) == 0), F.lit(MOST_STRAY + 1))})
 
 
 def scan_rows(filings: DataFrame) -> DataFrame:
     """Rows of scanned executive forms: a type word, a date, and Yes or No make a row; lines before it are its description."""
     told = _scan_lines(filings).filter("word is not null").join(filings.select("filing_id", "filed_on"), "filing_id")
     told = told.withColumn("disclosed_date", F.coalesce("filed_on", "received", "signed")).filter("disclosed_date is not null and tx_date is not null")
-    head = tidy(F.concat_ws(" ", F.concat_ws(" ", "before"), F.regexp_extract("line", SCAN_ROW, 1)))
-    tail = F.trim(F.regexp_extract("line", SCAN_ROW, 4))
-    # Recognition reads a dollar sign as S and a comma as a full stop.
-    money = F.regexp_replace(F.regexp_replace(tail, r"(^|[^A-Za-z0-9])S(?=\d)", r"$1\$"), r"(?<=\d)\.(?=\d{3}(\D|$))", ",")
-    rows = told.select("filing_id", "n", F.regexp_replace(head, r"^\d{1,4}\s+", "").alias("asset"), "word", "tx_date", "disclosed_date", amounts.parse(money).alias("a"), tail.alias("tail"))
+    head = tidy(F.concat_ws(" ", F.concat_ws(" ", "before"), F.col("w.head")))
+    opening = F.substring_index(head, " ", 1)
+    numbered = F.length(opening).between(1, 4) & (F.translate(opening, "0123456789", "") == "") & head.contains(" ")
+    asset = F.when(numbered, F.substring(head, F.length(opening) + 2, F.length(head))).otherwise(head)
+    rows = told.select("filing_id", "n", asset.alias("asset"), "word", "tx_date", "disclosed_date", amounts.parse(F.col("w.amount")).alias("a"), F.col("w.tail").alias("tail"))
     return _executive(rows, [F.when(F.col("a.kind") == "unknown", F.concat(F.lit("amount not understood: "), "tail")), F.when(F.col("asset") == "", "no description")])
 
 
 def native_rows(filings: DataFrame) -> DataFrame:
     """Rows of native executive forms: numbered lines with growing numbers; a dangling dash takes the figure alone on the next line."""
     page = Window.partitionBy("filing_id").orderBy("n")
-    told = lines(filings).withColumn("below", F.trim(F.coalesce(F.lead("line").over(page), F.lit("")))).withColumn("word", _got(F.col("line"), NATIVE_ROW, 3)).filter("word is not null")
-    told = told.withColumns({"number": F.regexp_extract("line", NATIVE_ROW, 1).cast("int"), "tx_date": C.us_date(F.regexp_extract("line", NATIVE_ROW, 4))}).filter("tx_date is not null")
+    told = lines(filings).withColumn("below", F.trim(F.coalesce(F.lead("line").over(page), F.lit("")))).withColumn("w", native_line("line")).withColumn("word", F.col("w.word")).filter("word is not null and w.tail <> '' and w.raw = w.date")
+    opening = F.substring_index("w.head", " ", 1)
+    numbered = F.length(opening).between(1, 4) & (F.translate(opening, "0123456789", "") == "")
+    told = told.withColumns({"number": F.when(numbered, opening.try_cast("int")), "tx_date": C.us_date(F.col("w.date"))}).filter("number is not null and tx_date is not null")
     told = told.withColumn("most", F.max("number").over(_by()[1])).filter(F.col("number") > F.coalesce("most", F.lit(0)))
-    tail = F.trim(F.regexp_extract("line", NATIVE_ROW, 5))
+    tail = F.col("w.tail")
     tail = F.when(tail.rlike(f"{amounts.DASH}$") & F.col("below").rlike(f"^{amounts.FIGURE}$"), F.concat_ws(" ", tail, F.col("below"))).otherwise(tail)
     told = told.join(filings.select("filing_id", F.col("filed_on").alias("disclosed_date")), "filing_id")
-    return _executive(told.select("filing_id", "n", tidy(F.regexp_extract("line", NATIVE_ROW, 2)).alias("asset"), "word", "tx_date", "disclosed_date", amounts.parse(tail).alias("a")), [])
+    return _executive(told.select("filing_id", "n", F.substring("w.head", F.length(F.substring_index("w.head", " ", 1)) + 2, F.length("w.head")).alias("asset"), "word", "tx_date", "disclosed_date", amounts.parse(tail).alias("a")), [])
 
 
 READERS = {"house": house_rows, "scan": scan_rows, "native": native_rows}

@@ -90,7 +90,7 @@ def test_parse_reports(spark):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("$1,001 - $15,000", ("range", 100_100, 1_500_000, None)), ("$50,000,001 +", ("atLeast", 5_000_000_100, 5_000_000_100, None)), ("Spouse/DC Over $1,000,000", ("atLeast", 100_000_000, 100_000_000, None)),
+        ("$1,001 - $15,000", ("range", 100_100, 1_500_000, None)), ("$7,340,021 +", ("atLeast", 734_002_100, 734_002_100, None)), ("their share: Over $82,500", ("atLeast", 8_250_000, 8_250_000, None)),
         ("Over", ("unknown", 0, 0, "threshold")), ("$15.07", ("exact", 1507, 1507, None)), ("None (or less than $201)", ("none", 0, 0, None)), ("$50,001 -", ("range", 5_000_100, 5_000_100, "upper")), ("", ("unknown", 0, 0, None)), ("junk", ("unknown", 0, 0, None)), ("junk $5", ("unknown", 0, 0, None)), ("noneX $5", ("none", 0, 0, None)), ("$15,000 - $1,001", ("range", 1_500_000, 100_100, None)), (None, ("unknown", 0, 0, None)),
     ],
 )
