@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaystone.plans import versions
+
 SCHEMA_VERSION = 2
 
 
@@ -14,23 +14,24 @@ class EmptyFeed(ValueError):
     """A feed without rows never replaces one that has some."""
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> str:
-    """Write all tables to a new version and return its path; readers move on by the pointer alone."""
+def write_tables(tables: dict[str, DataFrame], path: str, build: str = "") -> int:
+    """Write all tables, then the manifest that names them; its number. Readers and other writers go on meanwhile.
+
+    build: what made the feed, to be asked for by readers; of two feeds the later manifest counts.
+    """
     if tables["trades"].isEmpty():
         raise EmptyFeed("no trades: the last feed stays")
-    version = f"{path}/version={uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{version}/{name}")
     spark = tables["trades"].sparkSession
-    spark.createDataFrame([(version, SCHEMA_VERSION)], "version string, schema_version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
-    return version
+    folders = {name: [versions.write(df, path, name)] for name, df in tables.items()}
+    return versions.commit(spark, path, folders, {"schema_version": SCHEMA_VERSION, "build": build}).number
 
 
-def read_tables(spark: SparkSession, path: str, name: str) -> DataFrame:
-    version = spark.read.parquet(f"{path}/current").filter(F.col("schema_version") == SCHEMA_VERSION).first()
-    if version is None:
-        raise EmptyFeed("no feed of this schema version")
-    return spark.read.parquet(f"{version.version}/{name}")
+def read_tables(spark: SparkSession, path: str, name: str, build: str | None = None) -> DataFrame:
+    """A table of the last feed of this schema version, and of a build if one is asked for: a feed of another build is as good as none."""
+    found = versions.latest(spark, path)
+    if found is None or found.facts.get("schema_version") != SCHEMA_VERSION or (build is not None and found.facts.get("build") != build):
+        raise EmptyFeed("no feed of this schema version and build")
+    return spark.read.parquet(*found.tables[name])
 
 
 def feed_json(trades: DataFrame) -> DataFrame:
