@@ -48,10 +48,26 @@ def sort_date() -> Column:
     return F.when(impossible(), F.col("disclosed_date")).otherwise(F.col("tx_date"))
 
 
+def _in_brackets(text: Column, opens: str, closes: str) -> Column:
+    """What stands in brackets at the end of a text; empty if nothing does."""
+    inner = F.substring_index(F.substring(text, F.lit(1), F.length(text) - 1), opens, -1)
+    return F.when(text.endswith(closes) & text.contains(opens), inner).otherwise("")
+
+
+def _capitals(x: Column, least: int, most: int, also: str = "") -> Column:
+    plain = F.translate(x, also, "") if also else x
+    return F.length(x).between(least, most) & (F.translate(plain, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "") == "")
+
+
 def clean_asset() -> Column:
-    """The asset's name without a "(TICKER) [TY]" or "[TY]" in capitals at its end."""
-    code = r"\s*\[[A-Z]{2,4}\]\s*$"
-    return F.trim(F.regexp_replace(F.regexp_replace("asset", r"\s*\([A-Z][A-Z0-9.\-]{0,6}\)" + code, ""), code, ""))
+    """The asset's name without a code in square brackets at its end, and without a ticker in round ones before that code."""
+    name = F.rtrim("asset")
+    code = _in_brackets(name, "[", "]")
+    coded = _capitals(code, 2, 4)
+    short = F.rtrim(F.substring(name, F.lit(1), F.length(name) - F.length(code) - 2))
+    ticker = _in_brackets(short, "(", ")")
+    listed = _capitals(ticker, 1, 7, "0123456789.-") & F.substring(ticker, 1, 1).between("A", "Z")
+    return F.trim(F.when(coded & listed, F.substring(short, F.lit(1), F.length(short) - F.length(ticker) - 2)).when(coded, short).otherwise(F.col("asset")))
 
 
 def symbol() -> Column:
@@ -60,7 +76,7 @@ def symbol() -> Column:
 
 def gap_phrase() -> Column:
     days = lag_days()
-    return F.when(impossible(), "filing dates are inconsistent").when(days == 0, "disclosed the same day").when(days == 1, "disclosed 1 day later").otherwise(F.concat(F.lit("disclosed "), days.cast("string"), F.lit(" days later")))
+    return F.when(impossible(), "dates contradict").otherwise(F.concat(F.lit("lag "), days.cast("string"), F.lit(" d")))
 
 
 def dollars(cents: Column) -> Column:
@@ -155,32 +171,30 @@ def _by_kind(kind: str, told: dict[str, Column], otherwise: str) -> Column:
 def amount_headline(kind: str = "amount_kind", low: str = "low_cents", high: str = "high_cents") -> Column:
     """A bracket at a glance. An open one has no upper end, and none is made up."""
     lo, hi = dollars(F.col(low)), dollars(F.col(high))
-    return _by_kind(kind, {"range": F.concat(lo, F.lit(" – "), hi), "atLeast": F.concat(F.lit("Over "), lo), "exact": lo, "none": F.lit("None (or less than $201)")}, "Amount unreadable")
+    return _by_kind(kind, {"range": F.concat(lo, F.lit(" – "), hi), "atLeast": F.concat(F.lit("≥ "), lo), "exact": lo, "none": F.lit("no amount")}, "?")
 
 
 def amount_caption(kind: str = "amount_kind") -> Column:
     """What sort of figure it is."""
-    told = {"range": "Disclosed range", "atLeast": "Open-ended bracket", "exact": "Exact amount", "none": "Below the reporting threshold"}
-    return _by_kind(kind, {k: F.lit(v) for k, v in told.items()}, "Not readable on the filing")
+    told = {"range": "two bounds", "atLeast": "lower bound only", "exact": "one figure", "none": "under the threshold"}
+    return _by_kind(kind, {k: F.lit(v) for k, v in told.items()}, "no figure read")
 
 
 def amount_spoken(kind: str = "amount_kind", low: str = "low_cents", high: str = "high_cents") -> Column:
-    """A bracket to be read aloud: no dashes."""
+    """A bracket to be read aloud: no dashes and signs."""
     lo, hi = dollars(F.col(low)), dollars(F.col(high))
-    told = {"range": F.concat(F.lit("Disclosed range, "), lo, F.lit(" to "), hi), "atLeast": F.concat(F.lit("Open-ended bracket, over "), lo), "exact": F.concat(F.lit("Exact amount, "), lo), "none": F.lit("None, or less than $201")}
-    return _by_kind(kind, told, "Amount could not be read from the filing")
+    told = {"range": F.concat(F.lit("from "), lo, F.lit(" up to "), hi), "atLeast": F.concat(lo, F.lit(" or more")), "exact": F.concat(lo, F.lit(" exactly")), "none": F.lit("nothing above the threshold")}
+    return _by_kind(kind, told, "an amount that was not read")
 
 
 def timing() -> Column:
-    return F.concat(F.lit("Traded "), date_label(F.col("tx_date")), F.lit(" · "), gap_phrase())
+    return F.concat(date_label(F.col("tx_date")), F.lit("; "), gap_phrase())
 
 
 def summary() -> Column:
-    """A row in one sentence to be read aloud; what is not known is left out."""
-    account = F.when(F.col("owner") == "self", "own account").otherwise(F.concat(named(F.col("owner"), OWNERS), F.lit(" account")))
-    gap = F.when(impossible(), "the filing's dates are inconsistent and are shown as filed").otherwise(gap_phrase())
+    """A row's facts on one line, parted by semicolons; what is not known is left out."""
     kind = named(F.col("asset_type"), ASSET_NAMES, F.lit(None).cast("string"))
-    return F.concat_ws(", ", "member_name", account, verb(), clean_asset(), F.concat(F.lit("ticker "), F.col("ticker")), kind, amount_spoken(), F.concat(F.lit("traded "), date_label(F.col("tx_date"))), gap)
+    return F.concat_ws("; ", F.concat(F.col("member_name"), F.lit(" / "), named(F.col("owner"), OWNERS)), F.concat(verb(), F.lit(": "), clean_asset()), F.col("ticker"), kind, amount_spoken(), timing())
 
 
 def chamber_tag(chambers: list[str], column: str = "chamber") -> Column:

@@ -58,6 +58,25 @@ def select(
     return out
 
 
+def by_member(trades: DataFrame, member_id: str) -> DataFrame:
+    return trades.filter(F.col("member_id") == member_id)
+
+
+def by_filing(trades: DataFrame, filing_id: str) -> DataFrame:
+    return trades.filter(F.col("filing_id") == filing_id)
+
+
+def by_ticker(trades: DataFrame, ticker: str) -> DataFrame:
+    """Rows of a ticker, in letters of any case; none for an empty one."""
+    return trades.filter((F.upper("ticker") == ticker.strip().upper()) & F.lit(bool(ticker.strip())))
+
+
+def member_search(members: DataFrame, asked: str) -> DataFrame:
+    """Members whose name has what is asked for in it, or whose state it is, in letters of any case; all members for nothing."""
+    q = asked.strip().lower()
+    return members.filter(F.lower("name").contains(q) | (F.lower("state") == q)) if q else members
+
+
 def active_facets(**facets) -> int:
     return sum(bool(v) for v in facets.values())
 
@@ -129,16 +148,10 @@ def name_match(members: DataFrame, query: str) -> DataFrame:
 def csv_projection(trades: DataFrame, members: DataFrame) -> DataFrame:
     """The 19 columns of the export."""
     m = members.select(F.col("id").alias("_m"), F.col("chamber").alias("m_chamber"), "party")
-    # Brackets are few: each is put into words once.
-    bracket = ["amount_kind", "low_cents", "high_cents"]
-    told = trades.select(*bracket).distinct().select(*[F.col(c).alias(f"_{c}") for c in bracket], C.amount_label().alias("_label"))
-    same = F.lit(True)
-    for c in bracket:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return trades.join(told, same, "left").drop("chamber").join(m, trades.member_id == F.col("_m"), "left").select(
+    return trades.drop("chamber").join(m, trades.member_id == F.col("_m"), "left").select(
         "member_name", F.coalesce("m_chamber", F.lit("")).alias("chamber"), F.coalesce("party", F.lit("")).alias("party"), "owner", F.col("tx_type").alias("transaction_type"), "asset", F.coalesce("ticker", F.lit("")).alias("ticker"), F.coalesce("asset_type", F.lit("")).alias("asset_type"),
         F.date_format("tx_date", "yyyy-MM-dd").alias("transaction_date"), F.date_format("disclosed_date", "yyyy-MM-dd").alias("disclosed_date"), C.lag_days().cast("long").alias("disclosure_lag_days"), C.impossible().alias("has_impossible_date"),
-        F.col("_label").alias("amount_label"), F.col("low_cents").alias("amount_low_cents"), F.col("high_cents").alias("amount_high_cents"), "is_amendment", F.coalesce("warning", F.lit("")).alias("warnings"), "filing_id", F.coalesce(C.document_url(F.col("filing_id"), "https://filings.example/"), F.lit("")).alias("source_url"),
+        C.amount_label().alias("amount_label"), F.col("low_cents").alias("amount_low_cents"), F.col("high_cents").alias("amount_high_cents"), "is_amendment", F.coalesce("warning", F.lit("")).alias("warnings"), "filing_id", F.coalesce(C.document_url(F.col("filing_id"), "https://filings.example/"), F.lit("")).alias("source_url"),
     )
 
 

@@ -24,21 +24,22 @@ def mark_seen(seen: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def alert(rows: DataFrame, most: int = 4) -> DataFrame:
-    """One row, or none without rows: n, names (tickers, or members if no row has a ticker; the first four in order), more, title and body.
+    """One row, or none without rows: n, names (tickers, or members where no row has a ticker; the first four in order), more (how many are not named), and of a single row its facts.
 
-    A single row is told in full; of several their number and names.
+    Names are the first of a sorted, distinct column; only those are gathered.
     """
     told = rows.agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_set("ticker")).alias("tickers"), F.sort_array(F.collect_set("member_name")).alias("members"),
-        F.min(F.struct("id", "member_name", F.lower(C.verb()).alias("verb"), C.symbol().alias("symbol"), C.amount_label().alias("amount"), C.gap_phrase().alias("gap"))).alias("one"),
+        F.count("*").alias("n"), F.count_distinct("ticker").alias("n_tickers"), F.count_distinct("member_name").alias("n_members"),
+        F.min(F.struct("id", "member_name", "tx_type", C.symbol().alias("symbol"), C.amount_label().alias("amount"), C.lag_days().alias("lag_days"))).alias("one"),
     ).filter("n > 0")
-    names = F.when(F.size("tickers") > 0, F.col("tickers")).otherwise(F.col("members"))
-    shown = F.array_join(F.slice(names, 1, most), ", ")
-    more = F.greatest(F.size(names) - most, F.lit(0))
-    single = F.col("n") == 1
-    title = F.when(single, F.concat_ws(" ", "one.member_name", "one.verb", "one.symbol")).otherwise(F.concat(F.col("n").cast("string"), F.lit(" new disclosures on your watchlist")))
-    body = F.when(single, F.concat_ws(" · ", "one.amount", "one.gap")).otherwise(F.concat(shown, F.when(more > 0, F.concat(F.lit(" and "), more.cast("string"), F.lit(" more"))).otherwise(F.lit(""))))
-    return told.select("n", shown.alias("names"), more.cast("long").alias("more"), title.alias("title"), body.alias("body"))
+    first = lambda c: rows.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).limit(most).agg(F.sort_array(F.collect_list(c)).alias(f"first_{c}"))
+    named = told.join(first("ticker"), F.lit(True)).join(first("member_name"), F.lit(True))  # each has one row
+    by_ticker = F.col("n_tickers") > 0
+    single = lambda c: F.when(F.col("n") == 1, F.col(f"one.{c}")).alias(c)
+    return named.select(
+        "n", F.array_join(F.when(by_ticker, F.col("first_ticker")).otherwise(F.col("first_member_name")), ", ").alias("names"), F.greatest(F.when(by_ticker, F.col("n_tickers")).otherwise(F.col("n_members")) - most, F.lit(0)).cast("long").alias("more"),
+        *[single(c) for c in ("member_name", "tx_type", "symbol", "amount", "lag_days")],
+    )
 
 
 def followed(follows: DataFrame, members: DataFrame) -> DataFrame:

@@ -82,7 +82,10 @@ def test_watch(spark):
     seen = spark.createDataFrame([("a",)], "row_id string")
     assert [r.id for r in feed.unseen(t, w, f, seen).collect()] == ["b"]
     assert {r.row_id for r in watch.first_watch(t, seen, False).collect()} == {"a", "b", "c"}
-    assert watch.alert(t.filter("id = 'a'")).first().title == "Name m1 bought AA"
+    one = watch.alert(t.filter("id = 'a'")).first()
+    assert (one.n, one.member_name, one.tx_type, one.symbol) == (1, "Name m1", "buy", "AA") and watch.alert(t).first().member_name is None
+    assert feed.active_facets(types={"buy"}, owners=set(), search="x", late_only=False) == 2
+    assert feed.by_ticker(t, " ").isEmpty() and feed.by_ticker(t, "aa ").count() == t.filter("ticker = 'AA'").count()
     assert watch.alert(t).first().names == "AA, ZZ" and watch.alert(t.limit(0)).isEmpty()
     assert [r.id for r in watch.widget(t, "watchlist", w.limit(0), f.limit(0)).collect()] == ["c", "b", "a"]
 
@@ -114,11 +117,11 @@ def test_sinks(spark, tmp_path):
 def test_labels_of_all_kinds(spark):
     rows = spark.createDataFrame([("range", 100_100, 1_500_000), ("atLeast", 5_000_000_100, 5_000_000_100), ("exact", 1_550, 1_550), ("none", 0, 0), ("unknown", 0, 0), (None, 0, 0)], "amount_kind string, low_cents long, high_cents long")
     got = [tuple(r) for r in rows.select(C.amount_headline(), C.amount_caption(), C.amount_spoken()).collect()]
-    assert got[0] == ("$1,001 – $15,000", "Disclosed range", "Disclosed range, $1,001 to $15,000")
-    assert got[1] == ("Over $50,000,001", "Open-ended bracket", "Open-ended bracket, over $50,000,001")
-    assert got[2] == ("$15.50", "Exact amount", "Exact amount, $15.50")
-    assert got[3] == ("None (or less than $201)", "Below the reporting threshold", "None, or less than $201")
-    assert got[4] == got[5] == ("Amount unreadable", "Not readable on the filing", "Amount could not be read from the filing")
+    assert got[0] == ("$1,001 – $15,000", "two bounds", "from $1,001 up to $15,000")
+    assert got[1] == ("≥ $50,000,001", "lower bound only", "$50,000,001 or more")
+    assert got[2] == ("$15.50", "one figure", "$15.50 exactly")
+    assert got[3] == ("no amount", "under the threshold", "nothing above the threshold")
+    assert got[4] == got[5] == ("?", "no figure read", "an amount that was not read")
 
 
 def test_only_capital_codes_go_from_assets(spark):
