@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PLAIN = {"ł": "l", "đ": "d", "ø": "o", "ı": "i"}
-#: Accented small Latin letters and the letter each decomposes to.
-_FOLDS = {c: x for c in map(chr, range(0xE0, 0x180)) if (x := _PLAIN.get(c) or unicodedata.normalize("NFD", c)[0]) in string.ascii_lowercase and c == c.lower()}
+#: Accented small Latin letters, Vietnamese and Romanian ones included, and the letter each decomposes to.
+_FOLDS = {c: x for c in map(chr, range(0xE0, 0x1F00)) if (x := _PLAIN.get(c) or unicodedata.normalize("NFD", c)[0]) in string.ascii_lowercase and c == c.lower()}
 _FROM, _TO = "".join(_FOLDS), "".join(_FOLDS.values())
 
 
@@ -19,6 +19,11 @@ def folded(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(name, F.lit(""))), _FROM, _TO), "[^a-z ]", ""))
 
 
+def same(a: Column, b: Column) -> Column:
+    """Whether two names are equal but for case and accents, by collation; as a join's condition it is an equality."""
+    return F.collate(a, "UNICODE_CI_AI") == F.collate(b, "UNICODE_CI_AI")
+
+
 def without_suffix(name: Column) -> Column:
     """A folded name without jr, sr and ordinals at its end."""
     return F.trim(F.regexp_replace(name, r"((^| )(jr|sr|ii|iii|iv|v))+$", ""))

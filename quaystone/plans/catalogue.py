@@ -102,9 +102,9 @@ on_trades("filter_options", "SELECT id FROM feed WHERE asset_type = 'OP'")(lambd
 on_trades("filter_late", "SELECT id, lag AS lag_days FROM feed WHERE NOT impossible AND lag > 45")(lambda t: feed.with_dates(feed.select(t, late_only=True)).select("id", F.col("lag_days").cast("long")))
 on_trades("filter_min_bracket", "SELECT id FROM feed WHERE amount_kind = 'atLeast' OR low_cents >= 500000100")(lambda t: feed.select(t, min_bracket="5M").select("id"))
 on_trades("filter_search", "SELECT id FROM feed WHERE contains(lower(member_name || ' ' || coalesce(ticker, '') || ' ' || asset), 'br1')")(lambda t: feed.select(t, search="  BR1 ").select("id"))
-on_trades("by_member", "SELECT id FROM feed WHERE member_id = 'C1'")(lambda t: t.filter("member_id = 'C1'").select("id"))
-on_trades("by_filing", "SELECT id FROM feed WHERE filing_id = '32'")(lambda t: t.filter("filing_id = '32'").select("id"))
-on_trades("by_ticker", "SELECT id FROM feed WHERE symbol = 'BR11ST'")(lambda t: t.filter(F.upper("ticker") == "BR11ST").select("id"))
+on_trades("by_member", "SELECT id FROM feed WHERE member_id = 'C1'")(lambda t: feed.by_member(t, "C1").select("id"))
+on_trades("by_filing", "SELECT id FROM feed WHERE filing_id = '32'")(lambda t: feed.by_filing(t, "32").select("id"))
+on_trades("by_ticker", "SELECT id FROM feed WHERE symbol = 'BR11ST'")(lambda t: feed.by_ticker(t, " br11st").select("id"))
 
 _WATCH = "tickers(ticker) AS (VALUES ('br11ST'), ('BR23PR')), follows(member_id) AS (VALUES ('C1'), ('C5'))"
 
@@ -143,7 +143,7 @@ query(
     best AS (SELECT tier, count(DISTINCT id) AS people, min(id) AS id FROM hits WHERE tier = (SELECT min(tier) FROM hits) GROUP BY tier)
     SELECT h.id, h.name, h.tier FROM best b JOIN hits h ON h.tier = b.tier AND h.id = b.id WHERE people = 1""",
 )(lambda spark, d: feed.name_match(testdata.members(spark, d), _ASKED))
-on_both("member_search", "SELECT id, name FROM member WHERE contains(lower(name), '00001') OR lower(state) = '00001'")(lambda t, m: m.filter(F.lower("name").contains("00001") | (F.lower("state") == "00001")).select("id", "name"))
+on_both("member_search", "SELECT id, name FROM member WHERE contains(lower(name), '00001') OR lower(state) = '00001'")(lambda t, m: feed.member_search(m, " 00001").select("id", "name"))
 
 _FP = "coalesce(ticker, asset) || '|' || coalesce(asset_type, '') || '|' || tx_type || '|' || CAST(tx_date AS VARCHAR) || '|' || low_cents || '|' || high_cents || '|' || owner"
 on_trades("dedupe", f"SELECT id FROM feed QUALIFY row_number() OVER (PARTITION BY member_id, {_FP} ORDER BY id) = 1")(lambda t: feed.deduplicate(t, [F.col("id")]).select("id"))
@@ -173,8 +173,8 @@ on_both(
       CAST(f.tx_date AS VARCHAR) AS transaction_date, CAST(f.disclosed_date AS VARCHAR) AS disclosed_date, f.lag AS disclosure_lag_days, f.impossible AS has_impossible_date, {_LABEL} AS amount_label, f.low_cents AS amount_low_cents, f.high_cents AS amount_high_cents,
       f.is_amendment, coalesce(f.warning, '') AS warnings, f.filing_id, 'https://filings.example/' || f.filing_id || '.pdf' AS source_url FROM feed f LEFT JOIN member m ON m.id = f.member_id""",
 )(feed.csv_projection)
-_GAP = "CASE WHEN impossible THEN 'filing dates are inconsistent' WHEN lag = 0 THEN 'disclosed the same day' WHEN lag = 1 THEN 'disclosed 1 day later' ELSE 'disclosed ' || lag || ' days later' END"
-_CLEAN = r"trim(regexp_replace(regexp_replace(asset, '\s*\([A-Z][A-Z0-9.\-]{0,6}\)\s*\[[A-Z]{2,4}\]\s*$', ''), '\s*\[[A-Z]{2,4}\]\s*$', ''))"
+_GAP = "CASE WHEN impossible THEN 'dates contradict' ELSE 'lag ' || lag || ' d' END"
+_CLEAN = "CASE WHEN asset_type IS NULL THEN asset ELSE substr(asset, 1, length(asset) - length(coalesce(' (' || ticker || ')', '') || ' [' || asset_type || ']')) END"
 on_trades(
     "derived_columns",
     f"""SELECT id, lag AS lag_days, impossible, NOT impossible AND lag > 45 AS late, coalesce(asset_type = 'OP', false) AS is_option, sort_date,
@@ -368,7 +368,7 @@ def _house_report(spark, d):
     "alert_digest",
     f"""WITH {_WATCH}, u AS (SELECT * FROM feed WHERE symbol IN (SELECT upper(ticker) FROM tickers) OR member_id IN (SELECT member_id FROM follows)),
     s AS (SELECT list_sort(list_distinct(list(ticker))) AS names, count(*) AS n FROM u)
-    SELECT n, array_to_string(names[1:4], ', ') AS names, CAST(greatest(len(names) - 4, 0) AS BIGINT) AS more, n || ' new disclosures on your watchlist' AS title, array_to_string(names[1:4], ', ') || CASE WHEN len(names) > 4 THEN ' and ' || (len(names) - 4) || ' more' ELSE '' END AS body FROM s""",
+    SELECT n, array_to_string(names[1:4], ', ') AS names, CAST(greatest(len(names) - 4, 0) AS BIGINT) AS more, NULL AS member_name, NULL AS tx_type, NULL AS symbol, NULL AS amount, NULL AS lag_days FROM s""",
 )
 def _alert(spark, d):
     return watch.alert(feed.relevant(testdata.trades(spark, d), *_watched(spark)))
@@ -377,7 +377,7 @@ def _alert(spark, d):
 on_both("provenance", "SELECT (SELECT string_agg(chamber, ', ' ORDER BY chamber) FROM (SELECT DISTINCT m.chamber FROM feed f JOIN member m ON m.id = f.member_id)) AS chambers, (SELECT string_agg(CAST(y AS VARCHAR), ', ' ORDER BY y) FROM (SELECT DISTINCT year(tx_date) AS y FROM feed)) AS years")(sinks.provenance)
 query("incremental_events", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL", cte=False)(lambda spark, d: refresh.event_counts(testdata.read(spark, d, "events")))
 _LO, _HI, _DAY = _DOLLARS.format("low_cents"), _DOLLARS.format("high_cents"), "strftime({0}, '%b %-d, %Y')"
-_SPOKEN = f"CASE amount_kind WHEN 'range' THEN 'Disclosed range, ' || {_LO} || ' to ' || {_HI} WHEN 'atLeast' THEN 'Open-ended bracket, over ' || {_LO} ELSE 'Amount could not be read from the filing' END"
+_SPOKEN = f"CASE amount_kind WHEN 'range' THEN 'from ' || {_LO} || ' up to ' || {_HI} WHEN 'atLeast' THEN {_LO} || ' or more' ELSE 'an amount that was not read' END"
 _VERB = "CASE tx_type WHEN 'buy' THEN 'Bought' WHEN 'sell' THEN 'Sold' WHEN 'partial_sell' THEN 'Sold (partial)' ELSE 'Exchanged' END"
 _OWNER = "CASE owner WHEN 'self' THEN 'Member' WHEN 'spouse' THEN 'Spouse' WHEN 'joint' THEN 'Joint' ELSE 'Dependent' END"
 
@@ -387,9 +387,9 @@ _OWNER = "CASE owner WHEN 'self' THEN 'Member' WHEN 'spouse' THEN 'Spouse' WHEN
     f"""SELECT f.id, {_VERB} AS verb, CASE tx_type WHEN 'buy' THEN '↑' WHEN 'exchange' THEN '↔' ELSE '↓' END AS arrow, tx_type = 'buy' AS is_acquisition, {_OWNER} AS owner_label,
     CASE m.party WHEN 'democrat' THEN 'D' WHEN 'republican' THEN 'R' WHEN 'independent' THEN 'I' ELSE '' END AS party_letter, CASE m.party WHEN 'democrat' THEN 'Democrat' WHEN 'republican' THEN 'Republican' WHEN 'independent' THEN 'Independent' ELSE 'Party unknown' END AS party_label,
     CASE m.chamber WHEN 'house' THEN 'House' WHEN 'senate' THEN 'Senate' ELSE 'Executive Branch' END AS chamber_tag, CASE m.chamber WHEN 'senate' THEN 'US Senate eFD' WHEN 'executive' THEN 'White House Public Disclosures' ELSE 'US House Clerk' END AS source_name,
-    CASE amount_kind WHEN 'range' THEN {_LO} || ' – ' || {_HI} WHEN 'atLeast' THEN 'Over ' || {_LO} ELSE 'Amount unreadable' END AS headline,
-    CASE amount_kind WHEN 'range' THEN 'Disclosed range' WHEN 'atLeast' THEN 'Open-ended bracket' ELSE 'Not readable on the filing' END AS caption, {_SPOKEN} AS spoken,
-    {_DAY.format('disclosed_date')} AS date_label, 'Traded ' || {_DAY.format('tx_date')} || ' · ' || {_GAP} AS timing FROM feed f LEFT JOIN member m ON m.id = f.member_id""",
+    CASE amount_kind WHEN 'range' THEN {_LO} || ' – ' || {_HI} WHEN 'atLeast' THEN '≥ ' || {_LO} ELSE '?' END AS headline,
+    CASE amount_kind WHEN 'range' THEN 'two bounds' WHEN 'atLeast' THEN 'lower bound only' ELSE 'no figure read' END AS caption, {_SPOKEN} AS spoken,
+    {_DAY.format('disclosed_date')} AS date_label, {_DAY.format('tx_date')} || '; ' || {_GAP} AS timing FROM feed f LEFT JOIN member m ON m.id = f.member_id""",
 )
 def _display(t, m):
     shown = t.drop("chamber").join(m.select(F.col("id").alias("_m"), "party", "chamber"), F.col("member_id") == F.col("_m"), "left")
@@ -402,9 +402,8 @@ def _display(t, m):
 
 on_trades(
     "summaries",
-    f"""SELECT id, concat_ws(', ', member_name, CASE owner WHEN 'self' THEN 'own' ELSE {_OWNER} END || ' account', {_VERB}, {_CLEAN}, 'ticker ' || ticker,
-      CASE asset_type WHEN 'ST' THEN 'Stock' WHEN 'OP' THEN 'Option' WHEN 'MF' THEN 'Mutual fund' WHEN 'EF' THEN 'Exchange-traded fund' WHEN 'GS' THEN 'Government security' END, {_SPOKEN}, 'traded ' || {_DAY.format('tx_date')},
-      CASE WHEN impossible THEN 'the filing''s dates are inconsistent and are shown as filed' ELSE {_GAP} END) AS summary FROM feed""",
+    f"""SELECT id, concat_ws('; ', member_name || ' / ' || {_OWNER}, {_VERB} || ': ' || {_CLEAN}, ticker,
+      CASE asset_type WHEN 'ST' THEN 'Stock' WHEN 'OP' THEN 'Option' WHEN 'MF' THEN 'Mutual fund' WHEN 'EF' THEN 'Exchange-traded fund' WHEN 'GS' THEN 'Government security' END, {_SPOKEN}, {_DAY.format('tx_date')} || '; ' || {_GAP}) AS summary FROM feed""",
 )(lambda t: t.select("id", C.summary().alias("summary")))
 query("html_rows", "SELECT page_id, row, cells[row + 1] AS cell FROM (SELECT page_id, cells, unnest(range(len(cells))) AS row FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '(?s)<[^>]*>', '', 'g'))) AS cells FROM pages))", cte=False)(
     lambda spark, d: testdata.read(spark, d, "pages").select("page_id", F.posexplode(F.transform(F.regexp_extract_all("html", F.lit("(?s)<li[^>]*>(.*?)</li>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "(?s)<[^>]*>", "")))).alias("row", "cell")).select("page_id", F.col("row").cast("long").alias("row"), "cell")
@@ -456,10 +455,8 @@ query("index_year_window", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT)
 
 @query(
     "refresh_summaries",
-    """SELECT event_id, CASE WHEN a = 0 AND e % 13 = 1 THEN 'The Clerk returned an unexpected response; showing the last data downloaded.' WHEN a = 0 AND e % 11 = 2 AND (e % 5 = 1 OR e % 17 = 0) THEN 'Couldn''t reach the House Clerk. Showing the filings already downloaded.'
-      WHEN e % 4 = 0 THEN 'No new filings since the last check.' WHEN a = 0 AND e % 3 > e % 2 THEN 'Checked ' || e % 3 || ' new filing' || CASE WHEN e % 3 = 1 THEN '' ELSE 's' END || '; nothing to add.'
-      WHEN a = 0 THEN e % 4 || ' new filing' || CASE WHEN e % 4 = 1 THEN '' ELSE 's' END || ', none readable.'
-      ELSE 'Added ' || a || ' transaction' || CASE WHEN a = 1 THEN '' ELSE 's' END || ' from ' || e % 3 || ' filing' || CASE WHEN e % 3 = 1 THEN '' ELSE 's' END || '.' || CASE WHEN e % 2 > 0 THEN ' ' || e % 2 || ' were scanned paper and yielded nothing.' ELSE '' END || CASE WHEN e % 7 = 0 THEN ' More remain; check again to continue.' ELSE '' END END AS told
+    """SELECT event_id, a AS added, CASE WHEN a > 0 AND e % 4 > 0 THEN 'added' WHEN a > 0 THEN 'nothing_new' WHEN e % 13 = 1 THEN 'bad_answer' WHEN e % 11 = 2 AND (e % 5 = 1 OR e % 17 = 0) THEN 'unreachable'
+      WHEN e % 4 = 0 THEN 'nothing_new' WHEN e % 3 > e % 2 THEN 'nothing_added' ELSE 'unreadable' END AS outcome
       FROM (SELECT event_id, event_id AS e, greatest(event_id % 6 - 2, 0) AS a FROM events)""",
     cte=False,
 )
@@ -469,7 +466,7 @@ def _refreshed(spark, d):
         "event_id", F.greatest(e % 6 - 2, F.lit(0)).alias("added"), (e % 13 == 1).alias("unexpected"), (e % 11 != 2).alias("reached"), (e % 5 == 1).cast("int").alias("failed"), (e % 17 != 0).cast("int").alias("indexed"),
         (e % 4).alias("new_filings"), (e % 3).alias("downloaded"), (e % 2).alias("scanned"), (e % 7 == 0).alias("more_remaining"),
     )
-    return runs.select("event_id", refresh.summary().alias("told"))
+    return runs.select("event_id", "added", refresh.outcome().alias("outcome"))
 
 
 @query(
@@ -643,3 +640,6 @@ def _ocr(spark, d):
     f = testdata.read(spark, d, "customer").select("c_custkey", page.alias("page")).select("*", n.alias("n")).select("*", i.alias("i"))
     fragments = f.select(F.col("c_custkey").alias("filing_id"), F.col("page").cast("long").alias("page"), (F.col("i") * 0.25).cast("double").alias("min_x"), (0.9 - F.col("n") * 0.05 - F.col("i") * 0.002).cast("double").alias("mid_y"), F.concat(F.lit("w"), F.col("n").cast("string"), F.char(F.lit(97) + F.col("i"))).alias("text"))
     return indexes.ocr_lines(fragments).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+from quaystone.plans import stateful  # noqa: E402, F401  (registers its queries)

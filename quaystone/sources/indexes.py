@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,23 @@ def senate_index(pages: DataFrame) -> DataFrame:
     ).filter(F.col("filing_id") != "")
 
 
+PAGE = 100  #: rows of a full search page
+
+
+def search_pages(pages: DataFrame, size: int = PAGE) -> DataFrame:
+    """Landed pages (offset, value: JSON) up to the first short or empty one, in which a search ends; what lies beyond is of another search.
+
+    A page that is missing before that, or a search without an end, fails the query: an index with a hole must not pass for a whole one.
+    """
+    counted = pages.withColumn("_n", F.coalesce(F.size(F.from_json("value", _SEARCH)["data"]), F.lit(-1))).withColumn("_n", F.greatest("_n", F.lit(0)))
+    end = counted.filter(F.col("_n") < size).agg(F.min("offset").alias("_end"))
+    used = counted.join(F.broadcast(end), F.col("_end").isNull() | (F.col("offset") <= F.col("_end")))  # with one row
+    held = used.agg(F.count_distinct("offset").alias("_held"), F.max("_end").alias("_e"))
+    whole = F.coalesce(F.col("_held") * size == F.col("_e") + size, F.lit(False))
+    sure = F.when(whole, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("search pages with a gap or without an end: "), F.col("_held").cast("string"), F.lit(" pages up to offset "), F.coalesce(F.col("_e").cast("string"), F.lit("?")))))
+    return used.join(F.broadcast(held), F.lit(True)).filter(sure).select(*pages.columns)
+
+
 def strip_html(x: Column) -> Column:
     """Text of a cell: tags gone, the usual references decoded, white space folded."""
     text = F.regexp_replace(x, "(?s)<[^>]*>", " ")
@@ -172,33 +191,60 @@ def newest_feed(feeds: DataFrame, version: int = 2) -> DataFrame:
     return feeds.filter(F.col("schemaVersion") == version).orderBy(F.desc("generatedAt")).limit(1)
 
 
-def first_available(spark: SparkSession, paths: list[str], reader=None) -> DataFrame | None:
-    """The first of several tiers that can be read: fresh cache, primary, mirror, stale copy."""
+FRESH_DAYS = 7
+
+
+def last_modified(spark: SparkSession, path: str) -> dt.datetime | None:
+    """When the newest file of a path was written; None where there is no file, or only empty ones."""
     from pyspark.errors import AnalysisException
 
-    for path in paths:
-        try:
-            return (reader or (lambda p: spark.read.text(p, wholetext=True)))(path)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    return None
+    try:
+        files = spark.read.format("binaryFile").load(path)
+        return files.filter(F.col("length") > 0).agg(F.max("_metadata.file_modification_time").alias("t")).first().t
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def tiered(spark: SparkSession, cache: str, primary: str, mirror: str, now: dt.datetime, days: int = FRESH_DAYS, bundled: str | None = None) -> tuple[str, str] | None:
+    """(tier, path) of a reference file: the cache while it is fresh, else primary, mirror, the stale cache, what is bundled; None if there is none.
+
+    Freshness is told by when the files were written, of which only the time comes to the driver.
+    """
+    cached = last_modified(spark, cache)
+    if cached is not None and now - cached <= dt.timedelta(days=days):
+        return "fresh", cache
+    for tier, path in (("primary", primary), ("mirror", mirror)):
+        if last_modified(spark, path) is not None:
+            return tier, path
+    if cached is not None:
+        return "stale", cache
+    return ("bundled", bundled) if bundled is not None and last_modified(spark, bundled) is not None else None
 
 
 def ocr_lines(fragments: DataFrame, tolerance: float = 0.011) -> DataFrame:
     """Lines of pages from text fragments (filing_id, page, min_x, mid_y, text): bands from the top, fragments from the left.
 
-    A band begins where a fragment is `tolerance` or more below the band's first; that is a running
-    decision, so it folds over one page's fragments, an array of bounded size.
+    A band begins where a fragment is `tolerance` or more below the band's first: a running decision over a page's sorted
+    fragments, which pass by one after another and are not held.
     """
-    page = fragments.groupBy("filing_id", "page").agg(F.array_sort(F.collect_list(F.struct((-F.col("mid_y")).alias("y"), F.col("min_x").alias("x"), "text"))).alias("f"))
-    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("n"), F.array().cast("array<struct<band:int,x:double,text:string>>").alias("out"))
-
-    def step(acc, f):
-        new = acc["first"].isNull() | (f["y"] - acc["first"] >= tolerance)
-        n = F.when(new, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(F.when(new, f["y"]).otherwise(acc["first"]).alias("first"), n.alias("n"), F.concat(acc["out"], F.array(F.struct(n.alias("band"), f["x"].alias("x"), f["text"].alias("text")))).alias("out"))
 
-    banded = page.select("filing_id", "page", F.explode(F.aggregate("f", start, step)["out"]).alias("r")).select("filing_id", "page", "r.*")
-    lines = banded.groupBy("filing_id", "page", "band").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("w"))
-    return lines.select("filing_id", "page", F.col("band").alias("line_no"), F.array_join(F.transform("w", lambda x: x["text"]), "  ").alias("line"))
+    def banded(batches):
+        page = first = None
+        band = -1
+        for batch in batches:
+            out = []
+            for key, y in zip(zip(batch["filing_id"], batch["page"], strict=True), batch["mid_y"], strict=True):
+                if key != page:
+                    page, first, band = key, None, -1
+                if first is None or first - y >= tolerance:
+                    first, band = y, band + 1
+                out.append(band)
+            yield batch.assign(band=out)
+
+    by = ["filing_id", "page"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fragments.select(*by, "min_x", "mid_y", "text").schema)
+    ordered = fragments.select(*by, "min_x", "mid_y", "text").filter("mid_y is not null").repartition(*by).sortWithinPartitions(*by, F.desc("mid_y"), "min_x", "text")
+    lines = ordered.mapInPandas(banded, f"{kinds}, band int").groupBy(*by, "band").agg(F.array_sort(F.collect_list(F.struct(F.col("min_x").alias("x"), "text"))).alias("w"))
+    return lines.select(*by, F.col("band").alias("line_no"), F.array_join(F.transform("w", lambda x: x["text"]), "  ").alias("line"))
