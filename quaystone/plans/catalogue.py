@@ -642,4 +642,4 @@ def _ocr(spark, d):
     return indexes.ocr_lines(fragments).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-from quaystone.plans import stateful  # noqa: E402, F401  (registers its queries)
+from quaystone.plans import forms, stateful  # noqa: E402, F401  (they register their queries)
