@@ -13,7 +13,7 @@ from quaystone.sources import reports, testdata
 _ROWS = """WITH r AS (SELECT l_orderkey, l_partkey AS p, CAST(o_orderdate AS DATE) AS tx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
     SELECT CAST(l_orderkey AS VARCHAR) AS filing_id, nth - 1 AS position, {asset} AS asset, CASE p % 3 WHEN 0 THEN 'buy' WHEN 1 THEN 'sell' ELSE 'exchange' END AS tx_type, tx AS tx_date, tx + 3 AS disclosed_date,
       CASE WHEN p % 7 = 0 THEN 'atLeast' WHEN p % 11 = 0 THEN 'unknown' ELSE 'range' END AS amount_kind, CAST(CASE WHEN p % 7 = 0 OR p % 11 > 0 THEN p + 1000 ELSE 0 END AS BIGINT) * 100 AS low_cents, CAST(CASE WHEN p % 7 = 0 THEN p + 1000 WHEN p % 11 > 0 THEN p + 6000 ELSE 0 END AS BIGINT) * 100 AS high_cents FROM r"""
-_SHOWN = ["filing_id", F.col("position").cast("long").alias("position"), "asset", "tx_type", "tx_date", "disclosed_date", "amount_kind", "low_cents", "high_cents"]
+_SHOWN = ["filing_id", "cast(position as bigint) as position", "asset", "tx_type", "tx_date", "disclosed_date", "amount_kind", "low_cents", "high_cents"]
 
 
 def _texts(spark: SparkSession, d: str, head, row, filed: bool) -> DataFrame:
@@ -44,7 +44,7 @@ def _scanned(spark, d):
         return F.concat(i.cast("string"), F.lit(" Firm of "), p.cast("string"), F.when(p % 2 == 0, "\nand Sons ").otherwise(" "), _word(p), F.lit(" "), date, F.lit(" No "), tail)
 
     head = F.concat(F.lit("OGE Received: "), F.date_format(F.date_add("tx", 3), "M/d/yyyy"), F.lit("\nFiler's Information\nPage 1 of 3"))
-    return reports.scan_rows(_texts(spark, d, head, row, False)).select(*_SHOWN)
+    return reports.scan_rows(_texts(spark, d, head, row, False)).selectExpr(*_SHOWN)
 
 
 @query("native_form", _ROWS.format(asset="'Firm of ' || p"), cte=False)
@@ -56,7 +56,7 @@ def _native(spark, d):
         tail = F.when(p % 7 == 0, F.concat(_money(p + 1000, "$", ","), F.lit(" +"))).when(p % 11 == 0, "smudge").otherwise(wrapped)
         return F.concat(i.cast("string"), F.lit(" Firm of  "), p.cast("string"), F.lit(" "), _word(p), F.lit(" "), F.date_format("tx", "M/d/yyyy"), F.lit(" Yes "), tail, F.lit("\n0 Again  "), _word(p), F.lit(" 1/1/1999 No $5"))
 
-    return reports.native_rows(_texts(spark, d, F.lit("Periodic report"), row, True)).select(*_SHOWN)
+    return reports.native_rows(_texts(spark, d, F.lit("Periodic report"), row, True)).selectExpr(*_SHOWN)
 
 
 @query(
