@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from quaystone.plans.catalogue import ORACLES, QUERIES
+from quaystone.sources import testdata
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,6 +19,27 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared(spark, tmp_path_factory):
+    """The trade and member tables, joined once for all queries; `test_trades` holds them against the joins."""
+    path = tmp_path_factory.mktemp("trades")
+    patch, made = pytest.MonkeyPatch(), {"trades": testdata.trades, "members": testdata.members}
+    for name, make in made.items():
+        make(spark, SF).coalesce(1).write.parquet(f"{path}/{name}")
+        patch.setattr(testdata, name, lambda spark, d, name=name: spark.read.parquet(f"{path}/{name}"))
+    yield made
+    patch.undo()
+
+
+def test_trades(spark, shared, duck):
+    for name, make in shared.items():
+        cols = [c for c in make(spark, SF).columns if c != "committees"]
+        made = sorted(repr(tuple(r[c] for c in cols)) for r in make(spark, SF).collect())
+        assert made == sorted(repr(tuple(r[c] for c in cols)) for r in getattr(testdata, name)(spark, SF).collect())
+        view = {"trades": "feed", "members": "member"}[name]
+        assert made == sorted(repr(r) for r in duck.execute(f"WITH {testdata.CTE.strip()} SELECT {', '.join(cols)} FROM {view}").fetchall())
+
+
 def _plain(v):
     return round(v, 9) if isinstance(v, float) else v
 
