@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import cut, growing
 
 SALTS = 32  #: parts in which a node's neighbours are dealt
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges with m, the least of their a: a node's edges are dealt over `SALTS` parts, and its least is copied to each."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, ["a", "salt"]).drop("salt")
+def dealt(rows: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with the one row that few has for their key: rows of a key are dealt over `SALTS` parts by another column, and the row of few is copied to each."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(growing(copies), [key, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = dealt(both.filter("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = _with_least(large, low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a > b").distinct()
+        small = dealt(large, low, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a > b").distinct()
         now = cut(small, "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("b")).first()
         if seen == mark:

@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .graph import components
-from .store import bounded, cut, settings, table
+from .store import bounded, cut, growing, settings, table
 
 SHINGLE = 5
 PERMUTATIONS = 72
@@ -52,9 +52,11 @@ ROWS = 4
 SMALL = 24
 AGREE = 0.55  #: of a signature's values
 HOT, HOT_LEAST = 1 / 4096, 1000
+OFTEN = 1000
 NAMES = 2147483647  #: a class is named by its smallest doc_id and its set's hash modulo this
-#: Spark's own filter ahead of a join, of 1 MB whatever the input: texts of most documents without a candidate stay where they are.
+#: Spark's own filter ahead of a join by sort and merge, of 1 MB whatever the input: texts of most documents without a candidate stay where they are.
 BLOOM = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",  # what is broadcast is measured
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1pb",
@@ -160,7 +162,7 @@ def buckets(sig: DataFrame, share: float = HOT, least: int = HOT_LEAST) -> DataF
     # One exchange for both uses. Plain columns, not structs: this is the longest table there is.
     cold = rowed.join(F.broadcast(hot), "key", "left_anti").repartition("key")
     sizes = cold.groupBy("key").agg(first.alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    members = cold.join(sizes, "key")
+    members = cold.join(growing(sizes), "key")
     if not hot.isEmpty():
         # Hubs and sizes of hot keys come from partial minima and counts, and their members stay where they are.
         listed = filled.select(F.col("doc_id").alias("d"), _hash(), "n", F.explode("bands").alias("key")).join(F.broadcast(hot), "key")
@@ -224,10 +226,10 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(pairs: DataFrame, texts: DataFrame, node: str, least: int) -> DataFrame:
     """The pairs (a, b) that are linked, as a written table."""
-    side = lambda c: (texts.select(F.col("id").alias(x), F.col(c).alias(f"{c}_{x}")) for x in "ab")
+    side = lambda c: (growing(texts.select(F.col("id").alias(x), F.col(c).alias(f"{c}_{x}"))) for x in "ab")
     a, b = side("sketch")
     rated = cut(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreement, f"a {node}, b {node}, agree int"), "rated")
-    a, b = side("text")
+    a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     with settings(pairs.sparkSession, BLOOM):
         joined = rated.filter(F.col("agree") >= least).select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
         return cut(joined.mapInArrow(_overlaps, f"a {node}, b {node}"), "links")
@@ -268,7 +270,7 @@ def _often(share: float):
 
 def _by_prefix(found: DataFrame, texts: DataFrame, node: str) -> DataFrame:
     """Candidate pairs among (id, comp) by prefixes of their sets."""
-    held = cut(found.join(texts, "id").select("id", "text", "comp"), "prefixed")
+    held = cut(found.join(growing(texts), "id").select("id", "text", "comp"), "prefixed")
     total = held.count()
     counted = held.select("id", "text").mapInArrow(_often(FREQUENT), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     # Any order of shingles is right; at most some tens of thousands, the most frequent, are put last.
@@ -295,7 +297,7 @@ def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, s
     wanted = cut(members.select("id").distinct().select("id.d", F.lit(1).alias("one")), "wanted")
     with settings(docs.sparkSession, BLOOM):
         # Rows of one d and text are one; the exchange of the join serves for that too.
-        texts = docs.select(F.col("doc_id").alias("d"), "text").join(wanted.filter("one > 0").select("d"), "d", "left_semi").dropDuplicates(["d", "text"]).sortWithinPartitions("d")
+        texts = docs.select(F.col("doc_id").alias("d"), "text").join(bounded(wanted.filter("one > 0").select("d"), F.lit(48)), "d", "left_semi").dropDuplicates(["d", "text"]).sortWithinPartitions("d")
         shape = pa.struct([("d", _arrow(kind)), ("s", pa.int32())])
         texts = cut(texts.mapInArrow(_sketches(permutations, shape), f"id {node}, n bigint, sketch binary, text string"), "candidates")
     confirm = lambda pairs: _confirm(pairs, texts, node, int(agree * 2 * permutations))
@@ -308,9 +310,9 @@ def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, s
     def mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
         """Rows of buckets with more than one component left."""
         c = comps.withColumnRenamed("node", "id")
-        placed = cut(rows.select(*members.columns).join(c, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
+        placed = cut(rows.select(*members.columns).join(growing(c), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
         several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("hub_comp")).filter("lo <> hi")
-        return cut(placed.join(cut(several.select("key", "hub_comp"), "several"), "key"), "open")
+        return cut(placed.join(growing(cut(several.select("key", "hub_comp"), "several")), "key"), "open")
 
     open_ = mixed(members, comps)
     apart = open_.filter((F.col("comp") != F.col("hub_comp")) & fits(F.col("n"), F.col("hub_n")))
@@ -340,11 +342,16 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 def _judged(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n, set_a, set_b, component of every row."""
     sig, comps = links(docs, **options)
-    classes = sig.filter("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("d")).withColumn("s", _hash()).withColumn("id", F.struct("d", "s"))
-    placed = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.col("n").alias("m"), F.coalesce("component", "id")["d"].alias("component"))
-    placed = cut(placed, "classes")  # so that the join is not tied to the grouping's partitions, and a class of a third of all rows can be split
+    classes = sig.filter("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("d"), F.count("*").alias("rows")).withColumn("s", _hash()).withColumn("id", F.struct("d", "s"))
+    placed = classes.join(growing(comps.withColumnRenamed("node", "id")), "id", "left").select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.col("n").alias("m"), "rows", F.coalesce("component", "id")["d"].alias("component"))
+    placed = cut(placed, "classes")
     same = (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n") == F.col("m"))
-    return sig.select("doc_id", "n", "set_a", "set_b").join(placed, same, "left").select("doc_id", "n", "set_a", "set_b", F.coalesce("component", "doc_id").alias("component"))
+    rows, shown = sig.select("doc_id", "n", "set_a", "set_b"), ["doc_id", "n", "set_a", "set_b"]
+    # Fewer than OFTEN classes hold more than an OFTEN-th of the rows each: they are no hot keys of an exchange.
+    often = F.col("rows") > max(OFTEN, sig.count() // OFTEN)
+    first = rows.join(F.broadcast(placed.filter(often).select("sa", "sb", "m", F.col("component").alias("often"))), same, "left").withColumn("found", F.col("sa").isNotNull()).drop("sa", "sb", "m")
+    rest = first.filter("not found").select(*shown).join(growing(placed.filter(~often).drop("rows")), same, "left")
+    return first.filter("found").select(*shown, F.col("often").alias("component")).unionByName(rest.select(*shown, F.coalesce("component", "doc_id").alias("component")))
 
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -375,14 +382,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     by_id = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("stay"))
     touched = cut(by_id.filter("stay = 0 or rows > 1").select(F.col("doc_id").alias("_id"), (F.col("stay") > 0).alias("_again")), "touched")
     row = docs.select(F.struct(*docs.columns).alias("row"))
-    marked = row.join(bounded(touched, F.lit(32)), F.col("row.doc_id").eqNullSafe(F.col("_id")), "left")
+    marked = row.join(bounded(touched, F.lit(96)), F.col("row.doc_id").eqNullSafe(F.col("_id")), "left")
     out = marked.filter(F.col("_again").isNull()).select("row.*")
     if touched.filter("_again").isEmpty():
         return out
     again = marked.filter("_again").select("row").mapInArrow(_with_sets(docs.columns), T.StructType([T.StructField("row", row.schema["row"].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "set_a", "set_b"))]))
     staying = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"), F.col("set_a").alias("_a"), F.col("set_b").alias("_b")).distinct()
     same = F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("n") == F.col("_n")) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b"))
-    once = again.join(staying, same, "left_semi").groupBy(F.col("row.doc_id"), "n", "set_a", "set_b").agg(F.min_by("row", F.struct("row.text")).alias("row"))
+    once = again.join(growing(staying), same, "left_semi").groupBy(F.col("row.doc_id"), "n", "set_a", "set_b").agg(F.min_by("row", F.struct("row.text")).alias("row"))
     return out.unionByName(once.select("row.*"))
 
 

@@ -24,9 +24,17 @@ def named(docs: DataFrame, names: dict[str, str]) -> DataFrame:
     return docs.select(*[F.col(now).alias(c) for c, now in names.items()])
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A table that grows with the data, for a join by sort and merge, which adaptive execution can split.
+
+    Left to itself Spark takes a written table for as small as its compressed file, and broadcasts eight times that.
+    """
+    return df.hint("merge")
+
+
 def bounded(df: DataFrame, bytes_a_row: Column) -> DataFrame:
-    """A written table, to be broadcast if its measured size allows it; adaptive execution can split the join otherwise."""
-    return F.broadcast(df) if (df.agg(F.sum(bytes_a_row.cast("long")).alias("n")).first().n or 0) <= BROADCAST_BYTES else df
+    """A written table, to be broadcast if its measured size allows it."""
+    return F.broadcast(df) if (df.agg(F.sum(bytes_a_row.cast("long")).alias("n")).first().n or 0) <= BROADCAST_BYTES else growing(df)
 
 
 @contextmanager
