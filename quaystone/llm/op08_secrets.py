@@ -40,6 +40,7 @@ SHORTEST = 12
 TREES = 40
 DEPTH = 9
 BESIDE = 48  #: bytes looked at on either side
+CHUNK = 1 << 20  #: bytes of text that a task looks at at once (about 100 bytes of arrays for each)
 MARK = "<secret>"
 #: Words beside a candidate, or in front of its "=", that speak for a secret.
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "passphrase")
@@ -380,7 +381,7 @@ def scan(docs: DataFrame, findings: list | None = None, threshold: float = 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.chunks(batch, "text"):
+            for part in W.chunks(batch, "text", CHUNK):
                 of, found = _findings(part.column(1), *model.value, threshold)
                 ids, rows, last = part.column(0), [], None
                 for i, (s, e, p) in zip(of.tolist(), found, strict=True):
@@ -403,7 +404,7 @@ def redact(docs: DataFrame, findings: list | None = None, threshold: float = 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.chunks(batch, batch.schema.names[column]):
+            for part in W.chunks(batch, batch.schema.names[column], CHUNK):
                 of, found = _findings(part.column(column), *model.value, threshold)
                 hits: dict[int, list] = {}
                 for i, f in zip(of.tolist(), found, strict=True):
