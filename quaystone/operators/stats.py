@@ -78,6 +78,11 @@ def warning_histogram(trades: DataFrame) -> DataFrame:
     return trades.filter("warning is not null").select(F.explode(F.split("warning", "; ")).alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
 
 
+def warning_counts(rows: DataFrame) -> DataFrame:
+    """warning, n of rows with an array of warnings: a row with several counts for each."""
+    return rows.select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+
+
 def party_tally(members: DataFrame) -> DataFrame:
     return members.groupBy("party").agg(F.count("*").alias("n"))
 

@@ -48,6 +48,12 @@ class Feed:
     status: DataFrame
 
 
+def _noted(status: DataFrame, told: DataFrame) -> DataFrame:
+    """status with warnings, sorted: what was left out of each filing. told: filing_id, warning."""
+    by_filing = told.groupBy("filing_id").agg(F.sort_array(F.collect_set("warning")).alias("warnings"))
+    return status.join(by_filing, "filing_id", "left").select("filing_id", "source", "status", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))
+
+
 def _sourced(rows: DataFrame, source: str) -> DataFrame:
     return rows.select(*TRADE, F.lit(source).alias("source"))
 
@@ -60,11 +66,11 @@ def house(index: DataFrame, texts: DataFrame, crosswalk: DataFrame, known: DataF
     member = identity.member_ids(wanted, known, identity.resolve(wanted, crosswalk))
     filings = wanted.join(member, "filing_id").join(texts, "filing_id", "left").withColumn("form", F.lit("house")).withColumn("recovered_by_ocr", F.coalesce("recovered_by_ocr", F.lit(False)))
     rows = cut(reports.parse_reports(filings, ("house",)), "house-rows")  # read twice below, parsed once
-    return Feed(_sourced(rows, "house"), reports.filing_status(filings, rows))
+    return Feed(_sourced(rows, "house"), _noted(reports.filing_status(filings, rows), reports.report_warnings(filings)))
 
 
 def senate(index: DataFrame, pages: DataFrame, members: DataFrame) -> Feed:
-    """Electronic reports; paper ones have no text. members: filing_id, member_id."""
+    """Electronic reports; paper ones have no text. members: filing_id, member_id. Rows without a date are left out, and the filing's status says so."""
     electronic = index.filter("kind = 'ptr'")
     rows = indexes.senate_report(pages.join(electronic.select("filing_id", "filed_on", "is_amendment"), "filing_id"))
     a = amounts.parse(F.col("amount_text"))
@@ -74,7 +80,8 @@ def senate(index: DataFrame, pages: DataFrame, members: DataFrame) -> Feed:
     )
     n = rows.groupBy("filing_id").agg(F.count("*").alias("n"))
     status = index.join(n, "filing_id", "left").select("filing_id", F.lit("senate").alias("source"), F.when(F.col("kind") == "paper", "without_text").when(F.col("n") > 0, "parsed").otherwise("no_rows").alias("status"))
-    return Feed(_sourced(told, "senate"), status)
+    undated = rows.filter("tx_date is null").groupBy("filing_id").agg(F.count("*").alias("n"))
+    return Feed(_sourced(told, "senate"), _noted(status, undated.select("filing_id", F.concat(F.col("n").cast("string"), F.lit(" rows without a date left out")).alias("warning"))))
 
 
 def executive(filings: DataFrame, source: str) -> Feed:
@@ -88,7 +95,7 @@ def executive(filings: DataFrame, source: str) -> Feed:
     rows = cut(rows, "executive-rows")
     done = reports.filing_status(readable, rows).withColumn("source", F.lit(source))
     left = filings.join(readable.select("filing_id"), "filing_id", "left_anti").select("filing_id", F.lit(source).alias("source"), F.when(F.col("is_amendment"), "without_text").otherwise("failed").alias("status"))
-    return Feed(_sourced(rows, source), done.unionByName(left))
+    return Feed(_sourced(rows, source), _noted(done.unionByName(left), reports.report_warnings(readable)))
 
 
 def assemble(*sources: Feed) -> Feed:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaystone.operators import identity
+from quaystone.functions import columns as C
+from quaystone.operators import identity, stats
 from quaystone.plans import build
-from quaystone.plans.catalogue import _ALIKE, _EXACT, _FP, _ONE, _PEOPLE, _people, query
+from quaystone.plans.catalogue import _ALIKE, _EXACT, _FP, _ONE, _PEOPLE, _people, on_trades, query
 from quaystone.sources import reports, testdata
 
 _ROWS = """WITH r AS (SELECT l_orderkey, l_partkey AS p, CAST(o_orderdate AS DATE) AS tx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -71,11 +72,18 @@ def _assembled(spark, d):
     feeds = []
     for source, i in reversed(build.PRIORITY.items()):
         own = t.filter(F.col("filing_id").cast("bigint") % 4 == i)
-        status = own.select("filing_id", F.lit(source).alias("source"), F.lit("parsed").alias("status")).distinct()
+        status = own.select("filing_id", F.lit(source).alias("source"), F.lit("parsed").alias("status"), F.array().cast("array<string>").alias("warnings")).distinct()
         feeds.append(build.Feed(own.select(*build.TRADE, F.lit(source).alias("source")), status))
     return build.assemble(*feeds).trades.select("source", "filing_id", F.col("position").cast("long").alias("position"))
 
 
+on_trades(
+    "warning_counts",
+    """WITH w AS (SELECT warning FROM feed UNION ALL SELECT 'dates contradict' FROM feed WHERE impossible UNION ALL SELECT 'amount not read' FROM feed WHERE amount_kind = 'unknown')
+    SELECT warning, count(*) AS n FROM w WHERE warning IS NOT NULL GROUP BY warning""",
+)(lambda t: stats.warning_counts(t.withColumn("warnings", F.filter(F.array("warning", F.when(C.impossible(), "dates contradict"), F.when(F.col("amount_kind") == "unknown", "amount not read")), lambda x: x.isNotNull()))))
+
+
 @query(
     "member_ids_resolved",
     f"""WITH {_PEOPLE}, c AS (SELECT filing_id, {_ONE.format(_EXACT)} AS t1, count(DISTINCT bioguide) FILTER (WHERE {_EXACT}) AS exact, {_ONE.format('true')} AS t2, {_ONE.format(_ALIKE)} AS t3
