@@ -62,6 +62,16 @@ def by_member(trades: DataFrame, member_id: str) -> DataFrame:
     return trades.filter(F.col("member_id") == member_id)
 
 
+def member_feed(trades: DataFrame, member_id: str, limit: int = 300) -> DataFrame:
+    """A member's rows in the feed's order, with their rank."""
+    return ranked(with_dates(by_member(trades, member_id)), [F.desc("sort_date"), F.desc("id")], limit)
+
+
+def members_in_order(members: DataFrame, limit: int = 300) -> DataFrame:
+    """Members by name, with their rank; as many as are shown."""
+    return ranked(members, [F.col("name"), F.col("id")], limit)
+
+
 def by_filing(trades: DataFrame, filing_id: str) -> DataFrame:
     return trades.filter(F.col("filing_id") == filing_id)
 

@@ -106,6 +106,9 @@ on_trades("by_member", "SELECT id FROM feed WHERE member_id = 'C1'")(lambda t: f
 on_trades("by_filing", "SELECT id FROM feed WHERE filing_id = '32'")(lambda t: feed.by_filing(t, "32").select("id"))
 on_trades("by_ticker", "SELECT id FROM feed WHERE symbol = 'BR11ST'")(lambda t: feed.by_ticker(t, " br11st").select("id"))
 
+on_trades("member_feed", "SELECT id, sort_date, row_number() OVER (ORDER BY sort_date DESC, id DESC) AS rank FROM feed WHERE member_id = 'C5' QUALIFY rank <= 300")(lambda t: feed.member_feed(t, "C5").select("id", "sort_date", "rank"))
+query("members_in_order", "SELECT id, name, row_number() OVER (ORDER BY name, id) AS rank FROM member QUALIFY rank <= 300")(lambda spark, d: feed.members_in_order(testdata.members(spark, d)).select("id", "name", "rank"))
+
 _WATCH = "tickers(ticker) AS (VALUES ('br11ST'), ('BR23PR')), follows(member_id) AS (VALUES ('C1'), ('C5'))"
 
 
