@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, growing
+from .store import FEW, cut, growing
 
 SALTS = 32  #: parts in which a node's neighbours are dealt
 
@@ -25,13 +25,16 @@ def components(edges: DataFrame) -> DataFrame:
     are reduced to minima and joined back in parts, so that a hub with many neighbours is never one row or one task.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
+    # No round has more edges than the one before: few of them are joined by a broadcast, many in parts.
+    few = now.count() <= FEW
+    with_least = (lambda rows, least: rows.join(F.broadcast(least), "a")) if few else (lambda rows, least: dealt(rows, least, "a", "b"))
     mark = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = dealt(both.filter("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = dealt(large, low, "a", "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a > b").distinct()
+        small = with_least(large, low).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a > b").distinct()
         now = cut(small, "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("b")).first()
         if seen == mark:

@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from . import words as W
 from .graph import components
-from .store import bounded, cut, growing, settings, table
+from .store import FEW, bounded, counted, cut, growing, settings, table
 
 SHINGLE = 5
 PERMUTATIONS = 72
@@ -226,12 +226,14 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(pairs: DataFrame, texts: DataFrame, node: str, least: int) -> DataFrame:
     """The pairs (a, b) that are linked, as a written table."""
-    side = lambda c: (growing(texts.select(F.col("id").alias(x), F.col(c).alias(f"{c}_{x}"))) for x in "ab")
-    a, b = side("sketch")
+    hint = counted if texts.count() <= FEW else growing
+    a, b = (hint(texts.select(F.col("id").alias(x), F.col("sketch").alias(f"sketch_{x}"))) for x in "ab")
     rated = cut(pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreement, f"a {node}, b {node}, agree int"), "rated")
     a, b = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    near = rated.filter(F.col("agree") >= least).select("a", "b")
+    near = F.broadcast(near) if near.count() <= FEW else near
     with settings(pairs.sparkSession, BLOOM):
-        joined = rated.filter(F.col("agree") >= least).select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+        joined = near.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
         return cut(joined.mapInArrow(_overlaps, f"a {node}, b {node}"), "links")
 
 
@@ -310,9 +312,9 @@ def links(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = ROWS, s
     def mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
         """Rows of buckets with more than one component left."""
         c = comps.withColumnRenamed("node", "id")
-        placed = cut(rows.select(*members.columns).join(growing(c), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
+        placed = cut(rows.select(*members.columns).join(counted(c), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "placed")
         several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("hub_comp")).filter("lo <> hi")
-        return cut(placed.join(growing(cut(several.select("key", "hub_comp"), "several")), "key"), "open")
+        return cut(placed.join(counted(cut(several.select("key", "hub_comp"), "several")), "key"), "open")
 
     open_ = mixed(members, comps)
     apart = open_.filter((F.col("comp") != F.col("hub_comp")) & fits(F.col("n"), F.col("hub_n")))
@@ -343,14 +345,14 @@ def _judged(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n, set_a, set_b, component of every row."""
     sig, comps = links(docs, **options)
     classes = sig.filter("n > 0 and doc_id is not null").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("d"), F.count("*").alias("rows")).withColumn("s", _hash()).withColumn("id", F.struct("d", "s"))
-    placed = classes.join(growing(comps.withColumnRenamed("node", "id")), "id", "left").select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.col("n").alias("m"), "rows", F.coalesce("component", "id")["d"].alias("component"))
+    placed = classes.join(counted(comps.withColumnRenamed("node", "id")), "id", "left").select(F.col("set_a").alias("sa"), F.col("set_b").alias("sb"), F.col("n").alias("m"), "rows", F.coalesce("component", "id")["d"].alias("component"))
     placed = cut(placed, "classes")
     same = (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb")) & (F.col("n") == F.col("m"))
     rows, shown = sig.select("doc_id", "n", "set_a", "set_b"), ["doc_id", "n", "set_a", "set_b"]
     # Fewer than OFTEN classes hold more than an OFTEN-th of the rows each: they are no hot keys of an exchange.
     often = F.col("rows") > max(OFTEN, sig.count() // OFTEN)
     first = rows.join(F.broadcast(placed.filter(often).select("sa", "sb", "m", F.col("component").alias("often"))), same, "left").withColumn("found", F.col("sa").isNotNull()).drop("sa", "sb", "m")
-    rest = first.filter("not found").select(*shown).join(growing(placed.filter(~often).drop("rows")), same, "left")
+    rest = first.filter("not found").select(*shown).join((F.broadcast if placed.count() <= FEW else growing)(placed.filter(~often).drop("rows")), same, "left")
     return first.filter("found").select(*shown, F.col("often").alias("component")).unionByName(rest.select(*shown, F.coalesce("component", "doc_id").alias("component")))
 
 

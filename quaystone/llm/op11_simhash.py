@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .graph import components, dealt
-from .store import bounded, cut, growing, table
+from .store import FEW, bounded, counted, cut, growing, table
 
 SHINGLE = 4
 SEED = 42
@@ -215,15 +215,17 @@ def near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
     prints = cut(found.groupBy("fp").agg(F.min("doc_id").alias("d"), F.count("*").alias("n")), "prints")
     found_links = components(links(prints, most))
     linked = cut(found_links.union(found_links.select("component", "component").distinct()), "components")  # roots too
-    least = linked.join(growing(prints.select(F.col("fp").alias("node"), "d")), "node").groupBy("component").agg(F.min("d").alias("least"))
-    named = dealt(linked, least, "component", "node").select(F.col("node").alias("fp"), "least")
-    classes = cut(prints.join(growing(named), "fp", "left").select("fp", "n", F.coalesce("least", "d").alias("component_id")), "classes")
+    few = linked.count() <= FEW
+    ids = prints.select(F.col("fp").alias("node"), "d")
+    least = (ids.join(F.broadcast(linked), "node") if few else linked.join(growing(ids), "node")).groupBy("component").agg(F.min("d").alias("least"))
+    named = (linked.join(F.broadcast(least), "component") if few else dealt(linked, least, "component", "node")).select(F.col("node").alias("fp"), "least")
+    classes = cut(prints.join((F.broadcast if few else growing)(named), "fp", "left").select("fp", "n", F.coalesce("least", "d").alias("component_id")), "classes")
     often = F.col("n") > max(HOT, found.count() // HOT)  # fewer than 1,000 fingerprints, whatever the input
     hot, cold = (F.broadcast(classes.filter(often)).drop("n"), classes.filter(~often).drop("n"))
     marked = found.join(hot.withColumnRenamed("component_id", "hot_id").withColumn("is_hot", F.lit(True)), "fp", "left")
     return (
         marked.filter("is_hot").select("doc_id", "fp", F.col("hot_id").alias("component_id"))
-        .unionByName(marked.filter("is_hot is null").select("doc_id", "fp").join(growing(cold), "fp").select("doc_id", "fp", "component_id"))
+        .unionByName(marked.filter("is_hot is null").select("doc_id", "fp").join(counted(cold), "fp").select("doc_id", "fp", "component_id"))
     )
 
 

@@ -32,6 +32,14 @@ def growing(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+FEW = 50_000  #: rows of some hundred bytes at most
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """A written table of short rows, to be broadcast if it is counted as few (a count reads no column); else as one that grows."""
+    return F.broadcast(df) if df.count() <= FEW else growing(df)
+
+
 def bounded(df: DataFrame, bytes_a_row: Column) -> DataFrame:
     """A written table, to be broadcast if its measured size allows it."""
     return F.broadcast(df) if (df.agg(F.sum(bytes_a_row.cast("long")).alias("n")).first().n or 0) <= BROADCAST_BYTES else growing(df)
