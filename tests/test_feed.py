@@ -43,6 +43,12 @@ def test_filed_late(spark):
     assert {r.id: r.lag_days for r in rules.filed_late(frame(spark, *rows)).collect()} == {"a": 120, "b": 80, "c": 46}
 
 
+def test_volume_trend_rounds_as_its_sql_does(spark):
+    told = ["2025-04-28", "2025-05-01", *[f"2025-06-{d}" for d in range(24, 31)]]
+    (r,) = rules.member_volume_trend(frame(spark, *[trade(str(i), told=d) for i, d in enumerate(told)])).collect()
+    assert (r.id, r.recent, r.multiple) == ("8", 7, 3.9)  # 7 / (2 / 33 * 30) is 3.8499999999999996, ten times that 38.5
+
+
 def test_headline_fallbacks(spark):
     assert rules.headline(frame(spark, trade("a")).limit(0)).isEmpty()
     r = rules.headline(frame(spark, trade("a"))).first()
