@@ -13,7 +13,12 @@ DASH = "[-–—]"
 def cents(text: Column, pattern: str = FIGURE, group: int = 1) -> Column:
     """The figure in a text, in cents; null if there is none. group: where the figure's groups begin in the pattern."""
     whole, part = (F.nullif(F.regexp_extract(text, pattern, group + i), F.lit("")) for i in (0, 1))
-    return F.replace(whole, F.lit(",")).try_cast("long") * 100 + F.coalesce(part.try_cast("long"), F.lit(0))
+    return F.replace(whole, F.lit(",")).try_cast("long") * 100 + F.coalesce(F.when(text.contains("."), part.try_cast("long")), F.lit(0))
+
+
+def _once(x: Column, told) -> Column:
+    """told of a value that is computed once, however often told names it."""
+    return F.get(F.transform(F.array(x), told), F.lit(0))
 
 
 def parse(tail: Column) -> Column:
@@ -22,22 +27,27 @@ def parse(tail: Column) -> Column:
     pending: "upper" if a range's second figure is on the next line, "threshold" after a bare "Over". Words are looked for
     anywhere, before figures; a figure must open the text, and what follows it tells ranges, open ends and lone figures apart.
     """
-    text = F.trim(F.regexp_replace(F.coalesce(tail, F.lit("")), r"\s+", " "))
-    after = F.trim(F.regexp_replace(text, f"^{FIGURE}", ""))
-    first, over, second = cents(text, f"^{FIGURE}"), cents(text, rf"(?i)\bover\s*{FIGURE}"), cents(after, rf"^{DASH}\s*{FIGURE}")
     zero = F.lit(0)
 
     def row(kind: str, low: Column, high: Column, pending: str | None = None) -> Column:
         return F.struct(F.lit(kind).alias("kind"), low.cast("long").alias("low_cents"), high.cast("long").alias("high_cents"), F.lit(pending).cast("string").alias("pending"))
 
-    return (
-        F.when(F.lower(text).contains("none") | text.contains("less than $201"), row("none", zero, zero))
-        .when(over.isNotNull(), row("atLeast", over, over))
-        .when(text.rlike(r"(?i)\bover$"), row("unknown", zero, zero, "threshold"))
-        .when(first.isNull(), row("unknown", zero, zero))
-        .when(after == "", row("exact", first, first))
-        .when(after.startswith("+"), row("atLeast", first, first))
-        .when(second.isNotNull(), row("range", first, second))
-        .when(after.rlike(f"^{DASH}$"), row("range", first, first, "upper"))
-        .otherwise(row("unknown", zero, zero))
-    )
+    def read(t: Column) -> Column:
+        text, low, after, first = t["text"], t["low"], t["after"], t["first"]
+        over = F.when(low.contains("over"), cents(text, rf"(?i)\bover\s*{FIGURE}"))
+        second = cents(after, rf"^{DASH}\s*{FIGURE}")
+        return (
+            F.when(low.contains("none") | text.contains("less than $201"), row("none", zero, zero))
+            .when(over.isNotNull(), row("atLeast", over, over))
+            .when(low.contains("over") & text.rlike(r"(?i)\bover$"), row("unknown", zero, zero, "threshold"))
+            .when(first.isNull(), row("unknown", zero, zero))
+            .when(after == "", row("exact", first, first))
+            .when(after.startswith("+"), row("atLeast", first, first))
+            .when(second.isNotNull(), row("range", first, second))
+            .when(after.rlike(f"^{DASH}$"), row("range", first, first, "upper"))
+            .otherwise(row("unknown", zero, zero))
+        )
+
+    figure = rf"^{FIGURE}"
+    parts = lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"), F.trim(F.regexp_replace(t, figure, "")).alias("after"), F.when(t.startswith("$"), cents(t, figure)).alias("first"))
+    return _once(_once(F.trim(F.regexp_replace(F.coalesce(tail, F.lit("")), r"\s+", " ")), parts), read)

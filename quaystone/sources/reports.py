@@ -9,7 +9,9 @@ A line with a row's dates always begins a row. A row with no readable date is le
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,16 +62,22 @@ def owner(codes: Column) -> Column:
 def _per_line(fields: str, told):
     """A function of a string column to a struct, one line at a time, in Arrow batches; of null it is a struct of nulls."""
     kinds = {name: kind for name, kind in (f.split() for f in fields.split(","))}
-    names = list(kinds)
+    names, none = list(kinds), (None,) * len(kinds)
 
-    @F.pandas_udf(T.StructType([T.StructField(n, T.BooleanType() if k == "boolean" else T.StringType()) for n, k in kinds.items()]))
-    def run(column: pd.Series) -> pd.DataFrame:
-        rows = [told(x) if isinstance(x, str) else (None,) * len(names) for x in column]
-        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
+    @F.arrow_udf(T.StructType([T.StructField(n, T.BooleanType() if k == "boolean" else T.StringType()) for n, k in kinds.items()]))
+    def run(column: pa.Array) -> pa.Array:
+        rows = [none if x is None else told(x) for x in column.to_pylist()]
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, pa.bool_() if k == "boolean" else pa.string()) for c, k in zip(columns, kinds.values(), strict=True)], names)
 
     return run
 
 
+#: Up to the first figure of a line, and white space, as Java reads them in `amounts` and `tidy`.
+_TO_FIGURE = re.compile(rf"^([^\n\r\x85\u2028\u2029]*?){amounts.FIGURE}")
+_GAPS = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
 def _house_line(line: str) -> tuple:
     codes, rest = K.after(line, OWNER_CODES)
     held = codes if codes and (not rest or K.label(rest)[0]) else None
@@ -77,10 +85,13 @@ def _house_line(line: str) -> tuple:
     some = K.words(line) if "/" in line else []
     row, (letter, body) = K.dated_code(some, TX_CODES), K.label(line)
     code, tx, told, tail, head = (row[1], some[row[2]], some[row[2] + 1], " ".join(some[row[2] + 2 :]), " ".join(some[: row[0]])) if row else (None, None, None, "", line)
-    coded = [x for x, _, _ in K.enclosed(line, "[", "]") if K.is_code(x)]
+    coded = [x for x, _, _ in K.enclosed(line, "[", "]") if K.is_code(x)] if "[" in line else []
     alone = coded[0] if coded and line == f"[{coded[0]}]" else None
-    like = bool(coded) or any(K.is_symbol(x) for x, _, _ in K.enclosed(line, "(", ")")) or bool(K.after(line, OWNER_CODES)[0])
-    return held, line, code, tx, told, tail, head, letter, body, alone, bool(coded), like, len(K.apart(line)) > 1, line == "Yes No" or (line.startswith("Page ") and len(line.split()) == 4 and K.is_page_number(line.split()))
+    like = bool(coded) or ("(" in line and any(K.is_symbol(x) for x, _, _ in K.enclosed(line, "(", ")"))) or bool(K.after(line, OWNER_CODES)[0])
+    page = line == "Yes No" or (line.startswith("Page ") and len(line.split()) == 4 and K.is_page_number(line.split()))
+    # What is left of a line without its first figure, and its symbol and code.
+    left = _GAPS.sub(" ", _TO_FIGURE.sub(r"\1 ", line, count=1)).strip(" ") if not row and "$" in line else None
+    return held, line, code, tx, told, tail, head, letter, body, alone, bool(coded), like, len(K.apart(line)) > 1, page, left, *(K.symbol_and_code(left) if left else (None, None))
 
 
 def _asset_name(text: str) -> tuple:
@@ -96,26 +107,26 @@ def _executive_line(least: int):
     def told(line: str) -> tuple:
         some = K.words(line)
         at = K.dated_word(some, TX_WORDS, least)
-        received = next((K.date(K.word(some, i + 2)) for i, x in enumerate(some) if K.bare(x) == "oge" and K.bare(K.word(some, i + 1)) == "received"), None)
-        parts = next((K.word(some, i + 1).split(".") for i, x in enumerate(some) if x == "Date:"), [])
+        low = line.lower()
+        received = next((K.date(K.word(some, i + 2)) for i, x in enumerate(some) if K.bare(x) == "oge" and K.bare(K.word(some, i + 1)) == "received"), None) if "oge" in low and "received" in low else None
+        parts = next((K.word(some, i + 1).split(".") for i, x in enumerate(some) if x == "Date:"), []) if "Date:" in line else []
         signed = "/".join([parts[1], parts[2], parts[0]]) if len(parts) == 3 and K.is_number(parts[0], 4, 4) and K.is_number(parts[1], 2) and K.is_number(parts[2], 2) else None
         row = (None,) * 6 if at is None else (" ".join(some[:at]), K.bare(some[at]), some[at + 1], K.date(some[at + 1], fused=True), " ".join(some[at + 3 :]), " ".join(map(K.money, some[at + 3 :])))
-        return *row, received, signed, K.is_page_number(some)
+        return *row, received, signed, "page" in low and K.is_page_number(some)
 
     return told
 
 
-house_line = _per_line("held string, line string, code string, tx string, told string, tail string, head string, letter string, body string, alone string, coded boolean, like boolean, heading boolean, page boolean", _house_line)
+house_line = _per_line("held string, line string, code string, tx string, told string, tail string, head string, letter string, body string, alone string, coded boolean, like boolean, heading boolean, page boolean, left string, left_ticker string, left_code string", _house_line)
 asset_name = _per_line("codes string, name string, ticker string, code string", _asset_name)
-symbol_and_code = _per_line("ticker string, code string", K.symbol_and_code)
 _EXECUTIVE = "head string, word string, raw string, date string, tail string, amount string, received string, signed string, page boolean"
 scan_line, native_line = _per_line(_EXECUTIVE, _executive_line(0)), _per_line(_EXECUTIVE, _executive_line(2))
 
 
 def lines(filings: DataFrame) -> DataFrame:
-    """filing_id, n, raw (the line), line (without control characters and outer spaces) of every line."""
+    """filing_id, filed_on, n, raw (the line), line (without control characters and outer spaces) of every line."""
     text = F.coalesce("text", F.lit(""))
-    split = filings.select("filing_id", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("n", "raw"))
+    split = filings.select("filing_id", "filed_on", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("n", "raw"))
     return split.withColumn("line", F.trim(F.regexp_replace("raw", r"[\x00-\x1f\x7f-\x9f]", " ")))
 
 
@@ -142,10 +153,13 @@ def _house_tokens(filings: DataFrame) -> DataFrame:
     told = told.withColumns({"is_row": F.col("code").isNotNull(), "amount": F.when(F.col("code").isNotNull(), amounts.parse(F.col("tail")))})
     told = told.withColumn("valid", F.col("is_row") & F.col("tx_date").isNotNull() & F.col("told_date").isNotNull())
     told = told.withColumns({"part": F.count_if("is_row").over(upto), "row": F.count_if("valid").over(upto), "awaits": F.last(F.when(F.col("is_row"), F.coalesce("amount.pending", F.lit(""))), True).over(upto)})
+    # Parts, groups and pages are runs of a filing's lines: what counts within one is a running count less that where the run begins,
+    # so that all windows share one sort.
+    since = lambda count, begins: F.col(count) - F.coalesce(F.last(F.when(begins, F.col(count)), True).over(upto), F.lit(0))
     # The first figure below a row that waits for one is that row's.
     figure = F.when(~F.col("is_row") & (F.col("awaits") != ""), amounts.cents(line))
-    told = told.withColumn("figure", figure)
-    told = told.withColumn("figure", F.when(F.count("figure").over(_by("part")[1]) == 0, F.col("figure")))
+    told = told.withColumn("figure", figure).withColumn("figures", F.count("figure").over(upto))
+    told = told.withColumn("figure", F.when(since("figures", F.col("is_row")) == 1, F.col("figure")))
     letter, body = w("letter"), w("body")
     free = ~F.col("is_row") & F.col("figure").isNull()
     kind = (
@@ -154,40 +168,46 @@ def _house_tokens(filings: DataFrame) -> DataFrame:
     told = told.withColumns({"kind": kind, "letter": F.when(free, letter), "body": F.when(free & letter.isNotNull(), body)})
     # A text right above a description belongs to it; texts below one go on with it to a full stop, or to what looks like an asset.
     ends = lambda c: c.rlike(r"[.!?]$")
-    asset_like = w("like")
+    asset_like, is_label = w("like"), F.col("kind") == "label"
     told = told.withColumn("kind", F.when((F.col("kind") == "text") & F.col("above_d") & ~w("coded"), "above").otherwise(F.col("kind")))
     told = told.withColumn("group", F.count_if(F.col("kind").isin("row", "label")).over(upto) + F.col("events"))
     opens = (F.col("letter") == "D") & (F.col("body") != "") & ~ends(F.col("body"))
-    told = told.withColumn("open", F.coalesce(F.max(F.when(F.col("kind") == "label", opens)).over(Window.partitionBy("filing_id", "group")), F.lit(False)) & (F.col("kind") == "text"))
-    group_upto, group_before = _by("group")
-    goes_on = F.col("open") & (F.count_if(F.col("open") & asset_like).over(group_upto) == 0) & (F.count_if(F.col("open") & ends(line)).over(group_before) == 0)
+    told = told.withColumn("label", F.last(F.when(is_label, F.struct("group", opens.alias("opens"))), True).over(upto))
+    told = told.withColumn("open", F.coalesce((F.col("label.group") == F.col("group")) & F.col("label.opens"), F.lit(False)) & (F.col("kind") == "text"))
+    told = told.withColumns({"likes": F.count_if(F.col("open") & asset_like).over(upto), "stops": F.count_if(F.col("open") & ends(line)).over(before)})
+    goes_on = F.col("open") & (since("likes", is_label) == 0) & (since("stops", is_label) == 0)
     told = told.withColumn("kind", F.when(goes_on, "more").otherwise(F.col("kind")))
     # What a label says is of the row above, unless asset text of the next row came between.
-    told = told.withColumn("left", F.when(F.col("kind") == "figure", tidy(F.regexp_replace("line", f"^(.*?){amounts.FIGURE}", "$1 "))))
-    told = told.withColumns({"left_ticker": symbol_and_code("left")["ticker"], "alone": w("alone")}).drop("w")
+    of_figure = lambda c: F.when(F.col("kind") == "figure", w(c))
+    told = told.withColumns({"left": of_figure("left"), "left_ticker": of_figure("left_ticker"), "left_code": of_figure("left_code"), "alone": w("alone")}).drop("w")
     pending = (F.col("kind") == "text") | ((F.col("left") != "") & F.col("left_ticker").isNull())
-    told = told.withColumn("mine", (F.col("row") > 0) & (F.count_if(pending).over(_by("part", "events")[1]) == 0))
-    return told.withColumn("mine", F.when(F.col("kind") == "more", F.max(F.when(F.col("kind") == "label", F.col("mine"))).over(Window.partitionBy("filing_id", "group"))).otherwise(F.col("mine")))
+    run = F.col("part") + F.col("events")
+    told = told.withColumns({"pending": F.count_if(pending).over(before), "begins": ~F.lag(run).over(Window.partitionBy("filing_id").orderBy("n")).eqNullSafe(run)})
+    told = told.withColumn("mine", (F.col("row") > 0) & (since("pending", F.col("begins")) == 0))
+    told = told.withColumn("mine", F.when(F.col("kind") == "more", F.last(F.when(is_label, F.col("mine")), True).over(upto)).otherwise(F.col("mine")))
+    # Codes that were held before a row, since the row above.
+    waits = F.last(F.when(F.col("held").isNotNull() & ~F.col("is_row"), F.struct("row", "held")), True).over(upto)
+    return told.withColumn("waits", waits).withColumn("waits", F.when(F.col("waits.row") == F.col("row") - 1, F.col("waits.held")))
 
 
 def house_rows(filings: DataFrame) -> DataFrame:
     """Rows of house reports (filing_id, filed_on, text)."""
     told = _house_tokens(filings)
     own = F.col("kind").isin("row", "figure", "code") | (F.col("kind").isin("label", "more") & F.col("mine"))
-    piece = F.struct("n", "kind", "line", "body", "letter", "held", "figure", "left", "part", "events", "feet", "alone")
-    row = F.struct("code", "tx_date", "told_date", "tail", "amount", "part", "events", "feet", "head")
+    piece = F.struct("n", "kind", "line", "body", "letter", "figure", "left", "left_ticker", "left_code", "part", "events", "feet", "alone")
+    row = F.struct("code", "tx_date", "told_date", "tail", "amount", "part", "events", "feet", "head", "waits")
     told = told.withColumn("target", F.when(own, F.col("row")).otherwise(F.col("row") + 1))
-    found = told.groupBy("filing_id", "target").agg(F.max(F.when(F.col("valid"), row)).alias("r"), F.array_sort(F.collect_list(piece)).alias("pieces")).filter("r is not null")
-    held = told.filter("held is not null").select("filing_id", (F.col("row") + F.when(F.col("kind") == "row", 0).otherwise(1)).alias("target"), "n", "held")
-    found = found.join(held.groupBy("filing_id", "target").agg(F.max_by("held", "n").alias("held")), ["filing_id", "target"], "left")
+    held = F.max(F.when((F.col("kind") == "row") & F.col("held").isNotNull(), F.struct("n", "held")))["held"]
+    found = told.groupBy("filing_id", "target").agg(F.max(F.when(F.col("valid"), row)).alias("r"), held.alias("held"), F.max("filed_on").alias("filed_on"), F.array_sort(F.collect_list(piece)).alias("pieces")).filter("r is not null")
+    found = found.withColumn("held", F.coalesce("held", "r.waits"))
     those = lambda test, value: F.filter(F.transform(F.filter("pieces", test), value), lambda x: x.isNotNull())
     first = lambda kind, value: F.get(those(lambda p: p["kind"] == kind, value), F.lit(0))
     # Asset text of the part just before the row, on the same page.
     buffered = those(lambda p: p["kind"].isin("text", "left") & (p["part"] == F.col("r.part") - 1) & (p["events"] == F.col("r.events")), lambda p: p["line"])
     name = tidy(F.concat_ws(" ", F.concat_ws(" ", buffered), F.col("before_left"), F.col("r.head")))
     # Figure text that is no part of its row's name opens the next row's.
-    left = first("figure", lambda p: F.nullif(p["left"], F.lit("")))
-    found = found.withColumn("left", left).withColumn("left_is", symbol_and_code("left")).withColumns({"left_ticker": F.col("left_is.ticker"), "left_code": F.col("left_is.code")})
+    left = first("figure", lambda p: F.when(p["left"] != "", F.struct(p["left"], p["left_ticker"], p["left_code"])))
+    found = found.withColumn("f", left).withColumns({c: F.col(f"f.{c}") for c in ("left", "left_ticker", "left_code")})
     by = Window.partitionBy("filing_id").orderBy("target")
     found = found.withColumn("before_left", F.when(F.lag("left_ticker").over(by).isNull(), F.lag("left").over(by)))
     found = found.withColumn("is", asset_name(name)).withColumns({c: F.col(f"is.{c}") for c in ("codes", "name", "ticker")}).withColumn("asset_type", F.col("is.code"))
@@ -214,9 +234,9 @@ def house_rows(filings: DataFrame) -> DataFrame:
         F.when(claims, tidy(F.concat_ws(" ", "name", "left"))).otherwise(F.col("name")).alias("asset"), F.when(claims, F.col("left_ticker")).otherwise(F.col("ticker")).alias("ticker"),
         F.coalesce("asset_type", F.when(claims, left_code), "orphan").alias("asset_type"), tx.alias("tx_type"), F.col("r.tx_date").alias("tx_date"), F.col("r.told_date").alias("told_date"),
         F.when(over & figure.isNotNull(), "atLeast").otherwise(a["kind"]).alias("amount_kind"), F.when(over, F.coalesce(figure, F.lit(0))).otherwise(a["low_cents"]).alias("low_cents"),
-        F.when(over, F.coalesce(figure, F.lit(0))).when(upper & (figure > a["low_cents"]), figure).otherwise(a["high_cents"]).alias("high_cents"), F.nullif(tidy(F.concat_ws(" ", text)), F.lit("")).alias("filing_description"), warned.alias("warnings"), amended.alias("is_amendment"),
+        F.when(over, F.coalesce(figure, F.lit(0))).when(upper & (figure > a["low_cents"]), figure).otherwise(a["high_cents"]).alias("high_cents"), F.nullif(tidy(F.concat_ws(" ", text)), F.lit("")).alias("filing_description"), warned.alias("warnings"), amended.alias("is_amendment"), "filed_on",
     )
-    return done.join(filings.select("filing_id", "filed_on"), "filing_id").withColumn("disclosed_date", F.coalesce("filed_on", "told_date")).drop("told_date", "filed_on")
+    return done.withColumn("disclosed_date", F.coalesce("filed_on", "told_date")).drop("told_date", "filed_on")
 
 
 # Executive branch ---------------------------------------------------------------------------------
@@ -251,7 +271,7 @@ def _scan_lines(filings: DataFrame) -> DataFrame:
 
 def scan_rows(filings: DataFrame) -> DataFrame:
     """Rows of scanned executive forms: a type word, a date, and Yes or No make a row; lines before it are its description."""
-    told = _scan_lines(filings).filter("word is not null").join(filings.select("filing_id", "filed_on"), "filing_id")
+    told = _scan_lines(filings).filter("word is not null")
     told = told.withColumn("disclosed_date", F.coalesce("filed_on", "received", "signed")).filter("disclosed_date is not null and tx_date is not null")
     head = tidy(F.concat_ws(" ", F.concat_ws(" ", "before"), F.col("w.head")))
     opening = F.substring_index(head, " ", 1)
@@ -264,14 +284,14 @@ def scan_rows(filings: DataFrame) -> DataFrame:
 def native_rows(filings: DataFrame) -> DataFrame:
     """Rows of native executive forms: numbered lines with growing numbers; a dangling dash takes the figure alone on the next line."""
     page = Window.partitionBy("filing_id").orderBy("n")
-    told = lines(filings).withColumn("below", F.trim(F.coalesce(F.lead("line").over(page), F.lit("")))).withColumn("w", native_line("line")).withColumn("word", F.col("w.word")).filter("word is not null and w.tail <> '' and w.raw = w.date")
+    told = lines(filings).withColumn("w", native_line("line")).withColumn("below", F.trim(F.coalesce(F.lead("line").over(page), F.lit("")))).withColumn("word", F.col("w.word")).filter("word is not null and w.tail <> '' and w.raw = w.date")
     opening = F.substring_index("w.head", " ", 1)
     numbered = F.length(opening).between(1, 4) & (F.translate(opening, "0123456789", "") == "")
     told = told.withColumns({"number": F.when(numbered, opening.try_cast("int")), "tx_date": C.us_date(F.col("w.date"))}).filter("number is not null and tx_date is not null")
     told = told.withColumn("most", F.max("number").over(_by()[1])).filter(F.col("number") > F.coalesce("most", F.lit(0)))
     tail = F.col("w.tail")
     tail = F.when(tail.rlike(f"{amounts.DASH}$") & F.col("below").rlike(f"^{amounts.FIGURE}$"), F.concat_ws(" ", tail, F.col("below"))).otherwise(tail)
-    told = told.join(filings.select("filing_id", F.col("filed_on").alias("disclosed_date")), "filing_id")
+    told = told.withColumnRenamed("filed_on", "disclosed_date")
     return _executive(told.select("filing_id", "n", F.substring("w.head", F.length(F.substring_index("w.head", " ", 1)) + 2, F.length("w.head")).alias("asset"), "word", "tx_date", "disclosed_date", amounts.parse(tail).alias("a")), [])
 
 
@@ -296,7 +316,7 @@ def report_warnings(filings: DataFrame) -> DataFrame:
     """filing_id, warning: what was left out of filings, or taken in place of what is missing."""
     only = lambda form: filings.filter(F.col("form") == form).select("filing_id", "filed_on", "text")
     house = _house_tokens(only("house")).filter("is_row and not valid").select("filing_id", F.lit("a row's dates could not be read").alias("warning"))
-    scan = _scan_lines(only("scan")).join(only("scan").select("filing_id", "filed_on"), "filing_id")
+    scan = _scan_lines(only("scan"))
     undated = F.coalesce("filed_on", "received", "signed").isNull()
     line_notes = F.array(F.when(F.col("word").isNotNull() & ~undated & F.col("tx_date").isNull(), F.concat(F.lit("date not understood: "), "raw_date")), F.when(F.col("discarded").isNotNull(), F.concat(F.col("discarded").cast("string"), F.lit(" lines without a row discarded"))))
     by_line = scan.select("filing_id", F.explode(F.filter(line_notes, lambda x: x.isNotNull())).alias("warning"))

@@ -133,3 +133,10 @@ def test_ocr_lines(spark):
     f = [("f", 1, 0.5, 0.900, "b"), ("f", 1, 0.1, 0.895, "a"), ("f", 1, 0.1, 0.888, "c"), ("f", 2, 0.1, 0.5, "d")]
     rows = indexes.ocr_lines(spark.createDataFrame(f, "filing_id string, page int, min_x double, mid_y double, text string")).orderBy("page", "line_no").collect()
     assert [r.line for r in rows] == ["a  b", "c", "d"]
+
+
+@pytest.mark.parametrize("form", ["house"])
+def test_filings_are_read_once_and_lines_exchanged_once(spark, form):
+    filings = spark.createDataFrame([("f1", None, "a\nb")], "filing_id string, filed_on date, text string")
+    plan = reports.READERS[form](filings)._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("ExistingRDD"), plan.count("Exchange hashpartitioning")) == (1, 1)
