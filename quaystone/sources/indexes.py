@@ -80,10 +80,11 @@ def search_pages(pages: DataFrame, size: int = PAGE) -> DataFrame:
 
 def strip_html(x: Column) -> Column:
     """Text of a cell: tags gone, the usual references decoded, white space folded."""
-    text = F.regexp_replace(x, "(?s)<[^>]*>", " ")
+    text = F.when(x.contains("<"), F.regexp_replace(x, "(?s)<[^>]*>", " ")).otherwise(x)
+    decoded = text
     for ref, char in (("&nbsp;", " "), ("&#160;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(ref), F.lit(char))
-    return F.trim(F.regexp_replace(F.replace(text, F.lit(NBSP), F.lit(" ")), r"\s+", " "))
+        decoded = F.replace(decoded, F.lit(ref), F.lit(char))
+    return F.trim(F.regexp_replace(F.replace(F.when(x.contains("&"), decoded).otherwise(text), F.lit(NBSP), F.lit(" ")), r"\s+", " "))
 
 
 def html_rows(pages: DataFrame, id_column: str = "filing_id", table: str = r"(?s)<table[^>]*table-striped[^>]*>.*?</table>") -> DataFrame:
@@ -96,8 +97,7 @@ def html_rows(pages: DataFrame, id_column: str = "filing_id", table: str = r"(?s
 
 def senate_report(pages: DataFrame) -> DataFrame:
     """Transactions of electronic reports (filing_id, html, filed_on): eight cells a row."""
-    raw = lambda i: F.get("cells", F.lit(i))
-    cell = lambda i: strip_html(raw(i))
+    cell = lambda i: F.get("cells", F.lit(i))
     owner, kind, tx = F.lower(cell(2)), F.lower(cell(5)), F.lower(cell(6))
     symbols = F.filter(F.split(F.replace(cell(3), F.lit("--"), F.lit(" ")), r"\s+"), lambda x: x.rlike(r"^[A-Z][A-Z0-9.\-]{0,6}$"))
     label = r"(?i)\s*\b(?:Company|Description):"
@@ -110,7 +110,9 @@ def senate_report(pages: DataFrame) -> DataFrame:
     )
     tx_type = F.when(tx.contains("purchase"), "buy").when(tx.contains("exchange"), "exchange").when(tx.contains("partial"), "partial_sell").when(tx.contains("sale"), "sell").otherwise("buy")
     date = C.us_date(cell(1))
-    return html_rows(pages).filter(F.size("cells") >= 8).select(
+    # Texts of cells are made once a cell, before they are asked for by name.
+    stripped = html_rows(pages).filter(F.size("cells") >= 8).withColumn("cells", F.transform("cells", strip_html))
+    return stripped.select(
         "filing_id", F.col("row").cast("long").alias("position"), date.alias("tx_date"), F.coalesce("filed_on", date).alias("disclosed_date"),
         F.when(owner.contains("spouse"), "spouse").when(owner.contains("joint"), "joint").when(owner.contains("dependent") | owner.contains("child"), "dependent").otherwise("self").alias("owner"),
         F.get(symbols, F.lit(0)).alias("ticker"), name.alias("asset"), asset_type.alias("asset_type"), tx_type.alias("tx_type"), cell(7).alias("amount_text"), F.nullif(F.array_join(parts, " "), F.lit("")).alias("filing_description"),
