@@ -75,10 +75,14 @@ def _per_line(fields: str, told):
 
 #: Up to the first figure of a line, and white space, as Java reads them in `amounts` and `tidy`.
 _TO_FIGURE = re.compile(rf"^([^\n\r\x85\u2028\u2029]*?){amounts.FIGURE}")
+#: What a line of a house report has if it is more than words, the beginning of a page number included.
+_MARKED = re.compile(r"[/:\[($]|\s\s|^Page")
 _GAPS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def _house_line(line: str) -> tuple:
+    if line[:2] not in OWNER_CODES and not _MARKED.search(line):  # words alone
+        return None, line, None, None, None, "", line, None, "", None, False, False, False, line == "Yes No", None, None, None
     codes, rest = K.after(line, OWNER_CODES)
     held = codes if codes and (not rest or K.label(rest)[0]) else None
     line = rest if held else line
@@ -105,9 +109,11 @@ def _asset_name(text: str) -> tuple:
 
 def _executive_line(least: int):
     def told(line: str) -> tuple:
+        low = line.lower()
+        if "/" not in line and "page" not in low and "Date:" not in line:  # neither dates nor a page number
+            return (None,) * 8 + (False,)
         some = K.words(line)
         at = K.dated_word(some, TX_WORDS, least)
-        low = line.lower()
         received = next((K.date(K.word(some, i + 2)) for i, x in enumerate(some) if K.bare(x) == "oge" and K.bare(K.word(some, i + 1)) == "received"), None) if "oge" in low and "received" in low else None
         parts = next((K.word(some, i + 1).split(".") for i, x in enumerate(some) if x == "Date:"), []) if "Date:" in line else []
         signed = "/".join([parts[1], parts[2], parts[0]]) if len(parts) == 3 and K.is_number(parts[0], 4, 4) and K.is_number(parts[1], 2) and K.is_number(parts[2], 2) else None
