@@ -135,7 +135,7 @@ def test_ocr_lines(spark):
     assert [r.line for r in rows] == ["a  b", "c", "d"]
 
 
-@pytest.mark.parametrize("form", ["house", "scan"])
+@pytest.mark.parametrize("form", ["house", "scan", "native"])
 def test_filings_are_read_once_and_lines_exchanged_once(spark, form):
     filings = spark.createDataFrame([("f1", None, "a\nb")], "filing_id string, filed_on date, text string")
     plan = reports.READERS[form](filings)._jdf.queryExecution().executedPlan().toString()
