@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaystone.functions import columns as C
 from quaystone.operators import feed, identity, rules, stats, watch
 from quaystone.plans import sinks
+from quaystone.sources import testdata
 from quaystone.streaming import refresh
 
 COLUMNS = "id string, filing_id string, member_id string, member_name string, owner string, asset string, ticker string, asset_type string, tx_type string, tx_date date, disclosed_date date, amount_kind string, low_cents bigint, high_cents bigint, is_amendment boolean, warning string"
@@ -153,3 +154,13 @@ def test_refresh_tells_its_counts(spark):
     cols = "added long, new_filings long, downloaded long, scanned long, failed long, indexed long, reached boolean, unexpected boolean, more_remaining boolean"
     runs = [(3, 2, 2, 1, 0, 9, True, False, True), (0, 2, 2, 1, 0, 9, True, False, True), (0, 2, 1, 1, 0, 9, True, False, False), (0, 0, 0, 0, 0, 9, True, False, False), (0, 2, 0, 0, 1, 0, False, False, False)]
     assert [r.told for r in spark.createDataFrame(runs, cols).select(refresh.told().alias("told")).collect()] == ["added; rows 3; filings 2; on paper 1; more wait", "nothing_added; filings 2", "unreadable; filings 2", "nothing_new", "unreachable"]
+
+
+def test_lines_meet_their_parts_before_orders(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = testdata.trades(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for key in ("l_partkey", "o_custkey"):
+        assert "Join" not in plan.split(f"hashpartitioning({key}")[1].split("FileScan")[0]
