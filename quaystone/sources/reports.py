@@ -290,7 +290,7 @@ def scan_rows(filings: DataFrame) -> DataFrame:
 def native_rows(filings: DataFrame) -> DataFrame:
     """Rows of native executive forms: numbered lines with growing numbers; a dangling dash takes the figure alone on the next line."""
     page = Window.partitionBy("filing_id").orderBy("n")
-    told = lines(filings).withColumn("w", native_line("line")).withColumn("below", F.trim(F.coalesce(F.lead("line").over(page), F.lit("")))).withColumn("word", F.col("w.word")).filter("word is not null and w.tail <> '' and w.raw = w.date")
+    told = lines(filings).withColumn("w", native_line("line")).withColumn("below", F.trim(F.coalesce(F.lead("line").over(page), F.lit("")))).withColumn("word", F.col("w.word")).filter("word is not null and w.tail <> '' and startswith(w.raw, w.date) and startswith(w.date, w.raw)")  # equal; by an equality Spark would read lines again
     opening = F.substring_index("w.head", " ", 1)
     numbered = F.length(opening).between(1, 4) & (F.translate(opening, "0123456789", "") == "")
     told = told.withColumns({"number": F.when(numbered, opening.try_cast("int")), "tx_date": C.us_date(F.col("w.date"))}).filter("number is not null and tx_date is not null")
