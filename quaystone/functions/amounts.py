@@ -10,10 +10,14 @@ FIGURE = r"\$([0-9][0-9,]*)(?:\.([0-9]{2}))?"
 DASH = "[-–—]"
 
 
-def cents(text: Column, pattern: str = FIGURE, group: int = 1) -> Column:
-    """The figure in a text, in cents; null if there is none. group: where the figure's groups begin in the pattern."""
-    whole, part = (F.nullif(F.regexp_extract(text, pattern, group + i), F.lit("")) for i in (0, 1))
-    return F.replace(whole, F.lit(",")).try_cast("long") * 100 + F.coalesce(F.when(text.contains("."), part.try_cast("long")), F.lit(0))
+def _in_cents(figure: Column) -> Column:
+    """Cents of a text that is a figure alone; null of any other."""
+    return (F.translate(figure, "$,", "").try_cast("decimal(21,2)") * 100).try_cast("long")
+
+
+def cents(text: Column, before: str = "") -> Column:
+    """The first figure in a text, in cents; null if there is none. before: a pattern of what stands right before the figure."""
+    return F.when(text.contains("$"), _in_cents(F.regexp_extract(text, f"{before}({FIGURE})", 1)))
 
 
 def _once(x: Column, told) -> Column:
@@ -33,9 +37,8 @@ def parse(tail: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), low.cast("long").alias("low_cents"), high.cast("long").alias("high_cents"), F.lit(pending).cast("string").alias("pending"))
 
     def read(t: Column) -> Column:
-        text, low, after, first = t["text"], t["low"], t["after"], t["first"]
-        over = F.when(low.contains("over"), cents(text, rf"(?i)\bover\s*{FIGURE}"))
-        second = cents(after, rf"^{DASH}\s*{FIGURE}")
+        text, low, after, first, second = t["text"], t["low"], t["after"], t["first"], t["second"]
+        over = F.when(low.contains("over"), cents(text, r"(?i)\bover\s*"))
         return (
             F.when(low.contains("none") | text.contains("less than $201"), row("none", zero, zero))
             .when(over.isNotNull(), row("atLeast", over, over))
@@ -48,6 +51,9 @@ def parse(tail: Column) -> Column:
             .otherwise(row("unknown", zero, zero))
         )
 
-    figure = rf"^{FIGURE}"
-    parts = lambda t: F.struct(t.alias("text"), F.lower(t).alias("low"), F.trim(F.regexp_replace(t, figure, "")).alias("after"), F.when(t.startswith("$"), cents(t, figure)).alias("first"))
-    return _once(_once(F.trim(F.regexp_replace(F.coalesce(tail, F.lit("")), r"\s+", " ")), parts), read)
+    # Each step reads the text once, and names what it found for the next.
+    opens = lambda t: F.struct(t.alias("text"), F.when(t.startswith("$"), F.regexp_extract(t, f"^({FIGURE})", 1)).alias("figure"))
+    rest = lambda t: F.struct(t["text"].alias("text"), F.lower(t["text"]).alias("low"), F.trim(F.substring(t["text"], F.length(t["figure"]) + 1, F.length(t["text"]))).alias("after"), _in_cents(t["figure"]).alias("first"))
+    ends = lambda t: F.struct(t["text"].alias("text"), t["low"].alias("low"), t["after"].alias("after"), t["first"].alias("first"), cents(t["after"], rf"^{DASH}\s*").alias("second"))
+    plain = F.trim(F.regexp_replace(F.coalesce(tail, F.lit("")), r"\s\s+|[^\S ]", " "))
+    return _once(_once(_once(_once(plain, opens), rest), ends), read)

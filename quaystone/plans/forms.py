@@ -18,11 +18,16 @@ _SHOWN = ["filing_id", "cast(position as bigint) as position", "asset", "tx_type
 
 
 def _texts(spark: SparkSession, d: str, head, row, filed: bool) -> DataFrame:
-    """A form for each order, with a row for each of its lines; row: of the line's number on the form."""
-    line, orders = testdata.read(spark, d, "lineitem"), testdata.read(spark, d, "orders")
-    items = line.join(orders, line.l_orderkey == F.col("o_orderkey")).groupBy("l_orderkey", F.to_date("o_orderdate").alias("tx")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("items"))
+    """A form for each order, with a row for each of its lines; row: of the line's number on the form.
+
+    Orders and lines meet by the text of their key, which is the filing's id, so that the forms lie where their rows are put together.
+    """
+    of = lambda key: F.col(key).cast("string").alias("filing_id")
+    line = testdata.read(spark, d, "lineitem").select(of("l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey")
+    orders = testdata.read(spark, d, "orders").select(of("o_orderkey"), F.to_date("o_orderdate").alias("tx"))
+    items = line.join(orders, "filing_id").groupBy("filing_id", "tx").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("items"))
     body = F.array_join(F.transform("items", lambda x, i: row(i + 1, x["l_partkey"])), "\n")
-    return items.select(F.col("l_orderkey").cast("string").alias("filing_id"), F.when(F.lit(filed), F.date_add("tx", 3)).alias("filed_on"), F.concat(head, F.lit("\n"), body).alias("text"))
+    return items.select("filing_id", F.when(F.lit(filed), F.date_add("tx", 3)).alias("filed_on"), F.concat(head, F.lit("\n"), body).alias("text"))
 
 
 def _word(p):

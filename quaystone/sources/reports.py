@@ -107,33 +107,43 @@ def _asset_name(text: str) -> tuple:
     return codes, name, *K.symbol_and_code(name)
 
 
-def _executive_line(least: int):
-    def told(line: str) -> tuple:
-        low = line.lower()
-        if "/" not in line and "page" not in low and "Date:" not in line:  # neither dates nor a page number
-            return (None,) * 8 + (False,)
-        some = K.words(line)
-        at = K.dated_word(some, TX_WORDS, least)
-        received = next((K.date(K.word(some, i + 2)) for i, x in enumerate(some) if K.bare(x) == "oge" and K.bare(K.word(some, i + 1)) == "received"), None) if "oge" in low and "received" in low else None
-        parts = next((K.word(some, i + 1).split(".") for i, x in enumerate(some) if x == "Date:"), []) if "Date:" in line else []
-        signed = "/".join([parts[1], parts[2], parts[0]]) if len(parts) == 3 and K.is_number(parts[0], 4, 4) and K.is_number(parts[1], 2) and K.is_number(parts[2], 2) else None
-        row = (None,) * 6 if at is None else (" ".join(some[:at]), K.bare(some[at]), some[at + 1], K.date(some[at + 1], fused=True), " ".join(some[at + 3 :]), " ".join(map(K.money, some[at + 3 :])))
-        return *row, received, signed, "page" in low and K.is_page_number(some)
-
-    return told
+def _executive_line(line: str) -> tuple:
+    low = line.lower()
+    if "/" not in line and "page" not in low and "Date:" not in line:  # neither dates nor a page number
+        return (None,) * 8 + (False,)
+    some = K.words(line)
+    at = K.dated_word(some, TX_WORDS)
+    received = next((K.date(K.word(some, i + 2)) for i, x in enumerate(some) if K.bare(x) == "oge" and K.bare(K.word(some, i + 1)) == "received"), None) if "oge" in low and "received" in low else None
+    parts = next((K.word(some, i + 1).split(".") for i, x in enumerate(some) if x == "Date:"), []) if "Date:" in line else []
+    signed = "/".join([parts[1], parts[2], parts[0]]) if len(parts) == 3 and K.is_number(parts[0], 4, 4) and K.is_number(parts[1], 2) and K.is_number(parts[2], 2) else None
+    row = (None,) * 6 if at is None else (" ".join(some[:at]), K.bare(some[at]), some[at + 1], K.date(some[at + 1], fused=True), " ".join(some[at + 3 :]), " ".join(map(K.money, some[at + 3 :])))
+    return *row, received, signed, "page" in low and K.is_page_number(some)
 
 
 house_line = _per_line("held string, line string, code string, tx string, told string, tail string, head string, letter string, body string, alone string, coded boolean, like boolean, heading boolean, page boolean, left string, left_ticker string, left_code string", _house_line)
 asset_name = _per_line("codes string, name string, ticker string, code string", _asset_name)
 _EXECUTIVE = "head string, word string, raw string, date string, tail string, amount string, received string, signed string, page boolean"
-scan_line, native_line = _per_line(_EXECUTIVE, _executive_line(0)), _per_line(_EXECUTIVE, _executive_line(2))
+scan_line = _per_line(_EXECUTIVE, _executive_line)
+
+
+#: Control characters, one by one: Java looks such a class up, and compares the ends of one of ranges.
+_CONTROL = "[" + "".join(rf"\x{i:02x}" for i in (*range(0x20), *range(0x7F, 0xA0))) + "]"
+
+
+def clean(line: Column) -> Column:
+    """Without control characters and outer spaces."""
+    return F.trim(F.regexp_replace(line, _CONTROL, " "))
+
+
+def _split(text: Column) -> Column:
+    """The lines of a text, as they are."""
+    return F.when(text.contains("\r"), F.split(text, r"\r\n|\r|\n")).otherwise(F.split(text, "\n"))
 
 
 def lines(filings: DataFrame) -> DataFrame:
     """filing_id, filed_on, n, raw (the line), line (without control characters and outer spaces) of every line."""
-    text = F.coalesce("text", F.lit(""))
-    split = filings.select("filing_id", "filed_on", F.posexplode(F.split(text, r"\r\n|\r|\n")).alias("n", "raw"))
-    return split.withColumn("line", F.trim(F.regexp_replace("raw", r"[\x00-\x1f\x7f-\x9f]", " ")))
+    split = filings.select("filing_id", "filed_on", F.posexplode(_split(F.coalesce("text", F.lit("")))).alias("n", "raw"))
+    return split.withColumn("line", clean(F.col("raw")))
 
 
 def _by(*keys: str):
@@ -287,18 +297,30 @@ def scan_rows(filings: DataFrame) -> DataFrame:
     return _executive(rows, [F.when(F.col("a.kind") == "unknown", F.concat(F.lit("amount not understood: "), "tail")), F.when(F.col("asset") == "", "no description")])
 
 
+#: A native row: its number (numbers grow from 1) and name, a transaction word, a date (its first slash perhaps lost), Yes or No, an amount; words one space apart.
+_MARKS = r"[().,;:\[\]*]*"
+_NATIVE_ROW = rf"^(?!0+ )([0-9]{{1,4}}) (\S.*?) {_MARKS}((?i:{'|'.join(TX_WORDS)})){_MARKS} ([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}|[0-9]{{3,4}}/[0-9]{{2,4}}) {_MARKS}(?i:yes|no){_MARKS} (.+)$"
+_CUT = "\x01"  #: between parts; a line has no control characters
+
+
 def native_rows(filings: DataFrame) -> DataFrame:
-    """Rows of native executive forms: numbered lines with growing numbers; a dangling dash takes the figure alone on the next line."""
-    page = Window.partitionBy("filing_id").orderBy("n")
-    told = lines(filings).withColumn("w", native_line("line")).withColumn("below", F.trim(F.coalesce(F.lead("line").over(page), F.lit("")))).withColumn("word", F.col("w.word")).filter("word is not null and w.tail <> '' and startswith(w.raw, w.date) and startswith(w.date, w.raw)")  # equal; by an equality Spark would read lines again
-    opening = F.substring_index("w.head", " ", 1)
-    numbered = F.length(opening).between(1, 4) & (F.translate(opening, "0123456789", "") == "")
-    told = told.withColumns({"number": F.when(numbered, opening.try_cast("int")), "tx_date": C.us_date(F.col("w.date"))}).filter("number is not null and tx_date is not null")
-    told = told.withColumn("most", F.max("number").over(_by()[1])).filter(F.col("number") > F.coalesce("most", F.lit(0)))
-    tail = F.col("w.tail")
-    tail = F.when(tail.rlike(f"{amounts.DASH}$") & F.col("below").rlike(f"^{amounts.FIGURE}$"), F.concat_ws(" ", tail, F.col("below"))).otherwise(tail)
-    told = told.withColumnRenamed("filed_on", "disclosed_date")
-    return _executive(told.select("filing_id", "n", F.substring("w.head", F.length(F.substring_index("w.head", " ", 1)) + 2, F.length("w.head")).alias("asset"), "word", "tx_date", "disclosed_date", amounts.parse(tail).alias("a")), [])
+    """Rows of native executive forms: numbered lines with growing numbers; a dangling dash takes the figure alone on the next line.
+
+    Lines are told apart inside their text and only rows are exploded, with the line below where the amount may go on there.
+    """
+    # As words are told apart: a colon ends one, a dollar sign begins one. White space beyond ASCII is rare, and slow to look for.
+    gaps = lambda x: F.when(F.length(x) == F.octet_length(x), F.regexp_replace(x, "  +", " ")).otherwise(F.regexp_replace(x, r"(?U)\s\s+|[^\S ]", " "))
+    spaced = lambda x: F.trim(gaps(F.replace(F.replace(x, F.lit("$"), F.lit(" $")), F.lit(":"), F.lit(": "))))
+    parts = lambda x: F.when(x.contains("/"), F.regexp_replace(spaced(clean(x)), _NATIVE_ROW, F.lit(_CUT.join(["$1", "$2", "$3", "$4", "$5"]))))
+    split = filings.select("filing_id", "filed_on", _split(F.coalesce("text", F.lit(""))).alias("lines"))
+    below = lambda row, i: F.when(row.rlike(f"{amounts.DASH}$"), clean(F.coalesce(F.get("lines", i + 1), F.lit(""))))
+    found = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("n"), parts(x).alias("row"))), lambda r: r["row"].contains(_CUT))
+    told = split.select("filing_id", "filed_on", F.inline(F.transform(found, lambda r: F.struct(r["n"].alias("n"), F.split(r["row"], _CUT).alias("w"), below(r["row"], r["n"]).alias("below")))))
+    w = lambda i: F.get("w", F.lit(i))
+    told = told.select("filing_id", "n", "filed_on", w(0).cast("int").alias("number"), w(1).alias("asset"), w(2).alias("word"), F.when(F.length(w(3)) - F.length(F.replace(w(3), F.lit("/"))) == 2, C.us_date(w(3))).alias("tx_date"), w(4).alias("tail"), "below")
+    told = told.filter("tx_date is not null").withColumn("most", F.max("number").over(_by()[1])).filter(F.col("number") > F.coalesce("most", F.lit(0)))
+    tail = F.when(F.col("below").rlike(f"^{amounts.FIGURE}$"), F.concat_ws(" ", "tail", "below")).otherwise(F.col("tail"))
+    return _executive(told.select("filing_id", "n", "asset", "word", "tx_date", F.col("filed_on").alias("disclosed_date"), amounts.parse(tail).alias("a")), [])
 
 
 READERS = {"house": house_rows, "scan": scan_rows, "native": native_rows}

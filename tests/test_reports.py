@@ -140,3 +140,16 @@ def test_filings_are_read_once_and_lines_exchanged_once(spark, form):
     filings = spark.createDataFrame([("f1", None, "a\nb")], "filing_id string, filed_on date, text string")
     plan = reports.READERS[form](filings)._jdf.queryExecution().executedPlan().toString()
     assert (plan.count("ExistingRDD"), plan.count("Exchange hashpartitioning")) == (1, 1)
+
+
+def test_native_lines_stay_in_their_text(spark, read):
+    """Only rows leave their text, without Python; words are told apart as before: white space, colons, dollar signs, marks, lost slashes."""
+    texts = [
+        "1 A\u00a0Fund (Sale): 1/5/2026 *No* $1,001 –\r\n $15,000\r0 B sale 1/5/2026 No $5\r0003 C:D PURCHASE, 1/6/2026 yes$5.50\n4\tE exchange 1/6/2026 No x:y$7",
+        "1 sale 1/5/2026 No $5\n2 A sale 115/2026 No $5 sale 1/5/2026 No $5\n3 B sale 1/5/2026 No\n12345 C sale 1/5/2026 No $5\n4 D sale 13/5/2026 No $5\n5 E resale sale 1/5/2026 No $5 -\n",
+    ]
+    got = read("native", *texts, filed=dt.date(2026, 2, 1))
+    assert [(r.asset, r.tx_type, r.amount_kind, r.low_cents, r.high_cents) for r in got[0]] == [("A Fund", "sell", "range", 100_100, 1_500_000), ("C: D", "buy", "exact", 550, 550), ("E", "exchange", "unknown", 0, 0)]
+    assert [(r.asset, r.position, r.warnings) for r in got[1]] == [("E resale", 0, ["amount goes on past its line"])]
+    plan = reports.native_rows(spark.createDataFrame([("f1", None, "a")], "filing_id string, filed_on date, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "posexplode" not in plan
