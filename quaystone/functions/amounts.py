@@ -53,7 +53,7 @@ def parse(tail: Column) -> Column:
 
     # Each step reads the text once, and names what it found for the next.
     opens = lambda t: F.struct(t.alias("text"), F.when(t.startswith("$"), F.regexp_extract(t, f"^({FIGURE})", 1)).alias("figure"))
-    rest = lambda t: F.struct(t["text"].alias("text"), F.lower(t["text"]).alias("low"), F.trim(F.substring(t["text"], F.length(t["figure"]) + 1, F.length(t["text"]))).alias("after"), _in_cents(t["figure"]).alias("first"))
+    rest = lambda t: F.struct(t["text"].alias("text"), F.when(t["text"].rlike("[NVnv]"), F.lower(t["text"])).otherwise(t["text"]).alias("low"), F.trim(F.substring(t["text"], F.length(t["figure"]) + 1, F.length(t["text"]))).alias("after"), _in_cents(t["figure"]).alias("first"))
     ends = lambda t: F.struct(t["text"].alias("text"), t["low"].alias("low"), t["after"].alias("after"), t["first"].alias("first"), cents(t["after"], rf"^{DASH}\s*").alias("second"))
     plain = F.trim(F.regexp_replace(F.coalesce(tail, F.lit("")), r"\s\s+|[^\S ]", " "))
     return _once(_once(_once(_once(plain, opens), rest), ends), read)

@@ -81,21 +81,22 @@ _GAPS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def _house_line(line: str) -> tuple:
+    """line: what is left of it without codes that are held; head: what is before a row's code. Both null where there is no such thing."""
     if line[:2] not in OWNER_CODES and not _MARKED.search(line):  # words alone
-        return None, line, None, None, None, "", line, None, "", None, False, False, False, line == "Yes No", None, None, None
+        return None, None, None, None, None, "", None, None, "", None, False, False, False, line == "Yes No", None, None, None
     codes, rest = K.after(line, OWNER_CODES)
     held = codes if codes and (not rest or K.label(rest)[0]) else None
     line = rest if held else line
     some = K.words(line) if "/" in line else []
     row, (letter, body) = K.dated_code(some, TX_CODES), K.label(line)
-    code, tx, told, tail, head = (row[1], some[row[2]], some[row[2] + 1], " ".join(some[row[2] + 2 :]), " ".join(some[: row[0]])) if row else (None, None, None, "", line)
+    code, tx, told, tail, head = (row[1], some[row[2]], some[row[2] + 1], " ".join(some[row[2] + 2 :]), " ".join(some[: row[0]])) if row else (None, None, None, "", None)
     coded = [x for x, _, _ in K.enclosed(line, "[", "]") if K.is_code(x)] if "[" in line else []
     alone = coded[0] if coded and line == f"[{coded[0]}]" else None
     like = bool(coded) or ("(" in line and any(K.is_symbol(x) for x, _, _ in K.enclosed(line, "(", ")"))) or bool(K.after(line, OWNER_CODES)[0])
     page = line == "Yes No" or (line.startswith("Page ") and len(line.split()) == 4 and K.is_page_number(line.split()))
     # What is left of a line without its first figure, and its symbol and code.
     left = _GAPS.sub(" ", _TO_FIGURE.sub(r"\1 ", line, count=1)).strip(" ") if not row and "$" in line else None
-    return held, line, code, tx, told, tail, head, letter, body, alone, bool(coded), like, len(K.apart(line)) > 1, page, left, *(K.symbol_and_code(left) if left else (None, None))
+    return held, line if held else None, code, tx, told, tail, head, letter, body, alone, bool(coded), like, len(K.apart(line)) > 1, page, left, *(K.symbol_and_code(left) if left else (None, None))
 
 
 def _asset_name(text: str) -> tuple:
@@ -164,46 +165,43 @@ def _house_tokens(filings: DataFrame) -> DataFrame:
     furniture = _any([line.startswith(x) for x in FURNITURE_OPENS] + [line.contains(x) for x in FURNITURE_HAS]) | F.col("w.page")
     told = told.filter((F.col("place") == "close") & F.col("event").isNull() & ~furniture)
     # Owner codes alone, or before a label, speak of the next row (held). A row: its code, its dates and its amount.
-    w = lambda c: F.col(f"w.{c}")
-    told = told.withColumns({"line": w("line"), "held": w("held"), "code": w("code"), "tx_date": C.us_date(w("tx")), "told_date": C.us_date(w("told")), "tail": w("tail"), "head": w("head")})
-    told = told.withColumns({"is_row": F.col("code").isNotNull(), "amount": F.when(F.col("code").isNotNull(), amounts.parse(F.col("tail")))})
+    names = ("held", "code", "tx", "told", "tail", "head", "letter", "body", "alone", "coded", "like", "heading", "left", "left_ticker", "left_code")
+    told = told.select("filing_id", "filed_on", "n", "above_d", "events", "feet", F.coalesce("w.line", "line").alias("line"), *[F.col(f"w.{c}").alias(c) for c in names])
+    told = told.withColumns({"tx_date": C.us_date(F.col("tx")), "told_date": C.us_date(F.col("told")), "is_row": F.col("code").isNotNull(), "amount": F.when(F.col("code").isNotNull(), amounts.parse(F.col("tail")))}).drop("tx", "told")
     told = told.withColumn("valid", F.col("is_row") & F.col("tx_date").isNotNull() & F.col("told_date").isNotNull())
     told = told.withColumns({"part": F.count_if("is_row").over(upto), "row": F.count_if("valid").over(upto), "awaits": F.last(F.when(F.col("is_row"), F.coalesce("amount.pending", F.lit(""))), True).over(upto)})
-    # Parts, groups and pages are runs of a filing's lines: what counts within one is a running count less that where the run begins,
-    # so that all windows share one sort.
-    since = lambda count, begins: F.col(count) - F.coalesce(F.last(F.when(begins, F.col(count)), True).over(upto), F.lit(0))
-    # The first figure below a row that waits for one is that row's.
+    # All windows share one sort, and each step asks for the last mark up to a line, so that a line is carried through few of them.
+    # The first figure below a row that waits for one is that row's: no other since the row. Codes held before a row: since the row above.
     figure = F.when(~F.col("is_row") & (F.col("awaits") != ""), amounts.cents(line))
-    told = told.withColumn("figure", figure).withColumn("figures", F.count("figure").over(upto))
-    told = told.withColumn("figure", F.when(since("figures", F.col("is_row")) == 1, F.col("figure")))
-    letter, body = w("letter"), w("body")
+    told = told.withColumn("figure", figure)
+    mark = F.when(F.col("is_row"), True).when(F.col("figure").isNotNull(), False)
+    waits = F.last(F.when(F.col("held").isNotNull() & ~F.col("is_row"), F.struct("row", "held")), True).over(upto)
+    told = told.withColumns({"first": F.last(mark, True).over(before), "waits": waits})
+    told = told.withColumns({"figure": F.when(F.col("first"), F.col("figure")), "waits": F.when(F.col("waits.row") == F.col("row") - 1, F.col("waits.held"))}).drop("first", "awaits")
+    letter, body = F.col("letter"), F.col("body")
     free = ~F.col("is_row") & F.col("figure").isNull()
     kind = (
-        F.when(F.col("is_row"), "row").when(F.col("figure").isNotNull(), "figure").when(line == "", "owner").when(w("alone").isNotNull(), "code").when(letter.isNotNull(), "label").when(w("heading"), "heading").otherwise("text")
+        F.when(F.col("is_row"), "row").when(F.col("figure").isNotNull(), "figure").when(line == "", "owner").when(F.col("alone").isNotNull(), "code").when(letter.isNotNull(), "label").when(F.col("heading"), "heading").otherwise("text")
     )
     told = told.withColumns({"kind": kind, "letter": F.when(free, letter), "body": F.when(free & letter.isNotNull(), body)})
     # A text right above a description belongs to it; texts below one go on with it to a full stop, or to what looks like an asset.
     ends = lambda c: c.rlike(r"[.!?]$")
-    asset_like, is_label = w("like"), F.col("kind") == "label"
-    told = told.withColumn("kind", F.when((F.col("kind") == "text") & F.col("above_d") & ~w("coded"), "above").otherwise(F.col("kind")))
-    told = told.withColumn("group", F.count_if(F.col("kind").isin("row", "label")).over(upto) + F.col("events"))
-    opens = (F.col("letter") == "D") & (F.col("body") != "") & ~ends(F.col("body"))
-    told = told.withColumn("label", F.last(F.when(is_label, F.struct("group", opens.alias("opens"))), True).over(upto))
-    told = told.withColumn("open", F.coalesce((F.col("label.group") == F.col("group")) & F.col("label.opens"), F.lit(False)) & (F.col("kind") == "text"))
-    told = told.withColumns({"likes": F.count_if(F.col("open") & asset_like).over(upto), "stops": F.count_if(F.col("open") & ends(line)).over(before)})
-    goes_on = F.col("open") & (since("likes", is_label) == 0) & (since("stops", is_label) == 0)
-    told = told.withColumn("kind", F.when(goes_on, "more").otherwise(F.col("kind")))
-    # What a label says is of the row above, unless asset text of the next row came between.
-    of_figure = lambda c: F.when(F.col("kind") == "figure", w(c))
-    told = told.withColumns({"left": of_figure("left"), "left_ticker": of_figure("left_ticker"), "left_code": of_figure("left_code"), "alone": w("alone")}).drop("w")
+    is_label = F.col("kind") == "label"
+    told = told.withColumn("kind", F.when((F.col("kind") == "text") & F.col("above_d") & ~F.col("coded"), "above").otherwise(F.col("kind")))
+    opens = is_label & F.coalesce((F.col("letter") == "D") & (F.col("body") != "") & ~ends(F.col("body")), F.lit(False))
+    told = told.withColumn("over", F.last(F.when(F.col("kind").isin("row", "label"), F.struct("events", opens.alias("opens"))), True).over(upto)).drop("above_d", "coded", "heading")
+    told = told.withColumn("open", F.coalesce(F.col("over.opens") & (F.col("over.events") == F.col("events")), F.lit(False)) & (F.col("kind") == "text")).drop("over")
+    since = lambda what: F.when(is_label, True).when(F.col("open") & what, False)
+    told = told.withColumns({"likes": F.last(since(F.col("like")), True).over(upto), "stops": F.last(since(ends(line)), True).over(before)})
+    told = told.withColumn("kind", F.when(F.col("open") & F.col("likes") & F.col("stops"), "more").otherwise(F.col("kind"))).drop("open", "likes", "stops", "like")
+    # What a label says is of the row above, unless asset text of the next row came between: in the same part, on the same page.
+    of_figure = lambda c: F.when(F.col("kind") == "figure", F.col(c))
+    told = told.withColumns({c: of_figure(c) for c in ("left", "left_ticker", "left_code")})
     pending = (F.col("kind") == "text") | ((F.col("left") != "") & F.col("left_ticker").isNull())
     run = F.col("part") + F.col("events")
-    told = told.withColumns({"pending": F.count_if(pending).over(before), "begins": ~F.lag(run).over(Window.partitionBy("filing_id").orderBy("n")).eqNullSafe(run)})
-    told = told.withColumn("mine", (F.col("row") > 0) & (since("pending", F.col("begins")) == 0))
-    told = told.withColumn("mine", F.when(F.col("kind") == "more", F.last(F.when(is_label, F.col("mine")), True).over(upto)).otherwise(F.col("mine")))
-    # Codes that were held before a row, since the row above.
-    waits = F.last(F.when(F.col("held").isNotNull() & ~F.col("is_row"), F.struct("row", "held")), True).over(upto)
-    return told.withColumn("waits", waits).withColumn("waits", F.when(F.col("waits.row") == F.col("row") - 1, F.col("waits.held")))
+    told = told.withColumn("pending", F.last(F.when(pending, run), True).over(before))
+    told = told.withColumn("mine", (F.col("row") > 0) & ~F.col("pending").eqNullSafe(run)).drop("pending")
+    return told.withColumn("mine", F.when(F.col("kind") == "more", F.last(F.when(is_label, F.col("mine")), True).over(upto)).otherwise(F.col("mine")))
 
 
 def house_rows(filings: DataFrame) -> DataFrame:

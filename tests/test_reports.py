@@ -153,3 +153,16 @@ def test_native_lines_stay_in_their_text(spark, read):
     assert [(r.asset, r.position, r.warnings) for r in got[1]] == [("E resale", 0, ["amount goes on past its line"])]
     plan = reports.native_rows(spark.createDataFrame([("f1", None, "a")], "filing_id string, filed_on date, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "posexplode" not in plan
+
+
+@pytest.mark.parametrize(("name", "exchanges", "windows"), [("house_report", 3, 9), ("native_form", 2, 2)])
+def test_lines_go_through_few_windows_and_exchanges(spark, name, exchanges, windows):
+    """Orders and lines are exchanged to meet, and after that only lines that Python has classified."""
+    from quaystone.plans import catalogue, forms  # noqa: F401
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == exchanges and plan.count("+- Window [") <= windows
