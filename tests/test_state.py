@@ -4,6 +4,7 @@ import datetime as dt
 import inspect
 import os
 import threading
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -228,3 +229,9 @@ def test_names_beyond_latin1(spark):
     assert [r[0] for r in df.select(names.folded(F.col("a"))).collect()] == ["nguyen stefan", "lukasz", "ken", ""]
     other = df.select(F.upper("b").alias("c"))
     assert df.join(other, names.same(F.col("a"), F.col("c"))).count() == 3
+
+
+def test_states_are_packed(spark, tmp_path):
+    folder = versions.write(spark.range(10), str(tmp_path), "trades")
+    files = [f.name for f in Path(folder).glob("part-*")]
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
